@@ -8,7 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-from catalogkit.functions.text import Col, _c
+from catalogkit.functions.text import Col, _c, trim
 
 _PAGE_DATA = r'(?is)<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>'
 _ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
@@ -19,8 +19,8 @@ def html_to_text(value: Col) -> Column:
     text = F.regexp_replace(_c(value), r"(?i)<br\s*/?>|</li>", "\n")
     text = F.regexp_replace(text, r"(?i)<li[^>]*>", "- ")
     text = F.regexp_replace(text, r"(?i)<[^>]+>|&nbsp;", " ")
-    text = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(F.trim(_c(value)) != "", text)
+    text = trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(trim(_c(value)) != "", text)
 
 
 def unescape(value: Col) -> Column:
@@ -33,7 +33,7 @@ def unescape(value: Col) -> Column:
 
 def embedded_json(html: Col) -> Column:
     """JSON text inside the page-data script tag; null when the page has none."""
-    return F.nullif(F.trim(F.regexp_extract(_c(html), _PAGE_DATA, 1)), F.lit(""))
+    return F.nullif(trim(F.regexp_extract(_c(html), _PAGE_DATA, 1)), F.lit(""))
 
 
 def script_bodies(html: Col) -> Column:
@@ -48,7 +48,7 @@ def strip_query(url: Col) -> Column:
 
 def absolute_url(url: Col, base_url: str) -> Column:
     """Absolute form of a URL or path; blank gives null."""
-    url = F.trim(_c(url))
+    url = trim(_c(url))
     root = re.match(r"(?i)https?://[^/?#]+", base_url)
     origin = root.group(0) if root else ""
     folder = base_url.split("?")[0].split("#")[0]
@@ -95,21 +95,21 @@ def _element_pattern(selector: str) -> tuple[str, str]:
 
 def _finish(value: Column, rule: dict) -> Column:
     """Blank collapsing, then the rule's pattern, prefix and suffix."""
-    text = F.nullif(F.trim(F.regexp_replace(value, r"\s+", " ")), F.lit(""))
+    text = F.nullif(trim(F.regexp_replace(value, r"\s+", " ")), F.lit(""))
     if rule.get("regex"):
         flags = "(?i)" if "i" in rule.get("regexFlags", "") else ""
         pattern = flags + rule["regex"]
         group = int(rule.get("group") or 1)
-        whole = F.nullif(F.trim(F.regexp_extract(text, pattern, 0)), F.lit(""))
+        whole = F.nullif(trim(F.regexp_extract(text, pattern, 0)), F.lit(""))
         part = None
         if re.compile(rule["regex"]).groups >= group:
-            part = F.nullif(F.trim(F.regexp_extract(text, pattern, group)), F.lit(""))
+            part = F.nullif(trim(F.regexp_extract(text, pattern, group)), F.lit(""))
         text = whole if part is None else F.coalesce(part, whole)
     if rule.get("prefix"):
         text = F.concat(F.lit(rule["prefix"]), text)
     if rule.get("suffix"):
         text = F.concat(text, F.lit(rule["suffix"]))
-    return F.nullif(F.trim(text), F.lit(""))
+    return F.nullif(trim(text), F.lit(""))
 
 
 def extract_field(html: Col, config) -> Column:

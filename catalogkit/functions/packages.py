@@ -4,21 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from catalogkit.functions.text import Col, _c, normalize_text, slugify, unique_in_order
+from catalogkit.functions.text import Col, _c, normalize_text, slugify, trim, unique_in_order
 from catalogkit.functions.values import optional_text
 
+# Word borders look at ASCII letters only, as the patterns were written for.
+_START = r"(?<!\w)"
+
 # Fixed value: what a dose looks like, e.g. "500 mg/5 ml + 30 mg".
 _AMOUNT = r"\d+(?:[.,]\d+)?\s*"
 _STRENGTH = r"(?:mg|mcg|g|kg|ml|l|ui|mui|meq|%)"
 _PER = r"(?:\s*/\s*" + _AMOUNT + r"(?:ml|g|l))?"
 _ONE_DOSE = _AMOUNT + _STRENGTH + _PER
-DOSE_PATTERN = r"(?i)\b" + _ONE_DOSE + r"(?:\s*\+\s*" + _ONE_DOSE + ")*"
+DOSE_PATTERN = "(?i)" + _START + _ONE_DOSE + r"(?:\s*\+\s*" + _ONE_DOSE + ")*"
 DOSE_MAX_TEXT = 160
 
 # Fixed value: "<number> <unit>" of a package.
 PACKAGE_PATTERN = (
-    r"(?i)\b(\d+)\s*(un|uni|unid|unidade|unidades|comp|comprimido|comprimidos"
-    r"|caps|capsula|capsulas|cps|ml|l|g|kg)\b"
+    r"(?i)(?<!\w)(\d+)\s*(un|uni|unid|unidade|unidades|comp|comprimido|comprimidos"
+    r"|caps|capsula|capsulas|cps|ml|l|g|kg)(?!\w)"
 )
 
 # Unit spellings and their canonical form.
@@ -33,13 +36,13 @@ PLAIN_UNITS = ["ml", "l", "g", "kg", "mg", "mcg"]
 INGREDIENT_TERMS = {
     "Carbonato de Cálcio": r"(?i)carbonato de c[aáÁ]lcio",
     "Colecalciferol": r"(?i)colecalciferol",
-    "Vitamina D3": r"(?i)vitamina\s*d3\b",
-    "Vitamina D": r"(?i)vitamina\s*d\b",
-    "Cálcio": r"(?i)\bc[aáÁ]lcio\b",
+    "Vitamina D3": r"(?i)vitamina\s*d3(?!\w)",
+    "Vitamina D": r"(?i)vitamina\s*d(?!\w)",
+    "Cálcio": r"(?i)(?<!\w)c[aáÁ]lcio(?!\w)",
     "Magnésio": r"(?i)magn[eéÉ]sio",
-    "Zinco": r"(?i)\bzinco\b",
+    "Zinco": r"(?i)(?<!\w)zinco(?!\w)",
     "Colágeno": r"(?i)col[aáÁ]geno",
-    "Ferro": r"(?i)\bferro\b",
+    "Ferro": r"(?i)(?<!\w)ferro(?!\w)",
     "Ômega 3": r"(?i)(?:o|ô|Ô)mega\s*3",
     "Creatina": r"(?i)creatina",
     "Melatonina": r"(?i)melatonina",
@@ -49,8 +52,8 @@ INGREDIENT_TERMS = {
 
 def extract_dose(value: Col) -> Column:
     """First dose in a short text; null for texts of more than 160 characters."""
-    compact = F.trim(F.regexp_replace(_c(value), r"\s+", " "))
-    dose = F.trim(F.regexp_extract(compact, DOSE_PATTERN, 0))
+    compact = trim(F.regexp_replace(_c(value), r"\s+", " "))
+    dose = trim(F.regexp_extract(compact, DOSE_PATTERN, 0))
     return F.when(F.length(compact) <= DOSE_MAX_TEXT, F.nullif(dose, F.lit("")))
 
 
@@ -60,7 +63,7 @@ def normalize_unit(value: Col) -> Column:
     result = F.when(word == "", F.lit(None).cast("string"))
     for canonical, spellings in UNIT_SYNONYMS.items():
         result = result.when(word.isin(*spellings), canonical)
-    return result.when(word.isin(*PLAIN_UNITS), word).otherwise(F.trim(_c(value)))
+    return result.when(word.isin(*PLAIN_UNITS), word).otherwise(trim(_c(value)))
 
 
 def extract_package(*values: Col) -> Column:
@@ -90,7 +93,7 @@ def ingredient_records(names: Col, slugs: Col | None = None) -> Column:
     return F.transform(
         paired,
         lambda p: F.struct(
-            F.trim(p["n"]).alias("name"),
+            trim(p["n"]).alias("name"),
             normalize_text(p["n"]).alias("normalized_name"),
             F.coalesce(optional_text(p["s"]), slugify(p["n"])).alias("slug"),
         ),

@@ -10,10 +10,24 @@ from pyspark.sql import Column, functions as F
 Col = Column | str
 
 
+# Fixed value: characters outer trimming removes, besides the plain blank.
+WHITESPACE = " \t\n\r\f\v\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def _c(value: Col) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def trim(value: Col) -> Column:
+    """Remove outer blanks of any kind."""
+    return F.btrim(_c(value).cast("string"), F.lit(WHITESPACE))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, computed once: inside a lambda a plain expression runs once per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 @lru_cache(maxsize=1)
 def _accent_table() -> tuple[str, str]:
     """Characters whose canonical decomposition, less combining marks, is one other character.
@@ -79,15 +93,24 @@ def unique_in_order(values: Col, key=None) -> Column:
 
     The default key ignores case and outer blanks. Elements with a blank key are dropped.
     """
-    key = key or (lambda x: F.lower(F.trim(x)))
-    present = F.filter(_c(values), lambda x: F.coalesce(key(x), F.lit("")) != "")
-    keys = F.transform(present, key)
-    return F.transform(F.array_distinct(keys), lambda k: F.get(present, F.array_position(keys, k).cast("int") - 1))
+    key = key or (lambda x: F.lower(trim(x)))
+    pairs = F.transform(_c(values), lambda x: F.struct(x.alias("value"), key(x).alias("key")))
+    pairs = F.filter(pairs, lambda p: F.coalesce(p["key"], F.lit("")) != "")
+
+    def first_spellings(kept: Column) -> Column:
+        return let(
+            F.struct(kept["value"].alias("values"), kept["key"].alias("keys")),
+            lambda s: F.transform(
+                F.array_distinct(s["keys"]), lambda k: F.get(s["values"], F.array_position(s["keys"], k).cast("int") - 1)
+            ),
+        )
+
+    return let(pairs, first_spellings)
 
 
 def split_ingredients(value: Col) -> Column:
     """Split on comma, semicolon, slash or the word ``e``; trimmed, accent-insensitively unique."""
-    parts = F.transform(F.split(F.coalesce(_c(value), F.lit("")), "[,;/]|(?i) e "), F.trim)
+    parts = F.transform(F.split(F.coalesce(_c(value), F.lit("")), "[,;/]|(?i) e "), trim)
     return unique_in_order(parts, normalize_text)
 
 
@@ -101,7 +124,7 @@ def searchable_text(
 
 def search_artifacts(parts: Col) -> Column:
     """Struct of the unique parts joined with `` | ``, its normal form, unique tokens and their count."""
-    joined = F.array_join(F.transform(unique_in_order(parts), F.trim), " | ")
+    joined = F.array_join(F.transform(unique_in_order(parts), trim), " | ")
     tokens = tokenize_unique(joined)
     return F.struct(
         joined.alias("searchable_text"),

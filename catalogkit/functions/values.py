@@ -6,24 +6,24 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from catalogkit.functions.text import Col, _c
+from catalogkit.functions.text import Col, _c, trim
 
 
-def first_non_blank(*values: Col, null_token: str | None = None, trim: bool = True) -> Column:
+def first_non_blank(*values: Col, null_token: str | None = None, trimmed: bool = True) -> Column:
     """First value that is neither null nor blank (nor ``null_token``, any case)."""
     picks = []
     for value in values:
         text = _c(value).cast("string")
-        keep = F.trim(text) != ""
+        keep = trim(text) != ""
         if null_token is not None:
-            keep = keep & (F.upper(F.trim(text)) != null_token.upper())
-        picks.append(F.when(keep, F.trim(text) if trim else text))
+            keep = keep & (F.upper(trim(text)) != null_token.upper())
+        picks.append(F.when(keep, trim(text) if trimmed else text))
     return F.coalesce(*picks) if picks else F.lit(None).cast("string")
 
 
 def optional_text(value: Col) -> Column:
     """Trimmed text, blank as null."""
-    return F.nullif(F.trim(_c(value).cast("string")), F.lit(""))
+    return F.nullif(trim(_c(value).cast("string")), F.lit(""))
 
 
 def field_type(schema: T.StructType, path: str) -> T.DataType | None:
@@ -55,7 +55,7 @@ def to_number(value: Col) -> Column:
 
 def first_finite(*values: Col) -> Column:
     """First value that parses as a finite number; blanks are skipped."""
-    return F.coalesce(*[to_number(F.nullif(F.trim(_c(v).cast("string")), F.lit(""))) for v in values])
+    return F.coalesce(*[to_number(F.nullif(trim(_c(v).cast("string")), F.lit(""))) for v in values])
 
 
 def round_dp(value: Col, digits: int) -> Column:
@@ -95,14 +95,14 @@ def format_stock(value: Col) -> Column:
 
 def parse_list_input(value: Col) -> Column:
     """Entries of a newline, comma or semicolon separated text, trimmed, blanks dropped."""
-    parts = F.transform(F.split(F.coalesce(_c(value), F.lit("")), "[\\n,;]+"), F.trim)
+    parts = F.transform(F.split(F.coalesce(_c(value), F.lit("")), "[\\n,;]+"), trim)
     return F.filter(parts, lambda x: x != "")
 
 
 def array_pick(values: Col, position: int) -> Column:
     """First (1), last (-1) or n-th non-blank element, trimmed; null when there is none."""
-    kept = F.filter(_c(values), lambda x: F.trim(x.cast("string")) != "")
-    return F.trim(F.try_element_at(kept, F.lit(position)).cast("string"))
+    kept = F.filter(_c(values), lambda x: trim(x.cast("string")) != "")
+    return trim(F.try_element_at(kept, F.lit(position)).cast("string"))
 
 
 def json_text(value: Col) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from catalogkit.functions.text import _c
+from catalogkit.functions.text import _c, trim
 from catalogkit.operators.ordering import nearest_rank_percentiles
 
 # Lookup statuses of a batch answer.
@@ -45,18 +45,18 @@ def status_summary(df: DataFrame, status: str, known: Sequence[str], groups: Seq
 
 def distinct_concat(df: DataFrame, keys: Sequence[str], value: str, sep: str = ",", name: str = "joined") -> DataFrame:
     """Distinct non-blank values per group, sorted and joined. Copies are removed before gathering."""
-    pairs = df.filter(F.trim(F.col(value).cast("string")) != "").select(*keys, value).distinct()
+    pairs = df.filter(trim(F.col(value).cast("string")) != "").select(*keys, value).distinct()
     return pairs.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(value)), sep).alias(name))
 
 
 def distinct_values(df: DataFrame, column: str, name: str = "name") -> DataFrame:
     """Distinct non-blank values of a dimension column."""
-    return df.filter(F.trim(F.col(column)) != "").select(F.col(column).alias(name)).distinct()
+    return df.filter(trim(F.col(column)) != "").select(F.col(column).alias(name)).distinct()
 
 
 def count_distinct_keys(df: DataFrame, key: str, approximate: bool = False, name: str = "total") -> DataFrame:
     """Number of distinct non-blank keys; the exact form counts a distinct table, not one task's set."""
-    present = df.filter(F.trim(F.col(key).cast("string")) != "").select(key)
+    present = df.filter(trim(F.col(key).cast("string")) != "").select(key)
     if approximate:
         return present.agg(F.approx_count_distinct(key).alias(name))
     return present.distinct().agg(F.count("*").alias(name))
@@ -68,7 +68,7 @@ def group_by_key(df: DataFrame, key: str, item_id: str, order: Sequence[str], si
     A key with at most ``size`` rows has one list. Larger keys are spread by row id over as
     many lists as they need, so no list grows with the table; together they hold every row.
     """
-    present = df.filter(F.trim(F.col(key).cast("string")) != "")
+    present = df.filter(trim(F.col(key).cast("string")) != "")
     large = present.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > size)
     large = large.select(key, F.ceil(F.col("_n") / size).cast("int").alias("_parts"))
     parts = F.coalesce(F.col("_parts"), F.lit(1))

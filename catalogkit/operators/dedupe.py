@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from catalogkit.functions.text import trim
+
 Order = Sequence[str | Column]
 
 
@@ -24,7 +26,7 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Order, n: int, rank_c
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Order) -> DataFrame:
     """First row per key; rows with a null or blank key are dropped."""
-    present = reduce(lambda a, b: a & b, [F.trim(F.col(k).cast("string")) != "" for k in keys])
+    present = reduce(lambda a, b: a & b, [trim(F.col(k).cast("string")) != "" for k in keys])
     return top_per_key(df.filter(present), keys, order, 1)
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, functions as F
 
-from catalogkit.functions.text import Col, _c, contains_any, normalize_text
+from catalogkit.functions.text import Col, _c, contains_any, normalize_text, trim
 
 # Words that mark a product as personal care.
 COMMERCIAL_KEYWORDS = [
@@ -47,7 +47,7 @@ NO_SOURCES = "fontes externas"
 
 def source_key(value: Col) -> Column:
     """Trimmed lower-case source key; null becomes an empty string."""
-    return F.lower(F.trim(F.coalesce(_c(value).cast("string"), F.lit(""))))
+    return F.lower(trim(F.coalesce(_c(value).cast("string"), F.lit(""))))
 
 
 def source_list(values: Col) -> Column:

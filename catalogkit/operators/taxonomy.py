@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from catalogkit.functions.text import Col, normalize_text, tokenize_unique
+from catalogkit.functions.text import Col, normalize_text, tokenize_unique, trim
 from catalogkit.functions.values import first_non_blank
 from catalogkit.operators.blocks import DEFAULT_BLOCK_BYTES, held_blocks
 from catalogkit.operators.dedupe import first_per_key
@@ -31,7 +31,7 @@ CANDIDATES_TYPE = "array<struct<entry_no:bigint,score:double,item_count:bigint>>
 
 def path_text(prefix: str = "") -> Column:
     """Levels joined by `` > ``, blanks skipped."""
-    return F.concat_ws(" > ", *[F.nullif(F.trim(F.col(prefix + level)), F.lit("")) for level in LEVELS])
+    return F.concat_ws(" > ", *[F.nullif(trim(F.col(prefix + level)), F.lit("")) for level in LEVELS])
 
 
 def taxonomy_entries(df: DataFrame, order: str) -> DataFrame:
@@ -44,7 +44,7 @@ def taxonomy_entries(df: DataFrame, order: str) -> DataFrame:
     return df.select(
         F.concat(F.lit("taxonomy_"), F.col(order)).alias("taxonomy_id"),
         F.col(order).cast("long").alias("entry_no"),
-        *[F.nullif(F.trim(F.col(level)), F.lit("")).alias(level) for level in LEVELS],
+        *[F.nullif(trim(F.col(level)), F.lit("")).alias(level) for level in LEVELS],
         count.alias("item_count"),
         path.alias("path"),
         normalize_text(path).alias("normalized_path"),

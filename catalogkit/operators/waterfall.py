@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from catalogkit.functions.text import _c
+from catalogkit.functions.text import _c, trim
 from catalogkit.functions.values import field_type, first_non_blank
 from catalogkit.operators.dedupe import top_per_key
 from catalogkit.operators.policy import SourcePolicy, source_keys
@@ -87,7 +87,7 @@ def _info(lookup: Column, dtype: T.StructType, name: str) -> Column:
 
 
 def _joined(*parts: Column) -> Column:
-    return F.trim(F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in parts]))
+    return trim(F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in parts]))
 
 
 def primary_name(lookup: Column, dtype: T.StructType) -> Column:

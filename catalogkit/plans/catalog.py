@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from catalogkit.functions.ean import normalize_ean
-from catalogkit.functions.text import normalize_search_text, searchable_text, tokenize
+from catalogkit.functions.text import normalize_search_text, searchable_text, tokenize, trim
 from catalogkit.functions.values import field_type, json_path, optional_text
 from catalogkit.functions.vectors import DEFAULT_DIMENSIONS, hash_vector
 from catalogkit.operators.aggregates import distinct_values
@@ -140,7 +140,7 @@ def assign_dimension_keys(
     """
     out = facts
     for column in columns:
-        own = F.when(F.trim(F.col(column)) != "", dimension_id(column))
+        own = F.when(trim(F.col(column)) != "", dimension_id(column))
         given = (existing or {}).get(column)
         if given is None:
             out = out.withColumn(f"{column}_id", own)
@@ -157,7 +157,7 @@ def eligible_for_publish(df: DataFrame, include_incomplete: bool = False) -> Dat
     if not include_incomplete:
         needed += ["active_ingredient", "classification", "social_name", "manufacturer", "details"]
     for column in needed:
-        df = df.filter(F.trim(F.col(column)) != "")
+        df = df.filter(trim(F.col(column)) != "")
     return df if include_incomplete else df.filter(F.col("classification") != UNDEFINED_CLASS)
 
 
@@ -190,7 +190,7 @@ ANSWER_COLUMNS = {
 
 def catalog_columns(df: DataFrame) -> DataFrame:
     """Catalogue rows under their answer names; the ingredient text is always a list, split on commas."""
-    parts = F.filter(F.transform(F.split("active_ingredient", ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split("active_ingredient", ","), trim), lambda x: x != "")
     one = F.array(F.col("active_ingredient"))
     listed = F.when(F.size(parts) > 1, parts).when(F.col("active_ingredient").isNotNull(), one)
     names = [F.col(c).alias(n) for c, n in ANSWER_COLUMNS.items() if c in df.columns]
@@ -213,9 +213,9 @@ def legacy_reconstruct(
     """
     from catalogkit.operators.aggregates import distinct_concat
 
-    named = ingredients.filter(F.trim("name") != "").select(F.col("id").alias("ingredient_id"), F.col("name").alias("ingredient"))
+    named = ingredients.filter(trim("name") != "").select(F.col("id").alias("ingredient_id"), F.col("name").alias("ingredient"))
     listed = distinct_concat(links.join(named, "ingredient_id"), ["product_id"], "ingredient", ", ", "active_ingredient")
-    text = lambda c: F.trim(F.col(c)) != ""
+    text = lambda c: trim(F.col(c)) != ""
     good = products.filter(text("name") & text("category") & text("laboratory") & (F.col("category") != UNDEFINED_CLASS))
     good = good.filter(F.col("name_source").isin(*trusted))
     renamed = good.select(

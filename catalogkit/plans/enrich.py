@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from catalogkit.functions.ean import validate_ean
 from catalogkit.functions.packages import extract_dose, ingredient_records
-from catalogkit.functions.text import normalize_text, search_artifacts, split_ingredients, unique_in_order
+from catalogkit.functions.text import normalize_text, search_artifacts, split_ingredients, trim, unique_in_order
 from catalogkit.functions.values import field, field_type, first_non_blank
 from catalogkit.operators.policy import SourcePolicy, classify_type, source_key
 from catalogkit.operators.taxonomy import LEVELS, classify_taxonomy
@@ -68,7 +68,7 @@ def enrich_items(items: DataFrame, waterfall: DataFrame, sources: Sequence[str],
     name = first_non_blank(primary_name(name_lookup, dtype), info("produto"), primary_name(data_lookup, dtype), trusted_raw)
     shown = first_non_blank(
         display_name(name_lookup, dtype),
-        F.trim(F.concat_ws(" ", F.nullif(info("produto"), F.lit("")), F.nullif(info("apresentacao"), F.lit("")))),
+        trim(F.concat_ws(" ", F.nullif(info("produto"), F.lit("")), F.nullif(info("apresentacao"), F.lit("")))),
         display_name(data_lookup, dtype),
         trusted_raw,
         name,
@@ -289,7 +289,7 @@ def lookup_batch(
     distinct valid code is looked up and classified once.
     """
     checked = requests.withColumn("_c", validate_ean("input_ean")).select(
-        "request_id", F.trim("input_ean").alias("input_ean"), F.col("_c.ean").alias("ean"),
+        "request_id", trim("input_ean").alias("input_ean"), F.col("_c.ean").alias("ean"),
         F.col("_c.is_valid").alias("_ok"), F.col("_c.reason").alias("_reason"),
     )
     codes = checked.filter("_ok").select("ean").distinct()

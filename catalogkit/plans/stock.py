@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from catalogkit.functions.text import trim
 from catalogkit.functions.ean import only_digits
 from catalogkit.functions.values import format_stock, price_block
 from catalogkit.functions.vectors import ranking_score
@@ -168,7 +169,7 @@ def generic_highlights(
     kind: str = "kind",
 ) -> DataFrame:
     """The three cheapest distinct generics of each group whose shortlist has none."""
-    is_generic = F.upper(F.trim(F.col(kind))) == GENERIC
+    is_generic = F.upper(trim(F.col(kind))) == GENERIC
     covered = shortlist.filter(is_generic).select(*group).distinct()
     generics = candidates.filter(is_generic).join(covered, list(group), "left_anti")
     once = top_per_key(generics, [*group, product_id], order, 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from catalogkit.functions.html import absolute_url, extract_fields, html_to_text, strip_query
 from catalogkit.functions.packages import extract_package, infer_terms
-from catalogkit.functions.text import Col, _c, normalize_text, split_ingredients
+from catalogkit.functions.text import Col, _c, normalize_text, split_ingredients, trim
 from catalogkit.functions.values import first_non_blank, json_path
 
 # Collections an answer may hold its records in.
@@ -73,7 +73,7 @@ def search_hit(page_json: Col, base_url: str, ean: Col | None = None) -> Column:
     props = page_props(page_json)
     products = F.coalesce(props["results"]["products"], props["pageProps"]["results"]["products"])
     hit = F.get(products, F.lit(0))
-    categories = F.filter(F.transform(hit["categories"], lambda c: F.trim(c["name"])), lambda n: n != "")
+    categories = F.filter(F.transform(hit["categories"], lambda c: trim(c["name"])), lambda n: n != "")
     name, brand = first_non_blank(hit["name"]), first_non_blank(hit["brand"])
     result = F.struct(
         (F.lit(None).cast("string") if ean is None else _c(ean)).alias("ean"),
@@ -107,12 +107,12 @@ def product_detail(page_json: Col, result: Col | None = None) -> Column:
         return F.get(F.filter(attributes, lambda a: a["attribute_code"] == code), F.lit(0))
 
     def first_of(values: Column) -> Column:
-        return F.get(F.filter(F.transform(values, F.trim), lambda v: v != ""), F.lit(0))
+        return F.get(F.filter(F.transform(values, trim), lambda v: v != ""), F.lit(0))
 
     text = lambda code: first_of(attribute(code)["value_string"])
     label = lambda code: first_of(F.transform(attribute(code)["value"], lambda v: v["label"]))
     prior = lambda name: F.lit(None).cast("string") if result is None else _c(result)[name]
-    crumbs = F.filter(F.transform(product["breadcrumb"], lambda b: F.trim(b["name"])), lambda n: n != "")
+    crumbs = F.filter(F.transform(product["breadcrumb"], lambda b: trim(b["name"])), lambda n: n != "")
     description = html_to_text(first_non_blank(text("description"), text("short_description"), schema["description"]))
     original = first_non_blank(product["name"], schema["name"])
     package = extract_package(text("quantidade"), original, text("descricaodetalhada"))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from catalogkit.functions.ean import only_digits
-from catalogkit.functions.text import Col, _c
+from catalogkit.functions.text import Col, _c, trim
 from catalogkit.functions.values import (
     array_pick,
     discount_pct,
@@ -133,7 +133,7 @@ def count_packages(df: DataFrame, code: str = "codigobarras", description: str =
 
 
 def _present_packages(df: DataFrame, code: str, description: str) -> DataFrame:
-    return df.filter((F.trim(F.col(code)) != "") & (F.trim(F.col(description)) != ""))
+    return df.filter((trim(F.col(code)) != "") & (trim(F.col(description)) != ""))
 
 
 def normalize_packages(rows: DataFrame, source: str = "client_table") -> DataFrame:
@@ -153,10 +153,10 @@ def normalize_packages(rows: DataFrame, source: str = "client_table") -> DataFra
 
 
 def _normalize_erp(df: DataFrame, fields: dict[str, list[str]], source: str, code: Column, extra: list[Column]) -> DataFrame:
-    raw = [fallback(df, names, trim=False).alias(target) for target, names in fields.items()]
+    raw = [fallback(df, names, trimmed=False).alias(target) for target, names in fields.items()]
     return df.select(
-        fallback(df, fields["barcode"], trim=False).alias("ean"),
-        fallback(df, fields["feed_display_name"], trim=False).alias("received_name"),
+        fallback(df, fields["barcode"], trimmed=False).alias("ean"),
+        fallback(df, fields["feed_display_name"], trimmed=False).alias("received_name"),
         F.struct(
             code.cast("string").alias("code"),
             *raw,
@@ -208,7 +208,7 @@ def explode_product_skus(df: DataFrame, mapping: str, keep: Sequence[str] = ())
 def spec_value(specs: Col, names: Sequence[str]) -> Column:
     """First non-blank value among the specifications with one of the names, in order."""
     wanted = [n.strip().lower() for n in names]
-    named = F.filter(_c(specs), lambda s: F.lower(F.trim(s["FieldName"])).isin(*wanted))
+    named = F.filter(_c(specs), lambda s: F.lower(trim(s["FieldName"])).isin(*wanted))
     return array_pick(F.flatten(F.transform(named, lambda s: F.coalesce(s["FieldValues"], F.array().cast("array<string>")))), 1)
 
 
@@ -295,7 +295,7 @@ def _first_given(df: DataFrame, names: Sequence[str]) -> Column:
 def _number_given(df: DataFrame, names: Sequence[str]) -> Column:
     """Number of the first non-null field; a blank counts as zero, other text as null."""
     given = _first_given(df, names)
-    return F.when(F.trim(given) == "", F.lit(0.0)).otherwise(to_number(given))
+    return F.when(trim(given) == "", F.lit(0.0)).otherwise(to_number(given))
 
 
 def _first_set(df: DataFrame, names: Sequence[str]) -> Column:

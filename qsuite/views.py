@@ -114,7 +114,7 @@ FEED_SQL = f"""feed as (
     'stock ' || l_partkey as description,
     case when l_returnflag = 'R' then 0.0 else l_quantity end as stock,
     l_extendedprice as price,
-    case when l_discount > 0 then round(l_extendedprice * (1 - l_discount), 2) end as promo_price,
+    case when l_discount > 0 then l_extendedprice * (1 - l_discount) end as promo_price,
     case when l_discount > 0 then round(l_discount * 100, 2) end as discount_pct,
     case l_returnflag when 'A' then 'GENERICO' when 'N' then 'REFERENCIA' else 'SIMILAR' end as kind
   from lineitem
@@ -138,7 +138,7 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("stock "), s("l_partkey")).alias("description"),
         F.when(F.col("l_returnflag") == "R", 0.0).otherwise(F.col("l_quantity")).alias("stock"),
         F.col("l_extendedprice").alias("price"),
-        F.when(offer, F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2)).alias("promo_price"),
+        F.when(offer, F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("promo_price"),
         F.when(offer, F.round(F.col("l_discount") * 100, 2)).alias("discount_pct"),
         F.when(F.col("l_returnflag") == "A", "GENERICO").when(F.col("l_returnflag") == "N", "REFERENCIA")
         .otherwise("SIMILAR").alias("kind"),
