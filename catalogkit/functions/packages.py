@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from catalogkit.functions.text import Col, _c, normalize_text, slugify, trim, unique_in_order
+from catalogkit.functions.text import Col, _c, let, normalize_text, slugify, trim, unique_in_order
 from catalogkit.functions.values import optional_text
 
 # Word borders look at ASCII letters only, as the patterns were written for.
@@ -59,19 +59,25 @@ def extract_dose(value: Col) -> Column:
 
 def normalize_unit(value: Col) -> Column:
     """Canonical unit name; unknown units are kept trimmed, blanks are null."""
-    word = normalize_text(value)
-    result = F.when(word == "", F.lit(None).cast("string"))
-    for canonical, spellings in UNIT_SYNONYMS.items():
-        result = result.when(word.isin(*spellings), canonical)
-    return result.when(word.isin(*PLAIN_UNITS), word).otherwise(trim(_c(value)))
+    value = _c(value)
+
+    def canonical(word: Column) -> Column:
+        result = F.when(word == "", F.lit(None).cast("string"))
+        for name, spellings in UNIT_SYNONYMS.items():
+            result = result.when(word.isin(*spellings), name)
+        return result.when(word.isin(*PLAIN_UNITS), word).otherwise(trim(value))
+
+    return let(normalize_text(value), canonical)
 
 
 def extract_package(*values: Col) -> Column:
     """Struct ``(quantity, unit)`` from the first text that holds ``<number> <unit>``."""
-    amount = F.coalesce(*[F.nullif(F.regexp_extract(_c(v), PACKAGE_PATTERN, 0), F.lit("")) for v in values])
-    unit = F.nullif(F.regexp_extract(amount, PACKAGE_PATTERN, 2), F.lit(""))
-    quantity = F.nullif(F.regexp_extract(amount, PACKAGE_PATTERN, 1), F.lit(""))
-    return F.struct(quantity.alias("quantity"), F.when(unit.isNotNull(), normalize_unit(unit)).alias("unit"))
+    found = F.filter(
+        F.transform(F.array(*[_c(v) for v in values]), lambda v: F.regexp_extract(v, PACKAGE_PATTERN, 0)), lambda m: m != ""
+    )
+    part = lambda n: F.nullif(F.regexp_extract(F.get(found, F.lit(0)), PACKAGE_PATTERN, n), F.lit(""))
+    unit = let(part(2), lambda u: F.when(u.isNotNull(), normalize_unit(u)))
+    return F.struct(part(1).alias("quantity"), unit.alias("unit"))
 
 
 def infer_terms(text: Col, terms: dict[str, str] | None = None) -> Column:

@@ -20,7 +20,7 @@ def _c(value: Col) -> Column:
 
 def trim(value: Col) -> Column:
     """Remove outer blanks of any kind."""
-    return F.btrim(_c(value).cast("string"), F.lit(WHITESPACE))
+    return F.btrim(_c(value), F.lit(WHITESPACE))
 
 
 def let(value: Column, body) -> Column:
@@ -28,11 +28,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-@lru_cache(maxsize=1)
-def _accent_table() -> tuple[str, str]:
+@lru_cache(maxsize=2)
+def _accent_table(ascii_only: bool) -> tuple[str, str]:
     """Characters whose canonical decomposition, less combining marks, is one other character.
 
     The marks themselves come last with no counterpart, so ``translate`` deletes them.
+    ``ascii_only`` keeps the characters that become an ASCII one, for texts that lose the rest.
     """
     marks = [chr(c) for c in range(0x300, 0x370)]
     source, target = [], []
@@ -41,34 +42,34 @@ def _accent_table() -> tuple[str, str]:
             continue
         char = chr(code)
         base = "".join(x for x in unicodedata.normalize("NFD", char) if x not in marks)
-        if base != char and len(base) == 1:
+        if base != char and len(base) == 1 and (base.isascii() or not ascii_only):
             source.append(char)
             target.append(base)
     return "".join(source + marks), "".join(target)
 
 
-def strip_accents(value: Col) -> Column:
+def strip_accents(value: Col, ascii_only: bool = False) -> Column:
     """Drop diacritics: decompose, then remove U+0300 to U+036F."""
-    source, target = _accent_table()
+    source, target = _accent_table(ascii_only)
     return F.translate(_c(value), source, target)
 
 
 def normalize_text(value: Col) -> Column:
     """Accent-free lower-case words separated by single spaces; null becomes an empty string."""
-    words = F.regexp_replace(strip_accents(value), "[^a-zA-Z0-9]+", " ")
+    words = F.regexp_replace(strip_accents(value, True), "[^a-zA-Z0-9]+", " ")
     return F.coalesce(F.lower(F.trim(words)), F.lit(""))
 
 
 def normalize_search_text(value: Col) -> Column:
     """Like :func:`normalize_text`, and letter/digit borders are split (``250mg`` is ``250 mg``)."""
-    lowered = F.lower(strip_accents(value))
+    lowered = F.lower(strip_accents(value, True))
     border = "(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])"
     return F.coalesce(F.trim(F.regexp_replace(lowered, f"[^a-z0-9]+|{border}", " ")), F.lit(""))
 
 
 def normalize_match_text(value: Col) -> Column:
     """Accent-free lower-case words; letter/digit borders are kept."""
-    lowered = F.lower(strip_accents(value))
+    lowered = F.lower(strip_accents(value, True))
     return F.coalesce(F.trim(F.regexp_replace(lowered, "[^a-z0-9]+", " ")), F.lit(""))
 
 
@@ -77,7 +78,7 @@ def tokenize(value: Col, max_tokens: int | None = 256) -> Column:
 
     Because letter/digit borders split, a token is a maximal run of letters or of digits.
     """
-    lowered = F.coalesce(F.lower(strip_accents(value)), F.lit(""))
+    lowered = F.coalesce(F.lower(strip_accents(value, True)), F.lit(""))
     tokens = F.regexp_extract_all(lowered, F.lit("[a-z]+|[0-9]+"), F.lit(0))
     return F.slice(tokens, 1, max_tokens) if max_tokens else tokens
 

@@ -13,17 +13,33 @@ def first_non_blank(*values: Col, null_token: str | None = None, trimmed: bool =
     """First value that is neither null nor blank (nor ``null_token``, any case)."""
     picks = []
     for value in values:
-        text = _c(value).cast("string")
-        keep = trim(text) != ""
+        text = F.nullif(trim(value), F.lit(""))
         if null_token is not None:
-            keep = keep & (F.upper(trim(text)) != null_token.upper())
-        picks.append(F.when(keep, trim(text) if trimmed else text))
+            text = F.when(F.upper(text) != null_token.upper(), text)
+        picks.append(text if trimmed else F.when(text.isNotNull(), _c(value).cast("string")))
     return F.coalesce(*picks) if picks else F.lit(None).cast("string")
 
 
+def first_text(*values: Col) -> Column:
+    """:func:`first_non_blank` for costly values: each is computed once, at the price of no short cut."""
+    texts = F.filter(F.transform(F.array(*[_c(v) for v in values]), trim), lambda x: x != "")
+    return F.get(texts, F.lit(0))
+
+
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add or replace columns that many later expressions refer to.
+
+    Catalyst merges neighbouring projections and would copy a long expression into each use of
+    it; a one-element ``inline`` keeps it a column of its own, inside the same stage.
+    """
+    others = [c for c in df.columns if c not in columns]
+    cells = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select(*others, F.inline_outer(cells).alias(*columns))
+
+
 def optional_text(value: Col) -> Column:
     """Trimmed text, blank as null."""
-    return F.nullif(trim(_c(value).cast("string")), F.lit(""))
+    return F.nullif(trim(value), F.lit(""))
 
 
 def field_type(schema: T.StructType, path: str) -> T.DataType | None:
@@ -120,4 +136,4 @@ def json_parse_or_keep(value: Col) -> Column:
 
 def json_path(value: Col, *paths: str) -> Column:
     """First non-blank text among several JSON paths."""
-    return first_non_blank(*[F.get_json_object(_c(value), p) for p in paths])
+    return first_text(*[F.get_json_object(_c(value), p) for p in paths])

@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from catalogkit.functions.text import Col, normalize_text, tokenize_unique, trim
-from catalogkit.functions.values import first_non_blank
+from catalogkit.functions.values import computed_once, first_non_blank
 from catalogkit.operators.blocks import DEFAULT_BLOCK_BYTES, held_blocks
 from catalogkit.operators.dedupe import first_per_key
 
@@ -59,7 +59,7 @@ def taxonomy_exact(items: DataFrame, entries: DataFrame) -> DataFrame:
         F.col("entry_no").alias("exact_entry_no"),
         F.col("taxonomy_id").alias("exact_id"),
     )
-    keyed = items.withColumn("_target", F.nullif(normalize_text(path_text()), F.lit("")))
+    keyed = computed_once(items, _target=F.nullif(normalize_text(path_text()), F.lit("")))
     return keyed.join(first, F.col("_target") == F.col("_path"), "left").drop("_target", "_path")
 
 
@@ -190,7 +190,6 @@ def classify_taxonomy(
     exact = taxonomy_exact(items, entries)
     scored = taxonomy_candidates(exact, entries, search_text, limit, block_bytes)
     best = F.get("candidates", F.lit(0))["entry_no"]
-    has_choice = F.lit(False)
     if choices is not None:
         picked = choices.join(
             entries.select(F.col("taxonomy_id").alias("choice"), F.col("entry_no").alias("_chosen")), "choice", "left"
@@ -199,6 +198,10 @@ def classify_taxonomy(
         scored = scored.join(picked, item_key, "left")
         among = F.exists("candidates", lambda c: c["entry_no"] == F.col("_chosen"))
         best = F.when(among, F.col("_chosen")).otherwise(best)
+    scored = computed_once(scored, _best=best)
+    best = F.col("_best")
+    has_choice = F.lit(False)
+    if choices is not None:
         has_choice = F.coalesce(F.col("_asked"), F.lit(False)) & best.isNotNull()
     is_exact = F.col("exact_entry_no").isNotNull()
     selected = scored.withColumn("_selected", F.coalesce(F.col("exact_entry_no"), best))
@@ -230,5 +233,5 @@ def classify_taxonomy(
         for level in LEVELS
     }
     return placed.withColumns(resolved).drop(
-        "_selected", "_entry", "_chosen", "_confidence", "_rationale", "_asked", *[f"_t_{level}" for level in LEVELS]
+        "_selected", "_best", "_entry", "_chosen", "_confidence", "_rationale", "_asked", *[f"_t_{level}" for level in LEVELS]
     )

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from catalogkit.functions.text import _c, trim
-from catalogkit.functions.values import field_type, first_non_blank
+from catalogkit.functions.values import computed_once, field_type, first_non_blank
 from catalogkit.operators.dedupe import top_per_key
 from catalogkit.operators.policy import SourcePolicy, source_keys
 
@@ -69,7 +69,8 @@ def lookup_waterfall(
                 F.when(earlier, F.concat(F.lit("resolved_by_"), resolved)).alias("skip_reason"),
             )
         )
-    return wide.select(key, resolved.alias("resolved_by"), F.array(*entries).alias("lookups"))
+    known = wide.withColumn("resolved_by", resolved)
+    return computed_once(known, lookups=F.array(*entries)).select(key, "resolved_by", "lookups")
 
 
 def matched(lookup: Column) -> Column:
@@ -130,9 +131,7 @@ def resolve_sources(waterfall: DataFrame, sources: Sequence[str], policy: Source
     detail = pick(data, lambda e: e["detail"].isNotNull())
     any_match = pick(data, matched)
     data_lookup = F.coalesce(detail, any_match, name)
-    return waterfall.withColumn("data_lookup", data_lookup).withColumn(
-        "name_lookup", F.coalesce(name, data_lookup)
-    )
+    return computed_once(waterfall, data_lookup=data_lookup, name_lookup=F.coalesce(name, data_lookup))
 
 
 def lookup_status_wide(waterfall: DataFrame, sources: Sequence[str]) -> DataFrame:
@@ -180,14 +179,14 @@ def approval_reason(lookups: Column | str, sources: Sequence[str], policy: Sourc
     order = source_keys(sources)
     sentences = []
     for s in policy.ordered(order):
-        entry, label = F.get(lookups, F.lit(order.index(s))), policy.label(F.lit(s))
+        entry, label = F.get(lookups, F.lit(order.index(s))), policy.label_of(s)
         tail = (
             F.when(matched(entry), F.lit(REASON_FOUND))
             .when(entry["skipped"], F.lit(REASON_SKIPPED))
             .when(entry["error"].isNotNull(), F.concat(F.lit(REASON_FAILED), entry["error"]))
             .otherwise(REASON_EMPTY)
         )
-        sentences.append(F.concat(label, tail))
+        sentences.append(F.concat(F.lit(label), tail))
     return F.concat_ws(" ", *sentences) if sentences else F.lit(REASON_NO_SOURCE)
 
 

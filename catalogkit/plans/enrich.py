@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from catalogkit.functions.ean import validate_ean
 from catalogkit.functions.packages import extract_dose, ingredient_records
 from catalogkit.functions.text import normalize_text, search_artifacts, split_ingredients, trim, unique_in_order
-from catalogkit.functions.values import field, field_type, first_non_blank
+from catalogkit.functions.values import computed_once, field, field_type, first_non_blank
 from catalogkit.operators.policy import SourcePolicy, classify_type, source_key
 from catalogkit.operators.taxonomy import LEVELS, classify_taxonomy
 from catalogkit.operators.waterfall import (
@@ -66,6 +66,9 @@ def enrich_items(items: DataFrame, waterfall: DataFrame, sources: Sequence[str],
         first_non_blank(raw["name"], raw["product_name"], raw["display_name"], "received_name"),
     )
     name = first_non_blank(primary_name(name_lookup, dtype), info("produto"), primary_name(data_lookup, dtype), trusted_raw)
+    drugs = _drug_names(dtype, data_lookup)
+    named = computed_once(joined, _name=name, _records=ingredient_records(drugs[0], drugs[1]))
+    name, records = F.col("_name"), F.col("_records")
     shown = first_non_blank(
         display_name(name_lookup, dtype),
         trim(F.concat_ws(" ", F.nullif(info("produto"), F.lit("")), F.nullif(info("apresentacao"), F.lit("")))),
@@ -73,9 +76,11 @@ def enrich_items(items: DataFrame, waterfall: DataFrame, sources: Sequence[str],
         trusted_raw,
         name,
     )
-    drugs = _drug_names(dtype, data_lookup)
-    records = ingredient_records(drugs[0], drugs[1])
+    named = computed_once(named, _shown=shown)
+    shown = F.col("_shown")
     original = first_non_blank(info("descricao_original"), result("descricao_original"), raw["original_description"], shown, name)
+    named = computed_once(named, _original=original)
+    original = F.col("_original")
     type_texts = [
         *[raw[n] for n in ("type", "category", "subcategory", "department", "segment", "subsegment", "group",
                            "name", "product_name", "display_name", "feed_name", "feed_display_name")],
@@ -143,13 +148,14 @@ def enrich_items(items: DataFrame, waterfall: DataFrame, sources: Sequence[str],
         ],
         F.when(found, records).alias("ingredients"),
     )
-    trusted = policy.is_trusted(merged["name_source"])
+    built = computed_once(named, product=product, _passes=passes)
+    passes, trusted = F.col("_passes"), policy.is_trusted("product.name_source")
     reason = (
-        F.when(found & ~trusted, F.concat(F.lit(UNTRUSTED_NAME), policy.list_text_of(policy.trusted), F.lit(".")))
+        F.when(found & ~trusted, F.lit(f"{UNTRUSTED_NAME}{policy.list_text_of(policy.trusted)}."))
         .when(~found & ~passes, approval_reason("lookups", sources, policy))
     )
     keep = [c for c in items.columns if c not in ("received_name", "raw")]
-    return joined.select(
+    return built.select(
         *keep,
         F.when(found, shown).when(passes, fallback_name).otherwise(F.col("received_name")).alias("received_name"),
         found.alias("matched"),
@@ -159,7 +165,7 @@ def enrich_items(items: DataFrame, waterfall: DataFrame, sources: Sequence[str],
         reason.alias("approval_reason"),
         "resolved_by",
         "lookups",
-        product.alias("product"),
+        "product",
     )
 
 
@@ -193,13 +199,14 @@ def classify_enriched(
 ) -> DataFrame:
     """Place enriched items in the taxonomy and write the levels back into ``product``."""
     flat = enriched.select("*", *[F.col(f"product.{level}").alias(level) for level in LEVELS])
-    placed = classify_taxonomy(flat, entries, taxonomy_text(F.col("product")), limit, choices)
+    flat = computed_once(flat, _words=taxonomy_text(F.col("product")))
+    placed = classify_taxonomy(flat, entries, "_words", limit, choices).drop("_words")
     product = F.col("product")
     for level in LEVELS:
         product = product.withField(level, F.col(level))
     maker = first_non_blank(F.col("product.manufacturer"), F.col("product.laboratory"), F.col("product.brand"))
     product = product.withField("manufacturer", maker)
-    return placed.withColumn("product", product).drop(*LEVELS)
+    return computed_once(placed, product=product).drop(*LEVELS)
 
 
 def product_snapshot(enriched: DataFrame, policy: SourcePolicy) -> DataFrame:
@@ -208,8 +215,9 @@ def product_snapshot(enriched: DataFrame, policy: SourcePolicy) -> DataFrame:
     trusted = policy.is_publishable(p["name_source"])
     given = lambda column: F.when(trusted, column)
     social = first_non_blank(given(p["product_name"]), given(p["name"]), given(F.col("received_name")))
-    description = first_non_blank(given(p["display_name"]), given(F.col("received_name")), social)
-    names = product_ingredients(p)
+    enriched = computed_once(enriched, _drugs=product_ingredients(p), _social=social)
+    enriched = computed_once(enriched, _description=first_non_blank(given(p["display_name"]), given(F.col("received_name")), F.col("_social")))
+    names, social, description = F.col("_drugs"), F.col("_social"), F.col("_description")
     ingredient = F.when(F.size(names) > 0, F.array_join(names, ", "))
     texts = [p[n] for n in ("type", "category", "subcategory", "department", "segment", "subsegment", "group",
                             "name", "product_name", "display_name", "feed_name", "feed_display_name")]
@@ -220,6 +228,8 @@ def product_snapshot(enriched: DataFrame, policy: SourcePolicy) -> DataFrame:
         classify_type(texts, incoming, fallback),
     )
     manufacturer = first_non_blank(p["laboratory"], p["manufacturer"], p["brand"])
+    enriched = computed_once(enriched, _class=classification, _maker=manufacturer)
+    classification, manufacturer = F.col("_class"), F.col("_maker")
     details = details_json(p, F.col("ean"), F.col("source"), names, manufacturer)
     parts = F.array(
         description, social, ingredient, classification, manufacturer,
@@ -227,8 +237,9 @@ def product_snapshot(enriched: DataFrame, policy: SourcePolicy) -> DataFrame:
                                           "subcategory", "segment", "subsegment", "active_ingredient",
                                           "registration", "control_label")],
     )
-    refused = F.concat(F.lit(NAME_REJECTED), policy.list_text_of([*policy.trusted, *policy.pass_through]), F.lit("."))
-    keep = [c for c in enriched.columns if c not in ("product", "lookups", "candidates")]
+    refused = F.lit(f"{NAME_REJECTED}{policy.list_text_of([*policy.trusted, *policy.pass_through])}.")
+    hidden = ("product", "lookups", "candidates", "_drugs", "_social", "_description", "_class", "_maker")
+    keep = [c for c in enriched.columns if c not in hidden]
     return enriched.select(
         *keep,
         description.alias("description"),

@@ -20,11 +20,6 @@ TIER_LOW, TIER_MIDDLE, TIER_HIGH = "mais_barato", "preco_medio", "mais_caro"
 GENERIC = "GENERICO"
 
 
-def first_feed_rows(feed: DataFrame, order: Sequence[str], ean: str = "ean") -> DataFrame:
-    """First feed row per digit-only code; rows without digits are dropped."""
-    return first_per_key(feed.withColumn("_ean", only_digits(ean, null_when_empty=True)), ["_ean"], order)
-
-
 def merge_stock(
     results: DataFrame, feed: DataFrame, feed_order: Sequence[str], min_stock: float = 0, group: Sequence[str] = ("query_id",)
 ) -> DataFrame:
@@ -62,9 +57,12 @@ def merged_order(prices: str = "prices") -> list[Column]:
 
 
 def _matched(results: DataFrame, feed: DataFrame, feed_order: Sequence[str], how: str = "inner") -> DataFrame:
+    """Results beside the first feed row of their code; the feed is cut to the results' codes first."""
     names = ["id", "code", "description", "stock", "price", "promo_price", "discount_pct"]
-    rows = first_feed_rows(feed, feed_order).select(F.col("_ean"), *[F.col(n).alias(f"_{n}") for n in names])
     keyed = results.withColumn("_digits", only_digits("ean", null_when_empty=True))
+    wanted = keyed.filter(F.col("_digits").isNotNull()).select(F.col("_digits").alias("_ean")).distinct()
+    offered = feed.withColumn("_ean", only_digits("ean", null_when_empty=True)).join(wanted, "_ean", "left_semi")
+    rows = first_per_key(offered, ["_ean"], feed_order).select("_ean", *[F.col(n).alias(f"_{n}") for n in names])
     return keyed.join(rows, F.col("_digits") == F.col("_ean"), how)
 
 
@@ -74,12 +72,11 @@ def merge_diagnostics(
     """The merge's counters per ``group``, and the feed's own two counters."""
     received = feed.agg(F.count("*").alias("feed_received"),
                         F.count_distinct(only_digits("ean", null_when_empty=True)).alias("feed_with_ean"))
-    row = received.first()
     joined = _matched(results, feed, feed_order, "left")
     matched, low = F.col("_ean").isNotNull(), F.coalesce(F.col("_stock"), F.lit(0.0)) < min_stock
     return joined.groupBy(*group).agg(
-        F.lit(row["feed_received"]).alias("feed_received"),
-        F.lit(row["feed_with_ean"]).alias("feed_with_ean"),
+        received.select("feed_received").scalar().alias("feed_received"),
+        received.select("feed_with_ean").scalar().alias("feed_with_ean"),
         F.count("*").alias("results_received"),
         count_if(F.col("_digits").isNotNull()).alias("results_with_ean"),
         count_if(F.col("_digits").isNotNull() & ~matched).alias("missing_match"),

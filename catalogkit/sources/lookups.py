@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from catalogkit.functions.html import absolute_url, extract_fields, html_to_text, strip_query
 from catalogkit.functions.packages import extract_package, infer_terms
-from catalogkit.functions.text import Col, _c, normalize_text, split_ingredients, trim
-from catalogkit.functions.values import first_non_blank, json_path
+from catalogkit.functions.text import Col, _c, let, normalize_text, split_ingredients, trim
+from catalogkit.functions.values import first_non_blank, first_text, json_path
 
 # Collections an answer may hold its records in.
 COLLECTIONS = ["data", "results", "items", "skus", "rows"]
@@ -35,16 +35,14 @@ def lookup_record(payload: Col) -> Column:
     found = [F.get_json_object(payload, f"$.{name}[0]") for name in COLLECTIONS]
     inside = F.coalesce(*found, payload)
     record = F.when(F.ltrim(payload).startswith("["), F.get_json_object(payload, "$[0]")).otherwise(inside)
-    value = lambda names: json_path(record, *[f"$.{n}" for n in names])
-    title = value(TITLE_FIELDS)
-    result = F.struct(
-        title.alias("nome"),
-        title.alias("title"),
-        value(["id", "sku_id"]).alias("sku_id"),
-        value(["product_id", "produto_id"]).alias("product_id"),
-        *[value(names).alias(target) for target, names in RECORD_FIELDS.items()],
-    )
-    return F.when(title.isNotNull(), result)
+    fields = {"title": TITLE_FIELDS, "sku_id": ["id", "sku_id"], "product_id": ["product_id", "produto_id"], **RECORD_FIELDS}
+
+    def values(parsed: Column) -> Column:
+        texts = [json_path(parsed, *[f"$.{n}" for n in names]).alias(target) for target, names in fields.items()]
+        return F.struct(texts[0].alias("nome"), *texts)
+
+    found_record = let(record, values)
+    return let(found_record, lambda r: F.when(r["title"].isNotNull(), r))
 
 
 _ATTRIBUTE = "struct<attribute_code:string,value_string:array<string>,value:array<struct<label:string>>>"
@@ -70,77 +68,104 @@ def page_props(page_json: Col) -> Column:
 
 def search_hit(page_json: Col, base_url: str, ean: Col | None = None) -> Column:
     """First product of a search page as a lookup result; null without a URL and a name."""
-    props = page_props(page_json)
-    products = F.coalesce(props["results"]["products"], props["pageProps"]["results"]["products"])
-    hit = F.get(products, F.lit(0))
-    categories = F.filter(F.transform(hit["categories"], lambda c: trim(c["name"])), lambda n: n != "")
-    name, brand = first_non_blank(hit["name"]), first_non_blank(hit["brand"])
-    result = F.struct(
-        (F.lit(None).cast("string") if ean is None else _c(ean)).alias("ean"),
-        first_non_blank(hit["sku"], hit["objectID"]).alias("sku"),
-        name.alias("nome"),
-        name.alias("nome_produto"),
-        name.alias("nome_exibicao"),
-        name.alias("produto"),
-        brand.alias("marca"),
-        brand.alias("laboratorio"),
-        F.get(categories, F.lit(0)).alias("departamento"),
-        F.get(categories, F.lit(1)).alias("categoria"),
-        F.get(categories, F.lit(2)).alias("subcategoria"),
-        first_non_blank(hit["productGroup"]).alias("segmento"),
-        strip_query(hit["url"]).alias("href"),
-        absolute_url(strip_query(hit["url"]), base_url).alias("url"),
-    )
-    return F.when((hit["url"] != "") & (hit["name"] != ""), result)
+    def hit_of(props: Column) -> Column:
+        return F.get(F.coalesce(props["results"]["products"], props["pageProps"]["results"]["products"]), F.lit(0))
+
+    def result_of(hit: Column) -> Column:
+        names = F.filter(F.transform(hit["categories"], lambda c: trim(c["name"])), lambda n: n != "")
+        return F.struct(first_text(hit["name"]).alias("name"), first_text(hit["brand"]).alias("brand"),
+                        names.alias("categories"), strip_query(hit["url"]).alias("href"), hit.alias("hit"))
+
+    def record(r: Column) -> Column:
+        hit, level = r["hit"], lambda i: F.get(r["categories"], F.lit(i))
+        result = F.struct(
+            (F.lit(None).cast("string") if ean is None else _c(ean)).alias("ean"),
+            first_text(hit["sku"], hit["objectID"]).alias("sku"),
+            *[r["name"].alias(n) for n in ("nome", "nome_produto", "nome_exibicao", "produto")],
+            *[r["brand"].alias(n) for n in ("marca", "laboratorio")],
+            *[level(i).alias(n) for i, n in enumerate(("departamento", "categoria", "subcategoria"))],
+            first_text(hit["productGroup"]).alias("segmento"),
+            r["href"].alias("href"),
+            absolute_url(r["href"], base_url).alias("url"),
+        )
+        return F.when((hit["url"] != "") & (hit["name"] != ""), result)
+
+    return let(let(let(page_props(page_json), hit_of), result_of), record)
 
 
 def product_detail(page_json: Col, result: Col | None = None) -> Column:
     """Detail ``struct<info>`` of a product page, falling back to the search ``result``'s fields."""
-    props = page_props(page_json)
-    nested = props["productData"].isNull() & props["pageProps"]["productData"].isNotNull()
-    pick = lambda name: F.when(nested, props["pageProps"][name]).otherwise(props[name])
-    product, nodes = pick("productData"), pick("pdpSeoSchemaResult")["nodes"]
-    schema = F.get(F.filter(nodes, lambda n: n["@type"] == "Product"), F.lit(0))
-    attributes = product["custom_attributes"]
-
-    def attribute(code: str) -> Column:
-        return F.get(F.filter(attributes, lambda a: a["attribute_code"] == code), F.lit(0))
-
-    def first_of(values: Column) -> Column:
-        return F.get(F.filter(F.transform(values, trim), lambda v: v != ""), F.lit(0))
-
-    text = lambda code: first_of(attribute(code)["value_string"])
-    label = lambda code: first_of(F.transform(attribute(code)["value"], lambda v: v["label"]))
     prior = lambda name: F.lit(None).cast("string") if result is None else _c(result)[name]
-    crumbs = F.filter(F.transform(product["breadcrumb"], lambda b: trim(b["name"])), lambda n: n != "")
-    description = html_to_text(first_non_blank(text("description"), text("short_description"), schema["description"]))
-    original = first_non_blank(product["name"], schema["name"])
-    package = extract_package(text("quantidade"), original, text("descricaodetalhada"))
-    brand = first_non_blank(label("marca"), schema["brand"]["name"], prior("marca"))
-    inferred = infer_terms(F.concat_ws(" ", original, description))
-    ingredient = first_non_blank(text("principioativonovo"), F.array_join(inferred, ", "))
-    info = F.struct(
-        first_non_blank(product["productEan"], text("ean"), schema["gtin13"], prior("ean")).alias("gtin"),
-        original.alias("produto"),
-        description.alias("apresentacao"),
-        description.alias("descricao"),
-        first_non_blank(label("fabricante"), brand).alias("laboratorio"),
-        first_non_blank(F.get(crumbs, F.lit(1)), prior("categoria")).alias("categoria"),
-        F.lit(None).cast("string").alias("classe"),
-        first_non_blank(F.get(crumbs, F.lit(0)), prior("departamento")).alias("departamento"),
-        first_non_blank(F.get(crumbs, F.lit(2)), prior("subcategoria")).alias("subcategoria"),
-        first_non_blank(text("grupo"), prior("segmento")).alias("segmento"),
-        first_non_blank(text("subgruponome")).alias("subsegmento"),
-        text("dosagem").alias("dose"),
-        package["unit"].alias("unidade"),
-        package["quantity"].alias("qtde_fs"),
-        text("descricaotarja").alias("tarja"),
-        original.alias("descricao_original"),
-        F.when(original.isNotNull(), normalize_text(original)).alias("descricao_normalizada"),
-        ingredient.alias("ingrediente_ativo"),
-        F.transform(split_ingredients(ingredient), lambda n: F.struct(n.alias("farmaco"), F.lit(None).cast("string").alias("slug"))).alias("farmacos"),
-    )
-    return F.when(product.isNotNull() | schema.isNotNull(), F.struct(info.alias("info")))
+    first_of = lambda values: F.get(F.filter(F.transform(values, trim), lambda v: v != ""), F.lit(0))
+
+    def parts(props: Column) -> Column:
+        nested = props["productData"].isNull() & props["pageProps"]["productData"].isNotNull()
+        pick = lambda name: F.when(nested, props["pageProps"][name]).otherwise(props[name])
+        schema = F.filter(pick("pdpSeoSchemaResult")["nodes"], lambda n: n["@type"] == "Product")
+        return F.struct(pick("productData").alias("product"), F.get(schema, F.lit(0)).alias("schema"))
+
+    def facts(p: Column) -> Column:
+        product, schema = p["product"], p["schema"]
+        attribute = lambda code: F.get(F.filter(product["custom_attributes"], lambda a: a["attribute_code"] == code), F.lit(0))
+        text = lambda code: first_of(attribute(code)["value_string"])
+        label = lambda code: first_of(F.transform(attribute(code)["value"], lambda v: v["label"]))
+        crumbs = F.filter(F.transform(product["breadcrumb"], lambda b: trim(b["name"])), lambda n: n != "")
+        return F.struct(
+            (product.isNotNull() | schema.isNotNull()).alias("known"),
+            first_text(product["productEan"], text("ean"), schema["gtin13"], prior("ean")).alias("gtin"),
+            first_text(product["name"], schema["name"]).alias("original"),
+            first_text(text("description"), text("short_description"), schema["description"]).alias("html"),
+            first_text(label("marca"), schema["brand"]["name"], prior("marca")).alias("brand"),
+            label("fabricante").alias("maker"),
+            crumbs.alias("crumbs"),
+            *[text(code).alias(code) for code in ("quantidade", "descricaodetalhada", "grupo", "subgruponome", "dosagem",
+                                                  "descricaotarja", "principioativonovo")],
+        )
+
+    def texts(f: Column) -> Column:
+        return F.struct(
+            f.alias("f"),
+            html_to_text(f["html"]).alias("description"),
+            extract_package(f["quantidade"], f["original"], f["descricaodetalhada"]).alias("package"),
+        )
+
+    def ingredients(t: Column) -> Column:
+        inferred = F.array_join(infer_terms(F.concat_ws(" ", t["f"]["original"], t["description"])), ", ")
+        return F.struct(t.alias("t"), first_text(t["f"]["principioativonovo"], inferred).alias("ingredient"))
+
+    def detail(i: Column) -> Column:
+        t, f = i["t"], i["t"]["f"]
+        level = lambda n: F.get(f["crumbs"], F.lit(n))
+        none = F.lit(None).cast("string")
+        info = F.struct(
+            f["gtin"].alias("gtin"),
+            f["original"].alias("produto"),
+            t["description"].alias("apresentacao"),
+            t["description"].alias("descricao"),
+            F.coalesce(f["maker"], f["brand"]).alias("laboratorio"),
+            first_text(level(1), prior("categoria")).alias("categoria"),
+            none.alias("classe"),
+            first_text(level(0), prior("departamento")).alias("departamento"),
+            first_text(level(2), prior("subcategoria")).alias("subcategoria"),
+            first_text(f["grupo"], prior("segmento")).alias("segmento"),
+            f["subgruponome"].alias("subsegmento"),
+            f["dosagem"].alias("dose"),
+            t["package"]["unit"].alias("unidade"),
+            t["package"]["quantity"].alias("qtde_fs"),
+            f["descricaotarja"].alias("tarja"),
+            f["original"].alias("descricao_original"),
+            F.when(f["original"].isNotNull(), normalize_text(f["original"])).alias("descricao_normalizada"),
+            i["ingredient"].alias("ingrediente_ativo"),
+            F.transform(
+                split_ingredients(i["ingredient"]), lambda n: F.struct(n.alias("farmaco"), none.alias("slug"))
+            ).alias("farmacos"),
+        )
+        return F.when(f["known"], F.struct(info.alias("info")))
+
+    step = page_props(page_json)
+    for body in (parts, facts, texts, ingredients, detail):
+        step = let(step, body)
+    return step
 
 
 # Fields of a scrape configuration and what they fill.
