@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from catalogkit.functions.text import Col, _c
+from catalogkit.functions.text import Col, _c, let
 
 # Accepted lengths and the two rejection reasons.
 VALID_LENGTHS = (8, 12, 13, 14)
@@ -30,31 +30,33 @@ def check_digit(body: Col, mode: str = "left") -> Column:
     codes only. The body is read as one number and its digits are summed in long arithmetic;
     the one-element array binds that number once, which keeps the expression small.
     """
-    body = _c(body)
+    def weighted(code: Column) -> Column:
+        def total(number: Column) -> Column:
+            digit = [F.call_function("div", number, F.lit(10**j)) % 10 for j in range(13)]
+            last, other = sum(digit[2::2], digit[0]), sum(digit[3::2], digit[1])
+            if mode == "gs1":
+                return 3 * last + other
+            return F.when(F.length(code) % 2 == 1, last + 3 * other).otherwise(3 * last + other)
 
-    def total(number: Column) -> Column:
-        digit = [F.call_function("div", number, F.lit(10**j)) % 10 for j in range(13)]
-        last, other = sum(digit[2::2], digit[0]), sum(digit[3::2], digit[1])
-        if mode == "gs1":
-            return 3 * last + other
-        return F.when(F.length(body) % 2 == 1, last + 3 * other).otherwise(3 * last + other)
+        return let(code.try_cast("bigint"), total)
 
-    weighted = F.get(F.transform(F.array(body.try_cast("bigint")), total), F.lit(0))
-    return ((10 - weighted % 10) % 10).cast("int")
+    return let(let(_c(body), weighted), lambda total: ((10 - total % 10) % 10).cast("int"))
 
 
 def validate_ean(value: Col, mode: str = "left") -> Column:
     """Struct ``(ean, is_valid, reason)`` with the code reduced to digits."""
-    ean = only_digits(value)
-    good_length = F.length(ean).isin(*VALID_LENGTHS)
-    body = F.substring(ean, F.lit(1), F.length(ean) - 1)
-    matches = F.right(ean, F.lit(1)) == check_digit(body, mode).cast("string")
-    reason = F.when(~good_length, REASON_LENGTH).when(~matches, REASON_CHECK_DIGIT)
-    return F.struct(
-        ean.alias("ean"),
-        F.coalesce(good_length & matches, F.lit(False)).alias("is_valid"),
-        reason.alias("reason"),
-    )
+
+    def judge(ean: Column) -> Column:
+        good_length = F.length(ean).isin(*VALID_LENGTHS)
+        body = F.substring(ean, F.lit(1), F.length(ean) - 1)
+        matches = good_length & (F.right(ean, F.lit(1)) == check_digit(body, mode).cast("string"))
+        return F.struct(ean.alias("ean"), good_length.alias("good"), F.coalesce(matches, F.lit(False)).alias("is_valid"))
+
+    def explain(v: Column) -> Column:
+        reason = F.when(~v["good"], REASON_LENGTH).when(~v["is_valid"], REASON_CHECK_DIGIT)
+        return F.struct(v["ean"].alias("ean"), v["is_valid"].alias("is_valid"), reason.alias("reason"))
+
+    return let(let(only_digits(value), judge), explain)
 
 
 def normalize_ean(value: Col) -> Column:

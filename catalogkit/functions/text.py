@@ -95,18 +95,14 @@ def unique_in_order(values: Col, key=None) -> Column:
     The default key ignores case and outer blanks. Elements with a blank key are dropped.
     """
     key = key or (lambda x: F.lower(trim(x)))
-    pairs = F.transform(_c(values), lambda x: F.struct(x.alias("value"), key(x).alias("key")))
-    pairs = F.filter(pairs, lambda p: F.coalesce(p["key"], F.lit("")) != "")
-
-    def first_spellings(kept: Column) -> Column:
-        return let(
-            F.struct(kept["value"].alias("values"), kept["key"].alias("keys")),
-            lambda s: F.transform(
-                F.array_distinct(s["keys"]), lambda k: F.get(s["values"], F.array_position(s["keys"], k).cast("int") - 1)
-            ),
-        )
-
-    return let(pairs, first_spellings)
+    keyed = F.transform(
+        _c(values), lambda x, i: F.struct(F.coalesce(key(x), F.lit("")).alias("key"), i.alias("at"), x.alias("value"))
+    )
+    # equal keys stand together in position order: the first of each run is kept, then order is restored
+    ordered = F.array_sort(F.filter(keyed, lambda p: p["key"] != ""))
+    firsts = let(ordered, lambda s: F.filter(s, lambda p, i: (i == 0) | (F.get(s, i - 1)["key"] != p["key"])))
+    placed = F.array_sort(F.transform(firsts, lambda p: F.struct(p["at"].alias("at"), p["value"].alias("value"))))
+    return F.transform(placed, lambda p: p["value"])
 
 
 def split_ingredients(value: Col) -> Column:

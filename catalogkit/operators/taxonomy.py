@@ -69,23 +69,29 @@ def _scorer(block: pd.DataFrame, limit: int):
     entry_no, item_count = block["entry_no"].to_numpy(), block["item_count"].to_numpy()
     size = len(block)
     # scores are multiples of 1/25, so they are exact integers after scaling
-    base = np.minimum(block["item_count"].to_numpy(), FULL_COUNT).astype(np.int64)
+    base = np.minimum(block["item_count"].to_numpy(), FULL_COUNT).astype(np.int32)
     codes = [pd.factorize(block[f"n_{level}"]) for level in LEVELS]
     vocabulary = pd.factorize(block["path_tokens"].explode().dropna())
     owner = np.repeat(np.arange(size), block["path_tokens"].map(len).to_numpy())
-    by_token = np.argsort(vocabulary[0], kind="stable")
-    postings = owner[by_token]
+    postings = owner[np.argsort(vocabulary[0], kind="stable")]
     begins = np.concatenate([[0], np.cumsum(np.bincount(vocabulary[0], minlength=len(vocabulary[1])))])
     words = pa.array(vocabulary[1], pa.string())
     level_values = [pa.array(names, pa.string()) for _, names in codes]
     step = max(1, 4_000_000 // size)
     top = min(limit, size)
 
+    def level_scores(combination: np.ndarray) -> np.ndarray:
+        """Score of every entry for one combination of level values."""
+        score = base.copy()
+        for (entry_codes, _), code, bonus in zip(codes, combination, LEVEL_POINTS):
+            score[entry_codes == code] += bonus * FULL_COUNT
+        return score
+
     def best(levels: list[pa.Array], tokens: pa.ListArray):
         rows = len(tokens)
-        level_codes = [
-            np.asarray(pc.index_in(v, value_set=names).fill_null(-1)) for v, names in zip(levels, level_values)
-        ]
+        level_codes = np.stack(
+            [np.asarray(pc.index_in(v, value_set=names).fill_null(-1)) for v, names in zip(levels, level_values)], axis=1
+        )
         counts = np.asarray(tokens.value_lengths().fill_null(0)).astype(np.int64)
         word = np.asarray(pc.index_in(tokens.flatten(), value_set=words).fill_null(-1))
         word_row = np.repeat(np.arange(rows), counts)
@@ -93,20 +99,23 @@ def _scorer(block: pd.DataFrame, limit: int):
         chosen, points = np.empty((rows, top), np.int64), np.empty((rows, top), np.int64)
         for low in range(0, rows, step):
             high = min(rows, low + step)
-            score = np.tile(base, (high - low, 1))
-            for (entry_codes, _), item_codes, bonus in zip(codes, level_codes, LEVEL_POINTS):
-                score += (item_codes[low:high, None] == entry_codes[None, :]) * (bonus * FULL_COUNT)
+            # items share few combinations of levels: score those once, then add the words
+            combinations, which = np.unique(level_codes[low:high], axis=0, return_inverse=True)
+            score = np.stack([level_scores(c) for c in combinations])[which.ravel()]
             a, b = np.searchsorted(word_row, [low, high])
             length = begins[word[a:b] + 1] - begins[word[a:b]]
             start = np.repeat(begins[word[a:b]] - np.concatenate([[0], np.cumsum(length)[:-1]]), length)
             hit = postings[start + np.arange(length.sum())] if length.sum() else np.empty(0, np.int64)
-            np.add.at(score, (np.repeat(word_row[a:b] - low, length), hit), TOKEN_POINTS * FULL_COUNT)
-            # one unique integer per entry: score first, then count and file order
-            key = score * size + (size - 1 - np.arange(size))
-            part = np.argpartition(-key, top - 1, axis=1)[:, :top]
-            order = np.argsort(-np.take_along_axis(key, part, 1), axis=1)
-            chosen[low:high] = np.take_along_axis(part, order, 1)
-            points[low:high] = np.take_along_axis(score, chosen[low:high], 1)
+            cell = np.repeat(word_row[a:b] - low, length) * size + hit
+            shared = np.bincount(cell, minlength=score.size).reshape(score.shape)
+            score += (shared * (TOKEN_POINTS * FULL_COUNT)).astype(np.int32)
+            # entries stand in tie order, and argmax returns the first of equals
+            picked = np.arange(high - low)
+            for place in range(top):
+                entry = score.argmax(axis=1)
+                chosen[low:high, place] = entry
+                points[low:high, place] = score[picked, entry]
+                score[picked, entry] = -1
         return entry_no[chosen], points / FULL_COUNT, item_count[chosen]
 
     return best, top

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from catalogkit.functions.ean import normalize_ean
 from catalogkit.functions.text import normalize_search_text, searchable_text, tokenize, trim
-from catalogkit.functions.values import field_type, json_path, optional_text
+from catalogkit.functions.values import computed_once, field_type, json_path, optional_text
 from catalogkit.functions.vectors import DEFAULT_DIMENSIONS, hash_vector
 from catalogkit.operators.aggregates import distinct_values
 from catalogkit.operators.dedupe import first_per_key
@@ -97,7 +97,7 @@ def lookup_eans(requests: DataFrame, catalog: DataFrame, order: str, ean: str =
 
     Codes that are not 8 to 14 digits keep their own row and ``error``.
     """
-    checked = requests.withColumn("_c", normalize_ean(ean)).select(
+    checked = computed_once(requests, _c=normalize_ean(ean)).select(
         order, F.coalesce("_c.ean", ean).alias("ean"), F.col("_c.error").alias("error")
     )
     distinct = checked.groupBy("ean").agg(F.min(order).alias("first_position"), F.max("error").alias("error"))

@@ -299,7 +299,7 @@ def lookup_batch(
     ``requests`` has ``request_id`` and ``input_ean``; every request is answered, and each
     distinct valid code is looked up and classified once.
     """
-    checked = requests.withColumn("_c", validate_ean("input_ean")).select(
+    checked = computed_once(requests, _c=validate_ean("input_ean")).select(
         "request_id", trim("input_ean").alias("input_ean"), F.col("_c.ean").alias("ean"),
         F.col("_c.is_valid").alias("_ok"), F.col("_c.reason").alias("_reason"),
     )

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from catalogkit.functions.ean import validate_ean
+from catalogkit.functions.values import computed_once
 from catalogkit.operators.aggregates import count_if
 from catalogkit.operators.dedupe import top_per_key
 
@@ -37,8 +38,7 @@ def triage(
     to the rows over their unique id. Invalid rows stay in and fail later, in publishing.
     With ``enabled`` off (file imports) every row is eligible.
     """
-    checked = validate_ean(ean, mode)
-    rows = items.withColumn("_check", checked)
+    rows = computed_once(items, _check=validate_ean(ean, mode))
     rows = rows.select("*", F.col("_check.ean").alias("valid_ean"), F.col("_check.is_valid").alias("_valid"),
                        F.col("_check.reason").alias("ean_reason")).drop("_check")
     if not enabled:

@@ -50,6 +50,15 @@ def new_work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an input that has fewer partitions than there are cores, as one small file has.
+
+    Tables of many files already keep every core busy and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Store ``df`` reliably once, so later passes agree on its partitions and survive lost executors."""
     shared_dir(df.sparkSession)

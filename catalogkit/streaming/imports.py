@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from catalogkit.functions.ean import validate_ean
+from catalogkit.functions.values import computed_once
 from catalogkit.operators.aggregates import import_counters
 from catalogkit.plans.triage import DUPLICATE, ELIGIBLE, EXISTING, triage
 from catalogkit.sinks.publish import BATCH_ROWS, publish_payload, send_batches, PENDING, SENT
@@ -56,7 +57,7 @@ def dedupe_stream(
     State is kept per scope, as an import does. ``watermark`` (event time column, delay) bounds it
     for endless streams. A code with very many copies is thinned in salted groups first.
     """
-    checked = items.withColumn("_c", validate_ean(ean)).filter("_c.is_valid")
+    checked = computed_once(items, _c=validate_ean(ean)).filter("_c.is_valid")
     valid = checked.withColumn("valid_ean", F.col("_c.ean")).drop("_c")
     keys = [*scope, "valid_ean"]
     if watermark:

@@ -24,6 +24,7 @@ from catalogkit.functions.text import (
 )
 from catalogkit.functions.values import (
     array_pick,
+    computed_once,
     discount_pct,
     effective_promo,
     first_finite,
@@ -77,8 +78,8 @@ simple("tokenize", "documents", "doc_id", {"tokens": lambda: F.array_join(tokeni
     select doc_id, string_agg(w, ' ' order by i) as tokens, cast(count(*) as integer) as n from w where w <> '' group by doc_id""",
 )
 def tokenize_unique_q(spark, d):
-    t = tokenize_unique("text")
-    return docs(spark, d).select("doc_id", F.array_join(t, " ").alias("tokens"), F.size(t).alias("n")).filter("n > 0")
+    made = computed_once(docs(spark, d).select("doc_id", "text"), t=tokenize_unique("text"))
+    return made.select("doc_id", F.array_join("t", " ").alias("tokens"), F.size("t").alias("n")).filter("n > 0")
 
 
 @query(
@@ -90,9 +91,9 @@ def tokenize_unique_q(spark, d):
     select doc_id, md5(string_agg(w, ' ' order by i)) as words, cast(count(*) as integer) as n from f group by doc_id""",
 )
 def unique_in_order_q(spark, d):
-    words = unique_in_order(F.split("text", " "))
-    return docs(spark, d).select(
-        "doc_id", F.md5(F.array_join(words, " ").cast("binary")).alias("words"), F.size(words).alias("n")
+    made = computed_once(docs(spark, d).select("doc_id", "text"), w=unique_in_order(F.split("text", " ")))
+    return made.select(
+        "doc_id", F.md5(F.array_join("w", " ").cast("binary")).alias("words"), F.size("w").alias("n")
     ).filter("n > 0")
 
 
@@ -197,8 +198,8 @@ simple("normalize_unit", "part", "p_partkey",
     select doc_id, md5(string_agg(p, '|' order by i)) as parts, cast(count(*) as integer) as n from f group by doc_id""",
 )
 def split_ingredients_q(spark, d):
-    parts = split_ingredients("text")
-    return docs(spark, d).select("doc_id", F.md5(F.array_join(parts, "|").cast("binary")).alias("parts"), F.size(parts).alias("n")).filter("n > 0")
+    made = computed_once(docs(spark, d).select("doc_id", "text"), p=split_ingredients("text"))
+    return made.select("doc_id", F.md5(F.array_join("p", "|").cast("binary")).alias("parts"), F.size("p").alias("n")).filter("n > 0")
 
 
 _TERMS = {"the": r"(?i)(?<!\w)the(?!\w)", "und": r"(?i)(?<!\w)und(?!\w)", "les": r"(?i)(?<!\w)les(?!\w)",
@@ -403,7 +404,7 @@ def hash_vector_unsigned_q(spark, d):
     from vectors where abs(weight) > 1e-9 group by doc_id""",
 )
 def hash_vector_dense_q(spark, d):
-    made = docs(spark, d).select("doc_id", hash_vector(tokenize("text"), HASH_DIMS).alias("vec"))
+    made = computed_once(docs(spark, d).select("doc_id", hash_vector(tokenize("text"), HASH_DIMS).alias("v")), vec=F.col("v"))
     filled = F.size(F.filter("vec", lambda x: F.abs(x) > 1e-9)).cast("long")
     squares = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
     return made.select("doc_id", filled.alias("filled"), F.round(squares, 6).alias("squares")).filter("filled > 0")

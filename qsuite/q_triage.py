@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogkit.functions.ean import validate_ean
+from catalogkit.functions.values import computed_once
 from catalogkit.operators.aggregates import (
     LOOKUP_STATUSES,
     count_distinct_keys,
@@ -80,7 +81,7 @@ def triage_rows(spark, d):
     from checked""",
 )
 def mark_duplicates_q(spark, d):
-    rows = v.items(spark, d).withColumn("c", validate_ean("ean"))
+    rows = computed_once(v.items(spark, d), c=validate_ean("ean"))
     rows = rows.select("batch_id", "item_id", F.col("c.ean").alias("digits"), F.col("c.is_valid").alias("ok"))
     return mark_duplicates(rows, ["batch_id"], "digits", "ok", ["item_id"], "item_id").select("item_id", "is_duplicate")
 
@@ -92,7 +93,7 @@ def mark_duplicates_q(spark, d):
     from checked where ok""",
 )
 def drop_existing_q(spark, d):
-    rows = v.items(spark, d).withColumn("c", validate_ean("ean")).filter("c.is_valid")
+    rows = computed_once(v.items(spark, d), c=validate_ean("ean")).filter("c.is_valid")
     return drop_existing(rows.select("item_id", F.col("c.ean").alias("ean")), known(spark, d))
 
 
@@ -102,7 +103,7 @@ def drop_existing_q(spark, d):
     + "select distinct digits as ean from checked where ok and digits not in (select ean from catalog where p_partkey % 3 = 0)",
 )
 def missing_keys_q(spark, d):
-    rows = v.items(spark, d).withColumn("c", validate_ean("ean")).filter("c.is_valid")
+    rows = computed_once(v.items(spark, d), c=validate_ean("ean")).filter("c.is_valid")
     return missing_keys(rows.select(F.col("c.ean").alias("ean")), known(spark, d))
 
 

@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from catalogkit.functions.ean import check_digit
+from catalogkit.functions.values import computed_once
 from catalogkit.operators.taxonomy import LEVELS, taxonomy_entries
+from catalogkit.session import spread
+
+
+SMALL_TABLES = {"region", "nation", "supplier", "benchmark", "labels"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df if name in SMALL_TABLES else spread(df)
 
 
 # -- SQL fragments -------------------------------------------------------------------------
@@ -85,10 +91,10 @@ CATALOG_SQL = f"""catalog as (
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One product per part."""
-    p = table(spark, sf_dir, "part")
+    p = computed_once(table(spark, sf_dir, "part"), ean=ean_of("p_partkey"))
     word = lambda n: F.split_part("p_name", F.lit(" "), F.lit(n))
     return p.select(
-        ean_of("p_partkey").alias("ean"),
+        "ean",
         "p_partkey",
         F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit("mg")).alias("description"),
         F.when(F.col("p_partkey") % 11 != 0, word(2)).alias("active_ingredient"),
@@ -126,11 +132,11 @@ FEED_ORDER_SQL = ", ".join(FEED_ORDER)
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One stock row per order line."""
-    l = table(spark, sf_dir, "lineitem")
+    l = computed_once(table(spark, sf_dir, "lineitem"), ean=ean_of("l_partkey"))
     s = lambda c: F.col(c).cast("string")
     offer = F.col("l_discount") > 0
     return l.select(
-        ean_of("l_partkey").alias("ean"),
+        "ean",
         "l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
         s("l_suppkey").alias("branch"),
         F.concat_ws("-", s("l_orderkey"), s("l_linenumber"), s("l_suppkey")).alias("id"),
@@ -165,8 +171,9 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items_of(events: DataFrame) -> DataFrame:
-    e = events.withColumn("k", F.get_json_object("props", "$.k").cast("long"))
-    code = ean_of("k")
+    e = computed_once(events, k=F.get_json_object("props", "$.k").cast("long"))
+    e = computed_once(e, code=ean_of("k"))
+    code = F.col("code")
     dashed = F.concat(F.substring(code, 1, 3), F.lit("-"), F.substring(code, 4, 20))
     kind = F.col("event_type")
     return e.select(
@@ -204,7 +211,7 @@ LOOKUPS_SQL = f"""lookups as (
 
 def lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of three sources: ``(ean, source_key, result, detail, error)``."""
-    p = table(spark, sf_dir, "part")
+    p = computed_once(table(spark, sf_dir, "part"), ean=ean_of("p_partkey"))
     key = F.col("p_partkey")
     sources = F.array(*[F.struct(F.lit(s).alias("source_key"), F.lit(m).alias("m")) for s, m in zip(LOOKUP_SOURCES, (3, 5, 8))])
     rows = p.select("*", F.inline(sources)).filter(key % F.col("m") != 0)
@@ -222,7 +229,7 @@ def lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_type").alias("classe"),
     )
     return rows.select(
-        ean_of("p_partkey").alias("ean"),
+        "ean",
         "source_key",
         F.when(has_result, result).alias("result"),
         F.when(has_detail, F.struct(info.alias("info"))).alias("detail"),
