@@ -58,7 +58,10 @@ def current_snapshot(spark: SparkSession, base: str) -> str | None:
     fs, root, jvm = _files(spark, base)
     pointer = jvm.org.apache.hadoop.fs.Path(f"{base}/_current")
     if fs.exists(pointer):
-        return json.loads(spark.read.text(f"{base}/_current", wholetext=True).first()[0])["snapshot"]
+        stream = fs.open(pointer)
+        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return json.loads(text)["snapshot"]
     if not fs.exists(root):
         return None
     names = [s.getPath().getName() for s in fs.listStatus(root)]
