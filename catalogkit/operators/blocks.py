@@ -17,10 +17,24 @@ from pyspark.sql import DataFrame, functions as F
 DEFAULT_BLOCK_BYTES = 64 * 1024 * 1024
 
 
-def held_blocks(df: DataFrame, key: str, block_bytes: int = DEFAULT_BLOCK_BYTES) -> Iterator[pd.DataFrame]:
-    """``df`` as pandas blocks of about ``block_bytes``, split by the hash of ``key``."""
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Row count and bytes of a table that might be held in memory."""
     width = F.octet_length(F.to_json(F.struct("*")))
     rows, size = df.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return rows, size
+
+
+def broadcast_if_small(df: DataFrame, limit: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
+    """``df`` marked for broadcast when it measures at most ``limit`` bytes, else as it is.
+
+    Joins with an unmarked side shuffle both sides.
+    """
+    return F.broadcast(df) if measured(df)[1] <= limit else df
+
+
+def held_blocks(df: DataFrame, key: str, block_bytes: int = DEFAULT_BLOCK_BYTES) -> Iterator[pd.DataFrame]:
+    """``df`` as pandas blocks of about ``block_bytes``, split by the hash of ``key``."""
+    rows, size = measured(df)
     parts = max(1, math.ceil(size / block_bytes))
     if not rows:
         return

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from catalogkit.functions.text import bounded_levenshtein, fuzzy_bound, is_numeric_token
+from catalogkit.operators.blocks import broadcast_if_small
 
 # A string within distance d of another shares at least one of its d+1 segments, moved by at
 # most d places. Segment lengths are fixed by the query token's length, so both sides can
@@ -46,14 +47,15 @@ def _token_keys(tokens: DataFrame, bound: int) -> DataFrame:
     inside = moved.filter((F.col("_at") >= 1) & (F.col("_at") + F.col("size") - 1 <= length))
     return inside.select(
         "token", "_len", F.col("part").alias("_part"), F.expr("substring(token, _at, size)").alias("_segment")
-    ).distinct()
+    )
 
 
 def match_token_pairs(queries: DataFrame, tokens: DataFrame, query_col: str, token_col: str) -> DataFrame:
     """``(query_token, token, distance)`` for every pair within the query token's allowed distance.
 
     Numbers are skipped and tokens shorter than five characters have no allowance. Both sides are
-    made distinct first; candidates meet on (length, segment number, segment text).
+    made distinct first; candidates meet on (length, segment number, segment text). The query side's
+    keys are broadcast while they measure small, so that the token side's keys are not shuffled.
     """
     asked = queries.select(F.col(query_col).alias("query_token")).distinct()
     asked = asked.filter(~is_numeric_token("query_token"))
@@ -61,7 +63,7 @@ def match_token_pairs(queries: DataFrame, tokens: DataFrame, query_col: str, tok
     found = None
     for bound in (1, 2):
         keys = ["_len", "_part", "_segment"]
-        pairs = _query_keys(asked, bound).join(_token_keys(known, bound), keys)
+        pairs = _token_keys(known, bound).join(broadcast_if_small(_query_keys(asked, bound)), keys)
         near = pairs.withColumn("distance", bounded_levenshtein("query_token", "token", bound))
         near = near.filter(F.col("distance").isNotNull()).select("query_token", "token", "distance")
         found = near if found is None else found.unionByName(near)

@@ -20,6 +20,8 @@ def local_session(cpus: int | str = "*", app: str = "catalogkit", **conf) -> Spa
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.host", "127.0.0.1")
+        # recording a call site per column costs more than building the column
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

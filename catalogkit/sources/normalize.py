@@ -10,6 +10,7 @@ from catalogkit.functions.ean import only_digits
 from catalogkit.functions.text import Col, _c, trim
 from catalogkit.functions.values import (
     array_pick,
+    computed_once,
     discount_pct,
     effective_promo,
     fallback,
@@ -342,15 +343,19 @@ def normalize_stock_b(df: DataFrame, source: str = "erp_b", keep: Sequence[str]
 
 def normalize_stock_c(df: DataFrame, source: str = "erp_c", keep: Sequence[str] = ()) -> DataFrame:
     """Stock feed C: the promotional price and discount are derived from the best price."""
-    price = _number_given(df, STOCK_C["price"])
-    best = _number_given(df, STOCK_C["promo_price"])
-    ean = only_digits(_first_given(df, STOCK_C["ean"]), null_when_empty=True)
+    df = computed_once(
+        df,
+        _price=_number_given(df, STOCK_C["price"]),
+        _best=_number_given(df, STOCK_C["promo_price"]),
+        _stock=F.coalesce(_number_given(df, STOCK_C["stock"]), F.lit(0.0)),
+        _ean=only_digits(_first_given(df, STOCK_C["ean"]), null_when_empty=True),
+    )
     return _stock_rows(
         df, source, keep,
-        id=F.coalesce(_first_set(df, STOCK_C["id"]), ean), code=_first_given(df, STOCK_C["code"]),
-        branch=F.lit(None).cast("string"), ean=ean, description=_first_set(df, STOCK_C["description"]),
-        stock=F.coalesce(_number_given(df, STOCK_C["stock"]), F.lit(0.0)), price=price,
-        promo_price=effective_promo(price, best), discount_pct=discount_pct(price, best),
+        id=F.coalesce(_first_set(df, STOCK_C["id"]), F.col("_ean")), code=_first_given(df, STOCK_C["code"]),
+        branch=F.lit(None).cast("string"), ean=F.col("_ean"), description=_first_set(df, STOCK_C["description"]),
+        stock=F.col("_stock"), price=F.col("_price"),
+        promo_price=effective_promo("_price", "_best"), discount_pct=discount_pct("_price", "_best"),
     )
 
 
