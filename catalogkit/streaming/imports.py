@@ -96,7 +96,11 @@ def import_stream(
         spark = df.sparkSession
         types = {f.name: f.dataType.simpleString() for f in df.schema}
         schema = ", ".join([*(f"{b} {types[b]}" for b in batch), "valid_ean string"])
-        seen = _earlier(spark, seen_path, epoch, schema).distinct().withColumn("_seen", F.lit(True))
+        asked = computed_once(df, _c=validate_ean("ean")).filter("_c.is_valid")
+        asked = asked.select(*batch, F.col("_c.ean").alias("valid_ean")).distinct()
+        # the history is only scanned against the few codes of this micro-batch, never shuffled for them
+        seen = _earlier(spark, seen_path, epoch, schema).join(asked, [*batch, "valid_ean"], "left_semi")
+        seen = seen.withColumn("_seen", F.lit(True))
         placed = triage(df, catalog, batch, order=(item_id,), item_id=item_id)
         marked = placed.join(seen, [*batch, "valid_ean"], "left")
         again = F.col("_seen") & F.col("triage").isin(ELIGIBLE, EXISTING)
