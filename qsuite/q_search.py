@@ -20,7 +20,7 @@ from qsuite import views as v
 from qsuite.q_text import COUNTS_SQL, HASH_DIMS
 from qsuite.registry import query
 
-# -- vectors over embeddings ---------------------------------------------------------------
+# -- vectors over embeddings: every row asks for its neighbours ---------------------------------------------------------------
 
 
 def embeddings(spark, d):
@@ -41,13 +41,13 @@ def cosine_similarity_q(spark, d):
 
 TOPK_SQL = """sims as (select q.vec_id as query_id, c.vec_id as doc_id,
     round(list_cosine_similarity(cast(q.embedding as double[]), cast(c.embedding as double[])), 9) as s
-  from embeddings q, embeddings c where q.label = 0),
+  from embeddings q, embeddings c),
 top as (select *, row_number() over (partition by query_id order by s desc, doc_id) as rk from sims)"""
 
 
 def topk(spark, d, **options):
     e = embeddings(spark, d)
-    queries = e.filter("label = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    queries = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     corpus = e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     return vector_topk(queries, corpus, 10, **options).withColumn("similarity", F.round("similarity", 6))
 
@@ -62,7 +62,7 @@ def vector_topk_q(spark, d):
 
 @query("vector_topk_blocks", v.ctes(TOPK_SQL) + _TOP)
 def vector_topk_blocks_q(spark, d):
-    return topk(spark, d, block_bytes=24_000)
+    return topk(spark, d, block_bytes=200_000)
 
 
 @query("vector_topk_min_score", v.ctes(TOPK_SQL) + _TOP + " and s >= 0.5")
@@ -131,14 +131,14 @@ def hybrid_search_min_q(spark, d):
 
 @query(
     "token_overlap",
-    v.ctes(f"b as (select list_distinct(flatten(list({v.sql_tokens('text')}))) as words from benchmark where item_id < 5)")
-    + f"select doc_id, len(list_filter({v.sql_tokens('text')}, lambda t: list_contains(b.words, t))) as overlap from documents, b",
+    v.ctes(f"toks as materialized (select doc_id, {v.sql_tokens('text')} as t from documents)")
+    + """select d.doc_id, cast(len(list_filter(d.t, lambda x: list_contains(e.t, x))) as integer) as overlap
+    from toks d join toks e on e.doc_id = d.doc_id + 1""",
 )
 def token_overlap_q(spark, d):
-    words = v.table(spark, d, "benchmark").filter("item_id < 5").select(F.explode(tokenize("text")).alias("w")).distinct()
-    held = [r["w"] for r in words.collect()]  # five short queries
-    docs = v.table(spark, d, "documents")
-    return docs.select("doc_id", token_overlap(tokenize("text"), F.lit(held)).cast("long").alias("overlap"))
+    a = v.table(spark, d, "documents").select("doc_id", tokenize("text").alias("t"))
+    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
+    return a.join(b, "doc_id").select("doc_id", token_overlap("t", "u").alias("overlap"))
 
 
 @query(

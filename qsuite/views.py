@@ -1,4 +1,8 @@
-"""Catalogue-shaped inputs derived from the given tables, in Spark and in SQL alike."""
+"""Catalogue-shaped inputs derived from the given tables, in Spark and in SQL alike.
+
+Remainders of keys only decide which rows lack a value, a source or a partner, so that every
+case of an operator occurs; queries run over the whole tables.
+"""
 
 from __future__ import annotations
 
