@@ -2,10 +2,12 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from qsuite import registry
 from qsuite.check import compare, connect
+from qsuite.load import load_all
 
-ORACLES = oracle_sql()
+load_all()
 
 
 @pytest.fixture(scope="module")
@@ -13,10 +15,10 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query_matches_sql(spark, con, sf_dir, name):
-    assert name in ORACLES
-    ok, message = compare(spark, con, sf_dir, queries()[name], ORACLES[name])
+    assert name in registry.ORACLES
+    ok, message = compare(spark, con, sf_dir, registry.QUERIES[name], registry.ORACLES[name])
     assert ok, message
 
 
