@@ -50,3 +50,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op4_simhash_ring")
+def op4_simhash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    from catalogkit.llm.simhash import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
