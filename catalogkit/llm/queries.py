@@ -58,3 +58,14 @@ def op4_simhash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from catalogkit.llm.simhash import near_duplicates
 
     return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op9_ppm_language")
+def op9_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; two thirds of the labelled documents may teach."""
+    from catalogkit.llm.ppm_language import fit_languages, predict_languages
+    from catalogkit.llm.sampling import held_out
+
+    docs = read(spark, sf_dir, "documents")
+    found = predict_languages(docs, fit_languages(docs.filter(~held_out())))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
