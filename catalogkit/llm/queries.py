@@ -69,3 +69,39 @@ def op9_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = predict_languages(docs, fit_languages(docs.filter(~held_out())))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+_OP8_SQL = r"""
+with lines as (
+  select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos
+  from documents),
+trimmed as (
+  select doc_id, pos, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as l from lines),
+w as (
+  select doc_id, pos, l, lead(l) over o as l2, lead(l, 2) over o as l3 from trimmed
+  window o as (partition by doc_id order by pos)),
+windows as (
+  select doc_id, pos, l || chr(10) || l2 || chr(10) || l3 as k from w
+  where l3 is not null and l || l2 || l3 <> ''),
+later as (
+  select doc_id, pos from (
+    select doc_id, pos, row_number() over (partition by k order by doc_id, pos) as n from windows) where n > 1),
+covered as (
+  select distinct doc_id, pos + d as pos from later, (values (0), (1), (2)) as t(d)),
+kept as (
+  select doc_id, count(*) as n, string_agg(line, chr(10) order by pos) as text
+  from lines anti join covered using (doc_id, pos) group by doc_id)
+select d.doc_id, cast(coalesce(len(string_split(d.text, chr(10))), 0) as bigint) as n_lines,
+  cast(coalesce(len(string_split(d.text, chr(10))), 0) - coalesce(k.n, 0) as bigint) as n_removed,
+  case when d.text is not null then coalesce(k.text, '') end as text
+from documents d left join kept k using (doc_id)
+"""
+
+
+@query("op8_line_windows", _OP8_SQL)
+def op8_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the three-line windows that stood before it or earlier in it."""
+    from catalogkit.llm.line_windows import remove_repeated_lines
+
+    docs = remove_repeated_lines(read(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "n_lines", "n_removed", "text")
