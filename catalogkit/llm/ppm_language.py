@@ -240,3 +240,12 @@ def predict_languages(docs: DataFrame, model: Model, key: str = "doc_id", text:
     """``key, lang_pred, score, bits_per_byte`` for each row; see ``languages``. Only two columns are read."""
     lang, score, bits = languages(docs, model, text)
     return docs.select(F.col(key), lang.alias("lang_pred"), score.alias("score"), bits.alias("bits_per_byte"))
+
+
+def keep_known_languages(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` whose text some fitted language explains, with all columns.
+
+    Rejected are ``und`` texts and those that the best language codes in no fewer bits than their plain bytes have.
+    """
+    _, _, bits = languages(docs, model, text)
+    return docs.filter(F.coalesce(bits < 8, F.lit(False)))

@@ -50,9 +50,11 @@ def _fingerprints(size: int) -> Callable:
     return run
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """``key`` and the 64-bit ``fp`` of each document's word shingles (see ``near_duplicates``)."""
-    return docs.select(F.col(key), F.arrow_udf(_fingerprints(size), "long")(F.col(text)).alias("fp"))
+def fingerprints(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, *more: str
+) -> DataFrame:
+    """``key``, ``more`` and the 64-bit ``fp`` of each document's word shingles (see ``near_duplicates``)."""
+    return docs.select(F.col(key), *more, F.arrow_udf(_fingerprints(size), "long")(F.col(text)).alias("fp"))
 
 
 class Ring:
@@ -206,13 +208,37 @@ def near_duplicates(
     keys that are each shared by fewer: 9 suit up to some hundred million texts, 13 or 17 more.
     """
     prints = cut_lineage(fingerprints(docs, key, text, size).select(F.col(key).alias("key"), "fp"))
+    return prints.join(_components(prints, bits, segments, block), "fp").select(
+        F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+def _components(prints: DataFrame, bits: int, segments: int, block: int) -> DataFrame:
+    """``fp, root, component_id`` of each fingerprint in ``prints`` (``key, fp``)."""
     distinct = cut_lineage(prints.groupBy("fp").agg(F.min("key").alias("least")))
     found = connected_components(fingerprint_links(distinct, bits, segments, block))
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("root")
     )
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(
-        F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    return rooted.join(smallest, "root").select("fp", "root", "component_id")
+
+
+def first_of_each_group(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, bits: int = BITS,
+    segments: int = SEGMENTS, block: int = BLOCK,
+) -> DataFrame:
+    """One row of ``docs`` for each component of ``near_duplicates``: that with the smallest key.
+
+    Null keys come last; among equal keys the text's hash decides, and of equal rows one stays. All columns
+    are kept.
+    """
+    row = F.xxhash64(F.col(key), F.col(text))
+    prints = fingerprints(docs.select(key, text, row.alias("_row")), key, text, size, "_row")
+    prints = cut_lineage(prints.select(F.col(key).alias("key"), "_row", "fp"))
+    named = prints.join(_components(prints, bits, segments, block).select("fp", "root"), "fp")
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("no"), "key", "_row")).alias("f"))
+    kept = first.select(F.col("f.key").alias("_kept"), F.col("f._row").alias("_row"))
+    own = F.col(key).eqNullSafe(F.col("_kept")) & (row == F.col("_row"))
+    left = docs.join(kept, own, "left_semi").withColumn("_row", row)
+    return left.dropDuplicates([key, "_row"]).drop("_row")
