@@ -105,3 +105,14 @@ def op8_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = remove_repeated_lines(read(spark, sf_dir, "documents"))
     return docs.select("doc_id", "n_lines", "n_removed", "text")
+
+
+@query("op2_subword_quality")
+def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; two thirds of the labelled documents may teach."""
+    from catalogkit.llm.quality_embedding import fit_quality, score_quality
+    from catalogkit.llm.sampling import held_out
+
+    docs = read(spark, sf_dir, "documents")
+    model = fit_quality(docs.filter(~held_out()), read(spark, sf_dir, "labels"))
+    return score_quality(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
