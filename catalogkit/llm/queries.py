@@ -116,3 +116,17 @@ def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = fit_quality(docs.filter(~held_out()), read(spark, sf_dir, "labels"))
     return score_quality(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op3_line_crf")
+def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and content verdict of every document; two thirds of the labelled documents may teach."""
+    from catalogkit.llm.line_crf import fit_lines, line_quality
+    from catalogkit.llm.sampling import held_out
+
+    docs = read(spark, sf_dir, "documents")
+    field = fit_lines(docs.filter(~held_out()), read(spark, sf_dir, "labels"))
+    return line_quality(docs, field).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "content_share",
+    )
