@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from catalogkit.session import new_work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+# Fixed value: the end-of-text id of the word vocabulary.
+END_OF_TEXT = 49407
+
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query and, where SQL can express it, the SQL with the same rows."""
@@ -130,3 +135,24 @@ def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "content_share",
     )
+
+
+@query("op1_shard_table")
+def op1_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document placed on one of 64 shards."""
+    from catalogkit.llm.shard_table import place_rows
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    shards = [f"shard-{n:03d}" for n in range(64)]
+    placed = place_rows(docs, ["doc_id"], shards, without_key=["text"])
+    return placed.select("doc_id", "slot", "shard", F.length("text").alias("n_chars"))
+
+
+@query("op10_separator_scan")
+def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as flat token files, and the token count of each document in them."""
+    from catalogkit.llm.token_scan import token_counts, write_token_files
+
+    path = new_work_path(spark, "tokens")
+    write_token_files(read(spark, sf_dir, "documents"), path, word_tokenizer(), END_OF_TEXT)
+    return token_counts(spark, path, END_OF_TEXT, glob="part-*")
