@@ -156,3 +156,12 @@ def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_work_path(spark, "tokens")
     write_token_files(read(spark, sf_dir, "documents"), path, word_tokenizer(), END_OF_TEXT)
     return token_counts(spark, path, END_OF_TEXT, glob="part-*")
+
+
+@query("op6_secret_forest")
+def op6_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret candidate in every document with the forest's verdict; two thirds of the documents teach."""
+    from catalogkit.llm.sampling import held_out
+    from catalogkit.llm.secret_forest import scan_secrets
+
+    return scan_secrets(read(spark, sf_dir, "documents"), teach=~held_out("key"), path="source")
