@@ -69,19 +69,21 @@ def remove_repeated_lines(
     one is named like a new column, the new one takes its place.
     """
     removed = repeated_stretches(cut_lineage(line_windows(docs, key, text, size)), size)
-    kept = docs.drop(*{n_lines, n_removed} - {key, text})
-    columns = kept.columns
-    joined = kept.select("*", *_identity(key, text)).join(removed, ["_r1", "_r2"], "left")
-    lines = F.split(F.col(text), "\n", -1)
+    columns = [c for c in docs.columns if c == text or c not in (n_lines, n_removed)]
+    # the columns travel as one, so that names of ``docs`` meet none used here
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), *_identity(key, text))
+    joined = whole.join(removed, ["_r1", "_r2"], "left").select("doc", "_gaps", "_tail")
+    old = F.col("doc").getField(text)
+    lines = F.split(old, "\n", -1)
     total = F.coalesce(F.size(lines), F.lit(0))
-    total = F.when(F.col(text).isNull(), F.lit(0)).otherwise(total)
+    total = F.when(old.isNull(), F.lit(0)).otherwise(total)
     tail = F.struct(F.col("_tail").alias("at"), F.greatest(F.size(lines) - F.col("_tail"), F.lit(0)).alias("n"))
     parts = F.filter(F.concat(F.col("_gaps"), F.array(tail)), lambda part: part["n"] > 0)
     left = F.array_join(F.flatten(F.transform(parts, lambda part: F.slice(lines, part["at"] + 1, part["n"]))), "\n")
     stay = F.aggregate(parts, F.lit(0), lambda n, part: n + part["n"])
     cut = F.col("_tail").isNotNull()
     return joined.select(
-        *[F.when(cut, left).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in columns],
+        *[F.when(cut, left).otherwise(old).alias(c) if c == text else F.col("doc").getField(c).alias(c) for c in columns],
         total.cast("long").alias(n_lines),
         F.when(cut, total - stay).otherwise(0).cast("long").alias(n_removed),
     )

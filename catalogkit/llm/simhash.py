@@ -233,12 +233,16 @@ def first_of_each_group(
     Null keys come last; among equal keys the text's hash decides, and of equal rows one stays. All columns
     are kept.
     """
-    row = F.xxhash64(F.col(key), F.col(text))
-    prints = fingerprints(docs.select(key, text, row.alias("_row")), key, text, size, "_row")
-    prints = cut_lineage(prints.select(F.col(key).alias("key"), "_row", "fp"))
+    # the columns travel as one, so that names of ``docs`` meet none used here
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        F.col(key).alias("key"),
+        F.col(text).alias("text"),
+        F.xxhash64(F.col(key), F.col(text)).alias("row"),
+    )
+    prints = cut_lineage(fingerprints(rows, "key", "text", size, "row"))
     named = prints.join(_components(prints, bits, segments, block).select("fp", "root"), "fp")
-    first = named.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("no"), "key", "_row")).alias("f"))
-    kept = first.select(F.col("f.key").alias("_kept"), F.col("f._row").alias("_row"))
-    own = F.col(key).eqNullSafe(F.col("_kept")) & (row == F.col("_row"))
-    left = docs.join(kept, own, "left_semi").withColumn("_row", row)
-    return left.dropDuplicates([key, "_row"]).drop("_row")
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("no"), "key", "row")).alias("f"))
+    kept = first.select(F.col("f.key").alias("kept_key"), F.col("f.row").alias("kept_row"))
+    own = F.col("key").eqNullSafe(F.col("kept_key")) & (F.col("row") == F.col("kept_row"))
+    return rows.join(kept, own, "left_semi").dropDuplicates(["key", "row"]).select("doc.*")

@@ -1,0 +1,198 @@
+"""Language, quality and secrets: exact scores by brute force, and held-out accuracy."""
+
+import collections
+import math
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from catalogkit.llm import ppm_language as ppm
+from catalogkit.llm import quality_embedding as quality
+from catalogkit.llm import secret_forest as secrets
+from catalogkit.llm.queries import QUERIES
+from catalogkit.llm.sampling import bounded_sample, held_out
+
+
+@pytest.fixture(scope="module")
+def sf(sf_dir):
+    return sf_dir.replace("sf0.001", "sf0.01")
+
+
+def test_bounded_sample(spark):
+    rows = spark.range(3000).select(
+        F.col("id"), F.repeat(F.lit("x"), (F.col("id") % 7).cast("int")).alias("t"),
+        F.when(F.col("id") % 3 == 0, "a").otherwise(F.col("id").cast("string")).alias("k"),
+    )
+    sample = bounded_sample(rows.filter("k = 'a' or id < 10"), "id", "t", "k", 50, 100)
+    sizes = {r["k"]: (r["n"], r["c"]) for r in sample.groupBy("k").agg(F.count("*").alias("n"), F.sum(F.length("t")).alias("c")).collect()}
+    assert sizes["a"][0] <= 50 and sizes["a"][1] <= 100 and len(sizes) == 7
+    assert sorted(r.id for r in sample.collect()) == sorted(r.id for r in sample.repartition(5).collect())
+
+
+# -- language ------------------------------------------------------------------------------
+
+def brute_bits(train, text, order):
+    """PPM code length of ``text`` under the counts of ``train``, byte by byte."""
+    tree = collections.defaultdict(collections.Counter)
+    for t in train:
+        data = b"\0" * order + t.encode()
+        for at in range(order, len(data)):
+            for k in range(order + 1):
+                tree[data[at - k : at]][data[at]] += 1
+    data, bits = b"\0" * order + text.encode(), 0.0
+    for at in range(order, len(data)):
+        for k in range(order, -2, -1):
+            if k < 0:
+                bits += 8
+                break
+            seen = tree.get(data[at - k : at])
+            if not seen:
+                continue
+            whole = sum(seen.values()) + len(seen)
+            if seen[data[at]]:
+                bits -= math.log2(seen[data[at]] / whole)
+                break
+            bits -= math.log2(len(seen) / whole)
+    return bits
+
+
+def test_code_lengths(spark, docs, clashing, none, awkward):
+    model = ppm.fit_languages(docs, order=3)
+    taught = collections.defaultdict(list)
+    for key, text, lang, *_ in awkward:
+        if text is not None and lang is not None:
+            taught[lang].append(text)
+    taught["en"].remove(next(t for k, t, *_ in awkward if k == 5))  # a repeated row still is two rows
+    taught["en"].append(next(t for k, t, *_ in awkward if k == 5))
+    texts = [t for _, t, *_ in awkward if t and len(t) < 2000] + ["zzz ÿ quite new"]
+    data = [t.encode() for t in texts]
+    got = ppm.Scorer(model).bits(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]))
+    for row, text in zip(got, texts):
+        for value, lang in zip(row, model["langs"]):
+            assert value == pytest.approx(brute_bits(taught[lang], text, 3), rel=1e-5)
+    for table in (docs, clashing):
+        rows = ppm.predict_languages(table, model).collect()
+        assert len(rows) == len(awkward) and all(0 <= r.score <= 1 for r in rows)
+        und = {r.doc_id for r in rows if r.lang_pred == "und"}
+        assert und == {20, 21, 22, 23, None}
+    assert ppm.predict_languages(none, model).count() == 0
+    assert ppm.keep_known_languages(clashing, model).columns == clashing.columns
+    blank = ppm.fit_languages(none)
+    assert {r.lang_pred for r in ppm.predict_languages(docs, blank).collect()} == {"und"}
+    with pytest.raises(ValueError):
+        ppm.fit_languages(docs, order=8)
+
+
+def test_languages_held_out(spark, sf):
+    found = QUERIES["op9_ppm_language"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    rows = found.filter("held_out and lang is not null").collect()
+    assert np.mean([r.lang == r.lang_pred for r in rows]) >= 0.98
+
+
+# -- quality -------------------------------------------------------------------------------
+
+def test_scores_equal_a_plain_mean(spark, docs, clashing, none, awkward):
+    labels = spark.createDataFrame([(n, n % 2) for n in range(12)] + [(20, 1), (None, 0), (3, None)], "doc_id long, quality int")
+    classes, weights = quality.fit_quality(docs, labels)
+    assert classes == [0, 1]
+    for table in (docs, clashing):
+        got = collections.Counter((r.doc_id, round(r.score, 9), r.predicted) for r in quality.score_quality(table, (classes, weights)).collect())
+        want = collections.Counter()
+        for key, text, *_ in awkward:
+            data = np.frombuffer((text or "").encode(), np.uint8)
+            own = [b for b, _ in quality.features(data, np.array([0, len(data)]))] if len(data) else []
+            mean = weights[np.concatenate([*own, [0]])].astype(float).mean(axis=0)
+            score = 1 / (1 + math.exp(mean[0] - mean[1]))
+            want[(key, round(score, 9), int(score >= 0.5))] += 1
+        assert got == want
+    assert quality.score_quality(none, (classes, weights)).count() == 0
+    untaught = quality.fit_quality(docs, labels.limit(0))
+    assert {r.score for r in quality.score_quality(docs, untaught).collect()} == {0.5}
+    one = quality.fit_quality(docs, labels.filter("quality = 1"))
+    assert {r.score for r in quality.score_quality(docs, one).collect()} == {1.0}
+
+
+def test_features_do_not_cross_documents():
+    texts = ["alpha beta", "", "gamma", "é ñ gamma"]
+    data = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    together = collections.Counter()
+    for buckets, bounds in quality.features(np.frombuffer(b"".join(data), np.uint8), offsets):
+        for n in range(len(texts)):
+            together.update((n, b) for b in buckets[bounds[n] : bounds[n + 1]].tolist())
+    apart = collections.Counter()
+    for n, d in enumerate(data):
+        for buckets, _ in quality.features(np.frombuffer(d, np.uint8), np.array([0, len(d)])) if d else ():
+            apart.update((n, b) for b in buckets.tolist())
+    assert together == apart
+
+
+def test_quality_held_out(spark, sf):
+    found = QUERIES["op2_subword_quality"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    rows = found.filter("held_out and quality is not null").collect()
+    assert np.mean([r.predicted == r.quality for r in rows]) >= 0.95
+
+
+# -- secrets -------------------------------------------------------------------------------
+
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+
+
+def test_candidates_by_brute_force(spark, docs, clashing, none):
+    hexes = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f"
+    rows = [
+        (1, f'a token = "{hexes}" b {hexes} end', "src/app.py"), (2, f"{hexes}", None), (3, "4761598977407687 and 4761598977407688", "docs/x"),
+        (4, "averyveryverylongword but no digit", None), (5, None, None), (6, "", "p"), (1, f'a token = "{hexes}" b {hexes} end', "src/app.py"),
+        (7, "é" * 30 + "abcdefghijklmnop1 " * 500, "x"), (None, "password: Zm9vYmFyMTIzNDU2Nzg5MA==", None),
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = secrets.find_candidates(table, path="source")
+    got = collections.Counter((r.key, r.at, r.candidate) for r in found.collect())
+    want = collections.Counter((k, m.start(), m[0]) for k, t, _ in rows for m in RUN.finditer(t or "") if re.search("[0-9]", m[0]))
+    assert got == want
+    first = {(r.key, r.at): r for r in found.collect()}[(1, 11)]
+    assert (first.named, first.assigned, first.quoted, first.hex_only, first.digits_only) == (1, 1, 1, 1, 0)
+    letters = re.findall("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])", hexes)
+    assert first.digit_turns == pytest.approx(len(letters) / 40) and first.digit_share == pytest.approx(sum(c.isdigit() for c in hexes) / 40)
+    verdicts = secrets.scan_secrets(table, path="source").collect()
+    assert len(verdicts) == sum(want.values())
+    assert {(r.doc_id, r.at): r.is_secret for r in verdicts}[(3, 0)] is False
+    assert secrets.scan_secrets(none).count() == 0
+    assert secrets.scan_secrets(clashing).count() == secrets.scan_secrets(docs).count()
+
+
+def test_word_coverage(spark):
+    rows = [(n, "planet garden") for n in range(6)] + [(10, "planet12345garden6789xy")]
+    found = secrets.find_candidates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r.word_coverage for r in found.collect()] == [pytest.approx(12 / 23)]
+
+
+def test_given_labels_teach(spark):
+    rows = [(n, f"key {'abc' * 5}{n:05d} x") for n in range(40)] + [(n, f"id {n:020d} y") for n in range(40, 80)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(n, 4, 1) for n in range(20)] + [(n, 3, 0) for n in range(40, 60)]
+    verdicts = secrets.scan_secrets(table, spark.createDataFrame(labels, "doc_id long, at long, label int")).collect()
+    assert all(r.is_secret == (r.doc_id < 40) for r in verdicts) and len(verdicts) == 80
+
+
+def test_secrets_held_out(spark, sf):
+    from pyspark.sql import functions as F
+
+    rows = QUERIES["op6_secret_forest"](spark, sf)
+    named = spark.read.parquet(f"{sf}/documents.parquet").filter(held_out()).join(rows, "doc_id")
+    planted = F.lower(F.expr("substring(text, greatest(at - 8, 1), 9)")).rlike('token = "')
+    judged = named.select(planted.alias("planted"), "is_secret").collect()
+    assert judged and np.mean([r.planted == r.is_secret for r in judged]) >= 0.98
+
+
+def test_native_plan(spark, sf_dir):
+    import io
+    from contextlib import redirect_stdout
+
+    for name in ("op6_secret_forest", "op8_line_windows"):
+        out = io.StringIO()
+        with redirect_stdout(out):
+            QUERIES[name](spark, sf_dir).explain()
+        assert not re.search("Python|Pandas|Arrow(?!.*parquet)|MapInArrow", out.getvalue())
