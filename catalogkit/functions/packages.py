@@ -11,12 +11,10 @@ from catalogkit.functions.values import optional_text
 _START = r"(?<!\w)"
 
 # Fixed value: what a dose looks like, e.g. "500 mg/5 ml + 30 mg".
-_AMOUNT = r"\d+(?:[.,]\d+)?\s*"
-_STRENGTH = r"(?:mg|mcg|g|kg|ml|l|ui|mui|meq|%)"
-_PER = r"(?:\s*/\s*" + _AMOUNT + r"(?:ml|g|l))?"
-_ONE_DOSE = _AMOUNT + _STRENGTH + _PER
-DOSE_PATTERN = "(?i)" + _START + _ONE_DOSE + r"(?:\s*\+\s*" + _ONE_DOSE + ")*"
-DOSE_MAX_TEXT = 160
+DOSE_PATTERN = (
+    r"(?i)(?<!\w)\d+(?:[.,]\d+)?\s*(?:mg|mcg|g|kg|ml|l|ui|mui|meq|%)(?:\s*/\s*\d+(?:[.,]\d+)?\s*(?:ml|g|l))?"
+    r"(?:\s*\+\s*\d+(?:[.,]\d+)?\s*(?:mg|mcg|g|kg|ml|l|ui|mui|meq|%)(?:\s*/\s*\d+(?:[.,]\d+)?\s*(?:ml|g|l))?)*"
+)
 
 # Fixed value: "<number> <unit>" of a package.
 PACKAGE_PATTERN = (
@@ -50,11 +48,12 @@ INGREDIENT_TERMS = {
 }
 
 
-def extract_dose(value: Col) -> Column:
-    """First dose in a short text; null for texts of more than 160 characters."""
+def extract_dose(value: Col, max_text: int | None = None) -> Column:
+    """First dose in a text; null for texts of more than ``max_text`` characters, where given."""
     compact = trim(F.regexp_replace(_c(value), r"\s+", " "))
     dose = trim(F.regexp_extract(compact, DOSE_PATTERN, 0))
-    return F.when(F.length(compact) <= DOSE_MAX_TEXT, F.nullif(dose, F.lit("")))
+    found = F.nullif(dose, F.lit(""))
+    return found if max_text is None else F.when(F.length(compact) <= max_text, found)
 
 
 def normalize_unit(value: Col) -> Column:

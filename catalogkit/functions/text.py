@@ -73,8 +73,8 @@ def normalize_match_text(value: Col) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(lowered, "[^a-z0-9]+", " ")), F.lit(""))
 
 
-def tokenize(value: Col, max_tokens: int | None = 256) -> Column:
-    """Search tokens in order, repeats kept, cut to the first ``max_tokens``.
+def tokenize(value: Col, max_tokens: int | None = None) -> Column:
+    """Search tokens of the whole text in order, repeats kept; ``max_tokens`` keeps the first so many.
 
     Because letter/digit borders split, a token is a maximal run of letters or of digits.
     """

@@ -65,15 +65,14 @@ def count_distinct_keys(df: DataFrame, key: str, approximate: bool = False, name
 def group_by_key(df: DataFrame, key: str, item_id: str, order: Sequence[str], size: int = 1000) -> DataFrame:
     """Rows of each non-blank key as lists: ``(key, part_no, parts, items)``.
 
-    A key with at most ``size`` rows has one list. Larger keys are spread by row id over as
-    many lists as they need, so no list grows with the table; together they hold every row.
+    Every key has ``ceil(rows / size)`` lists, over which its rows are spread by row id, so no list
+    grows with the table; together they hold every row. Keys of one list are no special case.
     """
     present = df.filter(trim(F.col(key).cast("string")) != "")
-    large = present.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > size)
-    large = large.select(key, F.ceil(F.col("_n") / size).cast("int").alias("_parts"))
-    parts = F.coalesce(F.col("_parts"), F.lit(1))
-    keyed = present.join(large, key, "left").withColumn("parts", parts)
-    keyed = keyed.withColumn("part_no", F.pmod(F.xxhash64(item_id), F.col("parts")).cast("int")).drop("_parts")
+    sizes = present.groupBy(key).agg(F.count("*").alias("_n"))
+    sizes = sizes.select(key, F.ceil(F.col("_n") / size).cast("int").alias("parts"))
+    keyed = present.join(sizes, key)
+    keyed = keyed.withColumn("part_no", F.pmod(F.xxhash64(item_id), F.col("parts")).cast("int"))
     fields = [*order, *[c for c in present.columns if c not in order]]
     return keyed.groupBy(key, "part_no", "parts").agg(
         F.array_sort(F.collect_list(F.struct(*fields))).alias("items")

@@ -1,45 +1,37 @@
-"""Scoring a large table against a side that must be held by every task.
+"""Scoring every row of one table against every row of another in bounded blocks.
 
-The held side is measured and cut into blocks that fit a byte budget. Each block is
-broadcast on its own and the large table is read once per block; only each block's best
-rows leave a task, and a last ranking merges them. There is no cross join, no pair is
-ever shuffled, and a side of any size gives the exact answer.
+Both tables are cut into blocks of a stated number of rows by the hash of a key. Only the rows' copies for
+the other side's blocks are shuffled; a pair of blocks meets in one bounded group, whose best rows alone leave
+its task. The driver holds nothing, and no row pair is ever shuffled.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-DEFAULT_BLOCK_BYTES = 64 * 1024 * 1024
+Keys = str | Sequence[str]
 
 
-def measured(df: DataFrame) -> tuple[int, int]:
-    """Row count and bytes of a table that might be held in memory."""
-    width = F.octet_length(F.to_json(F.struct("*")))
-    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
-    return rows, size
+def _block_count(df: DataFrame, rows: int) -> Column:
+    """How many blocks the table needs: found while the job runs, not while it is planned."""
+    return F.greatest(F.ceil(df.agg(F.count("*")).scalar() / rows), F.lit(1)).cast("int")
 
 
-def broadcast_if_small(df: DataFrame, limit: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
-    """``df`` marked for broadcast when it measures at most ``limit`` bytes, else as it is.
+def block_pairs(left: DataFrame, right: DataFrame, left_key: Keys, right_key: Keys, left_rows: int, right_rows: int):
+    """The two tables grouped by pairs of blocks, for ``applyInArrow``; each group has the extra columns
+    ``_left_block`` and ``_right_block``."""
+    left_key, right_key = ([k] if isinstance(k, str) else list(k) for k in (left_key, right_key))
+    counts = [_block_count(left, left_rows).alias("_l"), _block_count(right, right_rows).alias("_r")]
 
-    Joins with an unmarked side shuffle both sides.
-    """
-    return F.broadcast(df) if measured(df)[1] <= limit else df
+    def placed(df: DataFrame, key: Sequence[str], own: str, other: str, names: tuple[str, str]) -> DataFrame:
+        counted = df.select("*", *counts)
+        numbered = counted.withColumn(names[0], F.pmod(F.xxhash64(*key), F.col(own)).cast("int"))
+        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        return numbered.withColumn(names[1], every).drop("_l", "_r")
 
-
-def held_blocks(df: DataFrame, key: str, block_bytes: int = DEFAULT_BLOCK_BYTES) -> Iterator[pd.DataFrame]:
-    """``df`` as pandas blocks of about ``block_bytes``, split by the hash of ``key``."""
-    rows, size = measured(df)
-    parts = max(1, math.ceil(size / block_bytes))
-    if not rows:
-        return
-    for part in range(parts):
-        chosen = df if parts == 1 else df.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == part)
-        block = chosen.toPandas()
-        if len(block):
-            yield block
+    blocks = ("_left_block", "_right_block")
+    a = placed(left, left_key, "_l", "_r", blocks).groupBy(*blocks)
+    b = placed(right, right_key, "_r", "_l", blocks[::-1]).groupBy(*blocks)
+    return a.cogroup(b)

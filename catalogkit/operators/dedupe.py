@@ -36,15 +36,18 @@ def distinct_on(df: DataFrame, keys: Sequence[str], order: Order) -> DataFrame:
 
 
 def newest_snapshot_wins(
-    snapshots: DataFrame, key: str, snapshot: str, legacy: str | None = None, include_legacy: bool = False
+    snapshots: DataFrame, key: str, snapshot: str, legacy: str | None = None, include_legacy: bool = False,
+    tie: Order = (),
 ) -> DataFrame:
     """One row per key, from the snapshot with the highest name.
 
+    If a snapshot may repeat a key, ``tie`` orders its rows; the first is taken.
+
     ``legacy`` names a boolean column; such snapshots take part only when asked for.
     """
     if legacy and not include_legacy:
         snapshots = snapshots.filter(~F.col(legacy))
-    return first_per_key(snapshots, [key], [F.desc(snapshot)])
+    return first_per_key(snapshots, [key], [F.desc(snapshot), *tie])
 
 
 def mark_duplicates(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from catalogkit.functions.text import bounded_levenshtein, fuzzy_bound, is_numeric_token
-from catalogkit.operators.blocks import broadcast_if_small
 
 # A string within distance d of another shares at least one of its d+1 segments, moved by at
 # most d places. Segment lengths are fixed by the query token's length, so both sides can
@@ -63,7 +62,7 @@ def match_token_pairs(queries: DataFrame, tokens: DataFrame, query_col: str, tok
     found = None
     for bound in (1, 2):
         keys = ["_len", "_part", "_segment"]
-        pairs = _token_keys(known, bound).join(broadcast_if_small(_query_keys(asked, bound)), keys)
+        pairs = _token_keys(known, bound).join(_query_keys(asked, bound), keys)
         near = pairs.withColumn("distance", bounded_levenshtein("query_token", "token", bound))
         near = near.filter(F.col("distance").isNotNull()).select("query_token", "token", "distance")
         found = near if found is None else found.unionByName(near)

@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from catalogkit.session import cut_lineage
 
-# Search page bounds.
-DEFAULT_LIMIT, MAX_LIMIT = 10, 50
+# Rows of a page when none are asked for, and the bound that a web page may set.
+DEFAULT_LIMIT, WEB_LIMIT = 10, 50
 
 
-def clamp_limit(limit: int | None) -> int:
-    return DEFAULT_LIMIT if limit is None else min(max(int(limit), 1), MAX_LIMIT)
+def page_size(limit: int | None, max_limit: int | None = None) -> int:
+    """Rows of a page: as many as asked for, at least one, at most ``max_limit`` where given."""
+    size = DEFAULT_LIMIT if limit is None else max(int(limit), 1)
+    return size if max_limit is None else min(size, max_limit)
 
 
 def _range_partitioned(df: DataFrame, order: Sequence[Column], partitions: int | None) -> DataFrame:
@@ -51,13 +53,15 @@ def chunk(df: DataFrame, order: Sequence[str | Column], size: int, name: str = "
     return numbered.withColumn(name, F.floor((F.col("_row") - 1) / size).cast("long")).drop("_row")
 
 
-def page(df: DataFrame, order: Sequence[str | Column], limit: int | None = None, offset: int = 0) -> DataFrame:
+def page(
+    df: DataFrame, order: Sequence[str | Column], limit: int | None = None, offset: int = 0, max_limit: int | None = None
+) -> DataFrame:
     """One page in order with ``position, returned, has_more, next_offset``.
 
     One row beyond the page is fetched to learn whether more follow. Spark keeps only
     ``offset + limit + 1`` rows per partition for it.
     """
-    limit = clamp_limit(limit)
+    limit = page_size(limit, max_limit)
     fetched = df.orderBy(*order).offset(offset).limit(limit + 1)
     everything = Window.partitionBy(F.lit(1))
     numbered = fetched.withColumn("position", F.row_number().over(everything.orderBy(*order)).cast("long"))

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from catalogkit.functions.text import Col, normalize_text, tokenize_unique, trim
 from catalogkit.functions.values import computed_once, first_non_blank
-from catalogkit.operators.blocks import DEFAULT_BLOCK_BYTES, held_blocks
-from catalogkit.operators.dedupe import first_per_key
+from catalogkit.operators.blocks import block_pairs
+from catalogkit.operators.dedupe import first_per_key, top_per_key
 
 LEVELS = ["department", "category", "subcategory", "segment", "subsegment"]
 
@@ -26,6 +26,9 @@ SOURCE_NONE, CONFIDENCE_NONE = "no_candidates", 0.0
 SOURCE_BEST, CONFIDENCE_BEST = "heuristic", 0.35
 SOURCE_CHOICE = "external_choice"
 
+#: Rows of a block of item signatures and of entries.
+ITEM_ROWS, ENTRY_ROWS = 2048, 4096
+
 CANDIDATES_TYPE = "array<struct<entry_no:bigint,score:double,item_count:bigint>>"
 
 
@@ -121,63 +124,64 @@ def _scorer(block: pd.DataFrame, limit: int):
     return best, top
 
 
-def _candidates_udf(block: pd.DataFrame, limit: int):
-    best, top = _scorer(block, limit)
+def _score_blocks(limit: int):
+    """Function of a block of item signatures and a block of entries to the best entries per signature."""
 
-    @F.arrow_udf(CANDIDATES_TYPE)
-    def candidates(l1: pa.Array, l2: pa.Array, l3: pa.Array, l4: pa.Array, l5: pa.Array, tokens: pa.Array) -> pa.Array:
-        entries, scores, counts = best([l1, l2, l3, l4, l5], tokens)
-        cells = pa.StructArray.from_arrays(
-            [pa.array(x.ravel()) for x in (entries, scores, counts)], ["entry_no", "score", "item_count"]
-        )
-        ends = pa.array(np.arange(len(entries) + 1) * top, pa.int32())
-        lists = pa.ListArray.from_arrays(ends, cells)
-        if (scores > 0).all():
-            return lists
-        kept = [[c for c in row if c["score"] > 0] for row in lists.to_pylist()]
-        return pa.array(kept, lists.type)
-
-    return candidates
-
-
-def _better(a: Column, b: Column) -> Column:
-    """Candidate order: higher score, then higher count, then file order."""
-    return (
-        F.when(a["score"] > b["score"], -1)
-        .when(a["score"] < b["score"], 1)
-        .when(a["item_count"] > b["item_count"], -1)
-        .when(a["item_count"] < b["item_count"], 1)
-        .when(a["entry_no"] < b["entry_no"], -1)
-        .when(a["entry_no"] > b["entry_no"], 1)
-        .otherwise(0)
-    )
+    def run(items: pa.Table, entries: pa.Table) -> pa.Table:
+        if not items.num_rows or not entries.num_rows:
+            return _SCORED.empty_table()
+        best, top = _scorer(entries.to_pandas(), limit)
+        levels = [items[f"n_{level}"].combine_chunks() for level in LEVELS]
+        entry, score, count = best(levels, items["tokens"].combine_chunks())
+        row = np.repeat(np.arange(items.num_rows), top)
+        keep = score.ravel() > 0
+        columns = [items[h].to_numpy()[row[keep]] for h in ("h1", "h2")]
+        columns += [x.ravel()[keep] for x in (entry, score, count)]
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, _SCORED.types)], schema=_SCORED)
+
+    return run
+
+
+_SCORED = pa.schema(
+    [("h1", pa.int64()), ("h2", pa.int64()), ("entry_no", pa.int64()), ("score", pa.float64()), ("item_count", pa.int64())]
+)
 
 
 def taxonomy_candidates(
-    items: DataFrame, entries: DataFrame, search_text: Col, limit: int = 10, block_bytes: int = DEFAULT_BLOCK_BYTES
+    items: DataFrame, entries: DataFrame, search_text: Col, limit: int = 10, item_rows: int = ITEM_ROWS,
+    entry_rows: int = ENTRY_ROWS, where: Column | None = None,
 ) -> DataFrame:
     """Add ``candidates``: the best entries per item as ``array<struct<entry_no, score, item_count>>``.
 
     Every entry scores 4 per shared word, 80 to 120 per equal level (blank equals blank), and up
-    to one point for its count; ties go to the higher count, then to file order. The taxonomy is
-    a dimension: one measured block as a rule, which costs no shuffle at all. A larger one is
-    scored block by block in the same row, and the blocks' best are merged.
+    to one point for its count; ties go to the higher count, then to file order. Items alike in levels and words
+    are scored once; their signatures meet the entries in pairs of blocks, so neither side has to fit one
+    task or the driver. Items outside ``where`` are not scored and have no candidates.
     """
     held = entries.select(
         "entry_no", "item_count", "path_tokens", *[normalize_text(level).alias(f"n_{level}") for level in LEVELS]
     )
-    levels = [normalize_text(level) for level in LEVELS]
-    tokens = tokenize_unique(search_text)
-    result, names = items, []
-    for number, block in enumerate(held_blocks(held, "entry_no", block_bytes)):
-        names.append(f"_block{number}")
-        result = result.withColumn(names[-1], _candidates_udf(block, limit)(*levels, tokens))
-    if not names:
-        return items.withColumn("candidates", F.array().cast(CANDIDATES_TYPE))
-    if len(names) == 1:
-        return result.withColumnRenamed(names[0], "candidates")
-    ranked = F.array_sort(F.concat(*names), _better)
-    return result.withColumn("candidates", F.slice(ranked, 1, limit)).drop(*names)
+    named = [normalize_text(level).alias(f"n_{level}") for level in LEVELS]
+    signature = F.struct(*named, F.array_sort(tokenize_unique(search_text)).alias("tokens"))
+    keyed = computed_once(items, _signature=signature if where is None else F.when(where, signature))
+    scored = F.col("_signature").isNotNull()
+    keyed = keyed.withColumns({
+        "_h1": F.when(scored, F.xxhash64("_signature")), "_h2": F.when(scored, F.xxhash64(F.lit("items"), "_signature"))
+    })
+    asked = keyed.filter(scored).groupBy(F.col("_h1").alias("h1"), F.col("_h2").alias("h2"))
+    asked = asked.agg(F.first("_signature").alias("s")).select("h1", "h2", "s.*")
+    pairs = block_pairs(asked, held, ["h1", "h2"], "entry_no", item_rows, entry_rows)
+    found = pairs.applyInArrow(_score_blocks(limit), "h1 long, h2 long, entry_no long, score double, item_count long")
+    best = top_per_key(found, ["h1", "h2"], [F.desc("score"), F.desc("item_count"), "entry_no"], limit, "rank")
+    entry = F.struct("entry_no", "score", "item_count").alias("entry")
+    lists = best.groupBy(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(
+        F.array_sort(F.collect_list(F.struct("rank", entry))).alias("_best")
+    )
+    joined = keyed.drop("_signature").join(lists, ["_h1", "_h2"], "left")
+    candidates = F.transform("_best", lambda c: c["entry"])
+    return joined.withColumn(
+        "candidates", F.coalesce(candidates, F.array().cast(CANDIDATES_TYPE))
+    ).drop("_h1", "_h2", "_best")
 
 
 def classify_taxonomy(
@@ -187,7 +191,6 @@ def classify_taxonomy(
     limit: int = 10,
     choices: DataFrame | None = None,
     item_key: str = "ean",
-    block_bytes: int = DEFAULT_BLOCK_BYTES,
 ) -> DataFrame:
     """Add ``taxonomy`` and the resolved levels.
 
@@ -197,7 +200,7 @@ def classify_taxonomy(
     back to the best one.
     """
     exact = taxonomy_exact(items, entries)
-    scored = taxonomy_candidates(exact, entries, search_text, limit, block_bytes)
+    scored = taxonomy_candidates(exact, entries, search_text, limit, where=F.col("exact_entry_no").isNull())
     best = F.get("candidates", F.lit(0))["entry_no"]
     if choices is not None:
         picked = choices.join(

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from catalogkit.operators.blocks import DEFAULT_BLOCK_BYTES, held_blocks
+from catalogkit.operators.blocks import block_pairs
 from catalogkit.operators.dedupe import top_per_key
 
 _CELLS = 2_000_000
 MERGE_SALTS = 32
+#: Rows of a block of queries and of the corpus: with 512 numbers a vector, 4 MB each.
+QUERY_ROWS, CORPUS_ROWS = 1024, 1024
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
@@ -67,65 +66,76 @@ def _best(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     return ordered[ordered.groupby("_q").cumcount() < k]
 
 
-def _score_partition(block: pd.DataFrame, k: int, min_score: float | None, digits: int, lexical: bool, batch_rows: int):
-    dims = len(block["query_vector"].iloc[0])
-    vectors = _matrix(pa.array(block["query_vector"].tolist(), pa.list_(pa.float64())), dims).T
-    query_ids = block["query_id"].to_numpy()
-    count = len(block)
-    overlap = _Overlap(block["query_tokens"].tolist()) if lexical else None
-    short = block["is_short"].to_numpy(dtype=bool) if lexical else np.zeros(count, bool)
-    eans = block["query_ean"] if lexical else None
-    ean_owner = eans.dropna().groupby(eans).groups if lexical else {}
+def _score_blocks(k: int, min_score: float | None, digits: int, lexical: bool):
+    """Function of a block of queries and a block of the corpus to the block's best rows per query."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def best(queries: pa.Table, corpus: pa.Table) -> pa.Table:
+        count = queries.num_rows
+        if not count or not corpus.num_rows:
+            return _result_schema(queries.schema.field("query_id").type, corpus.schema.field("doc_id").type).empty_table()
+        dims = int(np.asarray(queries["query_vector"].combine_chunks().value_lengths().fill_null(0)).max())
+        vectors = _matrix(queries["query_vector"], dims).T
+        overlap = _Overlap(queries["query_tokens"].to_pylist()) if lexical else None
+        short = np.asarray(queries["is_short"].fill_null(False)) if lexical else np.zeros(count, bool)
+        eans = queries["query_ean"].to_pandas() if lexical else None
+        ean_owner = eans.dropna().groupby(eans).groups if lexical else {}
         kept, floor_lead, floor_sim = None, np.full(count, -1.0), np.full(count, -np.inf)
-        step = max(1, min(batch_rows, _CELLS // count))
-        for whole in batches:
-            for low in range(0, whole.num_rows, step):
-                batch = whole.slice(low, step)
-                sim = np.round(_matrix(batch.column("vector"), dims) @ vectors, digits) + 0.0
-                shape = sim.shape
-                hits = overlap.count(batch.column("tokens")) if lexical else np.zeros(shape, np.int64)
-                exact = np.zeros(shape, np.int64)
-                if ean_owner:
-                    for r, ean in enumerate(batch.column("ean").to_pylist()):
-                        if ean in ean_owner:
-                            exact[r, ean_owner[ean]] = 1
-                lead = np.where(short, hits, 0)
-                ahead = exact * float(1 << 40) + lead
-                live = (ahead > floor_lead) | ((ahead == floor_lead) & (sim >= floor_sim))
-                if min_score is not None:
-                    live &= (sim >= min_score) | (short & (hits > 0))
-                row, query = np.nonzero(live)
-                if not len(row):
-                    continue
-                found = pd.DataFrame(
-                    {
-                        "_q": query,
-                        "doc_id": batch.column("doc_id").to_numpy(zero_copy_only=False)[row],
-                        "recency": batch.column("recency").to_numpy(zero_copy_only=False)[row],
-                        "similarity": sim[row, query],
-                        "overlap": hits[row, query],
-                        "exact": exact[row, query],
-                        "_lead": lead[row, query],
-                        "_tail": np.where(short[query], 0, hits[row, query]),
-                    }
-                )
-                kept = _best(found if kept is None else pd.concat([kept, found]), k)
-                # a query with k rows already needs nothing below its last one
-                sizes = kept.groupby("_q").size()
-                last = kept.groupby("_q").last()
-                full = sizes.index[sizes.to_numpy() >= k].to_numpy()
-                if len(full):
-                    tail = last.loc[full]
-                    floor_lead[full] = tail["exact"].to_numpy() * float(1 << 40) + tail["_lead"].to_numpy()
-                    floor_sim[full] = tail["similarity"].to_numpy()
-        if kept is not None and len(kept):
-            out = kept.assign(query_id=query_ids[kept["_q"].to_numpy()])
-            columns = ["query_id", "doc_id", "recency", "similarity", "overlap", "exact"]
-            yield pa.RecordBatch.from_pandas(out[columns], preserve_index=False)
-
-    return run
+        step = max(1, _CELLS // count)
+        for low in range(0, corpus.num_rows, step):
+            batch = corpus.slice(low, step)
+            sim = np.round(_matrix(batch["vector"], dims) @ vectors, digits) + 0.0
+            shape = sim.shape
+            hits = overlap.count(batch["tokens"].combine_chunks()) if lexical else np.zeros(shape, np.int64)
+            exact = np.zeros(shape, np.int64)
+            if len(ean_owner):
+                known = pa.array(list(ean_owner), pa.string())
+                found = np.asarray(pc.index_in(batch["ean"], value_set=known).combine_chunks().fill_null(-1))
+                for r in np.flatnonzero(found >= 0):
+                    exact[r, ean_owner[known[int(found[r])].as_py()]] = 1
+            lead = np.where(short, hits, 0)
+            ahead = exact * float(1 << 40) + lead
+            live = (ahead > floor_lead) | ((ahead == floor_lead) & (sim >= floor_sim))
+            if min_score is not None:
+                live &= (sim >= min_score) | (short & (hits > 0))
+            row, query = np.nonzero(live)
+            if not len(row):
+                continue
+            found = pd.DataFrame(
+                {
+                    "_q": query,
+                    "doc_id": batch["doc_id"].to_numpy()[row],
+                    "recency": batch["recency"].to_numpy()[row],
+                    "similarity": sim[row, query],
+                    "overlap": hits[row, query],
+                    "exact": exact[row, query],
+                    "_lead": lead[row, query],
+                    "_tail": np.where(short[query], 0, hits[row, query]),
+                }
+            )
+            kept = _best(found if kept is None else pd.concat([kept, found]), k)
+            # a query with k rows already needs nothing below its last one
+            sizes = kept.groupby("_q").size()
+            last = kept.groupby("_q").last()
+            full = sizes.index[sizes.to_numpy() >= k].to_numpy()
+            if len(full):
+                tail = last.loc[full]
+                floor_lead[full] = tail["exact"].to_numpy() * float(1 << 40) + tail["_lead"].to_numpy()
+                floor_sim[full] = tail["similarity"].to_numpy()
+        schema = _result_schema(queries.schema.field("query_id").type, corpus.schema.field("doc_id").type)
+        if kept is None:
+            return schema.empty_table()
+        own = kept["_q"].to_numpy()
+        columns = [queries["query_id"].take(pa.array(own)), pa.array(short[own])]
+        columns += [pa.array(kept[c], schema.field(c).type) for c in schema.names[2:]]
+        return pa.Table.from_arrays(columns, schema=schema)
+
+    return best
+
+
+def _result_schema(query_type: pa.DataType, doc_type: pa.DataType) -> pa.Schema:
+    names = [("query_id", query_type), ("is_short", pa.bool_()), ("doc_id", doc_type), ("recency", pa.float64())]
+    names += [("similarity", pa.float64()), ("overlap", pa.int64()), ("exact", pa.int64())]
+    return pa.schema(names)
 
 
 def scored_topk(
@@ -135,8 +145,8 @@ def scored_topk(
     min_score: float | None = None,
     lexical: bool = True,
     digits: int = 9,
-    block_bytes: int = DEFAULT_BLOCK_BYTES,
-    batch_rows: int = 4096,
+    query_rows: int = QUERY_ROWS,
+    corpus_rows: int = CORPUS_ROWS,
 ) -> DataFrame:
     """Best ``k`` corpus rows per query: ``query_id, doc_id, similarity, overlap, exact, is_short, rank``.
 
@@ -146,37 +156,26 @@ def scored_topk(
     overlap for long queries, recency, lowest id. Similarities are compared after rounding to
     ``digits``, so that the order of summation does not decide ties.
 
-    The corpus is streamed once per query block; a task keeps ``k`` rows per query.
+    Blocks of ``query_rows`` queries meet blocks of ``corpus_rows`` rows; a pair of blocks sends on
+    ``k`` rows per query. Nothing goes through the driver, whatever the number of queries.
     """
     width = ["doc_id", "vector"]
     if lexical:
         source = corpus.select(*width, "tokens", "ean", F.col("recency").cast("double"))
-        held = queries.select("query_id", "query_vector", "query_tokens", "query_ean", "is_short")
+        asked = queries.select("query_id", "query_vector", "query_tokens", "query_ean", "is_short")
     else:
         source = corpus.select(*width, F.lit(0.0).alias("recency"))
-        held = queries.select("query_id", "query_vector")
+        asked = queries.select("query_id", "query_vector")
     id_type = queries.schema["query_id"].dataType.simpleString()
     doc_type = corpus.schema["doc_id"].dataType.simpleString()
     schema = (
-        f"query_id {id_type}, doc_id {doc_type}, recency double, similarity double, overlap bigint, exact bigint"
+        f"query_id {id_type}, is_short boolean, doc_id {doc_type}, recency double, similarity double, overlap bigint, "
+        "exact bigint"
     )
-    passes = [
-        source.mapInArrow(_score_partition(block, k, min_score, digits, lexical, batch_rows), schema)
-        for block in held_blocks(held, "query_id", block_bytes)
-    ]
-    if not passes:
-        return source.limit(0).selectExpr(
-            f"cast(null as {id_type}) query_id", "doc_id", "0D similarity", "0L overlap", "0L exact",
-            "false is_short", "0 rank",
-        )
-    best = reduce(lambda a, b: a.unionByName(b), passes)
-    if lexical:
-        flags = held.select("query_id", "is_short")
-        best = best.join(flags, "query_id")
-    else:
-        best = best.withColumn("is_short", F.lit(False))
+    pairs = block_pairs(asked, source, "query_id", "doc_id", query_rows, corpus_rows)
+    best = pairs.applyInArrow(_score_blocks(k, min_score, digits, lexical), schema)
     order = rank_order()
-    # every task sent k rows per query: thin them in salted groups before one task ranks a query
+    # every pair of blocks sent k rows per query: thin them in salted groups before one task ranks a query
     salted = best.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(MERGE_SALTS)))
     thinned = top_per_key(salted, ["query_id", "_salt"], order, k)
     return top_per_key(thinned, ["query_id"], order, k, "rank").drop("_salt", "recency")
@@ -192,8 +191,8 @@ def rank_order(overlap: str = "overlap", similarity: str = "similarity", exact:
 
 def vector_topk(
     queries: DataFrame, corpus: DataFrame, k: int, min_score: float | None = None, digits: int = 9,
-    block_bytes: int = DEFAULT_BLOCK_BYTES,
+    query_rows: int = QUERY_ROWS, corpus_rows: int = CORPUS_ROWS,
 ) -> DataFrame:
     """Exact cosine top-k: ``query_id, doc_id, similarity, rank``."""
-    found = scored_topk(queries, corpus, k, min_score, lexical=False, digits=digits, block_bytes=block_bytes)
+    found = scored_topk(queries, corpus, k, min_score, lexical=False, digits=digits, query_rows=query_rows, corpus_rows=corpus_rows)
     return found.select("query_id", "doc_id", "similarity", "rank")

@@ -35,7 +35,6 @@ DIMENSIONS = ["active_ingredient", *LEVELS]
 NO_DESCRIPTION = "Todo produto precisa ter o campo descricaoProduto."
 NO_TOKENS = "Nao foi possivel gerar tokens a partir dos dados do produto."
 UNDEFINED_CLASS = "NAO DEFINIDO"
-MAX_TOKENS = 256
 
 
 def validate_products(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -48,7 +47,7 @@ def validate_products(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     typed = df.select(
         *keep, code.alias("_code"), *[pick(names).alias(target) for target, names in PRODUCT_FIELDS.items()]
     )
-    tokens = tokenize(product_text(), MAX_TOKENS)
+    tokens = tokenize(product_text())
     error = (
         F.when(F.col("description").isNull(), NO_DESCRIPTION)
         .when(F.col("_code.error").isNotNull(), F.col("_code.error"))
@@ -61,11 +60,13 @@ def product_text() -> Column:
     return searchable_text("description", "active_ingredient", *TEXT_FIELDS)
 
 
-def with_search_columns(products: DataFrame, dims: int = DEFAULT_DIMENSIONS, vectors: bool = True) -> DataFrame:
+def with_search_columns(
+    products: DataFrame, dims: int = DEFAULT_DIMENSIONS, vectors: bool = True, max_tokens: int | None = None
+) -> DataFrame:
     """Add search text, its normal form, tokens, their count and the hashed vector. No shuffle."""
     texted = products.withColumn("searchable_text", product_text())
     texted = texted.withColumn("normalized_searchable_text", normalize_search_text("searchable_text"))
-    texted = texted.withColumn("tokens", tokenize("searchable_text", MAX_TOKENS))
+    texted = texted.withColumn("tokens", tokenize("searchable_text", max_tokens))
     texted = texted.withColumn("token_count", F.size("tokens"))
     return texted.withColumn("embedding", hash_vector("tokens", dims)) if vectors else texted
 
@@ -76,10 +77,16 @@ def upsert_catalog(
     """Catalogue after writing ``new`` over ``old`` by code.
 
     Payload columns are replaced as a whole, ``created_at`` stays, ``updated_at`` becomes ``now``.
-    If ``new`` repeats a code its last row by ``position`` counts. Codes are unique on both sides
-    of the join, so it does not skew.
+    If ``new`` repeats a code its last row by ``position`` counts; without a ``position`` a repeated
+    code is an error when the job runs. Codes are unique on both sides of the join, so it does not skew.
     """
-    fresh = first_per_key(new, [key], [F.desc(position)]) if position else new
+    if position:
+        fresh = first_per_key(new, [key], [F.desc(position)])
+    else:
+        own = new.select(key, F.struct(*[c for c in new.columns if c != key]).alias("_row"))
+        once = own.groupBy(key).agg(F.count("*").alias("_n"), F.first("_row").alias("_row"))
+        repeated = F.raise_error(F.concat(F.lit("a position is needed for the repeated code "), F.col(key)))
+        fresh = once.select(F.when(F.col("_n") > 1, repeated).otherwise(F.col(key)).alias(key), "_row.*")
     payload = [c for c in old.columns if c not in (key, "created_at", "updated_at")]
     right = fresh.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in payload], F.lit(True).alias("_new"))
     both = old.join(right, F.col(key) == F.col("_key"), "full_outer")

@@ -9,14 +9,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from catalogkit.functions.ean import exact_ean_from_query
 from catalogkit.functions.text import fuzzy_equal, normalize_match_text, normalize_search_text, tokenize
 from catalogkit.functions.vectors import DEFAULT_DIMENSIONS, hash_vector
-from catalogkit.operators.blocks import DEFAULT_BLOCK_BYTES
-from catalogkit.operators.ordering import clamp_limit
-from catalogkit.operators.topk import scored_topk
+from catalogkit.operators.ordering import page_size
+from catalogkit.operators.topk import CORPUS_ROWS, QUERY_ROWS, scored_topk
 
 # A query of at most two tokens is short; fuzzy hits need this similarity.
 SHORT_TOKENS = 2
 RELIABLE_SIMILARITY = 0.45
-MAX_TOKENS = 256
 
 # Product fields a result is matched by.
 RESULT_FIELDS = ["ean", "description", "active_ingredient", "classification", "social_name", "manufacturer"]
@@ -24,13 +22,13 @@ RESULT_FIELDS = ["ean", "description", "active_ingredient", "classification", "s
 
 def prepare_queries(
     queries: DataFrame, text: str = "query", query_id: str = "query_id", dims: int = DEFAULT_DIMENSIONS,
-    vector: str | None = None, explicit_ean: str | None = None,
+    vector: str | None = None, explicit_ean: str | None = None, max_tokens: int | None = None,
 ) -> DataFrame:
     """Queries with normal form, tokens, code, length class and vector; those without a token are dropped.
 
     ``vector`` names a ready-made embedding column; without it tokens are hashed.
     """
-    tokens = queries.withColumn("query_tokens", tokenize(text, MAX_TOKENS)).filter(F.size("query_tokens") > 0)
+    tokens = queries.withColumn("query_tokens", tokenize(text, max_tokens)).filter(F.size("query_tokens") > 0)
     return tokens.select(
         F.col(query_id).alias("query_id"),
         F.col(text).alias("query"),
@@ -44,16 +42,16 @@ def prepare_queries(
 
 def hybrid_search(
     prepared: DataFrame, corpus: DataFrame, limit: int | None = None, offset: int = 0, min_score: float | None = None,
-    block_bytes: int = DEFAULT_BLOCK_BYTES,
+    max_limit: int | None = None, query_rows: int = QUERY_ROWS, corpus_rows: int = CORPUS_ROWS,
 ) -> DataFrame:
     """One page of ranked results per query.
 
     ``corpus``: ``doc_id, vector, tokens, ean, recency``. Result: ``query_id, doc_id, similarity,
     overlap, exact, is_short, rank, position, has_more``. One row beyond the page tells whether
-    more follow.
+    more follow. ``max_limit`` bounds the page where a caller wants that.
     """
-    limit = clamp_limit(limit)
-    best = scored_topk(prepared, corpus, offset + limit + 1, min_score, block_bytes=block_bytes)
+    limit = page_size(limit, max_limit)
+    best = scored_topk(prepared, corpus, offset + limit + 1, min_score, query_rows=query_rows, corpus_rows=corpus_rows)
     beyond = best.groupBy("query_id").agg((F.max("rank") > offset + limit).alias("has_more"))
     kept = best.filter((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
     return kept.withColumn("position", F.col("rank") - offset).join(beyond, "query_id")

@@ -12,7 +12,6 @@ from catalogkit.functions.values import format_stock, price_block
 from catalogkit.functions.vectors import ranking_score
 from catalogkit.operators.aggregates import count_if
 from catalogkit.operators.dedupe import first_per_key, top_per_key
-from catalogkit.operators.ordering import MAX_LIMIT
 
 # Shortlist length, generic highlights, price tiers and the generic class.
 SHORTLIST, HIGHLIGHTS = 7, 3
@@ -86,7 +85,7 @@ def merge_diagnostics(
     )
 
 
-def window_sizes(start: int, cap: int = MAX_LIMIT) -> list[int]:
+def window_sizes(start: int, cap: int) -> list[int]:
     """Search windows tried in turn: doubled up to the cap."""
     sizes = [min(max(start, 1), cap)]
     while sizes[-1] < cap:
@@ -95,11 +94,11 @@ def window_sizes(start: int, cap: int = MAX_LIMIT) -> list[int]:
 
 
 def expand_window(
-    ranked: DataFrame, feed: DataFrame, feed_order: Sequence[str], start: int, min_stock: float = 0, cap: int = MAX_LIMIT
+    ranked: DataFrame, feed: DataFrame, feed_order: Sequence[str], start: int, cap: int, min_stock: float = 0
 ) -> DataFrame:
     """Smallest search window per query that holds a stocked row, and the attempts it took.
 
-    ``ranked`` has ``query_id, rank, ean, …`` down to the cap. A query stops early, with nothing,
+    ``ranked`` has ``query_id, rank, ean, …`` down to the ``cap`` that the caller sets. A query stops early, with nothing,
     once a window is not filled and holds no row short of stock. Windows follow from ranks: one
     join answers all of them.
     """

@@ -11,16 +11,15 @@ from catalogkit.operators.dedupe import top_per_key
 from catalogkit.sinks.files import current_snapshot, read_snapshot, write_snapshot
 from catalogkit.streaming.imports import start
 
-# How long a row stays valid, and how many are kept.
+# Fixed value: how long a row stays valid.
 TTL_SECONDS = 300
-MAX_ENTRIES = 5000
 
 
 def cached_rows(
     rows: DataFrame, keys: Sequence[str], ts: str, now: Column, ttl_seconds: int = TTL_SECONDS,
-    max_entries: int | None = MAX_ENTRIES, tie: Sequence[str] = (),
+    max_entries: int | None = None, tie: Sequence[str] = (),
 ) -> DataFrame:
-    """Last row per key that has not expired at ``now``, the ``max_entries`` latest of them.
+    """Last row per key that has not expired at ``now``; ``max_entries`` keeps only the latest of them.
 
     Expired rows are filtered first; the time condition reaches the scan.
     """
@@ -40,7 +39,7 @@ def cache_hits(requests: DataFrame, cache: DataFrame, keys: Sequence[str]) -> Da
 
 def stock_cache_stream(
     rows: DataFrame, base: str, checkpoint: str, keys: Sequence[str], ts: str, ttl_seconds: int = TTL_SECONDS,
-    max_entries: int | None = MAX_ENTRIES, interval: str | None = None,
+    max_entries: int | None = None, interval: str | None = None,
 ) -> StreamingQuery:
     """Keep the cache as snapshots under ``base``: each micro-batch is merged and expired rows go.
 

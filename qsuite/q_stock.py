@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogkit.operators.dedupe import top_per_key
-from catalogkit.operators.ordering import MAX_LIMIT
+from catalogkit.operators.ordering import WEB_LIMIT
 from catalogkit.plans.stock import (
     expand_window,
     generic_highlights,
@@ -31,7 +31,7 @@ def results(spark, d):
     rows = c.select(
         F.col("manufacturer").alias("query_id"), key.alias("doc_id"), F.when(key % 17 != 0, F.col("ean")).alias("ean"), "description", "price",
         ((key % 9) / 10).alias("similarity"), (key % 3).alias("overlap"), F.when(key % 29 == 0, 1).otherwise(0).alias("exact"))
-    return top_per_key(rows, ["query_id"], [F.desc("price"), "doc_id"], MAX_LIMIT, "rank")
+    return top_per_key(rows, ["query_id"], [F.desc("price"), "doc_id"], WEB_LIMIT, "rank")
 
 
 def stock(spark, d):
@@ -86,7 +86,7 @@ def _expand_sql() -> str:
 
 @query("expand_window", v.ctes(v.CATALOG_SQL, v.FEED_SQL, RESULTS_SQL, FIRST_SQL) + ", " + _expand_sql())
 def expand_window_q(spark, d):
-    return expand_window(results(spark, d), stock(spark, d), v.FEED_ORDER, 1, 45)
+    return expand_window(results(spark, d), stock(spark, d), v.FEED_ORDER, 1, WEB_LIMIT, 45)
 
 
 # offers: each branch's stock, by price or in arrival order

@@ -66,7 +66,7 @@ def taxonomy_candidates_q(spark, d):
     + "select entry_no, count(*) as items from ranked where rk = 1 group by entry_no",
 )
 def taxonomy_top_q(spark, d):
-    made = taxonomy_candidates(signals(spark, d), v.taxonomy(spark, d), "all_words", 1, block_bytes=400_000)
+    made = taxonomy_candidates(signals(spark, d), v.taxonomy(spark, d), "all_words", 1, item_rows=300, entry_rows=200)
     return made.groupBy(F.get("candidates", F.lit(0))["entry_no"].alias("entry_no")).agg(F.count("*").alias("items"))
 
 

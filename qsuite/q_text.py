@@ -68,6 +68,8 @@ simple("normalize_match_text", "documents", "doc_id", {"norm": lambda: normalize
        {"norm": "trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g'))"})
 simple("tokenize", "documents", "doc_id", {"tokens": lambda: F.array_join(tokenize("text"), " "), "n": lambda: F.size(tokenize("text"))},
        {"tokens": f"array_to_string({v.sql_tokens('text')}, ' ')", "n": f"cast(len({v.sql_tokens('text')}) as integer)"})
+simple("tokenize_limited", "documents", "doc_id", {"tokens": lambda: F.array_join(tokenize("text", 256), " ")},
+       {"tokens": f"array_to_string({v.sql_tokens('text', 256)}, ' ')"})
 
 
 @query(

@@ -50,7 +50,7 @@ def sql_search_norm(text: str) -> str:
     return f"trim(regexp_replace({split}, '[^a-z0-9]+', ' ', 'g'))"
 
 
-def sql_tokens(text: str, limit: int | None = 256) -> str:
+def sql_tokens(text: str, limit: int | None = None) -> str:
     tokens = f"regexp_extract_all({sql_search_norm(text)}, '[a-z0-9]+')"
     return f"list_slice({tokens}, 1, {limit})" if limit else tokens
 

@@ -61,7 +61,8 @@ def test_value_rules(spark):
 def test_package_rules(spark):
     assert one(spark, packages.extract_dose(F.lit("Xarope 500mg/5ml  + 30 mg frasco"))) == "500mg/5ml + 30 mg"
     assert one(spark, packages.extract_dose(F.lit("a" * 150 + " 500mg       tab"))) is not None
-    assert one(spark, packages.extract_dose(F.lit("a" * 160 + " 500mg"))) is None
+    assert one(spark, packages.extract_dose(F.lit("a" * 160 + " 500mg"), 160)) is None
+    assert one(spark, packages.extract_dose(F.lit("a" * 160 + " 500mg"))) == "500mg"
     got = one(spark, packages.extract_package(F.lit("sem"), F.lit("Caixa 30 Comp 500mg")))
     assert (got["quantity"], got["unit"]) == ("30", "comprimidos")
     assert one(spark, packages.infer_terms(F.lit("Vitamina D3 com CÁLCIO e zinco"))) == ["Vitamina D3", "Cálcio", "Zinco"]

@@ -75,6 +75,7 @@ def test_page_bounds(spark):
     last = page(rows, ["id"], 5, 10).collect()
     assert [(r.id, r.position, r.returned, r.has_more, r.next_offset) for r in last] == [(10, 1, 2, False, None), (11, 2, 2, False, None)]
     assert page(rows, ["id"], 500).count() == 12 and page(rows, ["id"]).count() == 10
+    assert page(spark.range(300), ["id"], 200).count() == 200 and page(spark.range(300), ["id"], 200, max_limit=50).count() == 50
 
 
 def test_topk_blocks_match_brute_force(spark):
@@ -84,8 +85,8 @@ def test_topk_blocks_match_brute_force(spark):
     q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(queries)], "query_id long, query_vector array<double>")
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     best = np.argsort(-(unit(queries) @ unit(docs).T), axis=1)[:, :7]
-    for block in (1 << 26, 3000):
-        got = vector_topk(q, d, 7, block_bytes=block)
+    for query_rows, corpus_rows in ((1024, 1024), (7, 60)):
+        got = vector_topk(q, d, 7, query_rows=query_rows, corpus_rows=corpus_rows)
         rows = got.orderBy("query_id", "rank").collect()
         assert [r.doc_id for r in rows] == best.ravel().tolist()
     assert "NestedLoop" not in plan(got) and "Cartesian" not in plan(got)
@@ -96,7 +97,7 @@ def test_taxonomy_blocks_agree(spark, sf_dir):
     entries = v.taxonomy(spark, sf_dir)
     numbers = lambda df: {r.p_partkey: [(c.entry_no, c.score) for c in r.candidates] for r in df.select("p_partkey", "candidates").collect()}
     whole = numbers(taxonomy_candidates(rows, entries, "description", 6))
-    assert numbers(taxonomy_candidates(rows, entries, "description", 6, block_bytes=6000)) == whole
+    assert numbers(taxonomy_candidates(rows, entries, "description", 6, item_rows=40, entry_rows=30)) == whole
     assert all(len(c) == 6 for c in whole.values())
 
 
