@@ -84,6 +84,9 @@ def keyset_page(df: DataFrame, key: str, after: str | None = None, limit: int =
 
 def export_slice(df: DataFrame, key: str, limit: int | None = None, offset: int = 0) -> DataFrame:
     """Rows in key order from ``offset``, all of them when no limit is given."""
+    if limit is None and offset:
+        # an offset alone would bring the table to one task: number the rows instead
+        return with_row_number(df, [key], "_row").filter(F.col("_row") > offset).drop("_row").orderBy(key)
     ordered = df.orderBy(key)
     ordered = ordered.offset(offset) if offset else ordered
     return ordered if limit is None else ordered.limit(limit)

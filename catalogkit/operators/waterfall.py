@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -33,13 +33,23 @@ def source_order(api: Sequence[str], scrapers: Sequence[str], mode: str = "api_f
     return [*scrapers, *api] if mode == "scraping_first" else [*api, *scrapers]
 
 
+def _answer_order() -> Column:
+    """Which of several answers of one source counts: one with a hit, then one without error, then by content."""
+    content = F.to_json(F.struct("result", "detail", "error"))
+    return F.struct(
+        (F.col("result").isNull() & F.col("detail").isNull()).alias("empty"),
+        F.col("error").isNotNull().alias("failed"),
+        F.sha2(content, 256).alias("content"),
+    )
+
+
 def lookup_waterfall(
     keys: DataFrame, lookups: DataFrame, sources: Sequence[str], key: str = "ean", source: str = "source_key"
 ) -> DataFrame:
     """Per distinct key, what each source answered when asked in order.
 
-    ``lookups`` has ``(key, source, result struct, detail struct, error)``, one row per key and
-    source. The answer has ``resolved_by`` and ``lookups``, an array with one struct per source
+    ``lookups`` has ``(key, source, result struct, detail struct, error)``. Of several rows per key and source,
+    one with a hit counts, else one without error; content decides the rest, so the choice is repeatable. The answer has ``resolved_by`` and ``lookups``, an array with one struct per source
     in order: the first source with a result or detail wins, later ones are marked skipped, and
     an error counts as no hit. Sources are gathered with one partial aggregation by key.
     """
@@ -47,7 +57,9 @@ def lookup_waterfall(
     asked = keys.select(key).distinct()
     answers = lookups.filter(F.col(source).isin(*sources)).groupBy(key).agg(
         *[
-            F.max(F.when(F.col(source) == s, F.struct("result", "detail", "error"))).alias(f"_s{i}")
+            F.min_by(
+                F.struct("result", "detail", "error"), F.when(F.col(source) == s, _answer_order())
+            ).alias(f"_s{i}")
             for i, s in enumerate(sources)
         ]
     )
@@ -195,6 +207,19 @@ def register_lookup(key: str, df: DataFrame, priority: int) -> DataFrame:
     missing = {"ean", "result", "detail", "error"} - set(df.columns)
     if missing:
         raise ValueError(f"lookup source {key} lacks {sorted(missing)}")
-    one = top_per_key(df, ["ean"], [F.col("error").asc_nulls_first()], 1)
+    order = _answer_order()
+    one = top_per_key(df, ["ean"], [order], 1)
     return one.select("ean", F.lit(source_keys([key])[0]).alias("source_key"), F.lit(priority).alias("priority"),
                       "result", "detail", "error")
+
+
+def register_lookups(sources: Mapping[str, tuple[DataFrame, int]]) -> tuple[DataFrame, list[str]]:
+    """All lookup sources ``key -> (answers, priority)`` as one table, and the order in which to ask them.
+
+    The lowest priority is asked first; equal priorities go by key.
+    """
+    if not sources:
+        raise ValueError("at least one lookup source is needed")
+    tables = [register_lookup(key, df, priority) for key, (df, priority) in sources.items()]
+    order = sorted(sources, key=lambda key: (sources[key][1], key))
+    return reduce(lambda a, b: a.unionByName(b), tables), source_keys(order)

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import json
-import time
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 
 def export_csv(df: DataFrame, path: str, order: str | None = None, single_file: bool = False) -> None:
     """CSV with header, quotes doubled, null as empty, in ``order`` across the part files.
 
-    The first file starts with a byte order mark. ``single_file`` is for exports a person opens.
+    ``single_file`` is for exports a person opens: one file that starts with a byte order mark.
     """
     ordered = df.orderBy(order) if order else df
     ordered = ordered.coalesce(1) if single_file else ordered
@@ -28,49 +24,9 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("errorifexists").json(path)
 
 
-def _files(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target, jvm
-
+def write_snapshot(df: DataFrame, path: str) -> None:
+    """Write a catalogue to a new path that the caller names; an existing one is an error.
 
-def write_snapshot(df: DataFrame, base: str) -> str:
-    """Write a new catalogue snapshot under ``base`` and point ``CURRENT`` at it.
-
-    Readers see the old snapshot or the new one, never a mixture.
+    Readers take the path from the caller, who hands it on once the write has ended.
     """
-    spark = df.sparkSession
-    name = f"snapshot-{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(f"{base}/{name}")
-    fs, _, jvm = _files(spark, base)
-    fresh, current = jvm.org.apache.hadoop.fs.Path(f"{base}/_next-{name}"), jvm.org.apache.hadoop.fs.Path(f"{base}/_current")
-    stream = fs.create(fresh, True)
-    stream.write(bytearray(json.dumps({"snapshot": name}).encode()))
-    stream.close()
-    if fs.exists(current):
-        fs.delete(current, False)
-    fs.rename(fresh, current)
-    return name
-
-
-def current_snapshot(spark: SparkSession, base: str) -> str | None:
-    """Name of the snapshot ``CURRENT`` points at, else of the newest complete one."""
-    fs, root, jvm = _files(spark, base)
-    pointer = jvm.org.apache.hadoop.fs.Path(f"{base}/_current")
-    if fs.exists(pointer):
-        stream = fs.open(pointer)
-        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        stream.close()
-        return json.loads(text)["snapshot"]
-    if not fs.exists(root):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
-    done = [n for n in names if n.startswith("snapshot-") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{base}/{n}/_SUCCESS"))]
-    return max(done, default=None)
-
-
-def read_snapshot(spark: SparkSession, base: str) -> DataFrame:
-    name = current_snapshot(spark, base)
-    if name is None:
-        raise FileNotFoundError(f"no catalogue snapshot under {base}")
-    return spark.read.parquet(f"{base}/{name}")
+    df.write.mode("errorifexists").parquet(path)

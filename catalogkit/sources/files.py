@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from catalogkit.functions.values import field_type, optional_text
+from catalogkit.operators.ordering import with_row_number
 from catalogkit.operators.taxonomy import LEVELS, taxonomy_entries
 from catalogkit.sources.normalize import canonical_item
 
@@ -67,12 +68,11 @@ def read_products_payload(spark: SparkSession, path: str, multi_line: bool = Tru
 
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
-    """Taxonomy entries of a ``;`` separated file, in file order.
-
-    A taxonomy is one hand-kept file, so its rows are numbered in one task.
-    """
-    rows = _csv(spark, path, ";", True).withColumn("_at", F.monotonically_increasing_id())
-    rows = rows.withColumn("entry_order", F.row_number().over(Window.orderBy("_at")))
+    """Taxonomy entries of ``;`` separated files, in file order; several files follow each other by name."""
+    rows = _csv(spark, path, ";", True).select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at")
+    )
+    rows = with_row_number(rows, ["_file", "_at"], "entry_order")
     named = rows.select(
         *[optional_text(source).alias(level) for source, level in zip(TAXONOMY_HEADER, LEVELS)],
         F.col(TAXONOMY_COUNT).alias("item_count"),

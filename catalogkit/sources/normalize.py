@@ -22,6 +22,7 @@ from catalogkit.functions.values import (
     to_number,
 )
 from catalogkit.operators.dedupe import distinct_on
+from catalogkit.operators.ordering import export_slice
 
 # Field names a canonical item is read from.
 EAN_FIELDS = ["ean", "codigo_barras", "codigobarras", "codigo"]
@@ -124,8 +125,7 @@ def read_packages(
     rows = rows.select(F.col(code).alias("ean"), F.col(description).alias("name"))
     if top is None and not skip:
         return rows
-    ordered = rows.orderBy("ean").offset(skip)
-    return ordered if top is None else ordered.limit(top)
+    return export_slice(rows, "ean", top, skip)
 
 
 def count_packages(df: DataFrame, code: str = "codigobarras", description: str = "descricao") -> DataFrame:

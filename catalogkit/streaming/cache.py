@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from catalogkit.operators.dedupe import top_per_key
-from catalogkit.sinks.files import current_snapshot, read_snapshot, write_snapshot
-from catalogkit.streaming.imports import start
+from catalogkit.streaming.imports import start, write_epoch
 
 # Fixed value: how long a row stays valid.
 TTL_SECONDS = 300
@@ -37,21 +36,27 @@ def cache_hits(requests: DataFrame, cache: DataFrame, keys: Sequence[str]) -> Da
     return joined.withColumn("cache_hit", F.col("_hit").isNotNull()).drop("_hit")
 
 
+def cache_at(spark: SparkSession, base: str, epoch: int) -> DataFrame:
+    """The cache as it was after a micro-batch."""
+    return spark.read.parquet(f"{base}/epoch={epoch}")
+
+
 def stock_cache_stream(
     rows: DataFrame, base: str, checkpoint: str, keys: Sequence[str], ts: str, ttl_seconds: int = TTL_SECONDS,
     max_entries: int | None = None, interval: str | None = None,
 ) -> StreamingQuery:
-    """Keep the cache as snapshots under ``base``: each micro-batch is merged and expired rows go.
+    """Keep the cache under ``base``, one folder per micro-batch: the batch is merged and expired rows go.
 
-    ``now`` is the newest time seen, so a replayed stream expires the same rows.
+    ``now`` is the newest time seen, so a replayed stream expires the same rows. A repeated micro-batch writes
+    the same folder again; the folder before the last is emptied, as nothing reads it any more.
     """
 
     def handle(df: DataFrame, epoch: int) -> None:
         spark = df.sparkSession
-        merged = df
-        if current_snapshot(spark, base) is not None:
-            merged = read_snapshot(spark, base).unionByName(df)
+        merged = df if epoch == 0 else cache_at(spark, base, epoch - 1).unionByName(df)
         now = merged.agg(F.max(ts)).scalar()
-        write_snapshot(cached_rows(merged, keys, ts, now, ttl_seconds, max_entries), base)
+        write_epoch(cached_rows(merged, keys, ts, now, ttl_seconds, max_entries), base, epoch)
+        if epoch > 1:
+            write_epoch(df.limit(0), base, epoch - 2)
 
     return start(rows, handle, checkpoint, interval)

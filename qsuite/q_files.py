@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogkit.operators.waterfall import lookup_waterfall, register_lookup
+from catalogkit.operators.waterfall import lookup_waterfall, register_lookups
 from catalogkit.session import new_work_path
-from catalogkit.sinks.files import export_csv, read_snapshot, write_snapshot
+from catalogkit.sinks.files import export_csv, write_snapshot
 from catalogkit.sources.files import TAXONOMY_COUNT, TAXONOMY_HEADER, read_items_csv, read_items_json, read_products_payload, read_taxonomy
 from catalogkit.sources.normalize import SourceRegistry, normalize_erp_b, normalize_packages
 from qsuite import views as v
@@ -79,10 +79,9 @@ def export_csv_q(spark, d):
 
 @query("write_snapshot", v.ctes(v.CATALOG_SQL, UPSERT_SQL) + "select ean, description, price from merged")
 def write_snapshot_q(spark, d):
-    base = new_work_path(spark, "catalog")
-    write_snapshot(v.catalog(spark, d).select("ean", "description", "price"), base)
-    write_snapshot(upserted(spark, d).select("ean", "description", "price"), base)
-    return read_snapshot(spark, base)
+    path = new_work_path(spark, "catalog")
+    write_snapshot(upserted(spark, d).select("ean", "description", "price"), path)
+    return spark.read.parquet(path)
 
 
 @query(
@@ -105,8 +104,8 @@ def register_source_q(spark, d):
 )
 def register_lookup_q(spark, d):
     all_answers = v.lookups(spark, d)
-    tables = [
-        register_lookup(f" {s.upper()} ", all_answers.filter(F.col("source_key") == s).drop("source_key"), i) for i, s in enumerate(SOURCES)
-    ]
-    merged = tables[0].unionByName(tables[1]).unionByName(tables[2])
-    return lookup_waterfall(keys(spark, d), merged, SOURCES).select("ean", "resolved_by")
+    # registered in reverse: the priorities bring back the order
+    own = lambda s: all_answers.filter(F.col("source_key") == s).drop("source_key")
+    registered = {f" {s.upper()} ": (own(s), i) for i, s in reversed(list(enumerate(SOURCES)))}
+    merged, order = register_lookups(registered)
+    return lookup_waterfall(keys(spark, d), merged, order).select("ean", "resolved_by")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from catalogkit.functions.ean import check_digit
 from catalogkit.functions.values import computed_once
+from catalogkit.operators.ordering import with_row_number
 from catalogkit.operators.taxonomy import LEVELS, taxonomy_entries
 from catalogkit.session import spread
 
@@ -252,14 +253,12 @@ TAXONOMY_SQL = f"""paths as (
 
 
 def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths seen in two thirds of the parts, with how many parts each has; a bounded dimension."""
-    from pyspark.sql import Window
-
+    """Paths seen in two thirds of the parts, with how many parts each has."""
     c = catalog(spark, sf_dir).filter(F.col("p_partkey") % 3 != 1)
     paths = c.groupBy(*LEVELS).agg(F.count("*").alias("item_count"))
     blank = lambda x: F.coalesce(F.col(x), F.lit(""))
-    order = Window.orderBy("department", "category", blank("subcategory"), "segment", blank("subsegment"))
-    return taxonomy_entries(paths.withColumn("entry_order", F.row_number().over(order)), "entry_order")
+    order = ["department", "category", blank("subcategory"), "segment", blank("subsegment")]
+    return taxonomy_entries(with_row_number(paths, order, "entry_order"), "entry_order")
 
 
 def ctes(*parts: str) -> str:

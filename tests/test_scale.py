@@ -13,8 +13,7 @@ from catalogkit.operators.ordering import nearest_rank_percentiles, page, with_r
 from catalogkit.operators.taxonomy import taxonomy_candidates
 from catalogkit.operators.topk import vector_topk
 from catalogkit.plans.triage import triage
-from catalogkit.streaming.cache import stock_cache_stream
-from catalogkit.sinks.files import read_snapshot
+from catalogkit.streaming.cache import cache_at, stock_cache_stream
 from catalogkit.streaming.imports import dedupe_stream, import_stream, read_table_stream, start, write_epoch
 from qsuite import views as v
 
@@ -175,5 +174,5 @@ def test_stock_cache_stream(spark, tmp_path):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = read_table_stream(spark, str(tmp_path / "in"), "*.parquet", 1)
     stock_cache_stream(stream, str(tmp_path / "cache"), str(tmp_path / "check"), ["k"], "ts").awaitTermination()
-    kept = {r.k: r.stock for r in read_snapshot(spark, str(tmp_path / "cache")).collect()}
+    kept = {r.k: r.stock for r in cache_at(spark, str(tmp_path / "cache"), 1).collect()}
     assert kept == {"a": 3.0, "c": 4.0}

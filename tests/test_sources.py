@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalogkit.operators.taxonomy import classify_taxonomy
-from catalogkit.plans.catalog import lookup_eans, lookup_summary
+from catalogkit.plans.catalog import lookup_eans, lookup_summary, upsert_catalog
 from catalogkit.plans.enrich import enrich_items, product_snapshot
 from catalogkit.operators.policy import SourcePolicy
-from catalogkit.operators.waterfall import lookup_waterfall
-from catalogkit.sinks.files import current_snapshot, export_csv, read_snapshot, write_snapshot
+from catalogkit.operators.dedupe import newest_snapshot_wins
+from catalogkit.operators.waterfall import lookup_waterfall, register_lookups
+from catalogkit.sinks.files import export_csv, write_snapshot
 from catalogkit.sinks.publish import batch_body, publish, publish_payload, replay
 from catalogkit.sources.files import read_items_csv, read_items_json, read_products_payload, read_taxonomy
 from catalogkit.sources.normalize import default_sources, normalize_ecommerce, normalize_erp_a, normalize_erp_b
@@ -130,11 +131,34 @@ def test_export_and_snapshots(spark, tmp_path):
     export_csv(df, str(tmp_path / "out"), "ean", single_file=True)
     body = next((tmp_path / "out").glob("part-*")).read_text(encoding="utf-8")
     assert body == '﻿ean,description,note\n1,"line\nbreak",x\n2,"say ""hi"", ok",\n'
-    base = str(tmp_path / "catalog")
-    assert current_snapshot(spark, base) is None
-    write_snapshot(df, base)
-    write_snapshot(df.limit(1), base)
-    assert read_snapshot(spark, base).count() == 1
+    write_snapshot(df, str(tmp_path / "catalog"))
+    assert spark.read.parquet(str(tmp_path / "catalog")).count() == 2
+    with pytest.raises(Exception, match="exists"):
+        write_snapshot(df, str(tmp_path / "catalog"))
+
+
+def test_registered_priorities_decide(spark):
+    kind = "ean string, result struct<name:string>, detail struct<info:string>, error string"
+    answer = lambda name: spark.createDataFrame([("1", (name,), None, None), ("1", None, None, "late"), ("2", None, None, "down")], kind)
+    merged, order = register_lookups({"a": (answer("from a"), 5), "b": (answer("from b"), 0)})
+    assert order == ["b", "a"]
+    rows = {r.ean: r for r in lookup_waterfall(spark.createDataFrame([("1",), ("2",)], "ean string"), merged, order).collect()}
+    assert rows["1"].resolved_by == "b" and rows["1"].lookups[0].result.name == "from b"
+    assert rows["2"].resolved_by is None and rows["2"].lookups[1].error == "down"
+
+
+def test_repeated_codes_need_a_position(spark):
+    old = spark.createDataFrame([("1", "x", 0, 0)], "ean string, name string, created_at int, updated_at int")
+    new = spark.createDataFrame([("1", "y", 0), ("1", "z", 1)], "ean string, name string, at int")
+    got = upsert_catalog(old, new, F.lit(9), position="at").collect()
+    assert [tuple(r) for r in got] == [("1", "z", 0, 9)]
+    with pytest.raises(Exception, match="position is needed"):
+        upsert_catalog(old, new, F.lit(9)).collect()
+
+
+def test_newest_snapshot_ties(spark):
+    rows = spark.createDataFrame([("1", "s2", 5), ("1", "s2", 3), ("1", "s1", 1)], "ean string, snapshot string, n int")
+    assert newest_snapshot_wins(rows, "ean", "snapshot", tie=["n"]).first().n == 3
 
 
 def test_publish_and_replay(spark, tmp_path):
