@@ -1,4 +1,4 @@
-"""Reading values out of HTML pages, without leaving generated code where a pattern can do it."""
+"""Reading values out of HTML pages: patterns for whole pages, one parse per page for fields of elements."""
 
 from __future__ import annotations
 
@@ -77,27 +77,12 @@ def _rule(config) -> dict:
     return {"selector": config} if isinstance(config, str) else dict(config)
 
 
-_SIMPLE = re.compile(r"^([a-zA-Z][a-zA-Z0-9]*)?(?:([.#])([\w-]+))?$")
-
-
-def _element_pattern(selector: str) -> tuple[str, str]:
-    """Patterns of a start tag and of a whole element for ``tag``, ``.class``, ``#id`` and their joins."""
-    tag, kind, name = _SIMPLE.match(selector).groups()
-    attr = ""
-    if kind == "#":
-        attr = rf'(?=[^>]*\sid\s*=\s*["\']{name}["\'])'
-    elif kind == ".":
-        attr = rf'(?=[^>]*\sclass\s*=\s*["\'][^"\']*(?<![\w-]){name}(?![\w-]))'
-    word = tag or r"[a-zA-Z][a-zA-Z0-9]*"
-    start = rf"<({word})(?=[\s>/]){attr}[^>]*>"
-    return start, rf"(?is){start}(.*?)</\1\s*>"
-
-
 def _finish(value: Column, rule: dict) -> Column:
     """Blank collapsing, then the rule's pattern, prefix and suffix."""
     text = F.nullif(trim(F.regexp_replace(value, r"\s+", " ")), F.lit(""))
     if rule.get("regex"):
-        flags = "(?i)" if "i" in rule.get("regexFlags", "") else ""
+        given = rule.get("regexFlags") or ""
+        flags = "".join(f"(?{java})" for flag, java in (("i", "iu"), ("s", "s"), ("m", "m")) if flag in given)
         pattern = flags + rule["regex"]
         group = int(rule.get("group") or 1)
         whole = F.nullif(trim(F.regexp_extract(text, pattern, 0)), F.lit(""))
@@ -112,106 +97,210 @@ def _finish(value: Column, rule: dict) -> Column:
     return F.nullif(trim(text), F.lit(""))
 
 
-def extract_field(html: Col, config) -> Column:
-    """One field of a scrape configuration.
+def extract_field(html: Col, config, scope: str | None = None) -> Column:
+    """One field of a scrape configuration; several fields of a page belong in one :func:`extract_fields`."""
+    return extract_fields(html, {"value": config}, scope)[0]
 
-    The rule holds ``selector`` and optionally ``attr, regex, regexFlags, group, multiple,
-    prefix, suffix``. A simple selector (``tag``, ``.class``, ``#id``, ``tag.class``,
-    ``tag#id``) is a pattern over elements that do not nest in themselves; any other
-    selector needs :func:`parse_fields`.
+
+def extract_fields(html: Col, config: dict, scope: str | None = None) -> list[Column]:
+    """One column per configured field, named by the field; the page is parsed once for all of them.
+
+    A rule is a selector, or holds ``selector`` and optionally ``attr, regex, regexFlags, group, multiple,
+    prefix, suffix``. ``multiple`` gives the distinct values as an array. ``scope`` limits the fields to the
+    inside of the first element that matches it; without such an element all fields are null.
     """
-    rule = _rule(config)
-    if not _SIMPLE.match(rule["selector"]):
-        raise ValueError(f"selector needs parse_fields: {rule['selector']}")
-    html = F.regexp_replace(_c(html), r"(?s)<!--.*?-->", "")
-    start, element = _element_pattern(rule["selector"])
-    attr = rule.get("attr")
-    attr_pattern = rf'(?is)\s{attr}\s*=\s*["\']([^"\']*)["\']' if attr else None
+    rules = {name: rule for name, rule in config.items() if _rule(rule).get("selector")}
+    parsed = parse_fields(html, rules, scope) if rules else None
+    return [
+        (finish_field(parsed[name], rule) if name in rules else F.lit(None).cast("string")).alias(name)
+        for name, rule in config.items()
+    ]
+
 
-    def value_of(piece: Column) -> Column:
-        if attr:
-            return unescape(F.regexp_extract(piece, attr_pattern, 1))
-        return unescape(F.regexp_replace(piece, r"(?s)<[^>]*>", ""))
+class Node:
+    """An element: its place among its siblings, and where its inside begins and ends in the page's order."""
 
-    pattern, group = (f"(?is){start}", 0) if attr else (element, 2)
-    if not rule.get("multiple"):
-        return _finish(value_of(F.regexp_extract(html, pattern, group)), rule)
-    pieces = F.regexp_extract_all(html, F.lit(pattern), F.lit(group))
-    values = F.transform(pieces, lambda p: _finish(value_of(p), rule))
-    return F.array_distinct(F.array_compact(values))
+    __slots__ = ("tag", "attrs", "parent", "kids", "at", "end", "text_from", "text_to")
 
+    def __init__(self, tag: str, attrs: dict, parent: "Node | None", at: int, text_from: int):
+        self.tag, self.attrs, self.parent, self.kids = tag, attrs, parent, []
+        self.at, self.end, self.text_from, self.text_to = at, at, text_from, text_from
 
-def extract_fields(html: Col, config: dict) -> list[Column]:
-    """One column per configured field, named by the field."""
-    return [extract_field(html, rule).alias(name) for name, rule in config.items()]
 
+# Tags without an end tag, and tags that a like tag beside them ends.
+_VOID = "area base br col embed hr img input link meta source track wbr".split()
+_ENDED_BY = {"li": ["li"], "p": ["p"], "option": ["option"], "tr": ["tr", "td", "th"], "td": ["td", "th"],
+             "th": ["td", "th"], "dt": ["dt", "dd"], "dd": ["dt", "dd"]}
+_ENDED_BY |= dict.fromkeys("div ul ol dl table section article nav header footer form h1 h2 h3 h4 h5 h6 hr pre".split(), ["p"])
 
-class _Collector(HTMLParser):
-    """Collects text or an attribute of the elements matching descendant selectors."""
 
-    _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+class _Page(HTMLParser):
+    """The page's elements in order and its text pieces; character references are decoded by the parser."""
 
-    def __init__(self, rules: list[tuple[list[tuple], str | None]]):
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.rules, self.stack, self.open = rules, [], []
-        self.found: list[list[list[str]]] = [[] for _ in rules]
-
-    @staticmethod
-    def _matches(step: tuple, node: tuple) -> bool:
-        tag, kind, name = step
-        node_tag, attrs = node
-        if tag and tag.lower() != node_tag:
-            return False
-        if kind == "#":
-            return attrs.get("id") == name
-        return kind != "." or name in (attrs.get("class") or "").split()
+        self.root = Node("", {}, None, 0, 0)
+        self.nodes, self.pieces, self.open = [self.root], [], [self.root]
+        self.feed(html)
+        self.close()
+        while self.open:
+            self._end()
+
+    def _end(self) -> None:
+        node = self.open.pop()
+        node.end, node.text_to = len(self.nodes), len(self.pieces)
 
     def handle_starttag(self, tag, attrs):
-        node = (tag, dict(attrs))
-        for index, (steps, attr) in enumerate(self.rules):
-            if not self._matches(steps[-1], node):
-                continue
-            rest, above = list(steps[:-1]), list(self.stack)
-            while rest and above:
-                if self._matches(rest[-1], above.pop()):
-                    rest.pop()
-            if not rest:
-                text = [node[1].get(attr) or ""] if attr else []
-                self.found[index].append(text)
-                if not attr and tag not in self._VOID:
-                    self.open.append((len(self.stack), text))
-        if tag not in self._VOID:
-            self.stack.append(node)
+        while self.open[-1].tag in _ENDED_BY.get(tag, ()):
+            self._end()
+        above = self.open[-1]
+        node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, above, len(self.nodes), len(self.pieces))
+        above.kids.append(node)
+        self.nodes.append(node)
+        self.open.append(node)
+        if tag in _VOID:
+            self._end()
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        names = [n for n, _ in self.stack]
-        if tag in names:
-            depth = len(names) - 1 - names[::-1].index(tag)
-            del self.stack[depth:]
-            self.open = [o for o in self.open if o[0] < depth]
+        if any(node.tag == tag for node in self.open):
+            while self.open[-1].tag != tag:
+                self._end()
+            self._end()
 
     def handle_data(self, data):
-        for _, text in self.open:
-            text.append(data)
+        self.pieces.append(data)
+
+
+_NAME = r"[\w-]+"
+_SIMPLE_PART = re.compile(
+    rf"(?P<tag>\*|{_NAME})|#(?P<id>{_NAME})|\.(?P<cls>{_NAME})"
+    rf"|\[\s*(?P<attr>{_NAME})\s*(?:(?P<op>[~|^$*]?=)\s*(?P<value>\"[^\"]*\"|'[^']*'|[^\]\s]+)\s*)?\]"
+    rf"|:(?P<pseudo>first-child|last-child|only-child|nth-child)(?:\(\s*(?P<nth>[^)]*?)\s*\))?"
+)
+
+
+def _nth(text: str) -> tuple[int, int]:
+    """``a`` and ``b`` of ``an+b``."""
+    text = {"odd": "2n+1", "even": "2n"}.get(text.lower(), text.lower()).replace(" ", "")
+    found = re.fullmatch(r"([+-]?\d*)n([+-]\d+)?|([+-]?\d+)", text)
+    if not found:
+        raise ValueError(f"nth-child of {text}")
+    if found[3]:
+        return 0, int(found[3])
+    return int(found[1] + "1" if found[1] in ("", "+", "-") else found[1]), int(found[2] or 0)
+
+
+def parse_selector(selector: str) -> list[list[tuple[str, list[dict]]]]:
+    """Alternatives of ``(combinator, conditions)`` steps: tags, classes, ids, attribute tests, child positions,
+    descendants, children (``>``) and commas."""
+    out, steps, combinator, at = [], [], " ", 0
+    selector = selector.strip()
+    while at < len(selector):
+        if gap := re.compile(r"\s*([>,])\s*|\s+").match(selector, at):
+            at = gap.end()
+            if gap[1] == ",":
+                out.append(steps)
+                steps, combinator = [], " "
+            else:
+                combinator = gap[1] or " "
+            continue
+        conditions = []
+        while part := _SIMPLE_PART.match(selector, at):
+            found = {k: x for k, x in part.groupdict().items() if x is not None}
+            if found.get("pseudo") == "nth-child":
+                found["nth"] = _nth(found.get("nth", ""))
+            if "value" in found:
+                found["value"] = found["value"].strip("\"'")
+            conditions.append(found)
+            at = part.end()
+        if not conditions:
+            raise ValueError(f"selector not understood: {selector}")
+        steps.append((combinator, conditions))
+        combinator = " "
+    out.append(steps)
+    if not all(out) or combinator == ">":
+        raise ValueError(f"selector not understood: {selector}")
+    return out
+
+
+_TESTS = {
+    "=": lambda x, v: x == v,
+    "~=": lambda x, v: v in x.split(),
+    "|=": lambda x, v: x == v or x.startswith(v + "-"),
+    "^=": lambda x, v: bool(v) and x.startswith(v),
+    "$=": lambda x, v: bool(v) and x.endswith(v),
+    "*=": lambda x, v: bool(v) and v in x,
+}
+
+
+def _holds(node: Node, test: dict) -> bool:
+    if "tag" in test:
+        return test["tag"] in ("*", node.tag) or test["tag"].lower() == node.tag
+    if "id" in test:
+        return node.attrs.get("id") == test["id"]
+    if "cls" in test:
+        return test["cls"] in node.attrs.get("class", "").split()
+    if "attr" in test:
+        value = node.attrs.get(test["attr"].lower())
+        return value is not None and ("op" not in test or _TESTS[test["op"]](value, test["value"]))
+    kids = node.parent.kids
+    place = next(n for n, kid in enumerate(kids, 1) if kid is node)
+    if test["pseudo"] == "nth-child":
+        step, first = test["nth"]
+        return place == first if step == 0 else (place - first) % step == 0 and (place - first) // step >= 0
+    return (test["pseudo"] == "last-child" or place == 1) and (test["pseudo"] == "first-child" or place == len(kids))
+
+
+def _matches(node: Node, steps: list, last: int) -> bool:
+    """Whether ``node`` fits the step ``last`` and its ancestors the steps before it."""
+    combinator, conditions = steps[last]
+    if node.parent is None or not all(_holds(node, test) for test in conditions):
+        return False
+    if last == 0:
+        return True
+    above = node.parent
+    while above is not None:
+        if _matches(above, steps, last - 1):
+            return True
+        if combinator == ">":
+            return False
+        above = above.parent
+    return False
+
+
+def select_nodes(page: _Page, selector: list, within: Node) -> list[Node]:
+    """Elements inside ``within`` that fit a parsed selector, in page order."""
+    inside = page.nodes[within.at + 1 : within.end]
+    return [n for n in inside if any(_matches(n, steps, len(steps) - 1) for steps in selector)]
 
 
-def parse_fields(html: Col, config: dict) -> Column:
-    """``map<field, array<string>>`` of raw matches for selectors with descendant steps.
+def parse_fields(html: Col, config: dict, scope: str | None = None) -> Column:
+    """``map<field, array<string>>`` of raw texts or attributes of the matching elements, from one parse of the page.
 
-    Arrow-batched; pass each list on to :func:`finish_field`.
+    Null where ``scope`` matches nothing. Arrow-batched; pass each list on to :func:`finish_field`.
     """
     rules = []
     for rule in map(_rule, config.values()):
-        steps = [_SIMPLE.match(step).groups() for step in rule["selector"].split()]
-        rules.append((steps, rule.get("attr")))
-    names = list(config)
+        rules.append((parse_selector(rule["selector"]), rule.get("attr"), bool(rule.get("multiple"))))
+    names, frame = list(config), parse_selector(scope) if scope else None
 
     @F.pandas_udf("map<string, array<string>>")
     def parse(pages: pd.Series) -> pd.Series:
-        def one(page):
-            collector = _Collector(rules)
-            collector.feed(page or "")
-            return {n: ["".join(t) for t in texts] for n, texts in zip(names, collector.found)}
+        def one(text):
+            page = _Page(text or "")
+            root = page.root if frame is None else next(iter(select_nodes(page, frame, page.root)), None)
+            if root is None:
+                return None
+            found = {}
+            for name, (selector, attr, multiple) in zip(names, rules):
+                nodes = select_nodes(page, selector, root)
+                values = [n.attrs.get(attr) if attr else "".join(page.pieces[n.text_from : n.text_to])
+                          for n in (nodes if multiple else nodes[:1])]
+                found[name] = [v or "" for v in values]
+            return found
 
         return pages.map(one)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from catalogkit.functions.html import absolute_url, extract_fields, html_to_text, strip_query
+from catalogkit.functions.html import absolute_url, extract_fields, html_to_text, strip_query, url_template
 from catalogkit.functions.packages import extract_package, infer_terms
 from catalogkit.functions.text import Col, _c, let, normalize_text, split_ingredients, trim
 from catalogkit.functions.values import first_non_blank, first_text, json_path
@@ -192,42 +192,53 @@ SCRAPE_DETAIL = {
 }
 
 
-def scrape_results(pages: DataFrame, config: dict, key: str = "ean", html: str = "html") -> DataFrame:
+def _scraped(pages: DataFrame, rules: dict, wanted: dict, key: str, html: str, keep: dict, scope: str | None = None):
+    """Fields of a configuration by target, with the columns ``keep``; the page is parsed once."""
+    fields = {target: rules[name] for name, target in wanted.items() if rules.get(name)}
+    found = pages.select(key, *[c.alias(n) for n, c in keep.items()], *extract_fields(html, fields, scope))
+    return found, lambda n: F.col(n) if n in fields else F.lit(None).cast("string")
+
+
+def scrape_results(pages: DataFrame, config: dict, key: str = "ean", html: str = "html", code: str | None = None) -> DataFrame:
     """Lookup results of landed search pages, by a declarative scrape configuration.
 
-    A page gives a result when a name, link or presentation is found.
+    ``resultItem`` limits the fields to the first element that matches it; a page without one has no result.
+    ``detail.urlTemplate`` builds the result's URL from ``{{href}}``, ``{{ean}}`` (the column ``code``) and
+    ``{{baseUrl}}``. A page gives a result when a name, link or presentation is found.
     """
-    rules = config.get("selectors", {})
-    base = config.get("baseUrl") or config.get("search", {}).get("baseUrl") or ""
-    fields = {target: rules[name] for name, target in SCRAPE_RESULT.items() if name in rules}
-    found = pages.select(key, *extract_fields(html, fields))
-    column = lambda n: F.col(n) if n in fields else F.lit(None).cast("string")
+    rules = config.get("selectors") or {}
+    base = config.get("baseUrl") or (config.get("search") or {}).get("baseUrl") or ""
+    keep = {"_code": F.col(code or key).cast("string")}
+    found, column = _scraped(pages, rules, SCRAPE_RESULT, key, html, keep, rules.get("resultItem"))
     name = first_non_blank(column("nome"), column("nome_exibicao"))
     joined = F.concat_ws(" ", name, column("apresentacao"))
+    href = column("href")
+    template = (config.get("detail") or {}).get("urlTemplate")
+    target = url_template(template, href=href, ean=F.col("_code"), baseUrl=F.lit(base)) if template else href
     result = F.struct(
         name.alias("nome"),
         name.alias("nome_produto"),
         first_non_blank(column("nome_exibicao"), joined, name).alias("nome_exibicao"),
         name.alias("produto"),
         *[column(n).alias(n) for n in ("apresentacao", "laboratorio", "categoria", "tarja", "href")],
-        absolute_url(column("href"), base).alias("url"),
+        F.when(href.isNotNull(), absolute_url(target, base)).alias("url"),
     )
-    usable = name.isNotNull() | column("href").isNotNull() | column("apresentacao").isNotNull()
+    usable = name.isNotNull() | href.isNotNull() | column("apresentacao").isNotNull()
     return found.select(key, F.when(usable, result).alias("result"))
 
 
 def scrape_details(pages: DataFrame, config: dict, key: str = "ean", html: str = "html") -> DataFrame:
-    """Lookup details of landed product pages."""
-    rules = config.get("selectors", {})
-    fields = {target: rules[name] for name, target in SCRAPE_DETAIL.items() if name in rules}
+    """Lookup details of landed product pages; the name falls back to the search page's rule."""
+    rules = config.get("selectors") or {}
     many = rules.get("detailActiveIngredients")
-    extra = extract_fields(html, {"_drugs": many}) if many else [F.array().cast("array<string>").alias("_drugs")]
-    found = pages.select(key, *extract_fields(html, fields), *extra)
-    column = lambda n: F.col(n) if n in fields else F.lit(None).cast("string")
-    is_list = isinstance(found.schema["_drugs"].dataType, T.ArrayType)
-    drugs = F.col("_drugs") if is_list else F.array().cast("array<string>")
+    listed = isinstance(many, dict) and many.get("multiple")
+    wanted = SCRAPE_DETAIL | {"resultName": "_name"} | ({"detailActiveIngredients": "_drugs"} if listed else {})
+    found, column = _scraped(pages, rules, wanted, key, html, {})
+    drugs = F.coalesce(column("_drugs"), F.array().cast("array<string>")) if listed else F.array().cast("array<string>")
+    values = {n: column(n) for n in SCRAPE_DETAIL.values()}
+    values["produto"] = first_non_blank(values["produto"], column("_name"))
     info = F.struct(
-        *[column(n).alias(n) for n in SCRAPE_DETAIL.values()],
+        *[value.alias(n) for n, value in values.items()],
         F.transform(drugs, lambda d: F.struct(d.alias("farmaco"), F.lit(None).cast("string").alias("slug"))).alias("farmacos"),
     )
     return found.select(key, F.struct(info.alias("info")).alias("detail"))

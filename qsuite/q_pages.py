@@ -8,6 +8,7 @@ from catalogkit.functions.html import (
     absolute_url,
     embedded_json,
     extract_field,
+    extract_fields,
     finish_field,
     html_to_text,
     parse_fields,
@@ -80,7 +81,7 @@ def embedded_json_q(spark, d):
 )
 def extract_fields_q(spark, d):
     rules = {"title": "title", "heading": "h1", "first_link": {"selector": "a", "attr": "href"}, "ad": "div.ad"}
-    return pages(spark, d).select("page_id", *[extract_field("html", r).alias(n) for n, r in rules.items()])
+    return pages(spark, d).select("page_id", *extract_fields("html", rules))
 
 
 @query(
@@ -210,6 +211,34 @@ def scrape_config_q(spark, d):
         F.col("detail.info.classe").alias("class"), F.size("detail.info.farmacos").alias("drugs"))
 
 
+SCOPED = {
+    "key": "cards", "baseUrl": "https://www.shop.example", "detail": {"urlTemplate": "{{baseUrl}}/d?to={{href}}"},
+    "selectors": {
+        "resultItem": ".product-card", "resultLink": {"selector": "a", "attr": "href"}, "resultName": ".product-title",
+        "resultPresentation": ".facts > li:last-child",
+    },
+}
+
+
+@query(
+    "scrape_scope",
+    """select page_id, case when page_id % 5 <> 0 then 'T ' || page_id || ' café & co' end as name,
+      case when page_id % 5 <> 0 then 'b' || page_id end as presentation,
+      case when page_id % 5 <> 0 then 'https://www.shop.example/d?to=/p/' || page_id || '?x=1' end as url from pages""",
+)
+def scrape_scope_q(spark, d):
+    number = F.col("page_id").cast("string")
+    # every fifth page has no card; the others have a like-named heading before it, nested text and entities in it
+    box = F.when(F.col("page_id") % 5 == 0, '<div class="other">').otherwise('<div class="x product-card">')
+    card = F.concat(
+        F.lit('<h1 class="product-title">head</h1>'), box, F.lit('<a href="/p/'), number,
+        F.lit('?x=1">Ver</a><div class="product-title">T<div> '), number,
+        F.lit('</div> caf&eacute; &#38; co</div><ul class="facts"><li>a<li>b'), number, F.lit("</ul></div>"), F.col("html"))
+    found = scrape_results(pages(spark, d).select("page_id", card.alias("html")), SCOPED, "page_id")
+    return found.select("page_id", F.col("result.nome").alias("name"), F.col("result.apresentacao").alias("presentation"),
+                        F.col("result.url").alias("url"))
+
+
 # -- nested feeds built from the tables ----------------------------------------------------
 
 

@@ -1,9 +1,11 @@
 """Small fixed cases of the functions."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from catalogkit.functions import ean, html, packages, text, values, vectors
 from catalogkit.operators import policy
+from catalogkit.sources import lookups
 
 
 def one(spark, *columns):
@@ -104,3 +106,55 @@ def test_html(spark):
     assert one(spark, html.html_to_text(F.lit("<ul><li>a</li><li>b<br>c&nbsp;</li></ul>"))) == "- a - b c"
     assert one(spark, html.embedded_json(F.lit('<script id="__NEXT_DATA__" type="application/json">{"a":1}</script>'))) == '{"a":1}'
     assert one(spark, html.embedded_json(F.lit("<p>"))) is None
+
+
+PAGE = """<div class="ad">a<div>b</div>c</div><ul id=u><li>one<li class="x y" data-k='v-1'>two &eacute;&#33;</li><li>three</ul>
+<p>p1<p>p2 <br> more<table><tr><td>1<td>2<tr><td>3</table><script>var a = "<b>";</script>"""
+
+
+@pytest.mark.parametrize("selector,want", [
+    ("div.ad", ["abc"]), ("div > div", ["b"]), ("ul li", ["one", "two é!", "three"]), ("#u > li:first-child", ["one"]),
+    ("li:last-child", ["three"]), ("li:nth-child(2)", ["two é!"]), ("li:nth-child(odd)", ["one", "three"]), ("li:nth-child(-n+2)", ["one", "two é!"]),
+    ("li.x.y", ["two é!"]), ("[data-k]", ["two é!"]), ("li[data-k=v-1]", ["two é!"]), ("[data-k^='v']", ["two é!"]), ('[data-k$="2"]', []),
+    ("[data-k|=v]", ["two é!"]), ("p", ["p1", "p2 more"]), ("tr:nth-child(1) td", ["1", "2"]), ("div div, #u .x", ["b", "two é!"]), ("h1", []), ("ul > td", []),
+    ("* > li:only-child", []),
+])
+def test_selectors(spark, selector, want):
+    assert one(spark, html.extract_field(F.lit(PAGE), {"selector": selector, "multiple": True})) == want
+    assert one(spark, html.extract_field(F.lit(PAGE), selector)) == (want[0] if want else None)
+
+
+def test_selector_rules(spark):
+    for bad in ("", "a,", "a:hover", "a >", "~ b", "li:nth-child(x)"):
+        with pytest.raises(ValueError):
+            html.parse_selector(bad)
+    rule = {"selector": "li", "regex": "^O(.)", "regexFlags": "gi", "suffix": "!"}
+    assert one(spark, html.extract_field(F.lit(PAGE), rule)) == "n!"
+    assert one(spark, html.extract_field(F.lit(PAGE), "li", ".none")) is None
+    assert one(spark, html.extract_field(F.lit(PAGE), "li", "#u")) == "one"
+    assert one(spark, html.extract_field(F.lit(None).cast("string"), "li")) is None
+
+
+def test_scrape_configuration(spark):
+    """A search page with its card and a product page, read by one configuration."""
+    config = {
+        "key": "site", "baseUrl": "https://site.example", "detail": {"urlTemplate": "{{href}}"},
+        "selectors": {
+            "resultItem": ".product-card", "resultLink": {"selector": "a", "attr": "href"}, "resultName": ".product-title",
+            "resultPresentation": ".product-presentation", "resultBrand": ".product-brand", "detailName": "h1",
+            "detailPresentation": ".presentation", "detailBrand": ".brand", "detailCategory": ".category",
+            "detailRegistration": {"selector": ".registro", "regex": "([0-9]{6,})"},
+            "detailActiveIngredients": {"selector": ".ingredientes li", "multiple": True},
+        },
+    }
+    search = """<h1 class="product-title">head</h1><div class="product-card"><a href="https://site.example/produto/123">Ver</a>
+      <div class="product-title">Dorflex</div><div class="product-presentation">36 comprimidos</div><div class="product-brand">Opella</div></div>"""
+    product = """<h1>Dorflex</h1><div class="presentation">36 comprimidos</div><div class="brand">Opella</div><div class="category">Analgesico</div>
+      <div class="registro">Registro MS 1862000080116</div><ul class="ingredientes"><li>Dipirona Monoidratada</li><li>Cafeina</li></ul>"""
+    pages = spark.createDataFrame([("1", search, product), ("2", "<p>nothing</p>", "")], "ean string, search string, product string")
+    found = {r.ean: r.result for r in lookups.scrape_results(pages, config, html="search").collect()}
+    assert found["2"] is None and (found["1"].nome, found["1"].apresentacao, found["1"].laboratorio, found["1"].url) == (
+        "Dorflex", "36 comprimidos", "Opella", "https://site.example/produto/123")
+    info = lookups.scrape_details(pages, config, html="product").filter("ean = '1'").first().detail.info
+    assert (info.produto, info.apresentacao, info.categoria, info.registro) == ("Dorflex", "36 comprimidos", "Analgesico", "1862000080116")
+    assert [f.farmaco for f in info.farmacos] == ["Dipirona Monoidratada", "Cafeina"]
