@@ -290,34 +290,63 @@ def details_json(p: Column, ean: Column, source: Column, ingredients: Column, ma
     )
 
 
+# Fallback codes of an unanswered lookup, and what to do next.
+FALLBACKS = {
+    "invalid_ean": ("INVALID_EAN", "corrigir_ean_e_tentar_novamente"),
+    "not_found": ("LOOKUP_NOT_FOUND", "validar_ean_ou_cadastrar_manual"),
+    "error": ("LOOKUP_ERROR", "tentar_novamente"),
+}
+_PRODUCT = ["description", "active_ingredient", "classification", "social_name", "manufacturer", *LEVELS, "details", "search"]
+
+
 def lookup_batch(
     requests: DataFrame, lookups: DataFrame, sources: Sequence[str], policy: SourcePolicy, entries: DataFrame,
     limit: int = 10,
 ) -> DataFrame:
-    """Answer each requested code: ``status`` is invalid_ean, not_found, review or enriched.
+    """Answer each requested code: ``status`` is invalid_ean, error, not_found, review or enriched.
 
     ``requests`` has ``request_id`` and ``input_ean``; every request is answered, and each
-    distinct valid code is looked up and classified once.
+    distinct valid code is looked up and classified once. Invalid codes take no part in any join. A code that
+    every asked source answered with an error has the status error. ``item`` is the enriched item as found;
+    the product's columns are filled for ``enriched`` only. ``attempted_sources`` are those asked in turn.
     """
     checked = computed_once(requests, _c=validate_ean("input_ean")).select(
         "request_id", trim("input_ean").alias("input_ean"), F.col("_c.ean").alias("ean"),
         F.col("_c.is_valid").alias("_ok"), F.col("_c.reason").alias("_reason"),
     )
-    codes = checked.filter("_ok").select("ean").distinct()
+    valid = checked.filter("_ok").drop("_ok", "_reason")
+    codes = valid.select("ean").distinct()
     waterfall = lookup_waterfall(codes, lookups, sources)
     items = codes.select("ean", F.lit(None).cast("string").alias("received_name"), F.lit("lookup_api").alias("source"))
     enriched = enrich_items(items, waterfall, sources, policy)
-    products = product_snapshot(classify_enriched(enriched, entries, limit), policy)
-    answers = products.drop("received_name", "source").withColumnRenamed("ean", "_ean")
-    joined = checked.join(answers, F.col("_ok") & (F.col("ean") == F.col("_ean")), "left").drop("_ean")
+    asked = F.filter("lookups", lambda x: ~x["skipped"])
+    enriched = enriched.withColumns({
+        "attempted_sources": F.transform(asked, lambda x: x["key"]),
+        "_failed": (F.size(asked) > 0) & F.forall(asked, lambda x: x["error"].isNotNull()),
+        "error": F.array_join(F.array_compact(F.transform(asked, lambda x: x["error"])), "; "),
+    })
+    classified = classify_enriched(enriched, entries, limit)
+    classified = classified.withColumn("item", F.when(F.col("found"), F.col("product")))
+    answers = product_snapshot(classified, policy).drop("received_name", "source")
     status = (
-        F.when(~F.col("_ok"), "invalid_ean").when(~F.col("found"), "not_found")
+        F.when(~F.col("found") & F.col("_failed"), "error").when(~F.col("found"), "not_found")
         .when(F.col("requires_approval"), "review").otherwise("enriched")
     )
-    code = F.when(~F.col("_ok"), "INVALID_EAN").when(~F.col("found"), "LOOKUP_NOT_FOUND")
-    return (
-        joined.withColumn("status", status)
-        .withColumn("fallback_code", code)
-        .withColumn("approval_reason", F.coalesce("_reason", "approval_reason"))
-        .drop("_ok", "_reason")
+    answers = answers.withColumn("status", status)
+    done = F.col("status") == "enriched"
+    answers = answers.withColumns({c: F.when(done, F.col(c)) for c in _PRODUCT} | {"error": F.when(F.col("status") == "error", F.col("error"))})
+    answered = valid.join(answers.drop("_failed"), "ean")
+    refused = checked.filter(~F.coalesce(F.col("_ok"), F.lit(False))).select(
+        "request_id", "input_ean", "ean", F.lit("invalid_ean").alias("status"), F.col("_reason").alias("approval_reason"),
+        F.col("_reason").alias("error"), F.lit(False).alias("found"), F.lit(False).alias("requires_approval"),
+        F.array().cast("array<string>").alias("attempted_sources"),
     )
+    every = answered.unionByName(refused, allowMissingColumns=True)
+
+    def fallback(part: int) -> Column:
+        picked = F.lit(None).cast("string")
+        for name, texts in FALLBACKS.items():
+            picked = F.when(F.col("status") == name, texts[part]).otherwise(picked)
+        return picked
+
+    return every.withColumns({"fallback_code": fallback(0), "next_action": fallback(1)})

@@ -190,13 +190,20 @@ def product_snapshot_q(spark, d):
 @query(
     "lookup_batch",
     v.ctes(v.ITEMS_SQL, CHECKED_SQL, v.LOOKUPS_SQL, WATERFALL_SQL)
-    + f"""select item_id as request_id, digits as ean, case when not ok then 'invalid_ean' when hit = 99 then 'not_found'
-        when resolved_by = 'price_page' then 'review' else 'enriched' end as status,
-      case when not ok then 'INVALID_EAN' when hit = 99 then 'LOOKUP_NOT_FOUND' end as fallback_code,
-      case when ok and resolved_by in ('store_api', 'retail_site') then {_NAME} end as social_name
-    from checked i join asked a on a.ean = i.digits""",
+    + f"""select item_id as request_id, digits as ean, status, case status when 'invalid_ean' then 'INVALID_EAN' when 'not_found' then 'LOOKUP_NOT_FOUND'
+        when 'error' then 'LOOKUP_ERROR' end as fallback_code,
+      case when status = 'enriched' then {_NAME} end as social_name, case when status in ('review', 'enriched') then {_NAME} end as item_name,
+      case when status = 'enriched' then taxonomy end as taxonomy_source,
+      case when ok then array_to_string(list_slice({SOURCES}, 1, hit + 1), ' ') else '' end as attempted,
+      case when status = 'error' then 'timeout; timeout; timeout' end as error
+    from (select i.item_id, i.digits, i.ok, a.*, 'heuristic' as taxonomy, case when not ok then 'invalid_ean' when hit = 99 and x0 is not null and x1 is not null and x2 is not null then 'error'
+        when hit = 99 then 'not_found' when resolved_by = 'price_page' then 'review' else 'enriched' end as status
+      from checked i join asked a on a.ean = i.digits)""",
 )
 def lookup_batch_q(spark, d):
     requests = v.items(spark, d).select(F.col("item_id").alias("request_id"), F.col("ean").alias("input_ean"))
     made = lookup_batch(requests, v.lookups(spark, d), SOURCES, POLICY, v.taxonomy(spark, d))
-    return made.select("request_id", "ean", "status", "fallback_code", "social_name")
+    name = F.coalesce("item.product_name", "item.name").alias("item_name")
+    tag = F.when(F.col("status") == "enriched", F.col("taxonomy.source")).alias("taxonomy_source")
+    return made.select("request_id", "ean", "status", "fallback_code", "social_name", name, tag,
+                       F.array_join("attempted_sources", " ").alias("attempted"), F.when(F.col("status") == "error", F.col("error")).alias("error"))
