@@ -47,9 +47,10 @@ def triage(
     keys = [*batch, "valid_ean"]
     narrow = rows.filter("_valid").select(*dict.fromkeys([*keys, *order, item_id]))
     firsts = top_per_key(narrow, keys, [*order, item_id], 1)
-    known = catalog.select(F.col(ean).alias("_known")).distinct()
-    probed = firsts.join(known, F.col("valid_ean") == F.col("_known"), "left")
-    verdict = probed.select(item_id, F.when(F.col("_known").isNotNull(), EXISTING).otherwise(ELIGIBLE).alias("_verdict"))
+    # the catalogue is not made distinct: repeats are taken out of the few rows that met it
+    probed = firsts.join(catalog.select(F.col(ean).alias("_known")), F.col("valid_ean") == F.col("_known"), "left")
+    met = F.max(F.col("_known").isNotNull())
+    verdict = probed.groupBy(item_id).agg(F.when(met, EXISTING).otherwise(ELIGIBLE).alias("_verdict"))
     placed = rows.join(verdict, item_id, "left")
     state = F.when(~F.col("_valid"), INVALID).otherwise(F.coalesce(F.col("_verdict"), F.lit(DUPLICATE)))
     message = F.when(state == DUPLICATE, F.concat(F.lit(DUPLICATE_TEXT), F.col("valid_ean"), F.lit("."))).when(

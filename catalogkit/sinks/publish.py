@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from catalogkit.operators.ordering import chunk
 from catalogkit.session import new_work_path
 
 # Payload fields, in order, and the status of rows waiting to be sent again.
@@ -26,6 +27,7 @@ PAYLOAD_FIELDS = {
 }
 PENDING, REPLAYED, SENT = "pending_replay", "replayed", "published"
 BATCH_ROWS = 10
+BATCH_NO = "batch_no"
 
 
 def publish_payload(products: DataFrame) -> DataFrame:
@@ -46,11 +48,15 @@ def batch_body(payloads: Sequence[str]) -> str:
 def send_batches(rows: DataFrame, send: Callable[[str], None], row_id: str, size: int = BATCH_ROWS) -> DataFrame:
     """Call ``send`` with batches of up to ``size`` payloads, in the tasks; ``(row_id, error)`` per row.
 
-    When a batch fails all of its rows carry the error. The result must be stored before it is
+    When a batch fails all of its rows carry the error. Rows numbered by :func:`number_batches` are sent
+    together by that number, others as they stand in their task. The result must be stored before it is
     used, since computing it again would send again; a task that is retried sends its rows again,
     so the receiver should upsert by code.
     """
-    id_type = rows.schema[row_id].dataType.simpleString()
+    schema = f"{row_id} {rows.schema[row_id].dataType.simpleString()}, error string"
+
+    def whole(frame: pd.DataFrame) -> pd.DataFrame:
+        return next(run(iter([frame])))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -64,23 +70,38 @@ def send_batches(rows: DataFrame, send: Callable[[str], None], row_id: str, size
                     errors += [str(error)] * len(group)
             yield pd.DataFrame({row_id: frame[row_id], "error": pd.Series(errors, index=frame.index, dtype=object)})
 
-    return rows.select(row_id, "payload").mapInPandas(run, f"{row_id} {id_type}, error string")
+    if BATCH_NO in rows.columns:
+        return rows.select(row_id, "payload", BATCH_NO).groupBy(BATCH_NO).applyInPandas(whole, schema)
+    return rows.select(row_id, "payload").mapInPandas(run, schema)
+
+
+def number_batches(rows: DataFrame, order: Sequence[str], size: int = BATCH_ROWS) -> DataFrame:
+    """Add ``batch_no`` for requests of ``size`` consecutive rows in ``order``; without an order, ``rows`` as they are."""
+    return chunk(rows, list(order), size, BATCH_NO) if order else rows
+
+
+def dead_letter_sink(answered: DataFrame, error: str = "error") -> DataFrame:
+    """All rows of failed batches, waiting to be sent again."""
+    return answered.filter(F.col(error).isNotNull()).withColumn("status", F.lit(PENDING))
 
 
 def publish(
-    rows: DataFrame, send: Callable[[str], None], sent_path: str, dead_path: str, row_id: str, size: int = BATCH_ROWS
+    rows: DataFrame, send: Callable[[str], None], sent_path: str, dead_path: str, row_id: str, size: int = BATCH_ROWS,
+    order: Sequence[str] = (),
 ) -> None:
-    """Send ``rows`` (with ``payload``) once and append them to the sent or the dead-letter table."""
+    """Send ``rows`` (with ``payload``) once and append them to the sent or the dead-letter table.
+
+    With ``order``, requests are consecutive rows in that order.
+    """
     spark = rows.sparkSession
     source = new_work_path(spark, "publish-rows")
-    rows.write.parquet(source)
+    number_batches(rows, order, size).write.parquet(source)
     stored = spark.read.parquet(source)
     outcome = new_work_path(spark, "publish-outcome")
     send_batches(stored, send, row_id, size).write.parquet(outcome)
     answered = stored.join(spark.read.parquet(outcome), row_id)
     answered.filter(F.col("error").isNull()).withColumn("status", F.lit(SENT)).write.mode("append").parquet(sent_path)
-    dead = answered.filter(F.col("error").isNotNull()).withColumn("status", F.lit(PENDING))
-    dead.write.mode("append").parquet(dead_path)
+    dead_letter_sink(answered).write.mode("append").parquet(dead_path)
 
 
 def replay(

@@ -1,11 +1,10 @@
-"""Review, mirror and dead-letter rows of processed items."""
+"""Review and mirror rows of processed items."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 from catalogkit.functions.values import field_type
-from catalogkit.sinks.publish import PENDING
 
 
 def _json_of(df: DataFrame, name: str):
@@ -41,10 +40,3 @@ def audit_mirror(items: DataFrame, source: str) -> DataFrame:
         _json_of(items, "product").alias("enriched"),
         _json_of(items, "payload").alias("payload"),
     )
-
-
-def dead_letter_sink(items: DataFrame, error: str = "error") -> DataFrame:
-    """Rows of failed batches, waiting to be sent again."""
-    return items.filter(F.col(error).isNotNull()).select(
-        "batch_id", "item_id", "ean", "payload", F.col(error).alias("error"), F.lit(PENDING).alias("status")
-    )

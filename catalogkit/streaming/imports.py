@@ -11,11 +11,10 @@ from catalogkit.functions.ean import validate_ean
 from catalogkit.functions.values import computed_once
 from catalogkit.operators.aggregates import import_counters
 from catalogkit.plans.triage import DUPLICATE, ELIGIBLE, EXISTING, triage
-from catalogkit.sinks.publish import BATCH_ROWS, publish_payload, send_batches, PENDING, SENT
+from catalogkit.sinks.publish import BATCH_ROWS, SENT, dead_letter_sink, number_batches, publish_payload, send_batches
 
 # Fixed value: longest wait before a partial batch is sent.
 FLUSH_INTERVAL = "1500 milliseconds"
-DEDUPE_SALTS = 16
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -49,28 +48,27 @@ def _earlier(spark: SparkSession, path: str, epoch: int, schema: str) -> DataFra
 
 
 def dedupe_stream(
-    items: DataFrame, scope: Sequence[str] = ("batch_id",), ean: str = "ean", item_id: str = "item_id",
-    watermark: tuple[str, str] | None = None, salts: int = DEDUPE_SALTS,
+    items: DataFrame, scope: Sequence[str] = ("batch_id",), ean: str = "ean",
+    watermark: tuple[str, str] | None = None, unbounded: bool = False,
 ) -> DataFrame:
     """First valid row of each code per scope, over the whole stream.
 
-    State is kept per scope, as an import does. ``watermark`` (event time column, delay) bounds it
-    for endless streams. A code with very many copies is thinned in salted groups first.
+    ``watermark`` (event time column, delay) bounds the state. A stream that ends, as an import does, may
+    ask for ``unbounded`` state instead: one entry per code and scope.
     """
+    if not watermark and not unbounded:
+        raise ValueError("name a watermark, or ask for unbounded state")
     checked = computed_once(items, _c=validate_ean(ean)).filter("_c.is_valid")
     valid = checked.withColumn("valid_ean", F.col("_c.ean")).drop("_c")
     keys = [*scope, "valid_ean"]
     if watermark:
         return valid.withWatermark(*watermark).dropDuplicatesWithinWatermark(keys)
-    if salts > 1:
-        salted = valid.withColumn("_salt", F.pmod(F.xxhash64(item_id), F.lit(salts)))
-        valid = salted.dropDuplicates([*keys, "_salt"]).drop("_salt")
     return valid.dropDuplicates(keys)
 
 
 def exclude_known(items: DataFrame, catalog: DataFrame, ean: str = "valid_ean", catalog_ean: str = "ean") -> DataFrame:
     """Stream rows whose code the catalogue lacks; the catalogue is read anew for each micro-batch."""
-    known = catalog.select(F.col(catalog_ean).alias("_known")).distinct()
+    known = catalog.select(F.col(catalog_ean).alias("_known"))
     return items.join(known, F.col(ean) == F.col("_known"), "left_anti")
 
 
@@ -98,7 +96,7 @@ def import_stream(
         schema = ", ".join([*(f"{b} {types[b]}" for b in batch), "valid_ean string"])
         asked = computed_once(df, _c=validate_ean("ean")).filter("_c.is_valid")
         asked = asked.select(*batch, F.col("_c.ean").alias("valid_ean")).distinct()
-        # the history is only scanned against the few codes of this micro-batch, never shuffled for them
+        # the history is reduced to the micro-batch's codes; at run time the smaller side decides how
         seen = _earlier(spark, seen_path, epoch, schema).join(asked, [*batch, "valid_ean"], "left_semi")
         seen = seen.withColumn("_seen", F.lit(True))
         placed = triage(df, catalog, batch, order=(item_id,), item_id=item_id)
@@ -117,22 +115,24 @@ def import_stream(
 
 def publish_stream(
     products: DataFrame, send: Callable[[str], None], out: str, checkpoint: str, row_id: str = "item_id",
-    size: int = BATCH_ROWS, interval: str | None = None,
+    size: int = BATCH_ROWS, interval: str | None = None, order: Sequence[str] = (),
 ) -> StreamingQuery:
     """Publish each micro-batch in requests of up to ``size`` rows; failed requests go to ``out/dead``.
 
+    With ``order``, requests are consecutive rows in that order, else rows that stand together.
+
     Partial requests are sent at the end of a micro-batch, so ``interval`` is the flush time. The
     outcome is stored before it is split, hence rows are not sent twice by a later read.
     """
 
     def handle(df: DataFrame, epoch: int) -> None:
         spark = df.sparkSession
-        write_epoch(publish_payload(df), f"{out}/staged", epoch)
+        write_epoch(number_batches(publish_payload(df), order, size), f"{out}/staged", epoch)
         staged = spark.read.parquet(f"{out}/staged/epoch={epoch}")
         write_epoch(send_batches(staged, send, row_id, size), f"{out}/outcome", epoch)
         answered = staged.join(spark.read.parquet(f"{out}/outcome/epoch={epoch}"), row_id)
         write_epoch(answered.filter("error is null").withColumn("status", F.lit(SENT)), f"{out}/sent", epoch)
-        write_epoch(answered.filter("error is not null").withColumn("status", F.lit(PENDING)), f"{out}/dead", epoch)
+        write_epoch(dead_letter_sink(answered), f"{out}/dead", epoch)
 
     return start(products, handle, checkpoint, interval)
 

@@ -25,8 +25,20 @@ from qsuite.q_triage import CHECKED_SQL, TRIAGED_SQL, COUNTERS_SQL, known
 from qsuite.registry import query
 
 
+# quarters of the events, and files of each
+PARTS, FILES = 4, 2
+
+
 def item_stream(spark, d):
-    return v.items_of(read_table_stream(spark, d, "events.parquet"))
+    """All events as a stream of four micro-batches: a quarter of the ids each, in id order."""
+    e = v.table(spark, d, "events")
+    folder = new_work_path(spark, "events")
+    low, high = e.agg(F.min("event_id"), F.max("event_id")).first()
+    for part in range(PARTS):
+        bounds = [low + (high + 1 - low) * p // PARTS for p in (part, part + 1)]
+        own = e.filter((F.col("event_id") >= bounds[0]) & (F.col("event_id") < bounds[1]))
+        own.repartition(FILES).write.mode("append").parquet(folder)
+    return v.items_of(read_table_stream(spark, folder, "*.parquet", FILES))
 
 
 def drained(spark, stream, name):
@@ -48,7 +60,7 @@ def import_stream_q(spark, d):
 
 @query("stream_dedupe", v.ctes(v.ITEMS_SQL, CHECKED_SQL) + "select distinct batch_id, digits as valid_ean from checked where ok")
 def stream_dedupe_q(spark, d):
-    return drained(spark, dedupe_stream(item_stream(spark, d)).select("batch_id", "valid_ean"), "stream-dedupe")
+    return drained(spark, dedupe_stream(item_stream(spark, d), unbounded=True).select("batch_id", "valid_ean"), "stream-dedupe")
 
 
 @query(
@@ -57,7 +69,7 @@ def stream_dedupe_q(spark, d):
     + "select distinct batch_id, digits as valid_ean from checked where ok and digits not in (select ean from catalog where p_partkey % 3 = 0)",
 )
 def stream_static_exclude_q(spark, d):
-    firsts = dedupe_stream(item_stream(spark, d)).select("batch_id", "valid_ean")
+    firsts = dedupe_stream(item_stream(spark, d), unbounded=True).select("batch_id", "valid_ean")
     return drained(spark, exclude_known(firsts, known(spark, d)), "stream-exclude")
 
 
@@ -69,7 +81,7 @@ def stream_static_exclude_q(spark, d):
 def stream_enrich_q(spark, d):
     sources = v.lookups(spark, d)
     answers = lookup_waterfall(sources.select("ean"), sources, SOURCES).select("ean", "resolved_by")
-    firsts = dedupe_stream(item_stream(spark, d)).select("batch_id", "valid_ean")
+    firsts = dedupe_stream(item_stream(spark, d), unbounded=True).select("batch_id", "valid_ean")
     return drained(spark, enrich_stream(firsts, answers), "stream-enrich")
 
 
@@ -78,8 +90,11 @@ def products(rows):
 
 
 def refuse_some(body: str) -> None:
-    """Stand-in receiver that fails for descriptions ending in 7."""
-    if '7","ean"' in body:
+    """Stand-in receiver that refuses a request if it holds a product whose number is a multiple of 37."""
+    import json
+
+    sent = json.loads(body)
+    if any(int(p["descricaoProduto"].split(" ")[1]) % 37 == 0 for p in sent.get("products", [sent])):
         raise RuntimeError("refused")
 
 
@@ -87,15 +102,23 @@ def accept_all(body: str) -> None:
     """Stand-in receiver that takes everything."""
 
 
+# requests of ten in id order: of all events, or of each micro-batch
+_BATCHED = """numbered as (select *, {part} as part from items, (select min(event_id) as lo, max(event_id) as hi from events)),
+placed as (select *, (row_number() over (partition by part order by item_id) - 1) // 10 as b from numbered),
+sent as (select item_id, bool_or(item_id % 37 = 0) over (partition by part, b) as failed from placed)"""
+_QUARTERS = _BATCHED.format(part=" + ".join(f"(item_id >= lo + (hi + 1 - lo) * {p} // {PARTS})::int" for p in range(1, PARTS)))
+
+
 @query(
     "micro_batch_publish",
-    v.ctes(v.ITEMS_SQL)
-    + """select item_id, case when item_id % 10 = 7 then 'pending_replay' else 'published' end as status,
-      case when item_id % 10 = 7 then 'refused' end as error from items""",
+    v.ctes(v.ITEMS_SQL, _QUARTERS)
+    + """select item_id, case when failed then 'pending_replay' else 'published' end as status,
+      case when failed then 'refused' end as error from sent""",
 )
 def micro_batch_publish_q(spark, d):
     out = new_work_path(spark, "publish-stream")
-    publish_stream(products(item_stream(spark, d)), refuse_some, out, f"{out}/checkpoint", size=1).awaitTermination()
+    stream = products(item_stream(spark, d))
+    publish_stream(stream, refuse_some, out, f"{out}/checkpoint", size=10, order=["item_id"]).awaitTermination()
     columns = ["item_id", "status", "error"]
     sent, dead = (spark.read.parquet(f"{out}/{name}").select(*columns) for name in ("sent", "dead"))
     return sent.unionByName(dead)
@@ -103,15 +126,14 @@ def micro_batch_publish_q(spark, d):
 
 @query(
     "dead_letter_replay",
-    v.ctes(v.ITEMS_SQL)
-    + """select item_id, 'replayed' as status from items where item_id % 10 = 7
-    union all select item_id, 'published' from items""",
+    v.ctes(v.ITEMS_SQL, _BATCHED.format(part="0"))
+    + "select item_id, 'replayed' as status from sent where failed union all select item_id, 'published' from sent",
 )
 def dead_letter_replay_q(spark, d):
     out = new_work_path(spark, "dead-letters")
     rows = publish_payload(products(v.items(spark, d)))
-    publish(rows, refuse_some, f"{out}/sent", f"{out}/dead", "item_id", size=1)
-    after = replay(spark, f"{out}/dead", accept_all, f"{out}/sent", "item_id")
+    publish(rows, refuse_some, f"{out}/sent", f"{out}/dead", "item_id", size=10, order=["item_id"])
+    after = replay(spark, f"{out}/dead", accept_all, f"{out}/sent", "item_id", size=10)
     return after.select("item_id", "status").unionByName(spark.read.parquet(f"{out}/sent").select("item_id", "status"))
 
 

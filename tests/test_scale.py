@@ -160,7 +160,7 @@ def test_stream_dedupe_over_many_micro_batches(spark, sf_dir, tmp_path):
     split_events(spark, sf_dir, tmp_path / "in")
     stream = v.items_of(read_table_stream(spark, str(tmp_path / "in"), "*.parquet", 1))
     out = str(tmp_path / "out")
-    start(dedupe_stream(stream), lambda df, n: write_epoch(df, out, n), str(tmp_path / "check")).awaitTermination()
+    start(dedupe_stream(stream, unbounded=True), lambda df, n: write_epoch(df, out, n), str(tmp_path / "check")).awaitTermination()
     rows = spark.read.parquet(out).select("batch_id", "valid_ean")
     batch = triage(v.items(spark, sf_dir), v.catalog(spark, sf_dir)).filter("triage in ('eligible', 'existing')")
     assert rows.count() == rows.distinct().count() == batch.count()
