@@ -508,19 +508,24 @@ def publish_payload_q(spark, d):
 @query(
     "review_sink",
     v.ctes(v.ITEMS_SQL)
-    + """select batch_id, item_id, ean, received_name as suggested_name, 'no name' as reason, source, 'pending' as review_status
-    from items where status = 'review'""",
+    + """select batch_id, item_id, ean, received_name as suggested_name, 'no name' as reason, source, 'pending' as review_status,
+      '{"value":' || k || '}' as content from items where status = 'review'""",
 )
 def review_sink_q(spark, d):
     rows = v.items(spark, d).withColumn("requires_approval", F.col("status") == "review").withColumn("approval_reason", F.lit("no name"))
-    return review_sink(rows).drop("content")
+    return review_sink(rows.withColumn("raw", F.to_json(F.struct(F.col("k").alias("value")))))
 
 
 @query(
     "audit_mirror",
     v.ctes(v.ITEMS_SQL)
-    + "select batch_id, item_id, ean, status, '{\"value\":' || k || '}' as original from items where source = 'partner'",
+    + """select batch_id, item_id, ean, status, '{"value":' || k || '}' as original, '{"name":"' || event_type || '","batch":' || batch_id || '}' as enriched,
+      'sent ' || item_id as payload from items where source = 'partner'""",
 )
 def audit_mirror_q(spark, d):
-    rows = v.items(spark, d).withColumn("raw", F.to_json(F.struct(F.col("k").alias("value"))))
-    return audit_mirror(rows, "partner").select("batch_id", "item_id", "ean", "status", "original")
+    product = F.struct(F.col("event_type").alias("name"), F.col("batch_id").alias("batch"))
+    rows = v.items(spark, d).withColumns({
+        "raw": F.to_json(F.struct(F.col("k").alias("value"))), "product": product,
+        "payload": F.concat(F.lit("sent "), F.col("item_id").cast("string")),
+    })
+    return audit_mirror(rows, "partner")

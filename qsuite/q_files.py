@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalogkit.operators.ordering import with_row_number
 from catalogkit.operators.waterfall import lookup_waterfall, register_lookups
 from catalogkit.session import new_work_path
 from catalogkit.sinks.files import export_csv, write_snapshot
@@ -68,13 +69,18 @@ def read_taxonomy_q(spark, d):
 
 @query(
     "export_csv",
-    v.ctes(v.CATALOG_SQL) + "select ean, 'q\"' || description || '\", x' as description, active_ingredient from catalog",
+    v.ctes(v.CATALOG_SQL) + "select row_number() over (order by ean) as row_no, ean, 'q\"' || description || '\", x' as description, active_ingredient from catalog",
 )
 def export_csv_q(spark, d):
     path = new_work_path(spark, "export-csv")
     shown = F.concat(F.lit('q"'), F.col("description"), F.lit('", x')).alias("description")
     export_csv(v.catalog(spark, d).select("ean", shown, "active_ingredient"), path, "ean")
-    return spark.read.csv(path, header=True, escape='"', schema="ean string, description string, active_ingredient string")
+    # rows as they stand in the files, in the files' order
+    rows = spark.read.csv(path, header=True, escape='"', schema="ean string, description string, active_ingredient string")
+    placed = rows.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                         F.monotonically_increasing_id().alias("at"))
+    numbered = with_row_number(placed, ["file", "block", "at"], "row_no")
+    return numbered.select(F.col("row_no").cast("long"), "ean", "description", "active_ingredient")
 
 
 @query("write_snapshot", v.ctes(v.CATALOG_SQL, UPSERT_SQL) + "select ean, description, price from merged")

@@ -38,7 +38,7 @@ from catalogkit.functions.values import (
     round_dp,
 )
 from catalogkit.functions.vectors import external_id, fnv1a32, hash_vector, hash_vector_unsigned
-from catalogkit.operators.policy import SourcePolicy, classify_type, normalize_type, source_key, source_list
+from catalogkit.operators.policy import COMMERCIAL_KEYWORDS, CONTEXT_KEYWORDS, SourcePolicy, classify_type, normalize_type, source_key, source_list
 from qsuite import views as v
 from qsuite.q_triage import CHECKED_SQL, DIGITS
 from qsuite.registry import query
@@ -338,6 +338,18 @@ simple("classify_type", "documents", "doc_id",
        {"type": f"case when regexp_matches({v.sql_norm('text')}, 'queque|thethe|undund|lesles') then 'perfumaria' else 'medicamento' end",
         "type_plain": f"""case when regexp_matches({v.sql_norm('text')}, 'queque|thethe|undund|lesles') then 'perfumaria'
           when doc_id % 2 = 0 then 'medicamento' when doc_id % 3 = 0 then 'perfumaria' else 'outro' end"""})
+# every shipped keyword and term occurs, each in the text of some part
+_CARE = [*COMMERCIAL_KEYWORDS, *CONTEXT_KEYWORDS]
+_SAMPLES = ["carbonato de cálcio", "COLECALCIFEROL", "vitamina D3", "Vitamina d", "Cálcio", "magnesio", "Zinco", "Colageno", "ferro", "Omega 3", "creatina", "Melatonina", "cafeina"]
+_SAMPLE_TERMS = ["Carbonato de Cálcio,Cálcio", "Colecalciferol", "Vitamina D3", "Vitamina D", "Cálcio", "Magnésio", "Zinco", "Colágeno", "Ferro", "Ômega 3", "Creatina", "Melatonina", "Cafeína"]
+_at = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % len(names)).cast("int") + 1)
+simple("classify_type_lists", "part", "p_partkey",
+       {"care": lambda: classify_type([F.concat("p_brand", F.lit(" "), F.upper(_at(_CARE)), F.lit(" 3"))], "p_type", "p_type"),
+        "other": lambda: classify_type(["p_brand"], F.when(F.col("p_partkey") % 2 == 0, "Medicamento").otherwise("x"), F.lit("y"))},
+       {"care": "'perfumaria'", "other": "case when p_partkey % 2 = 0 then 'medicamento' else 'outro' end"})
+simple("infer_terms_list", "part", "p_partkey",
+       {"terms": lambda: F.array_join(infer_terms(F.concat(F.lit("com "), _at(_SAMPLES), F.lit(" 10"))), ",")},
+       {"terms": f"{_SAMPLE_TERMS}[p_partkey % {len(_SAMPLE_TERMS)} + 1]"})
 simple("normalize_type", "part", "p_partkey",
        {"type": lambda: normalize_type(F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("Médic. "), F.col("p_type")))
                                        .when(F.col("p_size") % 4 == 1, F.concat(F.col("p_type"), F.lit(" Cosméticos"))).otherwise(F.col("p_type")))},

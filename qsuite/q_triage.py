@@ -295,7 +295,8 @@ def distinct_values_q(spark, d):
 @query(
     "group_by_ean",
     v.ctes(v.FEED_SQL)
-    + """select ean, cast(count(*) as bigint) as items, cast(sum(l_quantity) as bigint) as quantity, min(l_orderkey) as first_order
+    + """select ean, cast(count(*) as bigint) as items, cast(sum(l_quantity) as bigint) as quantity, min(l_orderkey) as first_order,
+      md5(string_agg(l_orderkey || ':' || l_linenumber || ':' || id, ' ' order by l_orderkey, l_linenumber, cast(id as varchar))) as content
     from feed group by ean""",
 )
 def group_by_ean_q(spark, d):
@@ -307,8 +308,14 @@ def group_by_ean_q(spark, d):
         F.aggregate("items", F.lit(0.0), lambda s, x: s + x["l_quantity"]).alias("q"),
         F.get("items", F.lit(0))["l_orderkey"].alias("o"),
     )
-    return per_list.groupBy("ean").agg(
+    sums = per_list.groupBy("ean").agg(
         F.sum("n").alias("items"), F.sum("q").cast("long").alias("quantity"), F.min("o").alias("first_order"))
+    # what the lists hold, row by row
+    flat = lists.select("ean", F.explode("items").alias("i"))
+    cell = F.concat_ws(":", "i.l_orderkey", "i.l_linenumber", "i.id")
+    kept = flat.groupBy("ean").agg(F.array_sort(F.collect_list(F.struct("i.l_orderkey", "i.l_linenumber", cell.alias("c")))).alias("c"))
+    content = F.md5(F.array_join(F.transform("c", lambda x: x["c"]), " ").cast("binary")).alias("content")
+    return sums.join(kept.select("ean", content), "ean")
 
 
 @query(
