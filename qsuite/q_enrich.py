@@ -14,7 +14,8 @@ from catalogkit.operators.waterfall import (
     resolve_sources,
     source_order,
 )
-from catalogkit.plans.enrich import enrich_items, lookup_batch, product_snapshot
+from catalogkit.operators.taxonomy import LEVELS
+from catalogkit.plans.enrich import details_json, enrich_items, lookup_batch, product_snapshot
 from qsuite import views as v
 from qsuite.q_triage import CHECKED_SQL, DIGITS
 from qsuite.registry import query
@@ -207,3 +208,29 @@ def lookup_batch_q(spark, d):
     tag = F.when(F.col("status") == "enriched", F.col("taxonomy.source")).alias("taxonomy_source")
     return made.select("request_id", "ean", "status", "fallback_code", "social_name", name, tag,
                        F.array_join("attempted_sources", " ").alias("attempted"), F.when(F.col("status") == "error", F.col("error")).alias("error"))
+
+
+_TEXTS = ["dose", "unit", "form", "route", "quantity", "volume", "registration", "control_label", "name_source", "data_source",
+          "original_description", "normalized_description", "brand", "active_ingredient", *LEVELS]
+
+
+@query(
+    "details_json_build",
+    """with p as (select *, case when p_partkey % 4 <> 0 then ',"departamento":"' || p_type || '"' else '' end as department,
+        case when p_partkey % 3 = 0 then '["' || p_type || '"]' else '[]' end as drugs from part)
+    select p_partkey, '{"ean":"' || p_partkey || '","dose":"' || p_size || ' mg","origem_nome":"' || case when p_partkey % 2 = 0 then 'site' else 'feed' end
+        || '","origem_dados":"feed","descricao_original":"' || p_name || '"' || department || case when p_partkey % 3 = 0 then ',"farmacos":' || drugs else '' end
+        || ',"estrutura_final":{"ean":"' || p_partkey || '","descricao_original":"' || p_name || '","marca":"' || p_brand || '","fabricante":"' || p_brand || '"'
+        || department || ',"principio_ativo":' || drugs || '}}' as details from p""",
+)
+def details_json_build_q(spark, d):
+    key = F.col("p_partkey")
+    given = {
+        "dose": F.concat(F.col("p_size").cast("string"), F.lit(" mg ")), "original_description": F.col("p_name"), "brand": F.col("p_brand"),
+        "department": F.when(key % 4 != 0, F.col("p_type")), "name_source": F.when(key % 2 == 0, "site").otherwise(" "),
+    }
+    product = F.struct(*[given.get(n, F.lit(None).cast("string")).alias(n) for n in _TEXTS])
+    drugs = F.when(key % 3 == 0, F.array("p_type")).otherwise(F.array().cast("array<string>"))
+    rows = v.table(spark, d, "part").select("p_partkey", product.alias("p"), drugs.alias("drugs"), "p_brand")
+    made = details_json(F.col("p"), F.col("p_partkey").cast("string"), F.lit("feed"), F.col("drugs"), F.col("p_brand"))
+    return rows.select("p_partkey", made.alias("details"))
