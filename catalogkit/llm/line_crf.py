@@ -242,8 +242,8 @@ def fit_lines(
     """Train on a bounded sample of labelled documents; label 0 is bad. Null labels, keys and texts teach nothing."""
     named = labels.select(F.col(key).alias("key"), (F.col(label) == 0).alias("bad"))
     named = named.filter("bad is not null and key is not null").distinct()
-    labelled = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text is not null")
-    sample = bounded_sample(labelled.join(named, "key"), "key", "text", "bad", rows, chars).collect()
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text is not null")
+    sample = bounded_sample(texts, "key", "text", "bad", rows, chars, named).collect()
     sample.sort(key=lambda r: (r["key"], r["bad"], r["text"]))
     return train([r["text"] for r in sample], [r["bad"] for r in sample])
 

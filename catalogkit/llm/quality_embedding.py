@@ -22,7 +22,7 @@ SIZES = (3, 4, 5)
 LAGS = 4
 DIMENSIONS, EPOCHS, RATE = 16, 8, 0.5
 #: The fit reads at most so many rows and characters of whole texts per label.
-FIT_ROWS, FIT_CHARS = 1500, 5_000_000
+FIT_ROWS, FIT_CHARS = 1000, 5_000_000
 _STEP, _SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 _END = 0  # bucket of the mark that ends every document, so that an empty text has a feature too
 
@@ -125,8 +125,8 @@ def fit_quality(
     """
     named = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
     named = named.filter("label is not null and key is not null").distinct()
-    labelled = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(named, "key")
-    sample = bounded_sample(labelled, "key", "text", "label", rows, chars).collect()
+    texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    sample = bounded_sample(texts, "key", "text", "label", rows, chars, named).collect()
     sample.sort(key=lambda r: (r["key"], r["label"], r["text"]))
     return train([r["text"] for r in sample], [r["label"] for r in sample])
 

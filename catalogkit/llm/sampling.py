@@ -10,18 +10,23 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))
 
 
-def bounded_sample(labelled: DataFrame, key: str, text: str, label: str, rows: int, chars: int) -> DataFrame:
-    """At most ``rows`` rows and about ``chars`` characters of whole texts per label value.
+def bounded_sample(
+    docs: DataFrame, key: str, text: str, label: str, rows: int, chars: int, labels: DataFrame | None = None
+) -> DataFrame:
+    """At most ``rows`` rows and about ``chars`` characters of whole texts per label value: ``key, text, label``.
+
+    The label is a column of ``docs``, or comes by ``key`` from ``labels``.
 
     Rows are taken in hash order of the key, so the same data give the same sample. The row
-    limit works on the keys before the texts are moved, and Spark cuts each partition to it
-    before the shuffle, so a label with a third of all rows costs no more than a rare one. A text
+    limit works on keys and lengths alone, and the few keys taken are sent to the texts. Up to a thousand rows, Spark cuts each partition
+    to the limit before the shuffle, so a label with a third of all rows costs no more than a rare one. A text
     longer than the whole budget is taken only if it comes first.
     """
     order = [F.xxhash64(F.col(key)), F.col(key)]
     per_label = Window.partitionBy(label).orderBy(*order)
+    sized = docs.select(key, F.length(text).alias("_n"), *([label] if labels is None else []))
     keys = (
-        labelled.select(key, label, F.length(text).alias("_n"))
+        (sized if labels is None else sized.join(labels.select(key, label), key))
         .withColumn("_rank", F.row_number().over(per_label))
         .filter(F.col("_rank") <= rows)
         .withColumn("_upto", F.sum("_n").over(per_label.rowsBetween(Window.unboundedPreceding, 0)))
@@ -30,7 +35,8 @@ def bounded_sample(labelled: DataFrame, key: str, text: str, label: str, rows: i
         .distinct()
     )
     # at most ``rows`` keys per label value
-    chosen = labelled.join(F.broadcast(keys), [key, label], "left_semi")
+    on = [key, label] if labels is None else [key]
+    chosen = docs.join(F.broadcast(keys), on).select(key, text, label)
     # repeated keys could exceed the bound; the window over the sampled rows holds it
     exact = Window.partitionBy(label).orderBy(*order, F.xxhash64(text))
     return chosen.withColumn("_rank", F.row_number().over(exact)).filter(F.col("_rank") <= rows).drop("_rank")
