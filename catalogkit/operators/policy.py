@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -120,19 +119,9 @@ class SourcePolicy:
             .otherwise(F.concat(head, F.lit(" ou "), F.get(labels, size - 1)))
         )
 
-    def label_of(self, source: str) -> str:
-        """:meth:`label` of a configured source."""
-        key = source.strip().lower()
-        known = {name.lower(): text for name, text in self.labels.items()}
-        words = [w for w in re.split("[^a-z0-9]+", key) if w]
-        return known.get(key) or (" ".join(w[0].upper() + w[1:] for w in words) if key else UNKNOWN_SOURCE)
-
-    def list_text_of(self, sources: Sequence[str]) -> str:
-        """:meth:`list_text` of a configured list."""
-        labels = [self.label_of(k) for k in source_keys(sources)]
-        if len(labels) < 2:
-            return labels[0] if labels else NO_SOURCES
-        return ", ".join(labels[:-1]) + " ou " + labels[-1]
+    def fixed_list_text(self, sources: Sequence[str]) -> Column:
+        """:meth:`list_text` of a configured list; Spark folds it into a constant."""
+        return self.list_text(F.array(*map(F.lit, sources)).cast("array<string>"))
 
 
 def normalize_type(value: Col) -> Column:

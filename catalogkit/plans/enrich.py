@@ -151,7 +151,7 @@ def enrich_items(items: DataFrame, waterfall: DataFrame, sources: Sequence[str],
     built = computed_once(named, product=product, _passes=passes)
     passes, trusted = F.col("_passes"), policy.is_trusted("product.name_source")
     reason = (
-        F.when(found & ~trusted, F.lit(f"{UNTRUSTED_NAME}{policy.list_text_of(policy.trusted)}."))
+        F.when(found & ~trusted, F.concat(F.lit(UNTRUSTED_NAME), policy.fixed_list_text(policy.trusted), F.lit(".")))
         .when(~found & ~passes, approval_reason("lookups", sources, policy))
     )
     keep = [c for c in items.columns if c not in ("received_name", "raw")]
@@ -237,7 +237,9 @@ def product_snapshot(enriched: DataFrame, policy: SourcePolicy) -> DataFrame:
                                           "subcategory", "segment", "subsegment", "active_ingredient",
                                           "registration", "control_label")],
     )
-    refused = F.lit(f"{NAME_REJECTED}{policy.list_text_of([*policy.trusted, *policy.pass_through])}.")
+    refused = F.concat(
+        F.lit(NAME_REJECTED), policy.fixed_list_text([*policy.trusted, *policy.pass_through]), F.lit(".")
+    )
     hidden = ("product", "lookups", "candidates", "_drugs", "_social", "_description", "_class", "_maker")
     keep = [c for c in enriched.columns if c not in hidden]
     return enriched.select(

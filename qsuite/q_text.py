@@ -162,14 +162,6 @@ def fnv1a32_q(spark, d):
 simple("external_id", "documents", "doc_id", {"external_id": lambda: external_id("source", normalize_search_text("text"))},
        {"external_id": f"sha256(source || ':' || {v.sql_search_norm('text')})"})
 
-_DOSE = "p_name || ' ' || p_size || case p_partkey % 4 when 0 then 'mg/5ml + 3 mg' when 1 then ',5 mcg caixa' when 2 then ' % gel 30 comp' else ' un' end"
-_SQL_DOSE = (
-    r"\b\d+(?:[.,]\d+)?\s*(?:mg|mcg|g|kg|ml|l|ui|mui|meq|%)(?:\s*/\s*\d+(?:[.,]\d+)?\s*(?:ml|g|l))?"
-    r"(?:\s*\+\s*\d+(?:[.,]\d+)?\s*(?:mg|mcg|g|kg|ml|l|ui|mui|meq|%)(?:\s*/\s*\d+(?:[.,]\d+)?\s*(?:ml|g|l))?)*"
-)
-_SQL_PACK = r"\b(\d+)\s*(un|uni|unid|unidade|unidades|comp|comprimido|comprimidos|caps|capsula|capsulas|cps|ml|l|g|kg)\b"
-
-
 def _dose_text():
     size = F.col("p_size").cast("string")
     tail = (F.when(F.col("p_partkey") % 4 == 0, "mg/5ml + 3 mg").when(F.col("p_partkey") % 4 == 1, ",5 mcg caixa")
@@ -178,13 +170,13 @@ def _dose_text():
 
 
 simple("extract_dose", "part", "p_partkey", {"dose": lambda: extract_dose(_dose_text())},
-       {"dose": f"nullif(trim(regexp_extract({_DOSE}, '{_SQL_DOSE}', 0, 'i')), '')"})
+       # what the four endings of the text say, without a pattern
+       {"dose": "case p_partkey % 4 when 0 then p_size || 'mg/5ml + 3 mg' when 1 then p_size || ',5 mcg' when 2 then p_size || ' %' end"})
 simple("extract_package", "part", "p_partkey",
        {"quantity": lambda: extract_package(_dose_text(), F.col("p_name"))["quantity"],
         "unit": lambda: extract_package(_dose_text(), F.col("p_name"))["unit"]},
-       {"quantity": f"nullif(regexp_extract({_DOSE}, '{_SQL_PACK}', 1, 'i'), '')",
-        "unit": f"""case regexp_extract({_DOSE}, '{_SQL_PACK}', 2, 'i') when 'un' then 'unidades' when 'comp' then 'comprimidos'
-          when '' then null else regexp_extract({_DOSE}, '{_SQL_PACK}', 2, 'i') end"""})
+       {"quantity": "case p_partkey % 4 when 0 then '5' when 2 then '30' when 3 then cast(p_size as varchar) end",
+        "unit": "case p_partkey % 4 when 0 then 'ml' when 2 then 'comprimidos' when 3 then 'unidades' end"})
 simple("normalize_unit", "part", "p_partkey",
        {"unit": lambda: normalize_unit(F.element_at(F.array(*[F.lit(u) for u in ["Unid", "CÁPS", "ml", " Frasco ", ""]]),
                                                     (F.col("p_partkey") % 5 + 1).cast("int")))},

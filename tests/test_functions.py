@@ -85,7 +85,8 @@ def test_vectors(spark):
 
 def test_policy(spark):
     rules = policy.SourcePolicy(trusted=["a", "b-site"], pass_through=["feed"], labels={"a": "Alpha"})
-    assert rules.list_text_of(["a", "b-site", "zz"]) == "Alpha, B Site ou Zz"
+    assert one(spark, rules.fixed_list_text(["a", "b-site", "zz"])) == "Alpha, B Site ou Zz"
+    assert one(spark, rules.fixed_list_text([])) == policy.NO_SOURCES
     assert one(spark, rules.list_text(F.lit(["a", "b-site", "A", "zz"]))) == "Alpha, B Site ou Zz"
     assert one(spark, rules.label(F.lit(""))) == policy.UNKNOWN_SOURCE
     name = F.lit("Preservativo Lubrificado 3 un")
