@@ -16,7 +16,7 @@ import numpy as np
 
 # pieces kept per worker: 500,000 pieces with their ids take about 100 MB
 MAX_PIECES = 500_000
-END = b"\xff"  # never a byte of UTF-8: marks the end of a word
+END = "\0"  # marks the end of a word; no piece that is merged here contains it
 
 
 class WordTokens:
@@ -35,68 +35,87 @@ class WordTokens:
         letters = _byte_letters()
         as_byte = {letter: bytes([b]) for b, letter in letters.items()}
         suffix = described["model"]["end_of_word_suffix"]
+        end = END.encode()
         ranks: dict[bytes, int] = {}
         self.id_of_rank = np.zeros(512 + len(described["model"]["merges"]), np.uint32)
+        self.ends_word = np.zeros(len(self.id_of_rank), bool)
         for b, letter in letters.items():
             ranks[bytes([b])] = b
             self.id_of_rank[b] = vocab[letter]
-        ranks[END] = len(self.id_of_rank)  # always merged with the byte before it
-        for b, letter in letters.items():
-            if bytes([b]) != END:
-                ranks[bytes([b]) + END] = 256 + b
+            if b:
+                # the end mark joins the byte before it before all other merges
+                ranks[bytes([b]) + end] = 256 + b
                 self.id_of_rank[256 + b] = vocab[letter + suffix]
+                self.ends_word[256 + b] = True
         for n, merge in enumerate(described["model"]["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             word = left + right
-            body, end = (word[: -len(suffix)], END) if word.endswith(suffix) else (word, b"")
-            key = b"".join(as_byte[c] for c in body) + end
-            ranks.setdefault(key, 512 + n)
+            ends = word.endswith(suffix)
+            body = word[: -len(suffix)] if ends else word
+            ranks.setdefault(b"".join(as_byte[c] for c in body) + (end if ends else b""), 512 + n)
             self.id_of_rank[512 + n] = vocab[word]
-        self.core = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+            self.ends_word[512 + n] = ends
+        split = tiktoken.Encoding("words", pat_str=r"[^\x00\n]+\x00", mergeable_ranks=ranks, special_tokens={})
+        self.core = split._core_bpe
         pattern = described["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.split = regex.compile(pattern).findall
+        self.mark = regex.compile(pattern).sub
         # Latin letters that normalisation only lower-cases one by one
         self.simple = regex.compile(r"[\x21-\x7eÀ-įı-ňŊ-ſ]+").fullmatch
         self.simple_text = regex.compile(r"[\t-\r\x20-\x7eÀ-įı-ňŊ-ſ]+").fullmatch
-        self.letters = regex.compile(r"\p{L}+").fullmatch
-        # ids that the library gives directly have ranks after the merges
-        top = max([*vocab.values(), *(t["id"] for t in described["added_tokens"])])
-        known = len(self.id_of_rank)
-        self.id_of_rank = np.concatenate([self.id_of_rank, np.zeros(top + 1, np.uint32)])
-        self.id_of_rank[known:] = np.arange(top + 1)
-        self.rank_of_id = np.arange(top + 1) + known
         self.max_pieces = max_pieces
         self._reset()
 
     def _reset(self) -> None:
         self.code: dict[str, int] = {}
         self.pool = np.empty(1 << 16, np.uint32)
-        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.starts, self.lengths, self.seen = (np.zeros(1 << 16, np.int64) for _ in range(3))
         self.used = self.n = 0
 
-    def _piece(self, piece: str) -> list[int]:
-        if self.simple(piece) and "<|" not in piece:
-            if piece.isascii() and piece.isalpha() or self.letters(piece):
-                return self.core.encode_single_piece(piece.lower().encode() + END)
-            out: list[int] = []
-            for word in self.split(piece.lower()):
-                out += self.core.encode_single_piece(word.encode() + END)
-            return out
-        return self.rank_of_id[self.whole.encode(piece, add_special_tokens=False).ids].tolist()
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and id counts of simple pieces, all in one call: every word gets its end mark first."""
+        marked = self.mark("\\g<0>" + END, "\n".join(pieces).lower())
+        words = np.fromiter((p.count(END) for p in marked.split("\n")), np.int64, len(pieces))
+        ranks = np.array(self.core.encode_ordinary(marked), np.int64)
+        # a word ends with the only kind of rank that has the mark
+        word_ends = np.flatnonzero(self.ends_word[ranks]) + 1
+        ends = np.append(0, word_ends)[np.cumsum(words)]
+        return self.id_of_rank[ranks], np.diff(ends, prepend=0)
 
     def _learn(self, pieces: list[str]) -> None:
-        found = list(map(self._piece, pieces))
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = self.id_of_rank[np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))]
-        self.pool = _with_room(self.pool, self.used + len(ids))
-        self.starts = _with_room(self.starts, self.n + len(found))
-        self.lengths = _with_room(self.lengths, self.n + len(found))
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.starts[self.n : self.n + len(found)] = self.used + np.cumsum(sizes) - sizes
-        self.lengths[self.n : self.n + len(found)] = sizes
-        self.code.update(zip(pieces, range(self.n, self.n + len(found))))
-        self.used += len(ids)
-        self.n += len(found)
+        simple = [p for p in pieces if self.simple(p)] if not self.simple("".join(pieces)) else pieces
+        plain = [p for p in simple if "<|" not in p]
+        parts = [self._encode(plain)] if plain else []
+        if len(plain) < len(pieces):
+            known = set(plain)
+            others = [p for p in pieces if p not in known]
+            found = [self.whole.encode(p, add_special_tokens=False).ids for p in others]
+            ids = np.fromiter(chain.from_iterable(found), np.uint32)
+            parts.append((ids, np.fromiter(map(len, found), np.int64, len(found))))
+            plain = plain + others
+        ids, sizes = (np.concatenate(x) for x in zip(*parts))
+        self._keep(plain, ids.astype(np.uint32), sizes)
+
+    def _keep(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, upto = self.n + len(pieces), self.used + len(ids)
+        self.pool = _with_room(self.pool, upto)
+        self.starts, self.lengths, self.seen = (_with_room(x, n) for x in (self.starts, self.lengths, self.seen))
+        self.pool[self.used : upto] = ids
+        self.starts[self.n : n] = self.used + np.cumsum(sizes) - sizes
+        self.lengths[self.n : n] = sizes
+        self.seen[self.n : n] = 0
+        self.code.update(zip(pieces, range(self.n, n)))
+        self.n, self.used = n, upto
+
+    def _forget(self) -> None:
+        """Drop the pieces met only once since the last time."""
+        often = np.flatnonzero(self.seen[: self.n] > 1)
+        names = list(self.code)  # in the order of their codes
+        starts, sizes, pool = self.starts[often], self.lengths[often], self.pool
+        upto = np.cumsum(sizes)
+        where = np.repeat(starts - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)
+        self._reset()
+        if 2 * len(often) < self.max_pieces:
+            self._keep([names[k] for k in often.tolist()], pool[where], sizes)
 
     def _split(self, text: str) -> list[str]:
         """Parts whose ids, one after the other, are the ids of the text."""
@@ -113,13 +132,14 @@ class WordTokens:
                 words += self._split(text)
             ends.append(len(words))
         if self.n > self.max_pieces:
-            self._reset()
+            self._forget()
         get = self.code.get
         codes = list(map(get, words))
         if None in codes:
             self._learn(list({w for w, c in zip(words, codes) if c is None}))
             codes = list(map(self.code.__getitem__, words))
         at = np.fromiter(codes, np.int64, len(codes))
+        self.seen[: self.n] += np.bincount(at, minlength=self.n)
         sizes = self.lengths[at]
         upto = np.zeros(len(at) + 1, np.int64)
         np.cumsum(sizes, out=upto[1:])
