@@ -19,11 +19,13 @@ def _block_count(df: DataFrame, rows: int) -> Column:
     return F.greatest(F.ceil(df.agg(F.count("*")).scalar() / rows), F.lit(1)).cast("int")
 
 
-def block_pairs(left: DataFrame, right: DataFrame, left_key: Keys, right_key: Keys, left_rows: int, right_rows: int):
+def block_pairs(left: DataFrame, right: DataFrame, left_key: Keys, right_key: Keys, left_rows: int, right_rows: int,
+                left_of: DataFrame | None = None):
     """The two tables grouped by pairs of blocks, for ``applyInArrow``; each group has the extra columns
-    ``_left_block`` and ``_right_block``."""
+    ``_left_block`` and ``_right_block``. ``left_of`` is a cheaper table with at least as many rows as ``left``, to
+    count instead of it."""
     left_key, right_key = ([k] if isinstance(k, str) else list(k) for k in (left_key, right_key))
-    counts = [_block_count(left, left_rows).alias("_l"), _block_count(right, right_rows).alias("_r")]
+    counts = [_block_count(left if left_of is None else left_of, left_rows).alias("_l"), _block_count(right, right_rows).alias("_r")]
 
     def placed(df: DataFrame, key: Sequence[str], own: str, other: str, names: tuple[str, str]) -> DataFrame:
         counted = df.select("*", *counts)

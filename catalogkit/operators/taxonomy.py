@@ -170,7 +170,7 @@ def taxonomy_candidates(
     })
     asked = keyed.filter(scored).groupBy(F.col("_h1").alias("h1"), F.col("_h2").alias("h2"))
     asked = asked.agg(F.first("_signature").alias("s")).select("h1", "h2", "s.*")
-    pairs = block_pairs(asked, held, ["h1", "h2"], "entry_no", item_rows, entry_rows)
+    pairs = block_pairs(asked, held, ["h1", "h2"], "entry_no", item_rows, entry_rows, items)
     found = pairs.applyInArrow(_score_blocks(limit), "h1 long, h2 long, entry_no long, score double, item_count long")
     best = top_per_key(found, ["h1", "h2"], [F.desc("score"), F.desc("item_count"), "entry_no"], limit, "rank")
     entry = F.struct("entry_no", "score", "item_count").alias("entry")

@@ -322,11 +322,12 @@ def lookup_batch(
     items = codes.select("ean", F.lit(None).cast("string").alias("received_name"), F.lit("lookup_api").alias("source"))
     enriched = enrich_items(items, waterfall, sources, policy)
     asked = F.filter("lookups", lambda x: ~x["skipped"])
-    enriched = enriched.withColumns({
-        "attempted_sources": F.transform(asked, lambda x: x["key"]),
-        "_failed": (F.size(asked) > 0) & F.forall(asked, lambda x: x["error"].isNotNull()),
-        "error": F.array_join(F.array_compact(F.transform(asked, lambda x: x["error"])), "; "),
-    })
+    enriched = computed_once(
+        enriched,
+        attempted_sources=F.transform(asked, lambda x: x["key"]),
+        _failed=(F.size(asked) > 0) & F.forall(asked, lambda x: x["error"].isNotNull()),
+        error=F.array_join(F.array_compact(F.transform(asked, lambda x: x["error"])), "; "),
+    )
     classified = classify_enriched(enriched, entries, limit)
     classified = classified.withColumn("item", F.when(F.col("found"), F.col("product")))
     answers = product_snapshot(classified, policy).drop("received_name", "source")
@@ -334,7 +335,7 @@ def lookup_batch(
         F.when(~F.col("found") & F.col("_failed"), "error").when(~F.col("found"), "not_found")
         .when(F.col("requires_approval"), "review").otherwise("enriched")
     )
-    answers = answers.withColumn("status", status)
+    answers = computed_once(answers, status=status)
     done = F.col("status") == "enriched"
     answers = answers.withColumns({c: F.when(done, F.col(c)) for c in _PRODUCT} | {"error": F.when(F.col("status") == "error", F.col("error"))})
     answered = valid.join(answers.drop("_failed"), "ean")
