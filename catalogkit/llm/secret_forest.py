@@ -1,7 +1,7 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-DataFrame and SQL functions only. Candidates are long runs of key-like characters with a digit. Each is
-described by its length, its changes of character kind, how much of it is words of the corpus, where it
+DataFrame and SQL functions only. Candidates are long runs of key-like characters with a digit; an equals sign
+belongs to one only as padding at its end, so ``NAME=value`` is a name and a candidate. Each is described by its length, its changes of character kind, how much of it is words of the corpus, where it
 stands, and the words beside it; a forest trained on labelled findings tells secrets from the rest.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from catalogkit.session import cut_lineage
 
 MIN_LENGTH = 16
-_RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}+"
+_KEY, _PADDING = "[A-Za-z0-9+/_-]", "(?![A-Za-z0-9+/_=-])"
 #: Characters beside a candidate that are looked at.
 _NEAR = 64
 #: A corpus word stands in at least so many documents.
@@ -26,6 +26,12 @@ TREES, DEPTH = 20, 6
 #: The forest is fitted on at most so many labelled findings per label.
 FIT_ROWS = 20_000
 
+#: Shapes by which vendors mark their keys; such a key needs no name beside it.
+KNOWN_KEYS = (
+    r"(?:^|[^A-Za-z0-9])(?:A[KS]IA[0-9A-Z]{16}|gh[oprsu]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}"
+    r"|[rs]k_live_[A-Za-z0-9]{16,}|sk-(?:proj-|ant-[a-z0-9]+-)?[A-Za-z0-9_]{32,}|xox[abeoprs]-[A-Za-z0-9-]{10,}"
+    r"|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36})(?![A-Za-z0-9])"
+)
 # Names that announce a secret, and words that mark samples.
 SECRET_NAMES = "token|secret|password|passwd|pwd|passphrase|apikey|api_key|api-key|access_key|private_key|auth|bearer|credential"
 SAMPLE_WORDS = "example|sample|dummy|placeholder|test|fake|mock|xxxx|changeme|your"
@@ -33,6 +39,7 @@ SAMPLE_WORDS = "example|sample|dummy|placeholder|test|fake|mock|xxxx|changeme|yo
 FEATURES = [
     "length", "digit_share", "upper_share", "digit_turns", "case_turns", "distinct_share", "hex_only", "digits_only",
     "longest_letters", "word_coverage", "slashes", "in_path", "sample_path", "named", "assigned", "quoted", "sample_near",
+    "known_key",
 ]
 
 
@@ -40,15 +47,22 @@ def _count(pattern: str, of: Column) -> Column:
     return F.regexp_count(of, F.lit(pattern))
 
 
+def _run(length: int) -> str:
+    """Runs of at least ``length`` key-like characters, with up to two equals signs where nothing key-like follows."""
+    short = [rf"{_KEY}{{{length - n}}}={{{n}}}{_PADDING}" for n in (1, 2) if length > n]
+    return rf"(?<!{_KEY})(?:" + "|".join([rf"{_KEY}{{{length},}}+(?:={{1,2}}{_PADDING})?+", *short]) + ")"
+
+
 def candidates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, min_length: int = MIN_LENGTH
 ) -> DataFrame:
     """``key, at, candidate, before, after, path``: every run of key-like characters with a digit in it.
 
-    ``at`` counts characters from 0; up to 64 characters on each side come along. The text is split at the
+    ``at`` counts characters from 0; up to 64 characters on each side come along, before it also those of an
+    earlier run, which may be its name. The text is split at the
     runs once, and the pieces' lengths are summed up over the rows of a document.
     """
-    run = _RUN % min_length
+    run = _run(min_length)
     rows = docs.select(
         F.col(key).alias("key"),
         F.monotonically_increasing_id().alias("row"),
@@ -57,6 +71,7 @@ def candidates(
         F.regexp_extract_all(text, F.lit(run), F.lit(0)).alias("runs"),
     ).filter(F.exists("runs", lambda r: r.rlike("[0-9]")))
     pieces = rows.withColumn("pieces", F.split("text", run, -1))
+    last = lambda of, n: F.coalesce(F.substring(F.get(of, n), -_NEAR, _NEAR), F.lit(""))
     placed = pieces.select(
         "key", "row", "path",
         F.posexplode(
@@ -65,7 +80,9 @@ def candidates(
                 lambda run, n: F.struct(
                     run.alias("candidate"),
                     F.length(F.get("pieces", n)).alias("gap"),
-                    F.substring(F.get("pieces", n), -_NEAR, _NEAR).alias("before"),
+                    F.substring(
+                        F.concat(last("pieces", n - 1), last("runs", n - 1), last("pieces", n)), -_NEAR, _NEAR
+                    ).alias("before"),
                     F.substring(F.get("pieces", n + 1), 1, _NEAR).alias("after"),
                 ),
             )
@@ -113,6 +130,7 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
         "assigned": F.col("before").rlike(r"[=:]\s*[\"'`]?$"),
         "quoted": F.col("before").rlike(r"[\"'`]$") & F.col("after").rlike(r"^[\"'`]"),
         "sample_near": near_words.rlike(SAMPLE_WORDS),
+        "known_key": c.rlike(KNOWN_KEYS) & ~F.lower(c).rlike("example|xxxx"),
     }
     joined = found.join(covered, ["row", "n"], "left")
     return joined.select("*", *[figures[name].cast("double").alias(name) for name in FEATURES]).drop("covered")
@@ -121,12 +139,13 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
 def weak_label() -> Column:
     """A label for findings nobody has judged: 1 if a secret's name is assigned a mixed value of 20 characters.
 
-    0 for plain numbers and for values that nothing names; null where the signs disagree.
+    1 also for keys of a vendor's known shape. 0 for plain numbers and for other values that nothing names; null
+    where the signs disagree.
     """
     mixed = F.col("candidate").rlike("[A-Za-z]") & (F.col("length") >= 20)
-    named = F.col("named") == 1
-    return F.when(named & (F.col("assigned") == 1) & mixed & (F.col("sample_near") == 0), 1).when(
-        (F.col("digits_only") == 1) | ~named, 0
+    named, known = F.col("named") == 1, F.col("known_key") == 1
+    return F.when((known | named & (F.col("assigned") == 1) & mixed) & (F.col("sample_near") == 0), 1).when(
+        (F.col("digits_only") == 1) | ~named & ~known, 0
     )
 
 
@@ -182,7 +201,8 @@ def scan_secrets(
     """One row per candidate: ``key, at, length, sha256, score, is_secret``.
 
     ``labelled`` holds judged findings (``key, at, label``) by which the forest learns; without it, findings are
-    labelled by ``weak_label``. ``teach`` limits who may teach, in terms of the column ``key``. Null and
+    labelled by ``weak_label``, and keys of a vendor's known shape without sample words beside them score 1 even where
+    none was there to teach. ``teach`` limits who may teach, in terms of the column ``key``. Null and
     empty texts have no candidates; repeated rows have theirs each; long texts are scanned whole; an empty table
     gives no rows. The secret itself is not returned. Only the named columns are read.
     """
@@ -192,7 +212,12 @@ def scan_secrets(
     else:
         known = found.join(labelled.select(F.col(key).alias("key"), "at", "label").distinct(), ["key", "at"])
     forest = fit_forest(known if teach is None else known.filter(teach))
-    return judged(found, forest).select(
+    verdicts = judged(found, forest)
+    if labelled is None:
+        sure = (F.col("known_key") == 1) & (F.col("sample_near") == 0)
+        verdicts = verdicts.withColumn("score", F.when(sure, 1.0).otherwise(F.col("score")))
+        verdicts = verdicts.withColumn("is_secret", sure | F.col("is_secret"))
+    return verdicts.select(
         F.col("key").alias(key), F.col("at").cast("long").alias("at"), F.col("length").cast("int").alias("length"),
         F.sha2(F.col("candidate"), 256).alias("sha256"), "score", "is_secret",
     )
