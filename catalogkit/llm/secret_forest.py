@@ -14,6 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from catalogkit.llm.sampling import MAX_LABELS
 from catalogkit.session import cut_lineage
 
 MIN_LENGTH = 16
@@ -157,15 +158,34 @@ class Forest:
     only: float
 
 
+def low_findings(findings: DataFrame, label: str, rows: int) -> DataFrame:
+    """``label, place`` and figures of the findings that can be among the first ``rows`` of their label, and few more."""
+    known = findings.filter(F.col(label).isNotNull()).select(
+        F.col(label).cast("double").alias("label"), F.xxhash64("candidate", "key", "at").alias("place"), *FEATURES
+    )
+    counted = known.groupBy("label").agg(F.approx_count_distinct("place").alias("n")).limit(MAX_LABELS + 1).collect()
+    if len(counted) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
+    below = [(r["label"], min(2**63 - 1, -(2**63) + (4 * rows + 1000) * 2**64 // max(r["n"], 1))) for r in counted]
+    bounds = findings.sparkSession.createDataFrame(below, "label double, _below long")
+    low = known.join(F.broadcast(bounds), "label").filter(F.col("place") <= F.col("_below"))
+    return low.groupBy("label", "place").agg(*[F.max(name).alias(name) for name in FEATURES])
+
+
+def sampled(findings: DataFrame, label: str, rows: int) -> DataFrame:
+    """The first ``rows`` findings of each label in hash order: ``label, place`` and figures."""
+    order = Window.partitionBy("label").orderBy("place")
+    ranked = low_findings(findings, label, rows).withColumn("_rank", F.row_number().over(order))
+    return ranked.filter(F.col("_rank") <= rows).drop("_rank")
+
+
 def fit_forest(findings: DataFrame, label: str = "label", rows: int = FIT_ROWS, seed: int = 1) -> Forest:
     """Train on at most ``rows`` labelled findings of each label, in hash order of their text and place.
 
-    Findings without a label teach nothing. With one label alone, or none, there is no forest to grow: scores are that label, or 0.
+    Labels are counted first, and only findings whose hash is low enough to be among the first are ranked, with their
+    figures alone. A finding in repeated rows teaches once. Findings without a label teach nothing. With one label alone, or none, there is no forest to grow: scores are that label, or 0.
     """
-    known = findings.filter(F.col(label).isNotNull())
-    order = Window.partitionBy(label).orderBy(F.xxhash64("candidate", "key", "at"), "candidate", "at")
-    sample = known.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= rows)
-    sample = cut_lineage(sample.select(F.col(label).cast("double").alias("label"), *FEATURES))
+    sample = cut_lineage(sampled(findings, label, rows).select("label", *FEATURES))
     kinds = sorted(r[0] for r in sample.select("label").distinct().limit(3).collect())
     if len(kinds) < 2:
         return Forest(None, kinds[0] if kinds else 0.0)

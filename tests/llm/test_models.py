@@ -203,6 +203,20 @@ def test_given_labels_teach(spark):
     assert all(r.is_secret == (r.doc_id < 40) for r in verdicts) and len(verdicts) == 80
 
 
+def test_few_findings_are_ranked(spark):
+    figures = [F.lit(1.0).alias(name) for name in secrets.FEATURES]
+    table = spark.range(60_000).select(
+        F.col("id").alias("key"), F.lit(0).alias("at"), F.sha2(F.col("id").cast("string"), 256).alias("candidate"),
+        F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 3 == 1, 0).alias("label"), *figures,
+    )
+    table = table.unionAll(table.filter("key < 9000"))  # repeated rows
+    low = {r.label: r["count"] for r in secrets.low_findings(table, "label", 500).groupBy("label").count().collect()}
+    assert set(low) == {0.0, 1.0} and all(500 <= n < 6000 for n in low.values())
+    places = table.filter("label = 1").select(F.xxhash64("candidate", "key", "at").alias("p")).distinct()
+    want = [r.p for r in places.orderBy("p").limit(500).collect()]
+    assert sorted(r.place for r in secrets.sampled(table, "label", 500).filter("label = 1").collect()) == want
+
+
 def test_secrets_held_out(spark, sf):
     from pyspark.sql import functions as F
 
