@@ -1,8 +1,8 @@
 """Token counts of the documents in flat token files, found by scanning for their end marks.
 
 A flat file is one run of little-endian token ids, every document followed by the end-of-document id,
-with no index beside it. Files are cut into blocks, every block is searched on its own, and a running maximum
-over the blocks of a file tells where the document began that runs into a block.
+with no index beside it. Files are cut into blocks, every task reads and searches its own blocks, and a running
+maximum over the blocks of a file tells where the document began that runs into a block.
 """
 
 from __future__ import annotations
@@ -11,13 +11,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from catalogkit.llm.textbytes import chunks
 from catalogkit.llm.tokens import worker_tokens
 
 BLOCK_TOKENS = 1 << 19
-#: Documents per written file: about 10 MB of ids at common lengths.
+#: One task reads about so many bytes.
+TASK_BYTES = 1 << 25
+#: Documents per written file: about 10 MB of ids at common lengths. Longer documents make larger files, which are read in ranges.
 DOCUMENTS_PER_FILE = 4000
 
 
@@ -50,6 +53,24 @@ def write_token_files(
     writer.text(path)
 
 
+def open_file(path: str) -> pa.NativeFile:
+    """Open a file, named as Spark names it, for reads at any place; an error if Arrow does not know its store."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return pafs.LocalFileSystem().open_input_file("/" + rest.lstrip("/"))
+    authority, _, tail = rest.removeprefix("//").partition("/")
+    system, root = pafs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}://{authority}/")
+    return system.open_input_file(f"{root.rstrip('/')}/{tail}")
+
+
+def _opens(path: str) -> bool:
+    try:
+        open_file(path).close()
+    except (OSError, ValueError, NotImplementedError):
+        return False
+    return True
+
+
 def token_counts(
     spark: SparkSession, path: str, end_id: int, dtype: str = "<u2", block_tokens: int = BLOCK_TOKENS, glob: str = "*"
 ) -> DataFrame:
@@ -58,30 +79,53 @@ def token_counts(
     ``start`` is the place of its first id in the file; the end mark does not count. Two marks in a row are an
     empty document. Ids after a file's last mark are a document with ``ended`` false; bytes short of a whole id are
     ignored. Empty files have no documents, and no document runs from one file into the next.
+
+    Every task opens the files and reads its own blocks, so a file may have any size. In a store that Arrow's file
+    systems do not open (``viewfs``, say), Spark reads each file as one row instead: one task holds a whole file there,
+    and one over ``spark.sql.sources.binaryFile.maxLength`` (2 GB) is an error.
     """
     width = np.dtype(dtype).itemsize
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     step = block_tokens * width
+    # paths and lengths come from the listing; contents are read only where they are named
+    listed = files.agg(F.min("path").alias("first"), F.sum("length").alias("bytes"), F.max("length").alias("most")).first()
+    in_ranges = not listed["most"] or _opens(listed["first"])
     # a partial id at the end of a file is cut off
-    size = F.expr(f"length(content) - length(content) % {width}")
-    blocks = files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"),
-        F.posexplode(
-            F.when(
-                size > 0,
-                F.transform(
-                    F.sequence(F.lit(0), size - 1, F.lit(step)),
-                    lambda at: F.substring(F.col("content"), at + 1, F.least(F.lit(step), size - at)),
-                ),
-            )
-        ).alias("block", "bytes"),
-    )
+    size = F.expr(f"length - length % {width}")
+    begins = F.when(size > 0, F.sequence(F.lit(0).cast("long"), size - 1, F.lit(step).cast("long")))
+    if in_ranges:
+        tasks = max(spark.sparkContext.defaultParallelism, -(-(listed["bytes"] or 0) // TASK_BYTES))
+        blocks = files.select("path", size.alias("size"), F.posexplode(begins).alias("block", "at"))
+        blocks = blocks.repartition(tasks, "path", "block").sortWithinPartitions("path", "block")
+        what = F.struct("path", "at", F.least(F.lit(step), F.col("size") - F.col("at")).alias("length"))
+    else:
+        pieces = F.transform(begins, lambda at: F.substring("content", (at + 1).cast("int"), F.least(F.lit(step), size - at).cast("int")))
+        blocks = files.select("path", F.posexplode(pieces).alias("block", "bytes"))
+        what = F.col("bytes")
+    blocks = blocks.select(F.element_at(F.split("path", "/"), -1).alias("file"), "block", what.alias("what"))
+
+    def contents(column: pa.Array) -> Iterator[bytes | pa.Buffer]:
+        if not in_ranges:
+            yield from (value.as_buffer() for value in column)
+            return
+        path, opened = None, None
+        for row in column.to_pylist():
+            if row["path"] != path:
+                if opened:
+                    opened.close()
+                path, opened = row["path"], open_file(row["path"])
+            data = opened.read_at(row["length"], row["at"])
+            if len(data) < row["length"]:
+                raise OSError(f"{path} ends before {row['at'] + row['length']}")
+            yield data
+        if opened:
+            opened.close()
 
     def search(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             found, lengths = [], []
-            for value in column:
-                ids = np.frombuffer(value.as_buffer(), dtype)
+            for data in contents(column):
+                ids = np.frombuffer(data, dtype)
                 found.append(np.flatnonzero(ids == end_id))
                 lengths.append(len(ids))
             yield pa.StructArray.from_arrays(
@@ -89,7 +133,7 @@ def token_counts(
             )
 
     scanned = blocks.select(
-        "file", "block", F.arrow_udf(search, "marks array<long>, n long")(F.col("bytes")).alias("s")
+        "file", "block", F.arrow_udf(search, "marks array<long>, n long")(F.col("what")).alias("s")
     ).select("file", "block", "s.marks", "s.n")
     base = F.col("block").cast("long") * block_tokens
     # the scan over blocks: one narrow row each, numbered within their file

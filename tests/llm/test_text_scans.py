@@ -141,6 +141,26 @@ def test_scan_of_hand_made_files(spark, tmp_path):
         assert got["e"] == [(0, True)] + [(1, True)] * 49 + [(1, False)]
 
 
+def test_file_over_two_gigabytes(spark, tmp_path):
+    places = [0, 7, (1 << 19) + 3, 600_000_000, (1 << 30) + 100]  # in ids of two bytes: the last is beyond 2 GB
+    with open(tmp_path / "a b%20.bin", "wb") as file:
+        for place in places:
+            file.seek(2 * place)
+            file.write((49407).to_bytes(2, "little"))
+        file.truncate(2 * ((1 << 30) + 400))
+    rows = token_scan.token_counts(spark, str(tmp_path), 49407).orderBy("doc_no").collect()
+    begins = [0] + [p + 1 for p in places]
+    assert [r.start for r in rows] == begins and [r.ended for r in rows] == [True] * 5 + [False]
+    assert [r.n_tokens for r in rows] == [p - b for p, b in zip(places, begins)] + [299]
+
+
+def test_store_that_only_spark_reads(spark, tmp_path):
+    np.array([5, 9, 0, 7, 0, 3], "<u2").tofile(tmp_path / "a.bin")
+    spark.conf.set("fs.viewfs.mounttable.flat.link./in", f"file://{tmp_path}")
+    rows = token_scan.token_counts(spark, "viewfs://flat/in", 0, block_tokens=2).orderBy("doc_no").collect()
+    assert [(r.n_tokens, r.ended) for r in rows] == [(2, True), (1, True), (1, False)]
+
+
 # -- decontamination -----------------------------------------------------------------------
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
