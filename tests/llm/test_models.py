@@ -136,6 +136,26 @@ def test_quality_held_out(spark, sf):
     assert np.mean([r.predicted == r.quality for r in rows]) >= 0.95
 
 
+def test_all_rows_within_the_bounds_teach(spark, monkeypatch):
+    table = spark.range(4200).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), (F.col("id") % 2).cast("int").alias("quality"),
+        F.when(F.col("id") % 2 == 0, "en").otherwise("fr").alias("lang"),
+    )
+    taught = {}
+    monkeypatch.setattr(quality, "train", lambda texts, labels: taught.update(op2=collections.Counter(labels)))
+    quality.fit_quality(table, table)
+    sample = ppm.bounded_sample
+
+    def watched(*args):
+        out = sample(*args)
+        taught["op9"] = {r.lang: r["count"] for r in out.groupBy("lang").count().collect()}
+        return out
+
+    monkeypatch.setattr(ppm, "bounded_sample", watched)
+    ppm.fit_languages(table)
+    assert taught == {"op2": {0: 1500, 1: 1500}, "op9": {"en": 2000, "fr": 2000}}
+
+
 # -- secrets -------------------------------------------------------------------------------
 
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
