@@ -165,3 +165,14 @@ def op6_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from catalogkit.llm.secret_forest import scan_secrets
 
     return scan_secrets(read(spark, sf_dir, "documents"), teach=~held_out("key"), path="source")
+
+
+@query("op12_lockstep_align")
+def op12_lockstep_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of two public vocabularies over every document."""
+    import public_tokenizers
+
+    from catalogkit.llm.lockstep_align import rate_links
+
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return rate_links(read(spark, sf_dir, "documents"), *paths)
