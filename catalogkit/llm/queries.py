@@ -176,3 +176,12 @@ def op12_lockstep_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
     return rate_links(read(spark, sf_dir, "documents"), *paths)
+
+
+@query("op13_grammar_repair")
+def op13_grammar_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged in known ways, with its faults and its cheapest repair."""
+    from catalogkit.llm.conversation_repair import damage, repair
+
+    conversations = read(spark, sf_dir, "conversations")
+    return repair(damage(conversations), conversations)
