@@ -185,3 +185,15 @@ def op13_grammar_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     conversations = read(spark, sf_dir, "conversations")
     return repair(damage(conversations), conversations)
+
+
+@query("op11_bucket_refinement")
+def op11_bucket_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the strings of 400 bytes that also start elsewhere."""
+    from catalogkit.llm.suffix_buckets import remove_repeats
+
+    cut = remove_repeats(read(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
