@@ -26,8 +26,8 @@ from catalogkit.session import new_work_path
 
 #: Texts of more first-side tokens go through the merge as several lanes of about this many.
 LANE = 2048
-#: Pieces kept per worker; 400,000 with their ids take about 150 MB.
-MAX_PIECES = 400_000
+#: Pieces kept per worker; 150,000 with their ids take about 60 MB.
+MAX_PIECES = 150_000
 # Fixed value: how the public byte-level vocabulary splits text before merging.
 _SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
@@ -222,9 +222,8 @@ def possible_pairs(a: list[bytes], b: list[bytes]) -> np.ndarray:
         for token, own in longer.items():
             for k in range(len(token)):
                 for m in other.get(token[k:], ()):
-                    found.update((m, n) if swap else (n, m) for n in own)
-    codes = np.array(sorted(found), np.int64).reshape(-1, 2)
-    return codes[:, 0] * len(b) + codes[:, 1]
+                    found.update(m * len(b) + n if swap else n * len(b) + m for n in own)
+    return np.sort(np.fromiter(found, np.int64, len(found)))
 
 
 class Aligner:
@@ -271,7 +270,7 @@ def _aligned(a_path: str, b_path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = worker_aligner(a_path, b_path)
         for batch in batches:
-            for row, end, _, _ in chunks(batch["text"], 1 << 21):
+            for row, end, _, _ in chunks(batch["text"]):
                 n_a, n_b, groups, links, pair = aligner.align(batch["text"][row:end].to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [
