@@ -10,6 +10,7 @@ from catalogkit.functions.ean import exact_ean_from_query
 from catalogkit.functions.text import fuzzy_equal, normalize_match_text, normalize_search_text, tokenize
 from catalogkit.functions.vectors import DEFAULT_DIMENSIONS, hash_vector
 from catalogkit.operators.ordering import page_size
+from catalogkit.operators.postings import Postings, short_topk
 from catalogkit.operators.topk import CORPUS_ROWS, QUERY_ROWS, scored_topk
 
 # A query of at most two tokens is short; fuzzy hits need this similarity.
@@ -43,15 +44,23 @@ def prepare_queries(
 def hybrid_search(
     prepared: DataFrame, corpus: DataFrame, limit: int | None = None, offset: int = 0, min_score: float | None = None,
     max_limit: int | None = None, query_rows: int = QUERY_ROWS, corpus_rows: int = CORPUS_ROWS,
+    postings: Postings | None = None,
 ) -> DataFrame:
     """One page of ranked results per query.
 
     ``corpus``: ``doc_id, vector, tokens, ean, recency``. Result: ``query_id, doc_id, similarity,
     overlap, exact, is_short, rank, position, has_more``. One row beyond the page tells whether
-    more follow. ``max_limit`` bounds the page where a caller wants that.
+    more follow. ``max_limit`` bounds the page where a caller wants that. With ``postings`` of the corpus, short
+    queries score only rows that can enter the page; the result is the same.
     """
     limit = page_size(limit, max_limit)
-    best = scored_topk(prepared, corpus, offset + limit + 1, min_score, query_rows=query_rows, corpus_rows=corpus_rows)
+    k, blocks = offset + limit + 1, dict(query_rows=query_rows, corpus_rows=corpus_rows)
+    if postings is None:
+        best = scored_topk(prepared, corpus, k, min_score, **blocks)
+    else:
+        best = scored_topk(prepared.filter(~F.col("is_short")), corpus, k, min_score, **blocks).unionByName(
+            short_topk(prepared.filter("is_short"), corpus, postings, k, min_score, **blocks)
+        )
     beyond = best.groupBy("query_id").agg((F.max("rank") > offset + limit).alias("has_more"))
     kept = best.filter((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
     return kept.withColumn("position", F.col("rank") - offset).join(beyond, "query_id")

@@ -8,6 +8,8 @@ from catalogkit.functions.text import normalize_match_text, tokenize
 from catalogkit.functions.vectors import cosine_similarity, hash_vector, ranking_score, token_overlap
 from catalogkit.operators.aggregates import quality_by_category
 from catalogkit.operators.fuzzy import match_token_pairs
+from catalogkit.operators.ivf import build_ivf, vector_topk_ivf
+from catalogkit.operators.postings import build_postings
 from catalogkit.operators.topk import vector_topk
 from catalogkit.plans.search import (
     apply_relevance,
@@ -70,12 +72,35 @@ def vector_topk_min_q(spark, d):
     return topk(spark, d, min_score=0.5)
 
 
+def ivf(spark, d, exact):
+    """Every fiftieth row asks an index of all rows. The given vectors point nearly anywhere, so three lists in four are asked."""
+    e = embeddings(spark, d)
+    corpus = e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    queries = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    lists = max(8, round(corpus.count() ** 0.5))
+    found = vector_topk_ivf(queries, build_ivf(corpus, lists), 10, probes=max(1, lists // 8) if exact else lists * 3 // 4, exact=exact)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+# an index is approximate, so SQL has no equal; tests/test_ivf.py holds it against the exact result
+@query("vector_topk_ivf")
+def vector_topk_ivf_q(spark, d):
+    return ivf(spark, d, exact=False)
+
+
+@query("vector_topk_ivf_exact", v.ctes(TOPK_SQL) + _TOP + " and query_id % 50 = 0")
+def vector_topk_ivf_exact_q(spark, d):
+    return ivf(spark, d, exact=True)
+
+
 # -- hybrid search over documents ----------------------------------------------------------
 
-# queries: whole benchmark items from the third word on; two thirds ask for one or two words, since short queries rank otherwise
-CASE_WORDS = "case item_id % 3 when 0 then 1 when 1 then 2 else 100000000 end"
-QUERIES_SQL = f"""queries as (select item_id as query_id, array_to_string(list_slice({v.sql_tokens('text')}, 3, 2 + {CASE_WORDS}), ' ') as query,
-    list_slice({v.sql_tokens('text')}, 3, 2 + {CASE_WORDS}) as query_tokens from benchmark),
+# queries: every third one is a whole benchmark item; the others ask for its third word or the two from there, since short
+# queries rank otherwise
+CASE_FROM = "case item_id % 3 when 2 then 1 else 3 end"
+CASE_TO = "case item_id % 3 when 0 then 3 when 1 then 4 else 100000000 end"
+QUERIES_SQL = f"""queries as (select item_id as query_id, array_to_string(list_slice({v.sql_tokens('text')}, {CASE_FROM}, {CASE_TO}), ' ') as query,
+    list_slice({v.sql_tokens('text')}, {CASE_FROM}, {CASE_TO}) as query_tokens from benchmark),
 qtoks as (select query_id, unnest(query_tokens) as token from queries),
 qcounts as (select query_id, token, count(*) as n from qtoks group by all),
 qslots as (select query_id, h % {HASH_DIMS} as slot, sum(case when h % 2 = 0 then 1 else -1 end * (1 + ln(n))) as w
@@ -92,8 +117,8 @@ ranked as (select *, row_number() over (partition by query_id order by case when
 
 def case_queries(spark, d):
     tokens = tokenize("text")
-    words = F.when(F.col("item_id") % 3 == 0, 1).when(F.col("item_id") % 3 == 1, 2).otherwise(F.size(tokens))
-    text = F.array_join(F.slice(tokens, F.lit(3), F.greatest(words, F.lit(1))), " ")
+    words = F.when(F.col("item_id") % 3 == 0, F.slice(tokens, 3, 1)).when(F.col("item_id") % 3 == 1, F.slice(tokens, 3, 2))
+    text = F.array_join(F.coalesce(words, tokens), " ")
     rows = v.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("query"))
     return prepare_queries(rows, dims=HASH_DIMS)
 
@@ -129,6 +154,17 @@ def hybrid_search_min_q(spark, d):
     return made.select("query_id", "doc_id", F.round("similarity", 6).alias("similarity"), "overlap", "rank")
 
 
+@query(
+    "hybrid_search_postings",
+    _SEARCH_SQL + """select query_id, doc_id, round(similarity, 6) as similarity, overlap, is_short, cast(rk as integer) as position, true as has_more
+    from ranked where rk <= 10""",
+)
+def hybrid_search_postings_q(spark, d):
+    corpus = doc_corpus(spark, d)
+    made = hybrid_search(case_queries(spark, d), corpus, limit=10, postings=build_postings(corpus))
+    return made.select("query_id", "doc_id", F.round("similarity", 6).alias("similarity"), "overlap", "is_short", "position", "has_more")
+
+
 @query(
     "token_overlap",
     v.ctes(f"toks as materialized (select doc_id, {v.sql_tokens('text')} as t from documents)")
