@@ -183,21 +183,14 @@ def test_queries_match_sql(spark, sf_dir, name):
     assert ok, message
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     names = set(queries())
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
     assert set(oracle_sql()) <= names
 
 
-def brute_near(rows):
-    prints = [brute_print(t) for _, t, *_ in rows]
-    first = {}
-    for row, root in zip(rows, brute_components(prints)):
-        first.setdefault(root, row)
-    return list(first.values())
-
-
 def test_pipeline_stages(spark, sf_dir):
+    from test_near_copies import kept_by
     from test_text_scans import brute_contamination, brute_windows
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -222,12 +215,20 @@ def test_pipeline_stages(spark, sf_dir):
     columns, kept = run("line_dedup", rows)
     assert columns == docs.columns and kept == want
     columns, kept = run("near_dedup", rows)
-    assert columns == docs.columns and kept == sorted(brute_near(rows))
+    assert columns == docs.columns and [r[0] for r in kept] == [k for k, _ in kept_by(rows)]
     columns, kept = run("decontaminate", rows)
     bad = {k[0] for k in brute_contamination(rows, items, 13) if k[-1]}
     assert columns == docs.columns and kept == [r for r in rows if r[0] not in bad] and bad
 
 
+def test_line_stage_keeps_user_columns(spark, sf_dir, docs):
+    stage = dict(corpus_pipeline.STAGES)["line_dedup"]
+    table = docs.drop("n_chars").withColumns({"_n_lines": F.lit("mine"), "_n_removed": F.lit("mine")})
+    out = stage(spark, table, sf_dir)
+    assert out.columns == table.columns
+    assert {(r["_n_lines"], r["_n_removed"]) for r in out.collect()} == {("mine", "mine")}
+
+
 def test_pipeline_runs_through(spark, sf_dir, awkward, docs):
     packed = corpus_pipeline.run(spark, sf_dir)
     assert packed.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(packed.columns)
