@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -12,6 +14,7 @@ from catalogkit.functions.text import Col, normalize_text, tokenize_unique, trim
 from catalogkit.functions.values import computed_once, first_non_blank
 from catalogkit.operators.blocks import block_pairs
 from catalogkit.operators.dedupe import first_per_key, top_per_key
+from catalogkit.session import stored
 
 LEVELS = ["department", "category", "subcategory", "segment", "subsegment"]
 
@@ -147,6 +150,77 @@ _SCORED = pa.schema(
 )
 
 
+#: Sets of levels that an item and an entry may have in common, as bits, with their points.
+_SETS = {
+    sum(1 << n for n in chosen): sum(LEVEL_POINTS[n] for n in chosen)
+    for size in range(len(LEVELS) + 1) for chosen in combinations(range(len(LEVELS)), size)
+}
+
+
+def _enough(points: int) -> list[int]:
+    """The smallest sets of levels worth at least ``points``: every set worth as much holds one of them."""
+    able = [m for m, worth in _SETS.items() if worth >= points]
+    return [m for m in able if not any(o != m and o & m == o for o in able)]
+
+
+def _level_keys(level: str = "n_") -> Column:
+    """Array of ``(levels, key)`` for each set of levels: one hash of the set and the values there."""
+    rows = []
+    for mask in _SETS:
+        if mask:
+            values = [F.col(level + name) for n, name in enumerate(LEVELS) if mask >> n & 1]
+            rows.append(F.struct(F.lit(mask).alias("levels"), F.xxhash64(F.lit(mask), *values).alias("key")))
+    return F.array(*rows)
+
+
+def level_thresholds(asked: DataFrame, held: DataFrame, limit: int) -> DataFrame:
+    """``asked`` with ``levels_needed``: the sets of levels of which an entry must share one to be among the best ``limit``.
+
+    If ``limit`` entries share a set of levels with an item, its last place has at least that set's points. Words and
+    counts add at most 4 a word and 1, so an entry must earn the rest by its levels. An empty set means that every entry may do.
+    """
+    keys = held.select(F.inline(_level_keys())).groupBy("levels", "key").agg(F.count("*").alias("n"))
+    common = keys.filter(F.col("n") >= limit).select("levels", "key")
+    points = F.create_map(*[F.lit(x) for pair in _SETS.items() for x in pair])
+    own = asked.select("h1", "h2", F.inline(_level_keys())).join(common, ["levels", "key"])
+    sure = own.groupBy("h1", "h2").agg(F.max(F.element_at(points, F.col("levels"))).alias("sure"))
+    steps = sorted(set(_SETS.values()))
+    known = asked.join(sure, ["h1", "h2"], "left")
+    need = F.coalesce("sure", F.lit(0)) - TOKEN_POINTS * F.size("tokens") - 1
+    # no more is needed than all levels give
+    sets = F.array(*[F.lit(m) for m in _enough(steps[-1])])
+    for worth in reversed(steps[:-1]):
+        sets = F.when(need <= worth, F.array(*[F.lit(m) for m in _enough(worth)])).otherwise(sets)
+    return known.withColumn("levels_needed", sets).drop("sure")
+
+
+def scored_by_levels(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """``h1, h2, entry_no, score, item_count`` of the entries that share one of an item's ``levels_needed``.
+
+    An equality join on sets of levels. A pair that shares several of the sets is taken with the first.
+    """
+    own = [F.col("s_" + name) for name in LEVELS]
+    items = asked.select(
+        "h1", "h2", "levels_needed", F.col("tokens").alias("s_tokens"), *[F.col("n_" + n).alias("s_" + n) for n in LEVELS],
+        F.explode("levels_needed").alias("levels"),
+    )
+    # the key of the one set that the row asks for
+    values = [F.when(F.col("levels").bitwiseAND(1 << n) != 0, own[n]) for n in range(len(LEVELS))]
+    items = items.withColumn("key", F.xxhash64("levels", *values))
+    entries = held.select("*", F.inline(_level_keys()))
+    pairs = items.join(entries, ["levels", "key"])
+    same = [F.when(F.col("s_" + n) == F.col("n_" + n), 1).otherwise(0) for n in LEVELS]
+    shared = sum((s * (1 << n) for n, s in enumerate(same)), F.lit(0))
+    pairs = pairs.withColumn("shared", shared)
+    first = F.get(F.filter("levels_needed", lambda m: m.bitwiseAND(F.col("shared")) == m), F.lit(0))
+    words = F.size(F.array_intersect("s_tokens", "path_tokens"))
+    points = sum((s * bonus for s, bonus in zip(same, LEVEL_POINTS)), F.lit(0)) + words * TOKEN_POINTS
+    full = F.least("item_count", F.lit(FULL_COUNT))
+    return pairs.filter(F.col("levels") == first).select(
+        "h1", "h2", "entry_no", ((points * FULL_COUNT + full) / FULL_COUNT).cast("double").alias("score"), "item_count"
+    )
+
+
 def taxonomy_candidates(
     items: DataFrame, entries: DataFrame, search_text: Col, limit: int = 10, item_rows: int = ITEM_ROWS,
     entry_rows: int = ENTRY_ROWS, where: Column | None = None,
@@ -155,12 +229,15 @@ def taxonomy_candidates(
 
     Every entry scores 4 per shared word, 80 to 120 per equal level (blank equals blank), and up
     to one point for its count; ties go to the higher count, then to file order. Items alike in levels and words
-    are scored once; their signatures meet the entries in pairs of blocks, so neither side has to fit one
-    task or the driver. Items outside ``where`` are not scored and have no candidates.
+    are scored once. From how many entries share which levels with an item follows what its last place is worth at
+    least, and only entries whose levels can reach that are scored. Where that rules nothing out, as with few
+    entries or unknown levels, items meet all entries in pairs of blocks. Items outside ``where`` are not scored
+    and have no candidates.
     """
     held = entries.select(
         "entry_no", "item_count", "path_tokens", *[normalize_text(level).alias(f"n_{level}") for level in LEVELS]
     )
+    held = stored(held, "entries")
     named = [normalize_text(level).alias(f"n_{level}") for level in LEVELS]
     signature = F.struct(*named, F.array_sort(tokenize_unique(search_text)).alias("tokens"))
     keyed = computed_once(items, _signature=signature if where is None else F.when(where, signature))
@@ -169,9 +246,13 @@ def taxonomy_candidates(
         "_h1": F.when(scored, F.xxhash64("_signature")), "_h2": F.when(scored, F.xxhash64(F.lit("items"), "_signature"))
     })
     asked = keyed.filter(scored).groupBy(F.col("_h1").alias("h1"), F.col("_h2").alias("h2"))
-    asked = asked.agg(F.first("_signature").alias("s")).select("h1", "h2", "s.*")
-    pairs = block_pairs(asked, held, ["h1", "h2"], "entry_no", item_rows, entry_rows, items)
-    found = pairs.applyInArrow(_score_blocks(limit), "h1 long, h2 long, entry_no long, score double, item_count long")
+    asked = stored(asked.agg(F.first("_signature").alias("s")).select("h1", "h2", "s.*"), "signatures")
+    needed = level_thresholds(asked, held, limit)
+    every = F.array_contains("levels_needed", 0)
+    rest = needed.filter(every).drop("levels_needed")
+    pairs = block_pairs(rest, held, ["h1", "h2"], "entry_no", item_rows, entry_rows, rest)
+    kinds = "h1 long, h2 long, entry_no long, score double, item_count long"
+    found = scored_by_levels(needed.filter(~every), held).unionByName(pairs.applyInArrow(_score_blocks(limit), kinds))
     best = top_per_key(found, ["h1", "h2"], [F.desc("score"), F.desc("item_count"), "entry_no"], limit, "rank")
     entry = F.struct("entry_no", "score", "item_count").alias("entry")
     lists = best.groupBy(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(
