@@ -13,12 +13,12 @@ from catalogkit.streaming.imports import (
     enrich_stream,
     exclude_known,
     import_stream,
-    publish_stream,
     read_table_stream,
     running_counters,
     start,
     write_epoch,
 )
+from catalogkit.streaming.requests import publish_requests, publish_waiting
 from qsuite import views as v
 from qsuite.q_enrich import SOURCES, WATERFALL_SQL
 from qsuite.q_triage import CHECKED_SQL, TRIAGED_SQL, COUNTERS_SQL, known
@@ -102,23 +102,27 @@ def accept_all(body: str) -> None:
     """Stand-in receiver that takes everything."""
 
 
-# requests of ten in id order: of all events, or of each micro-batch
-_BATCHED = """numbered as (select *, {part} as part from items, (select min(event_id) as lo, max(event_id) as hi from events)),
+# requests of ten in id order: of all events, or of each lane
+_BATCHED = """numbered as (select *, {part} as part from items),
 placed as (select *, (row_number() over (partition by part order by item_id) - 1) // 10 as b from numbered),
 sent as (select item_id, bool_or(item_id % 37 = 0) over (partition by part, b) as failed from placed)"""
-_QUARTERS = _BATCHED.format(part=" + ".join(f"(item_id >= lo + (hi + 1 - lo) * {p} // {PARTS})::int" for p in range(1, PARTS)))
+# eight lanes by id: a lane's requests of ten go on over the four micro-batches
+LANES = 8
+_LANES = _BATCHED.format(part=f"item_id % {LANES}")
 
 
 @query(
     "micro_batch_publish",
-    v.ctes(v.ITEMS_SQL, _QUARTERS)
+    v.ctes(v.ITEMS_SQL, _LANES)
     + """select item_id, case when failed then 'pending_replay' else 'published' end as status,
       case when failed then 'refused' end as error from sent""",
 )
 def micro_batch_publish_q(spark, d):
     out = new_work_path(spark, "publish-stream")
     stream = products(item_stream(spark, d))
-    publish_stream(stream, refuse_some, out, f"{out}/checkpoint", size=10, order=["item_id"]).awaitTermination()
+    lane = (F.col("item_id") % LANES).cast("int")
+    publish_requests(stream, refuse_some, out, f"{out}/checkpoint", wait=None, order=["item_id"], lane=lane).awaitTermination()
+    publish_waiting(spark, refuse_some, out, f"{out}/checkpoint")
     columns = ["item_id", "status", "error"]
     sent, dead = (spark.read.parquet(f"{out}/{name}").select(*columns) for name in ("sent", "dead"))
     return sent.unionByName(dead)
