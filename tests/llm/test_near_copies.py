@@ -83,7 +83,7 @@ def test_planted_copies(spark):
 
 def test_awkward_rows(spark, docs, clashing, none, awkward):
     want = [tuple(x) for x in kept_by([(k, t) for k, t, *_ in awkward])]
-    for table in (docs, clashing.withColumns({n: F.lit("x") for n in ("t", "best", "no", "low", "high", "bands", "root")})):
+    for table in (docs, clashing.withColumns({n: F.lit("x") for n in ("t", "best", "no", "low", "high", "bands", "root", "packed", "words")})):
         kept = first_of_near_copies(table)
         assert got(kept) == want and kept.columns == table.columns
     assert first_of_near_copies(none).count() == 0
