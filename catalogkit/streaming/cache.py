@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from catalogkit.operators.dedupe import top_per_key
-from catalogkit.streaming.imports import start, write_epoch
+from catalogkit.streaming.imports import start
+from catalogkit.streaming.requests import with_keyed_state
 
 # Fixed value: how long a row stays valid.
 TTL_SECONDS = 300
+# held rows carry their time as a number; such names may not begin with an underscore
+_AT = "cached_at_micros"
 
 
 def cached_rows(
@@ -36,27 +40,85 @@ def cache_hits(requests: DataFrame, cache: DataFrame, keys: Sequence[str]) -> Da
     return joined.withColumn("cache_hit", F.col("_hit").isNotNull()).drop("_hit")
 
 
-def cache_at(spark: SparkSession, base: str, epoch: int) -> DataFrame:
-    """The cache as it was after a micro-batch."""
-    return spark.read.parquet(f"{base}/epoch={epoch}")
+class _LastRow(StatefulProcessor):
+    """The newest row of one key, until the watermark reaches its time."""
+
+    def __init__(self, row_type: str, order: Sequence[str]):
+        self.row_type, self.order = row_type, list(order)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.row = handle.getValueState("row", self.row_type)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows), ignore_index=True)
+        new = new[self.columns()]
+        newest = new.sort_values(self.order, kind="stable").iloc[-1:]
+        held = self.row.get() if self.row.exists() else None
+        if held is not None:
+            before = pd.DataFrame([held], columns=self.columns())
+            newest = pd.concat([before, newest], ignore_index=True).sort_values(self.order, kind="stable").iloc[-1:]
+        one = next(newest.astype(object).itertuples(index=False))
+        values = tuple(None if pd.isna(x) else x for x in one)
+        if held is None or tuple(held) != values:
+            self.row.update(values)
+        self._keep_until(int(getattr(one, self.order[0])) // 1000)
+        yield newest
+
+    def _keep_until(self, due: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            if timer != due:
+                self.handle.deleteTimer(timer)
+        self.handle.registerTimer(due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.row.clear()
+        return iter([])
+
+    def columns(self) -> list[str]:
+        return [part.strip().split(" ")[0].strip("`") for part in self.row_type.split(",")]
+
+    def close(self) -> None:
+        pass
 
 
 def stock_cache_stream(
-    rows: DataFrame, base: str, checkpoint: str, keys: Sequence[str], ts: str, ttl_seconds: int = TTL_SECONDS,
-    max_entries: int | None = None, interval: str | None = None,
+    rows: DataFrame, checkpoint: str, keys: Sequence[str], ts: str, ttl_seconds: int = TTL_SECONDS,
+    tie: Sequence[str] = (), interval: str | None = None, handle: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
-    """Keep the cache under ``base``, one folder per micro-batch: the batch is merged and expired rows go.
+    """Keep the newest row per key in Spark's keyed state for ``ttl_seconds``; expired keys leave the state by themselves.
 
-    ``now`` is the newest time seen, so a replayed stream expires the same rows. A repeated micro-batch writes
-    the same folder again; the folder before the last is emptied, as nothing reads it any more.
+    Time is that of the rows: the watermark runs ``ttl_seconds`` behind the newest time seen, so a row as old as that is late, and a
+    held row's timer fires when the watermark reaches it. The state holds no more keys than had a row within that time.
+    A micro-batch reads its own keys alone. ``handle`` gets the rows that changed; ``cached_state`` reads the whole cache.
+    Columns of simple types only.
     """
-
-    def handle(df: DataFrame, epoch: int) -> None:
-        spark = df.sparkSession
-        merged = df if epoch == 0 else cache_at(spark, base, epoch - 1).unionByName(df)
-        now = merged.agg(F.max(ts)).scalar()
-        write_epoch(cached_rows(merged, keys, ts, now, ttl_seconds, max_entries), base, epoch)
-        if epoch > 1:
-            write_epoch(df.limit(0), base, epoch - 2)
-
-    return start(rows, handle, checkpoint, interval)
+    others = [c for c in rows.columns if c != ts]
+    timed = rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, f"{ttl_seconds} seconds")
+    plain = timed.select(ts, F.unix_micros(ts).alias(_AT), *others)
+    held = [_AT, *others]
+    kind = ", ".join(f"{c} {plain.schema[c].dataType.simpleString()}" for c in held)
+    changed = plain.groupBy(*keys).transformWithStateInPandas(
+        _LastRow(kind, [_AT, *tie]), kind, "update", "EventTime"
+    )
+    done = handle or (lambda df, epoch: df.write.format("noop").mode("overwrite").save())
+    back = changed.withColumn(ts, F.timestamp_micros(_AT).cast(rows.schema[ts].dataType)).select(*rows.columns)
+    return with_keyed_state(rows.sparkSession, lambda: start(back, done, checkpoint, interval, mode="update"))
+
+
+def state_rows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Rows that the state of a cache stream holds, expired ones whose timer has not fired yet among them."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "row").load()
+    return state.select("value.*")
+
+
+def cached_state(
+    spark: SparkSession, checkpoint: str, ts: str, ttl_seconds: int = TTL_SECONDS, max_entries: int | None = None,
+) -> DataFrame:
+    """The cache of a stream as of the newest time seen: one row per key; ``max_entries`` keeps only the latest of them."""
+    rows = state_rows(spark, checkpoint)
+    # the newest row of all is never expired, so the state holds it
+    live = rows.filter(F.col(_AT) > rows.agg(F.max(_AT)).scalar() - ttl_seconds * 1_000_000)
+    if max_entries is not None:
+        live = live.orderBy(F.desc(_AT)).limit(max_entries)
+    return live.withColumn(ts, F.timestamp_micros(_AT)).drop(_AT)

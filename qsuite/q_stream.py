@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalogkit.operators.waterfall import lookup_waterfall
 from catalogkit.session import new_work_path
 from catalogkit.sinks.publish import publish, publish_payload, replay
-from catalogkit.streaming.cache import cache_hits, cached_rows
+from catalogkit.streaming.cache import cache_hits, cached_rows, cached_state, stock_cache_stream
 from catalogkit.streaming.imports import (
     dedupe_stream,
     enrich_stream,
@@ -29,7 +29,7 @@ from qsuite.registry import query
 PARTS, FILES = 4, 2
 
 
-def item_stream(spark, d):
+def event_stream(spark, d):
     """All events as a stream of four micro-batches: a quarter of the ids each, in id order."""
     e = v.table(spark, d, "events")
     folder = new_work_path(spark, "events")
@@ -38,7 +38,11 @@ def item_stream(spark, d):
         bounds = [low + (high + 1 - low) * p // PARTS for p in (part, part + 1)]
         own = e.filter((F.col("event_id") >= bounds[0]) & (F.col("event_id") < bounds[1]))
         own.repartition(FILES).write.mode("append").parquet(folder)
-    return v.items_of(read_table_stream(spark, folder, "*.parquet", FILES))
+    return read_table_stream(spark, folder, "*.parquet", FILES)
+
+
+def item_stream(spark, d):
+    return v.items_of(event_stream(spark, d))
 
 
 def drained(spark, stream, name):
@@ -156,15 +160,15 @@ def running_counters_q(spark, d):
     return latest_counters(spark, out, last)
 
 
-CACHE_SQL = """live as (select * from events where ts > (select max(ts) from events) - interval 5 days and event_type = 'view'),
+CACHE_SQL = """live as (select * from events where ts > (select max(ts) from events) - interval 5 days),
 cache as (select user_id, event_id, value from live qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1)"""
+CACHE_SECONDS = 5 * 86400
 
 
 def cache(spark, d):
     e = v.table(spark, d, "events")
     now = e.agg(F.max("ts")).scalar()
-    views = e.filter("event_type = 'view'")
-    return cached_rows(views, ["user_id"], "ts", now, 5 * 86400, None, ["event_id"]).select("user_id", "event_id", "value")
+    return cached_rows(e, ["user_id"], "ts", now, CACHE_SECONDS, None, ["event_id"]).select("user_id", "event_id", "value")
 
 
 @query("stock_cache_ttl", v.ctes(CACHE_SQL) + "select * from cache")
@@ -176,8 +180,17 @@ def stock_cache_q(spark, d):
     "stock_cache_hits",
     v.ctes(CACHE_SQL)
     + """select r.event_id as request_id, cache.event_id as event_id, cache.event_id is not null as cache_hit
-      from events r left join cache on cache.user_id = r.user_id where r.event_type = 'click'""",
+      from events r left join cache on cache.user_id = r.user_id""",
 )
 def stock_cache_hits_q(spark, d):
-    requests = v.table(spark, d, "events").filter("event_type = 'click'").select(F.col("event_id").alias("request_id"), "user_id")
+    requests = v.table(spark, d, "events").select(F.col("event_id").alias("request_id"), "user_id")
     return cache_hits(requests, cache(spark, d), ["user_id"]).select("request_id", "event_id", "cache_hit")
+
+
+@query("stock_cache_stream", v.ctes(CACHE_SQL) + "select * from cache")
+def stock_cache_stream_q(spark, d):
+    """All events through keyed state, in four micro-batches; then what the state holds."""
+    check = new_work_path(spark, "cache-stream")
+    rows = event_stream(spark, d).select("user_id", "event_id", "value", "ts")
+    stock_cache_stream(rows, check, ["user_id"], "ts", CACHE_SECONDS, ["event_id"]).awaitTermination()
+    return cached_state(spark, check, "ts", CACHE_SECONDS).select("user_id", "event_id", "value")

@@ -13,7 +13,7 @@ from catalogkit.operators.ordering import nearest_rank_percentiles, page, with_r
 from catalogkit.operators.taxonomy import taxonomy_candidates
 from catalogkit.operators.topk import vector_topk
 from catalogkit.plans.triage import triage
-from catalogkit.streaming.cache import cache_at, stock_cache_stream
+from catalogkit.streaming.cache import stock_cache_stream
 from catalogkit.streaming.imports import dedupe_stream, import_stream, read_table_stream, start, write_epoch
 from qsuite import views as v
 
@@ -167,12 +167,29 @@ def test_stream_dedupe_over_many_micro_batches(spark, sf_dir, tmp_path):
 
 
 def test_stock_cache_stream(spark, tmp_path):
-    rows = spark.createDataFrame([("a", 0, 1.0), ("b", 10, 2.0), ("a", 250, 3.0), ("c", 400, 4.0)], "k string, s int, stock double")
-    rows = rows.select("k", F.timestamp_seconds("s").alias("ts"), "stock")
-    for low, high in ((0, 100), (200, 500)):
-        part = rows.filter((F.unix_timestamp("ts") >= low) & (F.unix_timestamp("ts") < high))
-        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    """State over several micro-batches: newest per key, late rows count, expired keys leave the state."""
+    import time
+
+    from catalogkit.streaming.cache import cached_rows, cached_state, state_rows
+
+    batches = [
+        [("a", 100, 1), ("b", 100, 1), ("c", 110, 1)], [("a", 250, 2), ("c", 105, 9)], [("d", 450, 1), ("a", 240, 7)],
+        [("d", 450, 3), ("e", 200, 1), ("f", 100, 1)],
+    ]
+    every = []
+    for batch in batches:
+        rows = [(k, t, n) for k, t, n in batch]
+        df = spark.createDataFrame(rows, "k string, t long, stock int").select("k", F.timestamp_seconds("t").alias("ts"), "stock")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        every += batch
+        time.sleep(0.02)
     stream = read_table_stream(spark, str(tmp_path / "in"), "*.parquet", 1)
-    stock_cache_stream(stream, str(tmp_path / "cache"), str(tmp_path / "check"), ["k"], "ts").awaitTermination()
-    kept = {r.k: r.stock for r in cache_at(spark, str(tmp_path / "cache"), 1).collect()}
-    assert kept == {"a": 3.0, "c": 4.0}
+    check = str(tmp_path / "check")
+    run = stock_cache_stream(stream, check, ["k"], "ts", 300, ["stock"])
+    run.awaitTermination()
+    table = spark.createDataFrame(every, "k string, t long, stock int").select("k", F.timestamp_seconds("t").alias("ts"), "stock")
+    want = cached_rows(table, ["k"], "ts", table.agg(F.max("ts")).scalar(), 300, tie=["stock"])
+    kept = lambda df: sorted((r.k, r.stock) for r in df.collect())
+    assert kept(cached_state(spark, check, "ts", 300)) == kept(want) == [("a", 2), ("d", 3), ("e", 1)]
+    assert kept(cached_state(spark, check, "ts", 300, 1)) == [("d", 3)]
+    assert state_rows(spark, check).count() == 3  # b, c and f have left
