@@ -338,3 +338,27 @@ def test_line_verdicts_held_out(spark, sf_dir):
     found = QUERIES["op3_line_crf"](spark, sf_dir).join(labels, "doc_id").filter("crc32(cast(doc_id as string)) % 3 = 1")
     rows = found.filter("not base_failed").collect()
     assert np.mean([r.kept == (r.quality == 1) for r in rows]) >= 0.97
+
+
+def test_token_files_of_equal_name_in_two_folders(spark, tmp_path):
+    from catalogkit.llm import token_scan
+
+    for folder, sizes in (("k=1", (3, 2)), ("k=2", (6, 2))):
+        (tmp_path / folder).mkdir()
+        ids = [x for n in sizes for x in [*range(1000, 1000 + n), 49407]]
+        (tmp_path / folder / "part-0.bin").write_bytes(np.array(ids, "<u2").tobytes())
+    got = token_scan.token_counts(spark, str(tmp_path), 49407, block_tokens=4, glob="part-*")
+    rows = sorted((r["path"].split("/")[-2], r["doc_no"], r["start"], r["n_tokens"], r["ended"]) for r in got.collect())
+    assert rows == [("k=1", 0, 0, 3, True), ("k=1", 1, 4, 2, True), ("k=2", 0, 0, 6, True), ("k=2", 1, 7, 2, True)]
+
+
+def test_one_token_file_of_ten_thousand_blocks(spark, tmp_path):
+    from catalogkit.llm import token_scan
+
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(0, 60, 3000)
+    ids = np.concatenate([np.append(np.full(n, 7), 49407) for n in sizes]).astype("<u2")
+    ids.tofile(tmp_path / "part-0.bin")
+    got = token_scan.token_counts(spark, str(tmp_path), 49407, block_tokens=len(ids) // 10_000, glob="part-*")
+    assert [r["n_tokens"] for r in got.orderBy("doc_no").collect()] == sizes.tolist()
+    assert not [r for r in got.filter("not ended").collect()]
