@@ -25,8 +25,7 @@ def _segments(length: Column, bound: int) -> Column:
 
 def _query_keys(queries: DataFrame, bound: int) -> DataFrame:
     length = F.length("query_token")
-    chosen = queries.filter(fuzzy_bound("query_token") == bound)
-    cut = chosen.select("query_token", F.inline(_segments(length, bound)))
+    cut = queries.select("query_token", F.inline(_segments(length, bound)))
     return cut.select(
         "query_token",
         F.length("query_token").alias("_len"),
@@ -35,8 +34,8 @@ def _query_keys(queries: DataFrame, bound: int) -> DataFrame:
     )
 
 
-def _token_keys(tokens: DataFrame, bound: int) -> DataFrame:
-    low, high = (5, 9) if bound == 1 else (10, None)
+def _token_keys(tokens: DataFrame, bound: int, low: int, high: int | None) -> DataFrame:
+    """Keys for query tokens of ``low`` to ``high`` characters."""
     length = F.length("token")
     near = F.sequence(length - bound, length + bound)
     sizes = tokens.select("token", F.explode(near).alias("_len")).filter(F.col("_len") >= low)
@@ -49,21 +48,35 @@ def _token_keys(tokens: DataFrame, bound: int) -> DataFrame:
     )
 
 
+def _pairs(asked: DataFrame, known: DataFrame, bound: int, low: int, high: int | None) -> DataFrame:
+    pairs = _token_keys(known, bound, low, high).join(_query_keys(asked, bound), ["_len", "_part", "_segment"])
+    near = pairs.withColumn("distance", bounded_levenshtein("query_token", "token", bound))
+    return near.filter(F.col("distance").isNotNull()).select("query_token", "token", "distance")
+
+
+def near_token_pairs(queries: DataFrame, tokens: DataFrame, query_col: str, token_col: str, bound: int) -> DataFrame:
+    """``(query_token, token, distance)`` for every pair of distinct tokens within ``bound``, whatever their length.
+
+    Segments of tokens of up to ``bound`` characters may be empty; such tokens meet all of like length, of which there
+    are few.
+    """
+    asked = queries.select(F.col(query_col).alias("query_token")).filter("query_token is not null").distinct()
+    known = tokens.select(F.col(token_col).alias("token")).filter("token is not null").distinct()
+    return _pairs(asked, known, bound, 0, None).distinct()
+
+
 def match_token_pairs(queries: DataFrame, tokens: DataFrame, query_col: str, token_col: str) -> DataFrame:
     """``(query_token, token, distance)`` for every pair within the query token's allowed distance.
 
     Numbers are skipped and tokens shorter than five characters have no allowance. Both sides are
-    made distinct first; candidates meet on (length, segment number, segment text). The query side's
-    keys are broadcast while they measure small, so that the token side's keys are not shuffled.
+    made distinct first; candidates meet on (length, segment number, segment text), and the sizes measured at run time
+    decide how.
     """
     asked = queries.select(F.col(query_col).alias("query_token")).distinct()
     asked = asked.filter(~is_numeric_token("query_token"))
     known = tokens.select(F.col(token_col).alias("token")).distinct().filter(~is_numeric_token("token"))
     found = None
-    for bound in (1, 2):
-        keys = ["_len", "_part", "_segment"]
-        pairs = _token_keys(known, bound).join(_query_keys(asked, bound), keys)
-        near = pairs.withColumn("distance", bounded_levenshtein("query_token", "token", bound))
-        near = near.filter(F.col("distance").isNotNull()).select("query_token", "token", "distance")
+    for bound, low, high in ((1, 5, 9), (2, 10, None)):
+        near = _pairs(asked.filter(fuzzy_bound("query_token") == bound), known, bound, low, high)
         found = near if found is None else found.unionByName(near)
     return found.distinct()

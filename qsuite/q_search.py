@@ -206,11 +206,13 @@ def match_token_pairs_q(spark, d):
 
 
 # -- short queries with typos over products ------------------------------------------------
-TYPO_SQL = f"""names as (select distinct {v.sql_word('p_name', 2)} as w from part),
-typo as (select w, w || 'e' as query from names),
-hits as (select t.query, p.p_partkey, p.p_name, case when p.p_partkey % 3 = 0 then 0.6::double else 0.3::double end as similarity,
-    case when p.p_partkey % 5 = 0 then 1 else 0 end as overlap, p.p_partkey % 4 = 0 as is_short
-  from typo t join part p on p.p_size % 8 = length(t.query) % 8)"""
+# every word of every name, with one letter too many, asks for the products with such a word, with the word itself or one near
+TYPO_SQL = """names as (select distinct unnest(string_split(p_name, ' ')) as w from part),
+near as (select a.w || 'e' as query, b.w as t from names a, names b where a.w = b.w or
+    levenshtein(a.w || 'e', b.w) <= case when length(a.w) >= 9 then 2 when length(a.w) >= 4 then 1 else 0 end),
+toks as (select p_partkey, p_name, unnest(list_distinct(string_split(p_name, ' '))) as t from part),
+hits as (select distinct query, p_partkey, p_name, case when p_partkey % 3 = 0 then 0.6::double else 0.3::double end as similarity,
+    case when p_partkey % 5 = 0 then 1 else 0 end as overlap, p_partkey % 4 = 0 as is_short from near join toks using (t))"""
 
 
 @query(
@@ -218,13 +220,15 @@ hits as (select t.query, p.p_partkey, p.p_name, case when p.p_partkey % 3 = 0 th
     v.ctes(TYPO_SQL)
     + """select query, p_partkey from hits where not is_short or overlap > 0 or (similarity >= 0.45 and exists (
       select 1 from (select unnest(string_split(p_name, ' ')) as t) where length(query) >= 5
-        and abs(length(t) - length(query)) <= 1 and levenshtein(query, t) <= 1))""",
+        and levenshtein(query, t) <= case when length(query) >= 10 then 2 else 1 end))""",
 )
 def reliable_filter_q(spark, d):
     p = v.table(spark, d, "part")
-    queries = p.select(F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit("e")).alias("query")).distinct()
-    keyed = queries.withColumn("b", F.length("query") % 8)
-    hits = p.withColumn("b", F.col("p_size") % 8).join(keyed, "b").select(
+    words = p.select("p_partkey", F.explode(F.array_distinct(F.split("p_name", " "))).alias("t"))
+    queries = words.select("t", F.concat("t", F.lit("e")).alias("query")).distinct()
+    near = match_token_pairs(queries, words, "query", "t").select(F.col("query_token").alias("query"), F.col("token").alias("t"))
+    found = near.unionByName(queries.select("query", "t")).distinct().join(words, "t").select("query", "p_partkey").distinct()
+    hits = found.join(p, "p_partkey").select(
         "query", "p_partkey", F.when(F.col("p_partkey") % 3 == 0, 0.6).otherwise(0.3).alias("similarity"),
         F.when(F.col("p_partkey") % 5 == 0, 1).otherwise(0).alias("overlap"), (F.col("p_partkey") % 4 == 0).alias("is_short"),
         F.lit(0).alias("exact"), tokenize("query").alias("query_tokens"), tokenize("p_name").alias("result_tokens"))

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from catalogkit.operators.dedupe import top_per_key
 from catalogkit.operators.ordering import WEB_LIMIT
 from catalogkit.plans.stock import (
     expand_window,
@@ -17,25 +16,22 @@ from catalogkit.plans.stock import (
 from qsuite import views as v
 from qsuite.registry import query
 
-# search results: a page of products per maker, dearest first
-RESULTS_SQL = """results as (select manufacturer as query_id, p_partkey as doc_id, case when p_partkey % 17 = 0 then null else ean end as ean, description,
+# search results: all products of a maker, dearest first; some without a code, some with one that the feed does not have
+RESULTS_SQL = """results as (select manufacturer as query_id, p_partkey as doc_id,
+    case when p_partkey % 17 = 0 then null when p_partkey % 4 = 1 then '000' || ean else ean end as ean, description,
     (p_partkey % 9) / 10.0::double as similarity, p_partkey % 3 as overlap, case when p_partkey % 29 = 0 then 1 else 0 end as exact,
-    row_number() over (partition by manufacturer order by price desc, p_partkey) as rk from catalog
-  qualify rk <= 50)"""
-FIRST_SQL = f"firsts as (select * from feed where l_partkey % 4 <> 1 qualify row_number() over (partition by ean order by {v.FEED_ORDER_SQL}) = 1)"
+    row_number() over (partition by manufacturer order by price desc, p_partkey) as rk from catalog)"""
+FIRST_SQL = f"firsts as (select * from feed qualify row_number() over (partition by ean order by {v.FEED_ORDER_SQL}) = 1)"
 
 
 def results(spark, d):
     c = v.catalog(spark, d)
     key = F.col("p_partkey")
     rows = c.select(
-        F.col("manufacturer").alias("query_id"), key.alias("doc_id"), F.when(key % 17 != 0, F.col("ean")).alias("ean"), "description", "price",
+        F.col("manufacturer").alias("query_id"), key.alias("doc_id"), 
+        F.when(key % 17 == 0, None).when(key % 4 == 1, F.concat(F.lit("000"), "ean")).otherwise(F.col("ean")).alias("ean"), "description", "price",
         ((key % 9) / 10).alias("similarity"), (key % 3).alias("overlap"), F.when(key % 29 == 0, 1).otherwise(0).alias("exact"))
-    return top_per_key(rows, ["query_id"], [F.desc("price"), "doc_id"], WEB_LIMIT, "rank")
-
-
-def stock(spark, d):
-    return v.feed(spark, d).filter(F.col("l_partkey") % 4 != 1)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("price"), "doc_id")))
 
 
 MERGED_SQL = """merged as (select r.query_id, r.doc_id, f.ean, f.id as feed_id, r.description, printf('%.4f', f.stock) as stock,
@@ -49,20 +45,20 @@ MERGED_SQL = """merged as (select r.query_id, r.doc_id, f.ean, f.id as feed_id,
     + """select *, cast(row_number() over (partition by query_id order by score desc, similarity desc, sale_price, description, doc_id) as integer) as merged_rank from merged""",
 )
 def merge_stock_q(spark, d):
-    made = merge_stock(results(spark, d), stock(spark, d), v.FEED_ORDER, 2)
+    made = merge_stock(results(spark, d), v.feed(spark, d), v.FEED_ORDER, 2)
     return made.select("query_id", "doc_id", "ean", "feed_id", "description", "stock", "score", "similarity", "prices.sale_price", "prices.has_offer", "merged_rank")
 
 
 @query(
     "merge_diagnostics",
     v.ctes(v.CATALOG_SQL, v.FEED_SQL, RESULTS_SQL, FIRST_SQL)
-    + """select r.query_id, (select count(*) from feed where l_partkey % 4 <> 1) as feed_received, (select count(*) from firsts) as feed_with_ean,
+    + """select r.query_id, (select count(*) from feed) as feed_received, (select count(*) from firsts) as feed_with_ean,
       count(*) as results_received, count(r.ean) as results_with_ean, count(*) filter (r.ean is not null and f.ean is null) as missing_match,
       count(f.ean) as matched, count(*) filter (f.stock < 2) as low_stock, count(*) filter (f.stock >= 2) as merged
     from results r left join firsts f on f.ean = r.ean group by r.query_id""",
 )
 def merge_diagnostics_q(spark, d):
-    return merge_diagnostics(results(spark, d), stock(spark, d), v.FEED_ORDER, 2)
+    return merge_diagnostics(results(spark, d), v.feed(spark, d), v.FEED_ORDER, 2)
 
 
 _STEPS = [1, 2, 4, 8, 16, 32, 50]
@@ -86,7 +82,7 @@ def _expand_sql() -> str:
 
 @query("expand_window", v.ctes(v.CATALOG_SQL, v.FEED_SQL, RESULTS_SQL, FIRST_SQL) + ", " + _expand_sql())
 def expand_window_q(spark, d):
-    return expand_window(results(spark, d), stock(spark, d), v.FEED_ORDER, 1, WEB_LIMIT, 45)
+    return expand_window(results(spark, d), v.feed(spark, d), v.FEED_ORDER, 1, WEB_LIMIT, 45)
 
 
 # offers: each branch's stock, by price or in arrival order
@@ -122,17 +118,18 @@ def offer_relevance_q(spark, d):
     return made.select("branch", "id", "l_partkey", "final_price", "offer_rank")
 
 
+# a branch's shelves: enough of them that some shortlist of seven has no generic
 @query(
     "generic_highlights",
     v.ctes(v.FEED_SQL, OFFERS_SQL)
-    + f""", covered as (select distinct branch from short where kind = 'GENERICO' and rk <= 1),
-      once as (select * from priced where kind = 'GENERICO' and branch not in (select branch from covered)
-        qualify row_number() over (partition by branch, l_partkey order by {v.FEED_ORDER_SQL}) = 1)
-    select branch, id, l_partkey, final_price, cast(rk as integer) as highlight_rank from (
-      select branch, id, l_partkey, final_price, row_number() over (partition by branch order by final_price, {v.FEED_ORDER_SQL}) as rk from once) where rk <= 3""",
+    + f""", shelf as (select *, row_number() over (partition by branch, l_linenumber order by final_price, {v.FEED_ORDER_SQL}) as srk from priced),
+      covered as (select distinct branch, l_linenumber from shelf where kind = 'GENERICO' and srk <= 7),
+      once as (select * from priced anti join covered using (branch, l_linenumber) where kind = 'GENERICO'
+        qualify row_number() over (partition by branch, l_linenumber, l_partkey order by {v.FEED_ORDER_SQL}) = 1)
+    select branch, l_linenumber, id, l_partkey, final_price, cast(rk as integer) as highlight_rank from (
+      select *, row_number() over (partition by branch, l_linenumber order by final_price, {v.FEED_ORDER_SQL}) as rk from once) where rk <= 3""",
 )
 def generic_highlights_q(spark, d):
-    c = offers(spark, d)
-    first = offer_tiers(c, ["branch"], v.FEED_ORDER).filter("offer_rank <= 1")
-    made = generic_highlights(c, first, ["branch"], v.FEED_ORDER, "l_partkey")
-    return made.select("branch", "id", "l_partkey", "final_price", "highlight_rank")
+    c, shelf = offers(spark, d), ["branch", "l_linenumber"]
+    made = generic_highlights(c, offer_tiers(c, shelf, v.FEED_ORDER), shelf, v.FEED_ORDER, "l_partkey")
+    return made.select(*shelf, "id", "l_partkey", "final_price", "highlight_rank")

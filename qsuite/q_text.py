@@ -39,6 +39,7 @@ from catalogkit.functions.values import (
 )
 from catalogkit.functions.vectors import external_id, fnv1a32, hash_vector, hash_vector_unsigned
 from catalogkit.operators.policy import COMMERCIAL_KEYWORDS, CONTEXT_KEYWORDS, SourcePolicy, classify_type, normalize_type, source_key, source_list
+from catalogkit.operators.fuzzy import near_token_pairs
 from qsuite import views as v
 from qsuite.q_triage import CHECKED_SQL, DIGITS
 from qsuite.registry import query
@@ -142,16 +143,16 @@ def words(spark, d):
 @query(
     "bounded_levenshtein",
     v.ctes(WORDS_SQL)
-    + """select token, case when token = r then 0 else levenshtein(token, r) end as distance, b as bound from (
-      select token, p_name as r, case when length(token) >= 10 then 2 when length(token) >= 5 then 1 else 0 end as b
-      from words join (select distinct split_part(p_name, ' ', 1) as p_name from part) on substr(token, 1, 1) = substr(p_name, 1, 1))
-    where levenshtein(token, r) <= 2""",
+    + """select token, r as name_word, levenshtein(token, r) as distance, case when length(token) >= 10 then 2 when length(token) >= 5 then 1 else 0 end as bound
+    from words, (select distinct unnest(string_split(p_name, ' ')) as r from part) where levenshtein(token, r) <= 2""",
 )
 def bounded_levenshtein_q(spark, d):
-    names = v.table(spark, d, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("r")).distinct()
-    pairs = words(spark, d).join(names, F.left("token", F.lit(1)) == F.left("r", F.lit(1)))
-    made = pairs.select("token", bounded_levenshtein("token", "r", 2).cast("long").alias("distance"), fuzzy_bound("token").alias("bound"))
-    return made.filter(F.col("distance").isNotNull())
+    """All words of all names against all words of the benchmark, whatever they begin with."""
+    names = v.table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("r"))
+    near = near_token_pairs(words(spark, d), names, "token", "r", 2)
+    return near.select(
+        F.col("query_token").alias("token"), F.col("token").alias("name_word"), F.col("distance").cast("long").alias("distance"),
+        fuzzy_bound("query_token").alias("bound"))
 
 
 @query("fnv1a32", v.ctes(WORDS_SQL) + f"select token, {v.sql_fnv('token')} as hash from words")
