@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from catalogkit.functions.ean import validate_ean
 from catalogkit.functions.values import computed_once
 from catalogkit.operators.aggregates import import_counters
+from catalogkit.plans.bucketed import BucketedCatalog, known_codes
 from catalogkit.plans.triage import DUPLICATE, ELIGIBLE, EXISTING, triage
 from catalogkit.sinks.publish import BATCH_ROWS, SENT, dead_letter_sink, number_batches, publish_payload, send_batches
 
@@ -40,13 +41,6 @@ def write_epoch(df: DataFrame, path: str, epoch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
 
-def _earlier(spark: SparkSession, path: str, epoch: int, schema: str) -> DataFrame:
-    """Rows stored by micro-batches before ``epoch``."""
-    if epoch == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(f"{schema}, epoch long").parquet(path).filter(F.col("epoch") < epoch).drop("epoch")
-
-
 def dedupe_stream(
     items: DataFrame, scope: Sequence[str] = ("batch_id",), ean: str = "ean",
     watermark: tuple[str, str] | None = None, unbounded: bool = False,
@@ -77,14 +71,44 @@ def enrich_stream(items: DataFrame, answers: DataFrame, ean: str = "valid_ean")
     return items.join(answers.withColumnRenamed("ean", "_ean"), F.col(ean) == F.col("_ean"), "left").drop("_ean")
 
 
+#: Micro-batches whose codes are gathered into one folder of the history.
+COMPACT = 16
+_BUCKET, _BUCKETS = "code_bucket", 64
+
+
+def _history(spark: SparkSession, path: str, epoch: int, buckets: list[int] | None, schema: str) -> DataFrame:
+    """Codes of micro-batches before ``epoch`` in the named buckets: the last gathered folder, and those since."""
+    since = epoch - epoch % COMPACT
+    folders = [f"{path}/upto={since}"] * (since > 0) + [f"{path}/epoch={n}" for n in range(since, epoch)]
+    if not folders:
+        return spark.createDataFrame([], schema)
+    names = [part.split(" ")[0] for part in schema.split(", ")]
+    read = lambda folder: spark.read.schema(f"{schema}, {_BUCKET} int").parquet(folder)
+    found = read(folders[0])
+    for folder in folders[1:]:
+        found = found.unionByName(read(folder))
+    return (found if buckets is None else found.filter(F.col(_BUCKET).isin(buckets))).select(*names)
+
+
+def _remember(codes: DataFrame, path: str, epoch: int, schema: str) -> None:
+    """Store a micro-batch's codes by bucket; every ``COMPACT`` micro-batches all so far become one folder."""
+    by_bucket = lambda df: df.withColumn(_BUCKET, F.pmod(F.xxhash64("valid_ean"), F.lit(_BUCKETS)).cast("int"))
+    by_bucket(codes).repartition(_BUCKET).write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{path}/epoch={epoch}")
+    if (epoch + 1) % COMPACT == 0:
+        whole = _history(codes.sparkSession, path, epoch, None, schema).unionByName(codes.select(*[p.split(" ")[0] for p in schema.split(", ")]))
+        by_bucket(whole).repartition(_BUCKET).write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{path}/upto={epoch + 1}")
+
+
 def import_stream(
-    items: DataFrame, catalog: DataFrame, out: str, checkpoint: str, batch: Sequence[str] = ("batch_id",),
+    items: DataFrame, catalog: DataFrame | BucketedCatalog, out: str, checkpoint: str, batch: Sequence[str] = ("batch_id",),
     item_id: str = "item_id", process: Callable[[DataFrame, int], None] | None = None, interval: str | None = None,
 ) -> StreamingQuery:
     """Triage every micro-batch and store all of its rows with their verdict under ``out``.
 
     Codes met in earlier micro-batches of the same import are duplicates; they are kept in a table
-    beside the rows, so a restarted stream knows them. ``process`` receives the rows that go on
+    beside the rows, so a restarted stream knows them. That table lies in buckets by code and is gathered every ``COMPACT``
+    micro-batches, and a micro-batch reads only the buckets of its own codes. Of a ``BucketedCatalog`` it likewise reads only buckets
+    with codes that the Bloom filters let through. ``process`` receives the rows that go on
     (eligible and invalid), e.g. to enrich and publish them. A repeated micro-batch overwrites what
     it wrote before.
     """
@@ -96,17 +120,19 @@ def import_stream(
         schema = ", ".join([*(f"{b} {types[b]}" for b in batch), "valid_ean string"])
         asked = computed_once(df, _c=validate_ean("ean")).filter("_c.is_valid")
         asked = asked.select(*batch, F.col("_c.ean").alias("valid_ean")).distinct()
+        touched = sorted(r[0] for r in asked.select(F.pmod(F.xxhash64("valid_ean"), F.lit(_BUCKETS)).cast("int")).distinct().collect())
         # the history is reduced to the micro-batch's codes; at run time the smaller side decides how
-        seen = _earlier(spark, seen_path, epoch, schema).join(asked, [*batch, "valid_ean"], "left_semi")
+        seen = _history(spark, seen_path, epoch, touched, schema).join(asked, [*batch, "valid_ean"], "left_semi")
         seen = seen.withColumn("_seen", F.lit(True))
-        placed = triage(df, catalog, batch, order=(item_id,), item_id=item_id)
+        known = known_codes(catalog, asked, "valid_ean").withColumnRenamed("valid_ean", "ean") if isinstance(catalog, BucketedCatalog) else catalog
+        placed = triage(df, known, batch, order=(item_id,), item_id=item_id)
         marked = placed.join(seen, [*batch, "valid_ean"], "left")
         again = F.col("_seen") & F.col("triage").isin(ELIGIBLE, EXISTING)
         final = marked.withColumn("triage", F.when(again, DUPLICATE).otherwise(F.col("triage"))).drop("_seen")
         write_epoch(final, rows_path, epoch)
         stored = spark.read.parquet(f"{rows_path}/epoch={epoch}")
         fresh = stored.filter(F.col("triage").isin(ELIGIBLE, EXISTING)).select(*batch, "valid_ean")
-        write_epoch(fresh, seen_path, epoch)
+        _remember(fresh, seen_path, epoch, schema)
         if process is not None:
             process(stored.filter(~F.col("triage").isin(DUPLICATE, EXISTING)), epoch)
 

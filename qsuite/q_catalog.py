@@ -33,6 +33,8 @@ from catalogkit.sources.normalize import (
     select_feed_columns,
     spec_value,
 )
+from catalogkit.plans.bucketed import upsert_bucketed, write_bucketed
+from catalogkit.session import new_work_path
 from qsuite import views as v
 from qsuite.registry import query
 
@@ -314,7 +316,7 @@ merged as (select coalesce(n.ean, o.ean) as ean, case when n.ean is null then o.
   from old o full join new n on o.ean = n.ean)"""
 
 
-def upserted(spark, d):
+def old_and_new(spark, d):
     columns = ["ean", "description", "price"]
     c = v.catalog(spark, d)
     old = c.filter(F.col("p_partkey") % 3 != 0).select(
@@ -322,7 +324,12 @@ def upserted(spark, d):
     new = c.filter(F.col("p_partkey") % 2 == 0)
     first = new.select(*columns, F.lit(1).alias("at"))
     last = new.select("ean", F.upper("description").alias("description"), (F.col("price") * 2).alias("price"), F.lit(2).alias("at"))
-    return upsert_catalog(old, first.unionByName(last), F.expr(NOW), position="at")
+    return old, first.unionByName(last)
+
+
+def upserted(spark, d):
+    old, new = old_and_new(spark, d)
+    return upsert_catalog(old, new, F.expr(NOW), position="at")
 
 
 STAMP = "strftime({0}, '%Y-%m-%d %H:%M:%S') as {0}"
@@ -338,6 +345,20 @@ def upsert_catalog_q(spark, d):
     return upserted(spark, d).withColumns(shown)
 
 
+@query(
+    "upsert_bucketed",
+    v.ctes(v.CATALOG_SQL, UPSERT_SQL)
+    + f"select ean, description, price, {STAMP.format('created_at')}, {STAMP.format('updated_at')} from merged",
+)
+def upsert_bucketed_q(spark, d):
+    """The same rows from a catalogue in buckets, of which only the touched ones are rewritten."""
+    old, new = old_and_new(spark, d)
+    catalog = write_bucketed(old, new_work_path(spark, "bucketed"), 16)
+    upsert_bucketed(catalog, new, F.expr(NOW), "at")
+    shown = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("created_at", "updated_at")}
+    return catalog.rows().withColumns(shown)
+
+
 _UUID = "concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), substr(h, 13, 4), substr(h, 17, 4), substr(h, 21, 12))"
 
 

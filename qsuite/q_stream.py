@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogkit.operators.waterfall import lookup_waterfall
+from catalogkit.plans.bucketed import write_bucketed
 from catalogkit.session import new_work_path
 from catalogkit.sinks.publish import publish, publish_payload, replay
 from catalogkit.streaming.cache import cache_hits, cached_rows, cached_state, stock_cache_stream
@@ -62,6 +63,18 @@ def import_stream_q(spark, d):
     return spark.read.parquet(f"{out}/rows").select("batch_id", "item_id", "valid_ean", "triage")
 
 
+@query(
+    "import_stream_bucketed",
+    v.ctes(v.CATALOG_SQL, v.ITEMS_SQL, CHECKED_SQL, TRIAGED_SQL) + "select batch_id, item_id, digits as valid_ean, triage from triaged",
+)
+def import_stream_bucketed_q(spark, d):
+    """Known codes from a catalogue in buckets, asked through its Bloom filters."""
+    out = new_work_path(spark, "import-stream")
+    catalog = write_bucketed(known(spark, d).select("ean"), f"{out}/catalog", 32)
+    import_stream(item_stream(spark, d), catalog, out, f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("batch_id", "item_id", "valid_ean", "triage")
+
+
 @query("stream_dedupe", v.ctes(v.ITEMS_SQL, CHECKED_SQL) + "select distinct batch_id, digits as valid_ean from checked where ok")
 def stream_dedupe_q(spark, d):
     return drained(spark, dedupe_stream(item_stream(spark, d), unbounded=True).select("batch_id", "valid_ean"), "stream-dedupe")
