@@ -33,6 +33,7 @@ from catalogkit.sources.normalize import (
     select_feed_columns,
     spec_value,
 )
+from catalogkit.operators.namejoin import similar_names
 from catalogkit.plans.bucketed import upsert_bucketed, write_bucketed
 from catalogkit.session import new_work_path
 from qsuite import views as v
@@ -471,6 +472,24 @@ def compare_sources_q(spark, d):
     return compare_sources(a, b).select("ean", F.round("score", 6).alias("score"), "bucket")
 
 
+# names of one source against names of the other with words dropped, changed or added: no code is looked at
+@query(
+    "similar_names",
+    """with a as (select p_partkey as id, list_distinct(string_split(p_name, ' ')) as w from part),
+      b as (select id, list_distinct(case id % 4 when 0 then list_concat(w, ['pack']) when 1 then w[2:] when 2 then list_concat(['new'], w[2:]) else w end) as w
+        from (select p_partkey as id, string_split(p_name, ' ') as w from part))
+    select a.id as left_id, b.id as right_id, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) as score from a, b
+    where len(b.w) > 0 and len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.5""",
+)
+def similar_names_q(spark, d):
+    names = v.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    words = F.split("name", " ")
+    rest, kind = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), F.col("id") % 4
+    damaged = F.when(kind == 0, F.concat(words, F.array(F.lit("pack")))).when(kind == 1, rest).when(kind == 2, F.concat(F.array(F.lit("new")), rest))
+    other = names.select("id", F.array_join(F.coalesce(damaged, words), " ").alias("name"))
+    return similar_names(names, other, 0.5).withColumn("score", F.round("score", 6))
+
+
 # -- O: order and paging -------------------------------------------------------------------
 
 

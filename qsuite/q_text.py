@@ -40,6 +40,7 @@ from catalogkit.functions.values import (
 from catalogkit.functions.vectors import external_id, fnv1a32, hash_vector, hash_vector_unsigned
 from catalogkit.operators.policy import COMMERCIAL_KEYWORDS, CONTEXT_KEYWORDS, SourcePolicy, classify_type, normalize_type, source_key, source_list
 from catalogkit.operators.fuzzy import near_token_pairs
+from catalogkit.operators.patterns import dictionary_matches
 from qsuite import views as v
 from qsuite.q_triage import CHECKED_SQL, DIGITS
 from qsuite.registry import query
@@ -415,3 +416,17 @@ def hash_vector_dense_q(spark, d):
     filled = F.size(F.filter("vec", lambda x: F.abs(x) > 1e-9)).cast("long")
     squares = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
     return made.select("doc_id", filled.alias("filled"), F.round(squares, 6).alias("squares")).filter("filled > 0")
+
+
+# every word of every product name, looked for in every whole text in one pass
+@query(
+    "dictionary_matches",
+    f"""with dict as (select distinct unnest(string_split(p_name, ' ')) as pattern from part union select distinct unnest({v.sql_tokens('text', None)}) from benchmark),
+    found as (select doc_id, unnest(regexp_extract_all(text, '[a-zA-Z0-9\u00c0-\u024f]+')) as pattern from documents)
+    select doc_id, pattern, cast(count(*) as integer) as n from found join dict using (pattern) group by all""",
+)
+def dictionary_matches_q(spark, d):
+    names = v.table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
+    dictionary = names.unionByName(words(spark, d).select(F.col("token").alias("word")))
+    docs = v.table(spark, d, "documents").select("doc_id", "text")
+    return dictionary_matches(docs, "text", dictionary, "word").select("doc_id", "pattern", "n")
