@@ -247,7 +247,7 @@ def taxonomy_candidates(
     })
     asked = keyed.filter(scored).groupBy(F.col("_h1").alias("h1"), F.col("_h2").alias("h2"))
     asked = stored(asked.agg(F.first("_signature").alias("s")).select("h1", "h2", "s.*"), "signatures")
-    needed = level_thresholds(asked, held, limit)
+    needed = stored(level_thresholds(asked, held, limit), "needed")
     every = F.array_contains("levels_needed", 0)
     rest = needed.filter(every).drop("levels_needed")
     pairs = block_pairs(rest, held, ["h1", "h2"], "entry_no", item_rows, entry_rows, rest)
