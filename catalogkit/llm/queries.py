@@ -160,11 +160,10 @@ def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_secret_forest")
 def op6_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every secret candidate in every document with the forest's verdict; two thirds of the documents teach."""
-    from catalogkit.llm.sampling import held_out
+    """Every secret candidate in every document with the forest's verdict; planted controls teach."""
     from catalogkit.llm.secret_forest import scan_secrets
 
-    return scan_secrets(read(spark, sf_dir, "documents"), teach=~held_out("key"), path="source")
+    return scan_secrets(read(spark, sf_dir, "documents"), path="source")
 
 
 @query("op12_lockstep_align")

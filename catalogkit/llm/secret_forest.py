@@ -1,8 +1,11 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-DataFrame and SQL functions only. Candidates are long runs of key-like characters with a digit; an equals sign
-belongs to one only as padding at its end, so ``NAME=value`` is a name and a candidate. Each is described by its length, its changes of character kind, how much of it is words of the corpus, where it
-stands, and the words beside it; a forest trained on labelled findings tells secrets from the rest.
+DataFrame and SQL functions only. Candidates are long runs of key-like characters with a digit, and shorter ones that a secret's name
+or a URL's user announces; an equals sign belongs to one only as padding at its end, so ``NAME=value`` is a name and a candidate. Each is
+described by its length, its changes of character kind, how much of it is words of the corpus, where it stands, and the words
+beside it; a forest trained on labelled findings tells secrets from the rest. Where no finding is labelled it learns from controls: secrets
+and harmless values of known kinds, made at random and planted into lines of corpus words, so that a label says what was planted and
+not what the figures are.
 """
 
 from __future__ import annotations
@@ -17,13 +20,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from catalogkit.llm.sampling import MAX_LABELS
 from catalogkit.session import cut_lineage
 
-MIN_LENGTH = 16
+MIN_LENGTH, SHORT_LENGTH = 16, 8
 _KEY, _PADDING = "[A-Za-z0-9+/_-]", "(?![A-Za-z0-9+/_=-])"
 #: Characters beside a candidate that are looked at.
 _NEAR = 64
 #: A corpus word stands in at least so many documents.
 MIN_DOCUMENTS = 5
-TREES, DEPTH = 20, 6
+TREES, DEPTH = 20, 8
+#: Planted findings that teach where none is labelled, and corpus words that stand beside them.
+CONTROLS, CONTROL_WORDS = 8_000, 500
 #: The forest is fitted on at most so many labelled findings per label.
 FIT_ROWS = 20_000
 
@@ -40,8 +45,12 @@ SAMPLE_WORDS = "example|sample|dummy|placeholder|test|fake|mock|xxxx|changeme|yo
 FEATURES = [
     "length", "digit_share", "upper_share", "digit_turns", "case_turns", "distinct_share", "hex_only", "digits_only",
     "longest_letters", "word_coverage", "slashes", "in_path", "sample_path", "named", "assigned", "quoted", "sample_near",
-    "known_key",
+    "known_key", "hash_near", "url_password", "data_uri", "uuid", "word_parts",
 ]
+#: What comes before a value of fewer than ``MIN_LENGTH`` characters: a secret's name with a sign, or a URL's user.
+_ANNOUNCED = rf"(?<=(?:{SECRET_NAMES})[A-Za-z0-9_.-]{{0,24}}[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"'`]?|://[A-Za-z0-9_.%-]{{1,40}}:)"
+# Words beside values that only identify content.
+HASH_WORDS = "commit|revision|sha|md5|digest|checksum|etag|blob|uuid|guid|build|order|invoice"
 
 
 def _count(pattern: str, of: Column) -> Column:
@@ -49,9 +58,12 @@ def _count(pattern: str, of: Column) -> Column:
 
 
 def _run(length: int) -> str:
-    """Runs of at least ``length`` key-like characters, with up to two equals signs where nothing key-like follows."""
+    """Runs of at least ``length`` key-like characters, with up to two equals signs where nothing key-like follows; shorter ones if announced."""
     short = [rf"{_KEY}{{{length - n}}}={{{n}}}{_PADDING}" for n in (1, 2) if length > n]
-    return rf"(?<!{_KEY})(?:" + "|".join([rf"{_KEY}{{{length},}}+(?:={{1,2}}{_PADDING})?+", *short]) + ")"
+    least = min(SHORT_LENGTH, length)
+    # the digit is looked for first: most words have none, and need no look at what stands before them
+    named = rf"(?=[A-Za-z+/_-]{{0,{length - 1}}}[0-9])(?=(?:{_KEY}){{{least}}})(?i:{_ANNOUNCED}){_KEY}{{{least},{max(length - 1, least)}}}+(?!{_KEY})"
+    return rf"(?<!{_KEY})(?:" + "|".join([rf"{_KEY}{{{length},}}+(?:={{1,2}}{_PADDING})?+", *short, named]) + ")"
 
 
 def candidates(
@@ -132,22 +144,85 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
         "quoted": F.col("before").rlike(r"[\"'`]$") & F.col("after").rlike(r"^[\"'`]"),
         "sample_near": near_words.rlike(SAMPLE_WORDS),
         "known_key": c.rlike(KNOWN_KEYS) & ~F.lower(c).rlike("example|xxxx"),
+        "hash_near": F.lower("before").rlike(rf"(?:{HASH_WORDS})[^A-Za-z0-9]{{0,4}}(?:[a-z0-9]{{1,8}}[^A-Za-z0-9]{{1,3}})?$"),
+        "url_password": F.col("before").rlike(r"://[^\s:@/]+:$") & F.col("after").startswith("@"),
+        "data_uri": F.col("before").rlike(r"base64,$"),
+        "uuid": c.rlike("^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"),
+        "word_parts": _count(r"(?<![A-Za-z0-9])[a-z]{3,}(?![A-Za-z0-9])", F.regexp_replace(c, "_", "-")),
     }
     joined = found.join(covered, ["row", "n"], "left")
     return joined.select("*", *[figures[name].cast("double").alias(name) for name in FEATURES]).drop("covered")
 
 
-def weak_label() -> Column:
-    """A label for findings nobody has judged: 1 if a secret's name is assigned a mixed value of 20 characters.
+def controls(words: DataFrame, rows: int = CONTROLS) -> DataFrame:
+    """``key, text, path, at, label``: lines of corpus words, each with one planted value; 1 is a secret.
 
-    1 also for keys of a vendor's known shape. 0 for plain numbers and for other values that nothing names; null
-    where the signs disagree.
+    Values follow from the line's number, so they are the same in every run. The path and the words beside a value do not depend on
+    its kind. The driver sees ``CONTROL_WORDS`` words.
     """
-    mixed = F.col("candidate").rlike("[A-Za-z]") & (F.col("length") >= 20)
-    named, known = F.col("named") == 1, F.col("known_key") == 1
-    return F.when((known | named & (F.col("assigned") == 1) & mixed) & (F.col("sample_near") == 0), 1).when(
-        (F.col("digits_only") == 1) | ~named & ~known, 0
+    some = [r["word"] for r in words.orderBy(F.xxhash64("word"), "word").limit(CONTROL_WORDS).collect()] or ["alpha", "river", "stone"]
+    listed = F.array(*[F.lit(w) for w in some])
+    spark, key = words.sparkSession, F.col("key")
+    pick = lambda n, size: F.pmod(F.xxhash64(key, F.lit(n)), F.lit(size)).cast("int")
+    word = lambda n: F.element_at(listed, pick(n, len(some)) + 1)
+    hexes = lambda n: F.sha2(F.concat(F.lit(f"{n}:"), key.cast("string")), 256)
+    base = F.base64(F.unhex(F.concat(hexes(1), hexes(2))))
+    mixed = F.regexp_replace(base, "[+/=\r\n]", "")
+    digits = F.translate(hexes(3), "abcdef", "012345")
+    cut = lambda of, n: F.substring(of, F.lit(1), n if isinstance(n, Column) else F.lit(n))
+    some_of = lambda low, high: pick(9, high - low + 1) + low
+    one_of = lambda n, values: F.element_at(F.array(*[F.lit(x) for x in values]), pick(n, len(values)) + 1)
+    name = one_of(11, ["password", "passwd", "secret", "token", "api_key", "API_KEY", "client_secret", "AUTH_TOKEN", "access_key", "credential"])
+    vendor = F.when(pick(12, 5) == 0, F.concat(F.lit("AKIA"), F.upper(cut(mixed, 16)))).when(
+        pick(12, 5) == 1, F.concat(F.lit("ghp_"), cut(mixed, 36))
+    ).when(pick(12, 5) == 2, F.concat(F.lit("sk_live_"), cut(hexes(5), some_of(16, 32)))).when(pick(12, 5) == 3, F.concat(F.lit("sk_live_"), cut(mixed, some_of(16, 32)))).otherwise(F.concat(F.lit("glpat-"), cut(mixed, 20)))
+    uuid = F.concat_ws("-", *[F.substring(hexes(4), at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    slug = F.concat_ws("-", word(21), word(22), word(23), word(24), cut(digits, some_of(1, 4)))
+    year = (pick(13, 30) + 1995).cast("string")
+    text = F.lit
+    kinds: list[tuple[int, Column, Column, Column]] = [
+        (1, F.concat(name, text("=")), cut(mixed, some_of(8, 40)), text("")),
+        (1, F.concat(name, text("=")), cut(mixed, some_of(8, 15)), text("")),
+        (1, F.concat(name, text(": \"")), cut(mixed, some_of(12, 48)), text("\"")),
+        (1, F.concat(name, text(" = \"")), cut(hexes(5), one_of(14, [32, 40, 64])), text("\"")),
+        (1, F.concat(text("export "), F.upper(name), text("=")), cut(hexes(5), one_of(14, [32, 40])), text("")),
+        (1, text("Authorization: Bearer "), cut(mixed, some_of(24, 60)), text("")),
+        (1, F.concat(name, text("='")), F.concat(cut(base, 43), text("=")), text("'")),
+        (1, F.concat(text("postgres://"), word(25), text(":")), cut(mixed, some_of(8, 24)), F.concat(text("@"), word(26), text(".local/db"))),
+        (1, text("https://api.local/v1?token="), cut(mixed, some_of(16, 40)), text("&page=2")),
+        *[(1, one_of(19 + n, ["", "key ", "uses ", "build ", "with \""]), vendor, text("")) for n in range(3)],
+        (1, F.concat(name, text("=")), vendor, text("")),
+        (0, one_of(15, ["commit ", "revision ", "merge ", "index ", "blob "]), cut(hexes(5), 40), text("")),
+        (0, one_of(15, ["sha256:", "md5 ", "checksum: ", "etag \"", "digest "]), cut(hexes(5), one_of(14, [32, 64])), text("")),
+        (0, one_of(16, ["", "uuid ", "id=", "request_id: "]), uuid, text("")),
+        (0, one_of(16, ["", "https://site.local/", "see "]), F.concat(word(27), text("/"), year, text("/"), word(28), text("/"), slug), text("")),
+        (0, one_of(16, ["", "https://site.local/", "title "]), slug, text("")),
+        (0, one_of(17, ["data:image/png;base64,", "src=data:image/gif;base64,"]), F.concat(base, base), text("")),
+        (0, one_of(16, ["order ", "phone +", "", "id=", "invoice: "]), cut(digits, some_of(16, 24)), text("")),
+        (0, one_of(16, ["", "build ", "ref ", "object "]), cut(mixed, some_of(16, 48)), text("")),
+        (0, one_of(16, ["", "object ", "cache/"]), cut(hexes(5), one_of(14, [32, 40, 64])), text("")),
+        (0, F.concat(name, text("=")), F.concat(text("your_"), word(29), text("_here_"), cut(digits, 4)), text("")),
+        (0, F.concat(text("example "), name, text("=")), cut(mixed, some_of(16, 32)), text("")),
+        (0, text("key "), F.concat(text("AKIA"), F.upper(cut(mixed, 9)), text("EXAMPLE")), text("")),
+        (0, text("file "), F.concat(word(30), text("_"), year, cut(digits, 4), text("_"), cut(F.reverse(digits), 6)), text(".png")),
+        (0, text("version="), F.concat(text("v"), cut(digits, 2), text("-build-"), year, cut(F.reverse(digits), 6)), text("")),
+    ]
+    own = F.pmod(key, F.lit(len(kinds))).cast("int")
+    choose = lambda at: F.coalesce(*[F.when(own == n, kind[at]) for n, kind in enumerate(kinds)])
+    planted = spark.range(rows).select(F.col("id").alias("key")).select(
+        "key", choose(0).alias("label"), F.concat(word(31), F.lit(" "), word(32), F.lit(" "), choose(1)).alias("lead"),
+        choose(2).alias("value"), F.concat(choose(3), F.lit(" "), word(33), F.lit(" "), word(34), F.lit(".")).alias("tail"),
+        one_of(18, ["src/app.py", "docs/guide.md", "web", "tests/run.py", "notes"]).alias("path"),
     )
+    return planted.select("key", F.concat("lead", "value", "tail").alias("text"), "path", F.length("lead").alias("at"), "label")
+
+
+def control_findings(words: DataFrame, rows: int = CONTROLS, min_length: int = MIN_LENGTH) -> DataFrame:
+    """Planted values described like any candidate, with their ``label``. Values that are no candidate (no digit) teach nothing."""
+    planted = cut_lineage(controls(words, rows))
+    found = cut_lineage(candidates(planted, "key", "text", "path", min_length))
+    labels = planted.select("key", "at", "label")
+    return described(found, words).join(labels, ["key", "at"])
 
 
 @dataclass
@@ -190,7 +265,7 @@ def fit_forest(findings: DataFrame, label: str = "label", rows: int = FIT_ROWS,
     if len(kinds) < 2:
         return Forest(None, kinds[0] if kinds else 0.0)
     packed = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample)
-    forest = RandomForestClassifier(labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=seed, maxMemoryInMB=64)
+    forest = RandomForestClassifier(labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=seed, maxMemoryInMB=64, featureSubsetStrategy="onethird")
     return Forest(forest.fit(packed.select("label", "features")), 0.0)
 
 
@@ -220,23 +295,19 @@ def scan_secrets(
 ) -> DataFrame:
     """One row per candidate: ``key, at, length, sha256, score, is_secret``.
 
-    ``labelled`` holds judged findings (``key, at, label``) by which the forest learns; without it, findings are
-    labelled by ``weak_label``, and keys of a vendor's known shape without sample words beside them score 1 even where
-    none was there to teach. ``teach`` limits who may teach, in terms of the column ``key``. Null and
+    ``labelled`` holds judged findings (``key, at, label``) by which the forest learns, and ``teach`` limits who may teach, in terms of
+    the column ``key``. Without it the forest learns from ``controls``, and from no document. Null and
     empty texts have no candidates; repeated rows have theirs each; long texts are scanned whole; an empty table
     gives no rows. The secret itself is not returned. Only the named columns are read.
     """
-    found = find_candidates(docs, key, text, path, min_length)
+    words = cut_lineage(corpus_words(docs, text))
+    found = find_candidates(docs, key, text, path, min_length, words)
     if labelled is None:
-        known = found.withColumn("label", weak_label())
+        forest = fit_forest(control_findings(words, min_length=min_length))
     else:
         known = found.join(labelled.select(F.col(key).alias("key"), "at", "label").distinct(), ["key", "at"])
-    forest = fit_forest(known if teach is None else known.filter(teach))
+        forest = fit_forest(known if teach is None else known.filter(teach))
     verdicts = judged(found, forest)
-    if labelled is None:
-        sure = (F.col("known_key") == 1) & (F.col("sample_near") == 0)
-        verdicts = verdicts.withColumn("score", F.when(sure, 1.0).otherwise(F.col("score")))
-        verdicts = verdicts.withColumn("is_secret", sure | F.col("is_secret"))
     return verdicts.select(
         F.col("key").alias(key), F.col("at").cast("long").alias("at"), F.col("length").cast("int").alias("length"),
         F.sha2(F.col("candidate"), 256).alias("sha256"), "score", "is_secret",

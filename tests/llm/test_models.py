@@ -209,6 +209,29 @@ def test_unspaced_assignments_and_known_keys(spark):
     assert not verdicts[302, 4].is_secret and not any(k[0] in (303, 305) for k in verdicts) and verdicts[304, 0].length == 16
 
 
+def test_planted_controls_held_out(spark):
+    """A forest taught by some controls judges others, and values of the same kinds made here."""
+    words = secrets.corpus_words(spark.createDataFrame([(n, "planet garden river stone paper light") for n in range(6)], "doc_id long, text string"))
+    known = secrets.control_findings(words, 6000).cache()
+    verdicts = secrets.judged(known.filter("crc32(string(key)) % 3 = 1"), secrets.fit_forest(known.filter("crc32(string(key)) % 3 <> 1"))).select("label", "is_secret").collect()
+    right = [r for r in verdicts if r.is_secret]
+    assert sum(r.label for r in right) / len(right) >= 0.95
+    assert sum(r.label for r in right) / sum(r.label for r in verdicts) >= 0.95
+    rng = np.random.default_rng(8)
+    made = lambda n, of="abcdefghijkmnpqrstuvwxyzABCDEFGHJK0123456789": "".join(rng.choice(list(of), n - 1)) + "7"
+    hexes = lambda n: made(n, "0123456789abcdef")
+    good, bad = [], []
+    for n in range(60):
+        good += [f"password=hunter{n}-Abc", f"postgres://user:{made(16)}@db", f"api_token: \"{hexes(40)}\"", f"secret={made(18)}", f"we saw ghp_{made(36)} there"]
+        h = hexes(32)
+        bad += [f"commit {hexes(40)}", f"see path/2024/articles/some-long-slug-name-{n}", f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}", f"data:image/png;base64,{made(120)}", f"call 00{made(16, '0123456789')} now"]
+    rows = [(n, t) for n, t in enumerate(good + bad)]
+    out = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {r.doc_id for r in out if r.is_secret}
+    hits = sum(n < len(good) for n in found)
+    assert hits / len(found) >= 0.95 and hits / len(good) >= 0.95
+
+
 def test_word_coverage(spark):
     rows = [(n, "planet garden") for n in range(6)] + [(10, "planet12345garden6789xy")]
     found = secrets.find_candidates(spark.createDataFrame(rows, "doc_id long, text string"))
