@@ -8,7 +8,6 @@ from catalogkit.functions.text import Col, _c, let, normalize_text, slugify, tri
 from catalogkit.functions.values import optional_text
 
 # Word borders look at ASCII letters only, as the patterns were written for.
-_START = r"(?<!\w)"
 
 # Fixed value: what a dose looks like, e.g. "500 mg/5 ml + 30 mg".
 DOSE_PATTERN = (
