@@ -48,7 +48,7 @@ def read_items_json_q(spark, d):
 def read_products_payload_q(spark, d):
     path = new_work_path(spark, "products-json")
     p = v.table(spark, d, "part").select(
-        (F.col("p_partkey") % 50).alias("request"), F.struct(F.col("p_partkey").cast("string").alias("ean"), F.col("p_name").alias("descricaoProduto")).alias("p"))
+        F.floor(F.col("p_partkey") / 50).alias("request"), F.struct(F.col("p_partkey").cast("string").alias("ean"), F.col("p_name").alias("descricaoProduto")).alias("p"))
     wrapped = p.groupBy("request").agg(F.collect_list("p").alias("products")).drop("request")
     wrapped.write.json(path)
     return read_products_payload(spark, path, multi_line=False).select("ean", F.col("descricaoProduto").alias("description"))
@@ -63,7 +63,7 @@ def read_taxonomy_q(spark, d):
     levels = ["department", "category", "subcategory", "segment", "subsegment"]
     t = v.taxonomy(spark, d)
     named = t.orderBy("entry_no").select(*[F.col(c).alias(n) for c, n in zip(levels, TAXONOMY_HEADER)], F.col("item_count").alias(TAXONOMY_COUNT))
-    named.coalesce(1).write.csv(path, header=True, sep=";")
+    named.write.csv(path, header=True, sep=";")
     return read_taxonomy(spark, path).select("path", "item_count", "department", "subsegment")
 
 
