@@ -192,7 +192,8 @@ def contamination(
     one window. A document is contaminated if at least a twentieth of its words are hit. ``spans``
     holds the hit stretches, counted in words and in bytes of the UTF-8 text. Null and empty texts have no words and are clean; items
     without words match nothing; an empty benchmark marks nothing; a null item id is written ``None``.
-    Repeated rows count separately, but an item id counts once. Only the named columns are read.
+    Repeated rows count separately, but an item id counts once. Long texts are scanned whole, a chunk of whole texts at a time.
+    Only the named columns are read.
     """
     found = docs.select(
         F.col(key), _hits(F.col(text), _blocks(benchmark, item, item_text, size, block_bytes)).alias("_hits")

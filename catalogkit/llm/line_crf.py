@@ -256,7 +256,8 @@ def line_quality(
     Words are runs without ASCII white space. ``base_failed``: fewer than 50 words, or more than half of them
     inside three-word windows that the text repeats. ``kept``: base rule passed and ``content_share`` of the
     words or more in content lines. Null and empty texts have no words and fail; an untrained field calls every
-    line content. Repeated rows are judged alike; an empty table gives none.
+    line content. Repeated rows are judged alike; an empty table gives none. Long texts are labelled whole, in memory that
+    follows the longest text. Only the named columns are read.
     """
     held = docs.sparkSession.sparkContext.broadcast((field.emit, field.first, field.move))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "content_words"]

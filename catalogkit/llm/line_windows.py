@@ -65,7 +65,8 @@ def remove_repeated_lines(
     no window. The first occurrence, by key (null last) and place, stays; every line inside a later
     occurrence goes, also within one document. A text may end up empty, but its row stays. Null texts stay
     null and texts of fewer than ``size`` lines stay as they are; null has no lines and the empty text has one.
-    Rows equal in key and text are one document and come out alike. All columns of ``docs`` are kept; if
+    Rows equal in key and text are one document and come out alike. Long texts are cut whole: a row holds its lines at once. An empty
+    table gives no rows. All columns of ``docs`` are kept; if
     one is named like a new column, the new one takes its place.
     """
     removed = repeated_stretches(cut_lineage(line_windows(docs, key, text, size)), size)

@@ -237,7 +237,11 @@ def languages(docs: DataFrame, model: Model, text: str = "text") -> tuple[F.Colu
 
 
 def predict_languages(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, lang_pred, score, bits_per_byte`` for each row; see ``languages``. Only two columns are read."""
+    """``key, lang_pred, score, bits_per_byte`` for each row; see ``languages``. Only two columns are read.
+
+    Null texts and texts without a letter are ``und``. Long texts are scored whole, in memory that follows the longest. Repeated rows are
+    scored alike; other columns may have any names; an empty table gives no rows.
+    """
     lang, score, bits = languages(docs, model, text)
     return docs.select(F.col(key), lang.alias("lang_pred"), score.alias("score"), bits.alias("bits_per_byte"))
 

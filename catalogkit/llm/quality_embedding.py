@@ -167,6 +167,10 @@ def quality_score(docs: DataFrame, model: tuple[list[int], np.ndarray], text: st
 def score_quality(
     docs: DataFrame, model: tuple[list[int], np.ndarray], key: str = "doc_id", text: str = "text", positive: int = 1
 ) -> DataFrame:
-    """``key, score, predicted`` (1 from a score of one half) per row of ``docs``; an empty table gives none."""
+    """``key, score, predicted`` (1 from a score of one half) per row of ``docs``; an empty table gives none.
+
+    Null and empty texts are scored as texts without a word. Long texts are scored whole, in memory of some ten times the longest.
+    Repeated rows and null keys each keep their row. Only ``key`` and ``text`` are read, whatever other columns are named.
+    """
     scored = docs.select(F.col(key), quality_score(docs, model, text, positive).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -202,7 +202,7 @@ def near_duplicates(
     half of the shingles' XXH64 (seed 42). Null and blank texts have fingerprint zero and are linked like any
     other. Documents with fingerprints ``bits`` or fewer apart are linked; ``component_id`` is the smallest
     key reachable, null if the component has only null keys. Repeated rows and keys each keep their row;
-    an empty table gives none. Only ``key`` and ``text`` are read.
+    an empty table gives none. Long texts are taken whole, in memory of some ten times the longest. Only ``key`` and ``text`` are read.
 
     Equal fingerprints are brought together first, so copies cost one row. More ``segments`` make more
     keys that are each shared by fewer: 9 suit up to some hundred million texts, 13 or 17 more.

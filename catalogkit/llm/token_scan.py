@@ -30,6 +30,8 @@ def write_token_files(
 ) -> None:
     """Write the token ids of all documents as flat files of 16-bit ids; null texts are empty documents.
 
+    Repeated rows are documents each; long texts are encoded whole; other columns are not read; an empty table makes files without ids.
+
     The files' only structure is the end mark. Spark's text writer puts its line separator after every
     row; with the mark as separator and the ids' bytes as row, what it writes is the flat file. Names of
     special tokens inside a text are ordinary text, so no document contains the mark.
