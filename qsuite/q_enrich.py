@@ -108,12 +108,28 @@ def lookup_status_long_q(spark, d):
 _HIT = lambda column: "case hit " + " ".join(f"when {i} then {column}{i}" for i in range(len(SOURCES))) + " end"
 
 
-@query(
-    "resolve_sources",
-    v.ctes(v.ITEMS_SQL, v.LOOKUPS_SQL, WATERFALL_SQL) + "select ean, resolved_by as name_key, resolved_by as data_key from asked",
-)
+# every source was asked: the price page tells no name and the retail site no detail, so names and data come from different sources
+_ASKED_SQL = """eff as (select ean, source_key, case when source_key <> 'price_page' then r_nome end as n, has_result and source_key <> 'price_page' as r,
+    case when source_key <> 'retail_site' then d_produto end as p, has_detail and source_key <> 'retail_site' as d from lookups),
+  per as (select ean, """ + ", ".join(
+    f"max(coalesce(n, p)) filter (source_key = '{s}') as n_{k}, coalesce(bool_or(d) filter (source_key = '{s}'), false) as d_{k}, "
+    f"coalesce(bool_or(r or d) filter (source_key = '{s}'), false) as m_{k}" for k, s in (("s", "store_api"), ("r", "retail_site"), ("p", "price_page"))
+) + """ from eff group by ean),
+  named as (select *, case when n_r is not null then 'retail_site' when n_s is not null then 'store_api' when n_p is not null then 'price_page' end as own from per),
+  found as (select *, case when d_p then 'price_page' when d_s then 'store_api' when d_r then 'retail_site'
+    when m_p then 'price_page' when m_s then 'store_api' when m_r then 'retail_site' else own end as data_key from named)"""
+
+
+@query("resolve_sources", v.ctes(v.LOOKUPS_SQL, _ASKED_SQL) + "select ean, coalesce(own, data_key) as name_key, data_key from found")
 def resolve_sources_q(spark, d):
-    made = resolve_sources(answers(spark, d), SOURCES, POLICY)
+    rows = v.lookups(spark, d)
+    kept = rows.withColumns({
+        "result": F.when(F.col("source_key") != "price_page", F.col("result")), "detail": F.when(F.col("source_key") != "retail_site", F.col("detail")),
+    })
+    own = [F.max(F.when(F.col("source_key") == s, F.struct("result", "detail", "error"))).alias(s) for s in SOURCES]
+    entries = [F.struct(F.lit(s).alias("key"), F.lit(n).alias("priority"), f"{s}.result", f"{s}.detail", f"{s}.error") for n, s in enumerate(SOURCES)]
+    asked = kept.groupBy("ean").agg(*own).select("ean", F.array(*entries).alias("lookups"))
+    made = resolve_sources(asked, SOURCES, POLICY)
     return made.select("ean", F.col("name_lookup.key").alias("name_key"), F.col("data_lookup.key").alias("data_key"))
 
 
