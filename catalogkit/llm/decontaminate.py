@@ -1,20 +1,22 @@
 """Benchmark decontamination by a broadcast set of normalised test n-grams.
 
-The benchmark's windows of ``size`` words are small beside the corpus. They are held in bounded blocks; every
-block is broadcast and the corpus scanned for window hashes, whose hits are then verified word for word.
+The benchmark's windows of ``size`` words are held in bounded blocks, as hashes and stretches of the items' words. A block is
+broadcast and the corpus scanned for its window hashes, whose hits are then verified word for word.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from catalogkit.llm.textbytes import chunks, lower_table, runs, span_hashes, window_hashes, word_table
+from catalogkit.session import new_work_path
 
 WINDOW = 13
 BLOCK_BYTES = 32 << 20
@@ -29,65 +31,88 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return lower_table()[data], starts, ends
 
 
-Windows = tuple[list[str], list[tuple[int, np.ndarray, dict[bytes, tuple[int, ...]]]]]
+class Entries(NamedTuple):
+    """Windows of one word count: sorted hashes, and where each hash's entries begin among ``item, start, end``."""
 
+    width: int
+    known: np.ndarray
+    first: np.ndarray
+    item: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
 
-def _windows(items: list[tuple[object, str]], size: int) -> Windows:
-    """Item ids, and per word count the sorted window hashes and each window's items.
 
-    Plain values, since broadcasts are read where this package may be absent.
-    """
-    by_words: dict[int, dict[bytes, set[int]]] = {}
+# item ids, their words joined by spaces, and the fields of Entries per word count: plain values, since broadcasts
+# are read where this package may be absent
+Windows = tuple[list[str], bytes, list[tuple]]
+
+
+def _windows(items: list[tuple[object, str]], size: int) -> Windows:
+    """Windows of whole items, held as stretches of the items' own words: about 20 bytes a word beside the text."""
     ids: list[str] = []
+    joined: list[bytes] = []
+    parts: dict[int, list[tuple]] = {}
+    at = 0
     for item, text in items:
         data = np.frombuffer(text.encode(), np.uint8)
         lowered, starts, ends = _words(data, np.array([0, len(data)]))
-        words = [lowered[s:e].tobytes() for s, e in zip(starts, ends)]
-        if not words:
+        if not len(starts):
             continue
-        width = min(size, len(words))
-        for k in range(len(words) - width + 1):
-            by_words.setdefault(width, {}).setdefault(b" ".join(words[k : k + width]), set()).add(len(ids))
+        width = min(size, len(starts))
+        first = at + np.concatenate([[0], np.cumsum(ends - starts + 1)[:-1]])
+        last = first + (ends - starts)
+        hashes = window_hashes(span_hashes(lowered, starts, ends), width)
+        n = len(hashes)
+        parts.setdefault(width, []).append((hashes, np.full(n, len(ids), np.int32), first[:n], last[width - 1 :]))
+        joined.append(b" ".join([lowered[s:e].tobytes() for s, e in zip(starts, ends)]))
+        at += len(joined[-1]) + 1
         ids.append(str(item))
     sets = []
-    for width, owners in sorted(by_words.items()):
-        data = np.frombuffer(b"\n".join(owners), np.uint8)
-        starts, ends = runs(word_table(apart=b" \n")[data], np.array([0, len(data)]))
-        # every window has the same number of words, one window after the other
-        hashes = window_hashes(span_hashes(data, starts, ends), width)[::width]
-        sets.append((width, np.sort(hashes), {words: tuple(at) for words, at in owners.items()}))
-    return ids, sets
+    for width, found in sorted(parts.items()):
+        hashes, item, start, end = (np.concatenate(column) for column in zip(*found))
+        order = np.argsort(hashes, kind="stable")
+        known, first = np.unique(hashes[order], return_index=True)
+        sets.append((width, known, np.append(first, len(order)), item[order], start[order], end[order]))
+    return ids, b" ".join(joined), sets
 
 
 def _filters(windows: Windows) -> list[np.ndarray]:
     """Per word count, which low hash bits occur: most corpus windows end here."""
     out = []
-    for _, known, _ in windows[1]:
+    for entries in map(Entries._make, windows[2]):
         maybe = np.zeros(1 << 20, bool)
-        maybe[(known & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        maybe[(entries.known & np.uint64(0xFFFFF)).astype(np.int64)] = True
         out.append(maybe)
     return out
 
 
 def _occurrences(
     windows: Windows, filters: list[np.ndarray], lowered: np.ndarray, starts: np.ndarray, ends: np.ndarray, upto: np.ndarray
-) -> Iterator[tuple[int, int, tuple[int, ...]]]:
-    """``(first word, words, items)`` of each verified occurrence; ``upto`` are the documents' last words."""
+) -> Iterator[tuple[int, int, frozenset[str]]]:
+    """``(first word, words, item ids)`` of each verified occurrence; ``upto`` are the documents' last words."""
     if not len(starts):
         return
+    ids, text, sets = windows
     hashes = span_hashes(lowered, starts, ends)
-    for (width, known, owners), maybe in zip(windows[1], filters):
+    for entries, maybe in zip(map(Entries._make, sets), filters):
+        width, known = entries.width, entries.known
         found = window_hashes(hashes, width)
         if not len(found):
             continue
         at = np.flatnonzero(maybe[(found & np.uint64(0xFFFFF)).astype(np.int64)])
         slot = np.minimum(np.searchsorted(known, found[at]), len(known) - 1)
-        at = at[known[slot] == found[at]]
-        at = at[at + width <= upto[np.searchsorted(upto, at, "right")]]  # not on into the next document
-        for k in at.tolist():
+        same = known[slot] == found[at]
+        at, slot = at[same], slot[same]
+        inside = at + width <= upto[np.searchsorted(upto, at, "right")]  # not on into the next document
+        verified: dict[bytes, frozenset[str]] = {}
+        for k, row in zip(at[inside].tolist(), slot[inside].tolist()):
             words = b" ".join([lowered[s:e].tobytes() for s, e in zip(starts[k : k + width], ends[k : k + width])])
-            if words in owners:
-                yield k, width, owners[words]
+            if words not in verified:
+                low, high = entries.first[row], entries.first[row + 1]
+                spans = zip(entries.item[low:high].tolist(), entries.start[low:high].tolist(), entries.end[low:high].tolist())
+                verified[words] = frozenset(ids[item] for item, start, end in spans if text[start:end] == words)
+            if verified[words]:
+                yield k, width, verified[words]
 
 
 def _scan(block: Broadcast) -> Callable:
@@ -107,7 +132,7 @@ def _scan(block: Broadcast) -> Callable:
                 for k, width, owners in _occurrences(windows, filters, lowered, starts, ends, first[1:]):
                     doc = int(np.searchsorted(first, k, "right")) - 1
                     at, ids = found.setdefault(doc, ([], set()))
-                    ids.update(windows[0][o] for o in owners)
+                    ids.update(owners)
                     if at and at[-1][0] <= k <= at[-1][1]:
                         at[-1][1] = max(at[-1][1], k + width)
                     else:
@@ -133,14 +158,58 @@ def _scan(block: Broadcast) -> Callable:
     return hits
 
 
-def _hits(text: Column, blocks: list[Broadcast]) -> Column:
-    """``n_words, spans, items`` of a text over all blocks; spans are sorted and may overlap."""
-    found = [_scan(block)(text) for block in blocks]
-    return F.struct(
-        found[0]["n_words"].alias("n_words"),
-        F.array_sort(F.flatten(F.array(*[f["spans"] for f in found]))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.array(*[f["items"] for f in found])))).alias("items"),
+def _fresh(columns: list[str], name: str) -> str:
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def _with_hits(
+    docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, size: int, block_bytes: int
+) -> tuple[DataFrame, str]:
+    """``docs`` with a column of ``n_words, spans, items`` and its name; spans are sorted and may overlap, items are sorted.
+
+    A benchmark of one block is scanned for in one pass without a shuffle. A larger one is cut into blocks of about
+    ``block_bytes`` of text by hash, and the stored documents are scanned once a block, so the driver and
+    a worker hold one block at a time, whatever the benchmark's size; what the passes found meets by row, at most one piece a block.
+    Copies of an item (id and text) are one row first. A single item has to fit a block's memory.
+    """
+    spark = docs.sparkSession
+    items = benchmark.select(F.col(item).cast("string").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
+    items = items.distinct()
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-total // block_bytes) or 1
+    hits = _fresh(docs.columns, "_hits")
+
+    def block(part: DataFrame) -> Broadcast:
+        return spark.sparkContext.broadcast(_windows([(r[0], r[1]) for r in part.select("item", "text").collect()], size))
+
+    if n == 1:
+        found = _scan(block(items))(F.col(text))
+        return docs.withColumn(hits, found.withField("spans", F.array_sort(found["spans"]))), hits
+    dealt = new_work_path(spark, "benchmark-blocks")
+    items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))).write.partitionBy("block").parquet(dealt)
+    parts = spark.read.schema("item string, text string, block long").parquet(dealt)
+    row = _fresh(docs.columns, "_row")
+    path = new_work_path(spark, "benchmark-docs")
+    docs.withColumn(row, F.monotonically_increasing_id()).write.parquet(path)
+    stored = spark.read.schema(T.StructType([*docs.schema.fields, T.StructField(row, T.LongType())])).parquet(path)
+    out = new_work_path(spark, "benchmark-hits")
+    for b in range(n):
+        held = block(parts.filter(F.col("block") == b))
+        found = stored.select(F.col(row).alias("row"), _scan(held)(F.col(text)).alias("found")).select("row", "found.*")
+        # the first pass counts the words of every row
+        found.filter(F.lit(b == 0) | (F.size("spans") > 0)).write.mode("append").parquet(out)
+        held.destroy()
+    passes = spark.read.schema(f"row long, {HITS}").parquet(out)
+    united = passes.groupBy("row").agg(
+        F.struct(
+            F.max("n_words").alias("n_words"),
+            F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        ).alias(hits)
     )
+    return stored.join(united.withColumnRenamed("row", row), row).select(*[f"`{c}`" for c in docs.columns], hits), hits
 
 
 def _n_hit(spans: Column) -> Column:
@@ -159,23 +228,6 @@ def _bad(hits: Column) -> Column:
     return (n_hit > 0) & (n_hit * 20 >= hits["n_words"])
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, size: int, block_bytes: int) -> list:
-    """Broadcast windows of the whole benchmark, each block from about ``block_bytes`` of text.
-
-    Items go to blocks by hash; only one block's texts are in the driver at a time.
-    """
-    context = benchmark.sparkSession.sparkContext
-    items = benchmark.select(F.col(item).alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // block_bytes) or 1
-    return [
-        context.broadcast(
-            _windows([(r[0], r[1]) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).collect()], size)
-        )
-        for b in range(n)
-    ]
-
-
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -195,10 +247,8 @@ def contamination(
     Repeated rows count separately, but an item id counts once. Long texts are scanned whole, a chunk of whole texts at a time.
     Only the named columns are read.
     """
-    found = docs.select(
-        F.col(key), _hits(F.col(text), _blocks(benchmark, item, item_text, size, block_bytes)).alias("_hits")
-    )
-    hits = F.col("_hits")
+    found, name = _with_hits(docs.select(key, text), benchmark, text, item, item_text, size, block_bytes)
+    hits = F.col(name)
     return found.select(
         key,
         hits["n_words"].alias("n_words"),
@@ -216,8 +266,8 @@ def remove_contaminated(
     size: int = WINDOW, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``docs`` without the contaminated documents, by the rule of ``contamination``; all columns stay."""
-    hits = _hits(F.col(text), _blocks(benchmark, item, item_text, size, block_bytes))
-    return docs.filter(~_bad(hits))
+    found, hits = _with_hits(docs, benchmark, text, item, item_text, size, block_bytes)
+    return found.filter(~_bad(F.col(hits))).drop(hits)
 
 
 def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -240,5 +290,5 @@ def remove_spans(
     size: int = WINDOW, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``docs`` with every hit stretch cut out of the text, whatever its share; null texts stay null."""
-    hits = _hits(F.col(text), _blocks(benchmark, item, item_text, size, block_bytes))
-    return docs.withColumn(text, F.arrow_udf(_cut, "string")(F.col(text), hits["spans"]))
+    found, hits = _with_hits(docs, benchmark, text, item, item_text, size, block_bytes)
+    return found.withColumn(text, F.arrow_udf(_cut, "string")(F.col(text), F.col(hits)["spans"])).drop(hits)

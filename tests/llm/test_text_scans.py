@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from catalogkit.llm import line_crf, slack_packing, token_scan
-from catalogkit.llm.decontaminate import contamination, remove_contaminated, remove_spans
+from catalogkit.llm.decontaminate import _windows, contamination, remove_contaminated, remove_spans
 from catalogkit.llm.line_windows import remove_repeated_lines
 from catalogkit.llm.tokens import WordTokens
 from catalogkit.session import new_work_path
@@ -210,6 +210,27 @@ def test_contamination(spark, docs, clashing, none, awkward, items, block_bytes)
     assert contamination(docs, benchmark.limit(0)).filter("n_hit > 0 or contaminated").count() == 0
 
 
+def test_windows_of_many_items_and_blocks(spark, docs, awkward):
+    # one item under many ids, an item that repeats itself, and blocks of which each is held alone
+    texts = {k: t for k, t, *_ in awkward}
+    part = " ".join(texts[1].split()[3:30])
+    items = [(n, part) for n in range(300)] + [(900, "river " * 200), (901, part), (901, part)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_contamination(awkward, items, 13)
+    for block_bytes in (1 << 25, 20_000):
+        got = contamination(docs, benchmark, block_bytes=block_bytes).drop("items", "spans").collect()
+        assert collections.Counter(tuple(r) for r in got) == want
+
+
+def test_a_block_is_small(spark):
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 50_000, 100_000)
+    text = " ".join(f"w{w}" for w in words)
+    windows = _windows([(1, text)], 13)
+    held = len(windows[1]) + sum(column.nbytes for _, *columns in windows[2] for column in columns)
+    assert held < 10 * len(text)
+
+
 def test_spans_are_cut_out(spark):
     words = [f"w{n}" for n in range(60)]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, None), (3, "é! " + " ".join(words[20:40]) + " ü.")], "doc_id int, text string")
