@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from catalogkit.llm.sampling import bounded_sample
@@ -20,9 +21,13 @@ from catalogkit.llm.textbytes import chunks
 ORDER = 4
 #: The fit reads at most so many rows and characters of whole texts per language.
 FIT_ROWS, FIT_CHARS = 2000, 4_000_000
+#: And about so many characters for all languages together, which bounds the model however many languages there are.
+FIT_TOTAL_CHARS = 16_000_000
+#: So many languages share a table of costs; strings of one group take no room in the others.
+GROUP = 4
 UNKNOWN = "und"
 
-Model = dict  # languages, order, and per order ``k``: keys, costs, contexts, escapes
+Model = dict  # languages, order, and per group of languages and order ``k``: keys, costs, contexts, escapes
 
 
 def _padded(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,10 +74,9 @@ def count_grams(order: int):
     return run
 
 
-def _costs(counts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], langs: list[str], order: int) -> Model:
-    """Cost tables in bits from ``size -> (language numbers, grams, counts)``."""
-    model: Model = {"langs": langs, "order": order, "keys": [], "costs": [], "contexts": [], "escapes": []}
-    width = len(langs)
+def _costs(counts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], width: int, order: int) -> dict:
+    """Cost tables in bits of ``width`` languages from ``size -> (language numbers, grams, counts)``."""
+    model: dict = {"keys": [], "costs": [], "contexts": [], "escapes": []}
     below = np.full((256, width), 8.0)  # equal shares
     below_keys = np.arange(256, dtype=np.uint64)
     for size in range(1, order + 2):
@@ -102,26 +106,34 @@ def _costs(counts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], langs:
 
 def fit_languages(
     labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER,
-    rows: int = FIT_ROWS, chars: int = FIT_CHARS,
+    rows: int = FIT_ROWS, chars: int = FIT_CHARS, total_chars: int = FIT_TOTAL_CHARS, group: int = GROUP,
 ) -> Model:
     """Frozen statistics from a bounded sample of whole labelled texts.
 
-    Rows with a null text or language teach nothing. The model grows with the sample and the number of
-    languages, not with the table.
+    Rows with a null text or language teach nothing. The sample has at most ``chars`` characters per language and about ``total_chars``
+    in all, so neither the table nor the number of languages makes the model larger. Languages are held ``group`` at a time; their
+    costs do not depend on the others in the group.
     """
     if order > 7:
         raise ValueError("contexts of up to seven bytes fit a 64-bit key")
     rows_ = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows_ = rows_.filter("text is not null and lang is not null")
-    sample = bounded_sample(rows_, "key", "text", "lang", rows, chars)
+    sample = bounded_sample(rows_, "key", "text", "lang", rows, chars, None, total_chars)
     counted = sample.select("lang", "text").mapInArrow(count_grams(order), "lang string, size int, gram long, n long")
     table = counted.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).toArrow()
-    names = table["lang"].to_numpy()
-    langs = sorted(set(names))
-    number = np.array([langs.index(x) for x in names], np.int64)
+    langs = table["lang"].unique().sort().to_pylist() if len(table) else []
+    number = pc.index_in(table["lang"], pa.array(langs, pa.string())).to_numpy()
     sizes, n = table["size"].to_numpy(), table["n"].to_numpy()
     grams = table["gram"].to_numpy().view(np.uint64)
-    return _costs({s: (number[sizes == s], grams[sizes == s], n[sizes == s]) for s in range(1, order + 2)}, langs, order)
+    groups = []
+    for low in range(0, len(langs), group):
+        mine = (number >= low) & (number < low + group)
+        counts = {}
+        for size in range(1, order + 2):
+            at = mine & (sizes == size)
+            counts[size] = ((number[at] - low).astype(np.int64), grams[at], n[at])
+        groups.append(_costs(counts, min(group, len(langs) - low), order))
+    return {"langs": langs, "order": order, "groups": groups}
 
 
 class Scorer:
@@ -129,32 +141,36 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.langs, self.order = model["langs"], model["order"]
-        self.tables = [_slots(k) for k in model["keys"]]
-        self.costs = model["costs"]
-        self.contexts = [_slots(k) for k in model["contexts"]]
-        self.escapes = model["escapes"]
+        self.groups = [
+            ([_slots(k) for k in g["keys"]], g["costs"], [_slots(k) for k in g["contexts"]], g["escapes"]) for g in model["groups"]
+        ]
 
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Texts by languages."""
-        out = np.zeros((len(offsets) - 1, len(self.langs)))
         padded, doc, at = _padded(data, offsets, self.order)
+        return np.concatenate([self._group_bits(g, padded, doc, at, len(offsets) - 1) for g in self.groups], axis=1)
+
+    def _group_bits(self, group: tuple, padded: np.ndarray, doc: np.ndarray, at: np.ndarray, texts: int) -> np.ndarray:
+        tables, costs, contexts, escapes = group
+        width = costs[0].shape[1]
+        out = np.zeros((texts, width))
         for low in range(0, len(at), 1 << 18):
             own, places = doc[low : low + (1 << 18)], at[low : low + (1 << 18)]
-            cost = np.zeros((len(places), len(self.langs)), np.float32)
+            cost = np.zeros((len(places), width), np.float32)
             left = np.arange(len(places))
             for k in range(self.order, -1, -1):
                 gram = _gram(padded, places[left], k + 1)
-                row = _lookup(self.tables[k], gram)
+                row = _lookup(tables[k], gram)
                 hit = row >= 0
-                cost[left[hit]] += self.costs[k][row[hit]]
+                cost[left[hit]] += costs[k][row[hit]]
                 left, gram = left[~hit], gram[~hit]
                 if not len(left):
                     break
                 if k:
-                    ctx = _lookup(self.contexts[k], gram >> np.uint64(8))
-                    cost[left[ctx >= 0]] += self.escapes[k][ctx[ctx >= 0]]
+                    ctx = _lookup(contexts[k], gram >> np.uint64(8))
+                    cost[left[ctx >= 0]] += escapes[k][ctx[ctx >= 0]]
                 else:  # a byte never seen in fitting
-                    cost[left] += self.escapes[0][0] + np.float32(8)
+                    cost[left] += escapes[0][0] + np.float32(8)
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             out[own[first]] += np.add.reduceat(cost, first, axis=0, dtype=np.float64)
         return out

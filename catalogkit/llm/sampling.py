@@ -14,11 +14,12 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def bounded_sample(
-    docs: DataFrame, key: str, text: str, label: str, rows: int, chars: int, labels: DataFrame | None = None
+    docs: DataFrame, key: str, text: str, label: str, rows: int, chars: int, labels: DataFrame | None = None,
+    total_chars: int | None = None,
 ) -> DataFrame:
     """At most ``rows`` rows and about ``chars`` characters of whole texts per label value: ``key, text, label``.
 
-    The label is a column of ``docs``, or comes by ``key`` from ``labels``.
+    The label is a column of ``docs``, or comes by ``key`` from ``labels``. With ``total_chars``, labels share so many characters evenly.
 
     Rows are taken in hash order of the key, so the same data give the same sample. Labels are counted first,
     and only rows whose hash is low enough to be among the first are ranked: a few thousand rows per label, however many
@@ -32,6 +33,8 @@ def bounded_sample(
     counted = sized.groupBy(label).agg(F.count("*").alias("_rows")).limit(MAX_LABELS + 1).collect()
     if len(counted) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labels")
+    if total_chars is not None:
+        chars = min(chars, total_chars // max(1, len(counted)))
     # rows of each label below this hash: several times those wanted, or all
     below = [(r[0], min(2**63 - 1, -(2**63) + (4 * rows + 1000) * 2**64 // r[1])) for r in counted if r[0] is not None]
     schema = f"{label} {sized.schema[label].dataType.simpleString()}, _below long"
@@ -48,6 +51,9 @@ def bounded_sample(
     # at most ``rows`` keys per label value
     on = [key, label] if labels is None else [key]
     chosen = docs.join(F.broadcast(keys), on).select(key, text, label)
-    # repeated keys could exceed the bound; the window over the sampled rows holds it
-    exact = Window.partitionBy(label).orderBy(place, F.col(key), F.xxhash64(text))
-    return chosen.withColumn("_rank", F.row_number().over(exact)).filter(F.col("_rank") <= rows).drop("_rank")
+    # repeated keys could exceed the bound: equal rows are counted first, so a key repeated a million times is one row to rank
+    copies = chosen.groupBy(key, text, label).agg(F.count("*").alias("_copies"))
+    before = Window.partitionBy(label).orderBy(place, F.col(key), F.xxhash64(text)).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.least("_copies", F.lit(rows) - F.coalesce(F.sum("_copies").over(before), F.lit(0)))
+    taken = copies.withColumn("_left", left).filter(F.col("_left") > 0)
+    return taken.withColumn("_left", F.explode(F.sequence(F.lit(1), F.col("_left")))).drop("_copies", "_left")

@@ -86,6 +86,33 @@ def test_code_lengths(spark, docs, clashing, none, awkward):
         ppm.fit_languages(docs, order=8)
 
 
+def test_languages_in_groups(spark):
+    letters = "abcdefghijklmnopqrst"
+    texts = [(n * 40 + k, f"l{n:02}", " ".join(letters[(n + k * m + m * m) % 20] * (1 + n % 3) + letters[n] for m in range(1, 30)))
+             for n in range(20) for k in range(3)]
+    table = spark.createDataFrame(texts, "doc_id int, lang string, text string")
+    one, several = (ppm.fit_languages(table, group=g) for g in (100, 3))
+    assert len(one["groups"]) == 1 and len(several["groups"]) == 7 and one["langs"] == several["langs"]
+    data = [t.encode() for *_, t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    both = [ppm.Scorer(m).bits(np.frombuffer(b"".join(data), np.uint8), offsets) for m in (one, several)]
+    assert np.allclose(*both, rtol=1e-5)  # float32 sums, in another order
+    # strings of one group take no room in the others, and the whole sample is bounded
+    assert sum(len(k) * c.shape[1] for g in several["groups"] for k, c in zip(g["keys"], g["costs"])) < sum(
+        len(k) * c.shape[1] for g in one["groups"] for k, c in zip(g["keys"], g["costs"]))
+    small = ppm.fit_languages(table, total_chars=20)
+    assert small["langs"] == one["langs"] and len(small["groups"][0]["keys"][-1]) < len(several["groups"][0]["keys"][-1]) * 2
+
+
+def test_a_key_repeated_many_times(spark):
+    copies = spark.range(5000).select(F.lit(7).alias("doc_id"), F.lit("one two").alias("text"), F.lit("en").alias("lang"))
+    more = spark.createDataFrame([(8, "three", "en"), (9, "vier", "de"), (9, "vier", "de"), (9, "fuenf", "de")], "doc_id int, text string, lang string")
+    taken = ppm.bounded_sample(copies.union(more), "doc_id", "text", "lang", 2000, 10_000)
+    counts = collections.Counter((r.doc_id, r.text) for r in taken.collect())
+    assert sum(n for (k, _), n in counts.items() if k in (7, 8)) == 2000
+    assert counts[(9, "vier")] == 2 and counts[(9, "fuenf")] == 1
+
+
 def test_languages_held_out(spark, sf):
     found = QUERIES["op9_ppm_language"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
     rows = found.filter("held_out and lang is not null").collect()
