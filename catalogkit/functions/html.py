@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html import unescape as unescape_html
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import Column, functions as F
 from catalogkit.functions.text import Col, _c, trim
 
 _PAGE_DATA = r'(?is)<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>'
-_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+_REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
 
 
 def html_to_text(value: Col) -> Column:
@@ -24,11 +25,17 @@ def html_to_text(value: Col) -> Column:
 
 
 def unescape(value: Col) -> Column:
-    """Decode the common named entities."""
-    text = _c(value)
-    for entity, char in _ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Decode character references that end in a semicolon, named or numeric; ``&nbsp;`` becomes a plain blank.
+
+    A reference is decoded once: ``&amp;lt;`` gives ``&lt;``. Unknown names stay as they are.
+    """
+
+    @F.pandas_udf("string")
+    def decode(texts: pd.Series) -> pd.Series:
+        known = lambda m: " " if m[0] == "&nbsp;" else unescape_html(m[0])
+        return texts.map(lambda text: _REFERENCE.sub(known, text) if text and "&" in text else text)
+
+    return decode(_c(value))
 
 
 def embedded_json(html: Col) -> Column:
@@ -120,11 +127,12 @@ def extract_fields(html: Col, config: dict, scope: str | None = None) -> list[Co
 class Node:
     """An element: its place among its siblings, and where its inside begins and ends in the page's order."""
 
-    __slots__ = ("tag", "attrs", "parent", "kids", "at", "end", "text_from", "text_to")
+    __slots__ = ("tag", "attrs", "parent", "kids", "at", "end", "text_from", "text_to", "place")
 
     def __init__(self, tag: str, attrs: dict, parent: "Node | None", at: int, text_from: int):
         self.tag, self.attrs, self.parent, self.kids = tag, attrs, parent, []
         self.at, self.end, self.text_from, self.text_to = at, at, text_from, text_from
+        self.place = 0  # from 1 among its siblings
 
 
 # Tags without an end tag, and tags that a like tag beside them ends.
@@ -156,6 +164,7 @@ class _Page(HTMLParser):
         above = self.open[-1]
         node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, above, len(self.nodes), len(self.pieces))
         above.kids.append(node)
+        node.place = len(above.kids)
         self.nodes.append(node)
         self.open.append(node)
         if tag in _VOID:
@@ -246,8 +255,7 @@ def _holds(node: Node, test: dict) -> bool:
     if "attr" in test:
         value = node.attrs.get(test["attr"].lower())
         return value is not None and ("op" not in test or _TESTS[test["op"]](value, test["value"]))
-    kids = node.parent.kids
-    place = next(n for n, kid in enumerate(kids, 1) if kid is node)
+    kids, place = node.parent.kids, node.place
     if test["pseudo"] == "nth-child":
         step, first = test["nth"]
         return place == first if step == 0 else (place - first) % step == 0 and (place - first) // step >= 0

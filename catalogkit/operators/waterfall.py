@@ -11,6 +11,7 @@ from catalogkit.functions.text import _c, trim
 from catalogkit.functions.values import computed_once, field_type, first_non_blank
 from catalogkit.operators.dedupe import top_per_key
 from catalogkit.operators.policy import SourcePolicy, source_keys
+from catalogkit.session import new_work_path
 
 # Name fields of a lookup record, in the order they are tried.
 PRIMARY_NAME_FIELDS = ["nome", "nome_produto", "produto", "title", "name"]
@@ -63,7 +64,55 @@ def lookup_waterfall(
             for i, s in enumerate(sources)
         ]
     )
-    wide = asked.join(answers, key, "left")
+    return _in_order(asked.join(answers, key, "left"), sources, key)
+
+
+def ask_in_turn(
+    keys: DataFrame, answers: Mapping[str, DataFrame], sources: Sequence[str], key: str = "ean"
+) -> DataFrame:
+    """Ask each source only for the keys that no earlier source resolved: ``key, priority, answer, hit``, one row per question.
+
+    ``answers`` has one table ``(key, result, detail, error)`` per source, all with the same types; it may be a feed, a partition or a service's
+    landed payloads. Each round is stored under the shared folder, so the keys left over are read back narrow, the next table is
+    thinned to them by a semi-join before its wide answers are gathered, and a lost task repeats one round only. Spark
+    broadcasts the keys left where their stored size is small. No further table is read once every key is resolved. Null keys match
+    nothing; of several answers for a key one is chosen as in :func:`lookup_waterfall`; a source without a table is an error.
+    """
+    spark = keys.sparkSession
+    names = dict(zip(source_keys(list(answers)), answers))
+    order = source_keys(sources)
+    if missing := set(order) - set(names):
+        raise ValueError(f"no answers of {sorted(missing)}")
+    path = new_work_path(spark, "waterfall")
+    left, rounds = keys.select(key).distinct(), []
+    for i, s in enumerate(order):
+        table = answers[names[s]].select(key, "result", "detail", "error").join(left, key, "left_semi")
+        best = table.groupBy(key).agg(F.min_by(F.struct("result", "detail", "error"), _answer_order()).alias("answer"))
+        turn = left.join(best, key, "left").withColumn("priority", F.lit(i))
+        turn = turn.withColumn("hit", F.coalesce(matched(F.col("answer")), F.lit(False)))
+        turn.write.parquet(f"{path}/{i}")
+        rounds.append(spark.read.schema(turn.schema).parquet(f"{path}/{i}"))
+        left = rounds[-1].filter(~F.col("hit")).select(key)
+        if left.isEmpty():
+            break
+    return reduce(lambda a, b: a.unionByName(b), rounds).select(key, "priority", "answer", "hit")
+
+
+def staged_waterfall(
+    keys: DataFrame, answers: Mapping[str, DataFrame], sources: Sequence[str], key: str = "ean"
+) -> DataFrame:
+    """The rows of :func:`lookup_waterfall`, from sources asked in turn by :func:`ask_in_turn`.
+
+    For sources that are large or dear to read and seldom needed; with all answers in one small table, one aggregation is quicker.
+    """
+    sources = source_keys(sources)
+    asked = ask_in_turn(keys, answers, sources, key)
+    turns = [F.max_by("answer", F.when(F.col("priority") == i, i)).alias(f"_s{i}") for i in range(len(sources))]
+    return _in_order(asked.groupBy(key).agg(*turns), sources, key)
+
+
+def _in_order(wide: DataFrame, sources: Sequence[str], key: str) -> DataFrame:
+    """``key, resolved_by, lookups`` from one answer column ``_s<i>`` per source."""
     hits = [matched(F.col(f"_s{i}")) for i in range(len(sources))]
     resolved = F.coalesce(*[F.when(hit, F.lit(s)) for s, hit in zip(sources, hits)])
     entries = []

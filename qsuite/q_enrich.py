@@ -13,6 +13,7 @@ from catalogkit.operators.waterfall import (
     lookup_waterfall,
     resolve_sources,
     source_order,
+    staged_waterfall,
 )
 from catalogkit.operators.taxonomy import LEVELS
 from catalogkit.plans.enrich import details_json, enrich_items, lookup_batch, product_snapshot
@@ -72,6 +73,16 @@ def lookup_waterfall_q(spark, d):
         F.col("l.detail").isNotNull().alias("detail"), "l.error", "l.skipped", "l.skip_reason")
 
 
+@query("staged_waterfall", v.ctes(v.ITEMS_SQL, v.LOOKUPS_SQL, WATERFALL_SQL) + _long_sql(SOURCES))
+def staged_waterfall_q(spark, d):
+    lookups = v.lookups(spark, d)
+    by_source = {s: lookups.filter(F.col("source_key") == s) for s in SOURCES}
+    rows = staged_waterfall(keys(spark, d), by_source, SOURCES).select("ean", F.explode("lookups").alias("l"))
+    return rows.select(
+        "ean", F.col("l.key").alias("source_key"), F.col("l.result").isNotNull().alias("search"),
+        F.col("l.detail").isNotNull().alias("detail"), "l.error", "l.skipped", "l.skip_reason")
+
+
 for _mode in ("api_only", "scraping_only", "scraping_first", "api_first"):
     _order = source_order(["store_api"], ["retail_site", "price_page"], _mode)
 

@@ -285,6 +285,10 @@ def normalize_ecommerce_q(spark, d):
     return normalize_ecommerce(p).select("ean", "received_name", "raw.category", "raw.brand", "raw.registration", "raw.stated_ingredient")
 
 
-@query("unescape", "select page_id, md5(" + "".join("replace(" for _ in _ENTITIES) + "html" + "".join(f", '{e}', '{c}')" for e, c in _ENTITIES) + ") as plain from pages")
+# all references in the pages; the tests hold others
+_REFERENCES = [("&middot;", "·"), ("&copy;", "©"), *_ENTITIES]
+
+
+@query("unescape", "select page_id, md5(" + "".join("replace(" for _ in _REFERENCES) + "html" + "".join(f", '{e}', '{c}')" for e, c in _REFERENCES) + ") as plain from pages")
 def unescape_q(spark, d):
     return pages(spark, d).select("page_id", F.md5(unescape("html").cast("binary")).alias("plain"))

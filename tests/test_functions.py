@@ -159,3 +159,11 @@ def test_scrape_configuration(spark):
     info = lookups.scrape_details(pages, config, html="product").filter("ean = '1'").first().detail.info
     assert (info.produto, info.apresentacao, info.categoria, info.registro) == ("Dorflex", "36 comprimidos", "Analgesico", "1862000080116")
     assert [f.farmaco for f in info.farmacos] == ["Dipirona Monoidratada", "Cafeina"]
+
+
+def test_character_references(spark):
+    from catalogkit.functions.html import unescape
+
+    texts = ["caf&eacute; &#233;&#xE9;", "a&nbsp;b &lt;i&gt; &amp;lt;", "R&D &unknown; ?a=1&copy=2", "", None, "&#39;&quot;&Alpha;"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string").select("n", unescape("text").alias("plain"))
+    assert [r.plain for r in rows.orderBy("n").collect()] == ["café éé", "a b <i> &lt;", "R&D &unknown; ?a=1&copy=2", "", None, "'\"Α"]

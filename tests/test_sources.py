@@ -10,7 +10,7 @@ from catalogkit.plans.catalog import lookup_eans, lookup_summary, upsert_catalog
 from catalogkit.plans.enrich import enrich_items, product_snapshot
 from catalogkit.operators.policy import SourcePolicy
 from catalogkit.operators.dedupe import newest_snapshot_wins
-from catalogkit.operators.waterfall import lookup_waterfall, register_lookups
+from catalogkit.operators.waterfall import ask_in_turn, lookup_waterfall, register_lookups, staged_waterfall
 from catalogkit.sinks.files import export_csv, write_snapshot
 from catalogkit.sinks.publish import batch_body, publish, publish_payload, replay
 from catalogkit.sources.files import read_items_csv, read_items_json, read_products_payload, read_taxonomy
@@ -118,6 +118,32 @@ def test_waterfall_and_enrichment(spark):
     assert json.loads(final["a"].details)["estrutura_final"]["principio_ativo"] == ["Dipirona"]
 
 
+def test_sources_asked_in_turn(spark):
+    order = ["one", "two", "three"]
+    hit = lambda n: (f"Nome {n}",)
+    rows = [(str(n), "one", hit(n) if n < 60 else None, None, None if n < 60 else "boom") for n in range(100)]
+    rows += [(str(n), "one", None, None, "late") for n in range(30)]  # a second answer without a hit
+    rows += [(str(n), "two", hit(n), None, None) for n in range(90)]
+    rows += [(str(n), "three", None, (("Prod", None),), None) for n in range(0, 200, 2)] + [(None, "two", ("x",), None, None)]
+    lookups = spark.createDataFrame(rows, LOOKUP)
+    keys = spark.createDataFrame([(str(n),) for n in range(100)] * 2 + [(None,), ("missing",)], "ean string")
+    tables = {s: lookups.filter(F.col("source_key") == s) for s in order}
+    want = lookup_waterfall(keys, lookups, order)
+    got = staged_waterfall(keys, tables, order)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    # each source is asked only for what is left: 100 keys, a null and an unknown one, then 42, then 12
+    asked = ask_in_turn(keys, tables, order)
+    assert [r["count"] for r in asked.groupBy("priority").count().orderBy("priority").collect()] == [102, 42, 12]
+    # nothing left, nothing asked; and empty tables
+    known = keys.filter("try_cast(ean as int) < 50")
+    assert ask_in_turn(known, tables, order).select("priority").distinct().count() == 1
+    assert staged_waterfall(keys.limit(0), tables, order).count() == 0
+    empty = {s: lookups.limit(0) for s in order}
+    assert {r.resolved_by for r in staged_waterfall(keys, empty, order).collect()} == {None}
+    with pytest.raises(ValueError):
+        ask_in_turn(keys, {"one": lookups}, order)
+
+
 def test_lookup_eans_order(spark):
     asked = spark.createDataFrame([(0, "78912345"), (1, "78912346"), (2, "78912345"), (3, "78912347")], "n int, ean string")
     catalog = spark.createDataFrame([("78912345", "A"), ("78912346", "B")], "ean string, description string")
