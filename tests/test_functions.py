@@ -109,6 +109,14 @@ def test_html(spark):
     assert one(spark, html.embedded_json(F.lit("<p>"))) is None
 
 
+def test_references_without_a_semicolon_stay(spark):
+    page = ('<title>les&amp;&amp</title><h1>R&D &copy2 &notit; &amp;lt; &#38; &eacute;</h1><a href="/p?a=1&copy=2&amp;b=3">go&</a>'
+            "<script>if (a && b) '&amp'</script><p>\ufdd0&lt</p>")
+    fields = {"title": "title", "heading": "h1", "link": {"selector": "a", "attr": "href"}, "text": "a", "script": "script", "mark": "p"}
+    assert one(spark, *html.extract_fields(F.lit(page), fields)) == [
+        "les&&amp", "R&D &copy2 &notit; &lt; & é", "/p?a=1&copy=2&b=3", "go&", "if (a && b) '&amp'", "\ufdd0&lt"]
+
+
 PAGE = """<div class="ad">a<div>b</div>c</div><ul id=u><li>one<li class="x y" data-k='v-1'>two &eacute;&#33;</li><li>three</ul>
 <p>p1<p>p2 <br> more<table><tr><td>1<td>2<tr><td>3</table><script>var a = "<b>";</script>"""
 
