@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from catalogkit.operators.namejoin import similar_names
 from catalogkit.operators.patterns import dictionary_matches
@@ -25,6 +26,14 @@ def test_every_similar_pair_is_found(spark, threshold):
     assert sorted((r.left_id, r.right_id, round(r.score, 9)) for r in got.collect()) == sorted(want)
 
 
+def test_pairs_of_a_frequent_name_are_spread_over_tasks(spark):
+    rows = spark.range(1200).selectExpr("id", "'a b c' as name")
+    pairs = similar_names(rows, rows.limit(900), 0.5, digits=6, spread_pairs=1200 * 900 // 64)
+    per_task = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == 1200 * 900 and max(per_task) < 1200 * 900 // 3
+    assert pairs.distinct().count() == 1200 * 900
+
+
 def test_no_pairs_from_empty_sides(spark):
     none, some = spark.createDataFrame([], "id long, name string"), spark.createDataFrame([(1, "a b"), (2, "  ")], "id long, name string")
     assert similar_names(none, some).count() == similar_names(some, none).count() == 0
