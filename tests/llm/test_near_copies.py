@@ -81,6 +81,19 @@ def test_planted_copies(spark):
     assert len(left) - len(want) <= 0.02 * len(rows)
 
 
+def test_no_pair_at_the_threshold_is_lost(spark):
+    """Pairs barely similar enough, which fingerprints and bands miss now and then, beside texts barely too unlike."""
+    rng, rows, near = random.Random(7), [], 0
+    for _ in range(500):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(48, 60))]
+        copy = edited(rng, base, rng.randint(1, 2))
+        s, t = shingles(" ".join(base)), shingles(" ".join(copy))
+        near += 0.8 <= len(s & t) / len(s | t) <= 0.84
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    assert near > 50
+    assert got(first_of_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))) == [tuple(x) for x in kept_by(rows)]
+
+
 def test_awkward_rows(spark, docs, clashing, none, awkward):
     want = [tuple(x) for x in kept_by([(k, t) for k, t, *_ in awkward])]
     for table in (docs, clashing.withColumns({n: F.lit("x") for n in ("t", "best", "no", "low", "high", "bands", "root", "packed", "words")})):
