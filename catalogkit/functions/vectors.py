@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 from catalogkit.functions.text import Col, _c
@@ -128,9 +129,20 @@ def cosine_similarity(left: Col, right: Col) -> Column:
 
 
 def token_overlap(tokens: Col, query_tokens: Col) -> Column:
-    """How many token occurrences are query tokens; repeats count."""
-    query_tokens = _c(query_tokens)
-    return F.size(F.filter(_c(tokens), lambda t: F.array_contains(query_tokens, t)))
+    """How many token occurrences are query tokens; repeats count. The time is in proportion to both lists."""
+
+    @F.arrow_udf("int")
+    def count(lists: pa.Array, asked: pa.Array) -> pa.Array:
+        out = []
+        for own, query in zip(lists, asked):
+            if not own.is_valid:
+                out.append(None)
+            else:
+                known = query.values.drop_null() if query.is_valid else pa.array([], own.values.type)
+                out.append(pc.sum(pc.is_in(own.values, value_set=known), min_count=0).as_py())
+        return pa.array(out, pa.int32())
+
+    return count(_c(tokens), _c(query_tokens))
 
 
 def ranking_score(similarity: Col, overlap: Col, exact: Col) -> Column:

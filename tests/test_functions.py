@@ -178,3 +178,16 @@ def test_character_references(spark):
     texts = ["caf&eacute; &#233;&#xE9;", "a&nbsp;b &lt;i&gt; &amp;lt;", "R&D &unknown; ?a=1&copy=2", "", None, "&#39;&quot;&Alpha;"]
     rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string").select("n", unescape("text").alias("plain"))
     assert [r.plain for r in rows.orderBy("n").collect()] == ["café éé", "a b <i> &lt;", "R&D &unknown; ?a=1&copy=2", "", None, "'\"Α"]
+
+
+def test_token_overlap_of_long_lists_takes_time_in_proportion(spark):
+    import time
+
+    rows = spark.createDataFrame([(1, ["a", "b", "a", None], ["a", None]), (2, None, ["a"]), (3, ["a"], None), (4, [], ["a"])],
+                                 "id int, t array<string>, q array<string>")
+    assert [r.n for r in rows.select("id", vectors.token_overlap("t", "q").alias("n")).orderBy("id").collect()] == [2, None, 0, 0]
+    words = lambda tail: F.transform(F.sequence(F.lit(1), F.lit(40_000)), lambda n: F.concat(F.lit("w"), n.cast("string"), F.lit(tail)))
+    long = spark.range(4, numPartitions=1).select(words("x").alias("t"), words("y").alias("q"))
+    began = time.time()
+    assert [r.n for r in long.select(vectors.token_overlap("t", "q").alias("n")).collect()] == [0] * 4
+    assert time.time() - began < 10
