@@ -20,15 +20,16 @@ def _block_count(df: DataFrame, rows: int) -> Column:
 
 
 def block_pairs(left: DataFrame, right: DataFrame, left_key: Keys, right_key: Keys, left_rows: int, right_rows: int,
-                left_of: DataFrame | None = None):
+                left_of: DataFrame | None = None, counts: tuple[Column, Column] | None = None):
     """The two tables grouped by pairs of blocks, for ``applyInArrow``; each group has the extra columns
     ``_left_block`` and ``_right_block``. ``left_of`` is a cheaper table with at least as many rows as ``left``, to
-    count instead of it."""
+    count instead of it. ``counts`` gives the numbers of blocks instead."""
     left_key, right_key = ([k] if isinstance(k, str) else list(k) for k in (left_key, right_key))
-    counts = [_block_count(left if left_of is None else left_of, left_rows).alias("_l"), _block_count(right, right_rows).alias("_r")]
+    own = counts or (_block_count(left if left_of is None else left_of, left_rows), _block_count(right, right_rows))
+    numbers = [own[0].alias("_l"), own[1].alias("_r")]
 
     def placed(df: DataFrame, key: Sequence[str], own: str, other: str, names: tuple[str, str]) -> DataFrame:
-        counted = df.select("*", *counts)
+        counted = df.select("*", *numbers)
         numbered = counted.withColumn(names[0], F.pmod(F.xxhash64(*key), F.col(own)).cast("int"))
         every = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
         return numbered.withColumn(names[1], every).drop("_l", "_r")
