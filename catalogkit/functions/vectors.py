@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -79,12 +81,30 @@ def _slot_weights(column: pa.ListArray, dims: int, signed: bool):
     return rows, row, slot, weight / scale
 
 
+#: Tokens that are hashed at a time: an Arrow batch of long texts is worked through in slices of rows.
+_SLICE_TOKENS = 1 << 18
+
+
+def _slices(column: pa.ListArray) -> Iterator[pa.ListArray]:
+    """Runs of rows of about ``_SLICE_TOKENS`` tokens, one row at least."""
+    ends = np.cumsum(np.asarray(column.value_lengths().fill_null(0)).astype(np.int64))
+    low = 0
+    while low < len(column):
+        before = ends[low - 1] if low else 0
+        end = max(int(np.searchsorted(ends, before + _SLICE_TOKENS, "right")), low + 1)
+        yield column.slice(low, end - low)
+        low = end
+
+
 def _dense_udf(dims: int, signed: bool, digits: int):
     @F.arrow_udf("array<double>")
     def dense(tokens: pa.Array) -> pa.Array:
-        rows, row, slot, weight = _slot_weights(tokens, dims, signed)
+        rows, low = len(tokens), 0
         grid = np.zeros(rows * dims)
-        grid[row * dims + slot] = np.round(weight, digits)
+        for part in _slices(tokens):
+            count, row, slot, weight = _slot_weights(part, dims, signed)
+            grid[(low + row) * dims + slot] = np.round(weight, digits)
+            low += count
         return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * dims, pa.int32()), pa.array(grid))
 
     return dense
@@ -93,9 +113,14 @@ def _dense_udf(dims: int, signed: bool, digits: int):
 def _sparse_udf(dims: int, signed: bool, digits: int):
     @F.arrow_udf("array<struct<slot:int,weight:double>>")
     def sparse(tokens: pa.Array) -> pa.Array:
-        rows, row, slot, weight = _slot_weights(tokens, dims, signed)
-        weight = np.round(weight, digits)
-        row, slot, weight = row[weight != 0], slot[weight != 0], weight[weight != 0]
+        rows, found = len(tokens), []
+        for part in _slices(tokens):
+            count, row, slot, weight = _slot_weights(part, dims, signed)
+            weight = np.round(weight, digits)
+            kept = weight != 0
+            low = found[-1][0] if found else 0
+            found.append((low + count, low + row[kept], slot[kept].astype(np.int32), weight[kept]))
+        row, slot, weight = (np.concatenate([part[n] for part in found]) if found else np.empty(0, np.int64) for n in (1, 2, 3))
         ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))])
         cells = pa.StructArray.from_arrays([pa.array(slot, pa.int32()), pa.array(weight)], ["slot", "weight"])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells)
