@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -36,10 +38,11 @@ def pattern_hits(text: Column | str, words: list[str], whole: bool = True) -> Co
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = _automaton(words)
-        kind = pa.list_(pa.struct([("pattern", pa.int32()), ("n", pa.int32())]))
         for column in columns:
-            out: list[list[dict]] = []
-            for value in column.to_pylist():
+            # four bytes a number; a text is brought to Python when its turn comes
+            ends, found, often = array("i", [0]), array("i"), array("i")
+            for text in column:
+                value = text.as_py()
                 counts: dict[int, int] = {}
                 if value and words:
                     last = len(value) - 1
@@ -48,8 +51,13 @@ def pattern_hits(text: Column | str, words: list[str], whole: bool = True) -> Co
                         if whole and ((start >= 0 and value[start].isalnum()) or (end < last and value[end + 1].isalnum())):
                             continue
                         counts[n] = counts.get(n, 0) + 1
-                out.append([{"pattern": k, "n": c} for k, c in sorted(counts.items())])
-            yield pa.array(out, kind)
+                for k in sorted(counts):
+                    found.append(k)
+                    often.append(counts[k])
+                ends.append(len(found))
+            numbers, times, offsets = (np.frombuffer(a, np.int32) if a else np.empty(0, np.int32) for a in (found, often, ends))
+            pairs = pa.StructArray.from_arrays([pa.array(numbers), pa.array(times)], ["pattern", "n"])
+            yield pa.ListArray.from_arrays(pa.array(offsets), pairs)
 
     return F.arrow_udf(run, "array<struct<pattern:int,n:int>>")(text)
 
