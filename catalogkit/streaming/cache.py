@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -51,25 +52,37 @@ class _LastRow(StatefulProcessor):
         self.row = handle.getValueState("row", self.row_type)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True)
-        new = new[self.columns()]
-        newest = new.sort_values(self.order, kind="stable").iloc[-1:]
-        held = self.row.get() if self.row.exists() else None
-        if held is not None:
-            before = pd.DataFrame([held], columns=self.columns())
-            newest = pd.concat([before, newest], ignore_index=True).sort_values(self.order, kind="stable").iloc[-1:]
-        one = next(newest.astype(object).itertuples(index=False))
-        values = tuple(None if pd.isna(x) else x for x in one)
-        if held is None or tuple(held) != values:
-            self.row.update(values)
-        self._keep_until(int(getattr(one, self.order[0])) // 1000)
-        yield newest
-
-    def _keep_until(self, due: int) -> None:
-        for timer in list(self.handle.listTimers()):
-            if timer != due:
-                self.handle.deleteTimer(timer)
-        self.handle.registerTimer(due)
+        columns = self.columns()
+        held = tuple(self.row.get()) if self.row.exists() else None
+        newest = held
+        for frame in rows:
+            values = self._last(frame)
+            if newest is None or self._rank(values) >= self._rank(newest):
+                newest = values
+        if held != newest:
+            self.row.update(newest)
+        # a held row has one timer, which follows from its time
+        due, before = (None if row is None else int(row[columns.index(self.order[0])]) // 1000 for row in (newest, held))
+        if due != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(due)
+        yield pd.DataFrame([newest], columns=columns)
+
+    def _last(self, frame: pd.DataFrame) -> tuple:
+        """The newest row of a frame, of equals the last; a null is the greatest."""
+        if len(frame) == 1:
+            at = 0
+        elif all(frame[c].dtype.kind in "iuf" for c in self.order):
+            at = np.lexsort([frame[c].to_numpy() for c in reversed(self.order)])[-1]
+        else:
+            at = frame.reset_index(drop=True).sort_values(self.order, kind="stable").index[-1]
+        values = (frame[c].iat[at] for c in self.columns())
+        return tuple(None if pd.isna(x) else x.item() if isinstance(x, np.generic) else x for x in values)
+
+    def _rank(self, row: tuple) -> list[tuple]:
+        places = [self.columns().index(c) for c in self.order]
+        return [(row[n] is None, 0 if row[n] is None else row[n]) for n in places]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.row.clear()
