@@ -59,7 +59,7 @@ def _orders(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _distinct_shingles(size: int) -> Callable:
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([np.unique(shingle_hashes(text, size)).view(np.int64) for text in texts.to_pylist()], pa.list_(pa.int64()))
+        return pa.array([np.unique(shingle_hashes(text.as_py(), size)).view(np.int64) for text in texts], pa.list_(pa.int64()))
 
     return run
 
@@ -120,8 +120,8 @@ def _described(size: int, bands: int, rows: int, frequent: tuple[np.ndarray, np.
     def run(texts: pa.Array) -> pa.Array:
         prints, values = np.zeros(len(texts), np.int64), np.zeros((len(texts), bands), np.uint64)
         sizes, prefixes, parities = [], [], []
-        for n, text in enumerate(texts.to_pylist()):
-            hashes = shingle_hashes(text, size)
+        for n, text in enumerate(texts):
+            hashes = shingle_hashes(text.as_py(), size)
             own = np.unique(hashes)
             sizes.append(len(own))
             prefixes.append(_prefix(own, frequent, similarity).view(np.int64))

@@ -154,8 +154,8 @@ class Scorer:
         tables, costs, contexts, escapes = group
         width = costs[0].shape[1]
         out = np.zeros((texts, width))
-        for low in range(0, len(at), 1 << 18):
-            own, places = doc[low : low + (1 << 18)], at[low : low + (1 << 18)]
+        for low in range(0, len(at), 1 << 16):
+            own, places = doc[low : low + (1 << 16)], at[low : low + (1 << 16)]
             cost = np.zeros((len(places), width), np.float32)
             left = np.arange(len(places))
             for k in range(self.order, -1, -1):
