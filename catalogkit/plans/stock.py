@@ -55,12 +55,18 @@ def merged_order(prices: str = "prices") -> list[Column]:
     ]
 
 
-def _matched(results: DataFrame, feed: DataFrame, feed_order: Sequence[str], how: str = "inner") -> DataFrame:
-    """Results beside the first feed row of their code; the feed is cut to the results' codes first."""
+def _matched(results: DataFrame, feed: DataFrame, feed_order: Sequence[str], how: str = "inner", few: bool = False) -> DataFrame:
+    """Results beside the first feed row of their code.
+
+    Each task cuts the feed to the first row per code before it is shuffled. Where ``few`` codes are asked for, the feed is cut to these
+    before that; with many, such a join would shuffle the whole feed.
+    """
     names = ["id", "code", "description", "stock", "price", "promo_price", "discount_pct"]
     keyed = results.withColumn("_digits", only_digits("ean", null_when_empty=True))
-    wanted = keyed.filter(F.col("_digits").isNotNull()).select(F.col("_digits").alias("_ean")).distinct()
-    offered = feed.withColumn("_ean", only_digits("ean", null_when_empty=True)).join(wanted, "_ean", "left_semi")
+    offered = feed.withColumn("_ean", only_digits("ean", null_when_empty=True))
+    if few:
+        wanted = keyed.filter(F.col("_digits").isNotNull()).select(F.col("_digits").alias("_ean")).distinct()
+        offered = offered.join(wanted, "_ean", "left_semi")
     rows = first_per_key(offered, ["_ean"], feed_order).select("_ean", *[F.col(n).alias(f"_{n}") for n in names])
     return keyed.join(rows, F.col("_digits") == F.col("_ean"), how)
 
@@ -103,7 +109,7 @@ def expand_window(
     join answers all of them.
     """
     sizes = window_sizes(start, cap)
-    joined = _matched(ranked.filter(F.col("rank") <= cap), feed, feed_order, "left")
+    joined = _matched(ranked.filter(F.col("rank") <= cap), feed, feed_order, "left", few=True)
     matched = F.col("_ean").isNotNull()
     low = matched & (F.coalesce(F.col("_stock"), F.lit(0.0)) < min_stock)
     per_query = joined.groupBy("query_id").agg(
