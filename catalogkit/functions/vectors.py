@@ -85,7 +85,7 @@ def _slot_weights(column: pa.ListArray, dims: int, signed: bool):
 _SLICE_TOKENS = 1 << 18
 
 
-def _slices(column: pa.ListArray) -> Iterator[pa.ListArray]:
+def token_slices(column: pa.ListArray) -> Iterator[pa.ListArray]:
     """Runs of rows of about ``_SLICE_TOKENS`` tokens, one row at least."""
     ends = np.cumsum(np.asarray(column.value_lengths().fill_null(0)).astype(np.int64))
     low = 0
@@ -101,7 +101,7 @@ def _dense_udf(dims: int, signed: bool, digits: int):
     def dense(tokens: pa.Array) -> pa.Array:
         rows, low = len(tokens), 0
         grid = np.zeros(rows * dims)
-        for part in _slices(tokens):
+        for part in token_slices(tokens):
             count, row, slot, weight = _slot_weights(part, dims, signed)
             grid[(low + row) * dims + slot] = np.round(weight, digits)
             low += count
@@ -114,7 +114,7 @@ def _sparse_udf(dims: int, signed: bool, digits: int):
     @F.arrow_udf("array<struct<slot:int,weight:double>>")
     def sparse(tokens: pa.Array) -> pa.Array:
         rows, found = len(tokens), []
-        for part in _slices(tokens):
+        for part in token_slices(tokens):
             count, row, slot, weight = _slot_weights(part, dims, signed)
             weight = np.round(weight, digits)
             kept = weight != 0

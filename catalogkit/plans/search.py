@@ -58,9 +58,10 @@ def hybrid_search(
     if postings is None:
         best = scored_topk(prepared, corpus, k, min_score, **blocks)
     else:
-        best = scored_topk(prepared.filter(~F.col("is_short")), corpus, k, min_score, **blocks).unionByName(
-            short_topk(prepared.filter("is_short"), corpus, postings, k, min_score, **blocks)
-        )
+        short, rest = short_topk(prepared.filter("is_short"), corpus, postings, k, min_score)
+        # one pass over the corpus for long queries and for short ones that few rows answer
+        whole = prepared.filter(~F.col("is_short")).unionByName(rest)
+        best = scored_topk(whole, corpus, k, min_score, **blocks).unionByName(short)
     beyond = best.groupBy("query_id").agg((F.max("rank") > offset + limit).alias("has_more"))
     kept = best.filter((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
     return kept.withColumn("position", F.col("rank") - offset).join(beyond, "query_id")
