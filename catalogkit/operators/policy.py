@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, functions as F
 
-from catalogkit.functions.text import Col, _c, contains_any, normalize_text, trim
+from catalogkit.functions.text import WHITESPACE, Col, _c, contains_any, normalize_text, trim
 
 # Words that mark a product as personal care.
 COMMERCIAL_KEYWORDS = [
@@ -119,9 +120,17 @@ class SourcePolicy:
             .otherwise(F.concat(head, F.lit(" ou "), F.get(labels, size - 1)))
         )
 
+    def fixed_label(self, source: str) -> str:
+        """:meth:`label` of a configured source."""
+        key = source.strip(WHITESPACE).lower()
+        known = [text for name, text in self.labels.items() if name.lower() == key]
+        words = [w for w in re.split("[^a-z0-9]+", key) if w]
+        return UNKNOWN_SOURCE if key == "" else known[0] if known else " ".join(w[0].upper() + w[1:] for w in words)
+
     def fixed_list_text(self, sources: Sequence[str]) -> Column:
-        """:meth:`list_text` of a configured list; Spark folds it into a constant."""
-        return self.list_text(F.array(*map(F.lit, sources)).cast("array<string>"))
+        """:meth:`list_text` of a configured list, as a constant: Spark would compute the lambdas anew for each row."""
+        labels = [self.fixed_label(k) for k in dict.fromkeys(s.strip(WHITESPACE).lower() for s in sources) if k]
+        return F.lit(" ou ".join([", ".join(labels[:-1]), labels[-1]] if labels[1:] else labels or [NO_SOURCES]))
 
 
 def normalize_type(value: Col) -> Column:

@@ -240,7 +240,7 @@ def approval_reason(lookups: Column | str, sources: Sequence[str], policy: Sourc
     order = source_keys(sources)
     sentences = []
     for s in policy.ordered(order):
-        entry, label = F.get(lookups, F.lit(order.index(s))), policy.label(F.lit(s))
+        entry, label = F.get(lookups, F.lit(order.index(s))), F.lit(policy.fixed_label(s))
         tail = (
             F.when(matched(entry), F.lit(REASON_FOUND))
             .when(entry["skipped"], F.lit(REASON_SKIPPED))

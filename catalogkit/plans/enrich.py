@@ -33,6 +33,9 @@ RAW_TEXT_FIELDS = [
     "name_source", "data_source", "feed_name", "feed_display_name",
 ]
 
+#: Fields of a product that are computed in one step.
+FIELDS_AT_ONCE = 6
+
 
 def _raw(df: DataFrame, name: str) -> Column:
     return field(df, f"raw.{name}").cast("string")
@@ -48,7 +51,6 @@ def enrich_items(items: DataFrame, waterfall: DataFrame, sources: Sequence[str],
     """
     answers = resolve_sources(waterfall, sources, policy)
     dtype = lookup_struct_type(waterfall)
-    joined = items.join(answers.withColumnRenamed("ean", "_ean"), F.col("ean") == F.col("_ean"), "left").drop("_ean")
     raw = {name: _raw(items, name) for name in RAW_TEXT_FIELDS}
     name_lookup, data_lookup = F.col("name_lookup"), F.col("data_lookup")
 
@@ -60,77 +62,93 @@ def enrich_items(items: DataFrame, waterfall: DataFrame, sources: Sequence[str],
         present = field_type(dtype, f"detail.info.{name}") is not None
         return data_lookup["detail"]["info"][name] if present else F.lit(None).cast("string")
 
-    found = data_lookup.isNotNull()
-    trusted_raw = F.when(
-        policy.is_trusted(raw["name_source"]),
-        first_non_blank(raw["name"], raw["product_name"], raw["display_name"], "received_name"),
-    )
-    name = first_non_blank(primary_name(name_lookup, dtype), info("produto"), primary_name(data_lookup, dtype), trusted_raw)
-    drugs = _drug_names(dtype, data_lookup)
-    named = computed_once(joined, _name=name, _records=ingredient_records(drugs[0], drugs[1]))
-    name, records = F.col("_name"), F.col("_records")
-    shown = first_non_blank(
-        display_name(name_lookup, dtype),
-        trim(F.concat_ws(" ", F.nullif(info("produto"), F.lit("")), F.nullif(info("apresentacao"), F.lit("")))),
-        display_name(data_lookup, dtype),
-        trusted_raw,
-        name,
+    # what the answers alone decide is computed per code, before the join
+    answers = computed_once(
+        answers,
+        _c_name=first_non_blank(primary_name(name_lookup, dtype), info("produto"), primary_name(data_lookup, dtype)),
+        _c_shown=first_non_blank(
+            display_name(name_lookup, dtype),
+            trim(F.concat_ws(" ", F.nullif(info("produto"), F.lit("")), F.nullif(info("apresentacao"), F.lit("")))),
+            display_name(data_lookup, dtype),
+        ),
+        _c_given=first_non_blank(info("descricao_original"), result("descricao_original")),
+        _records=ingredient_records(*_drug_names(dtype, data_lookup)),
     )
-    named = computed_once(named, _shown=shown)
-    shown = F.col("_shown")
-    original = first_non_blank(info("descricao_original"), result("descricao_original"), raw["original_description"], shown, name)
-    named = computed_once(named, _original=original)
-    original = F.col("_original")
-    type_texts = [
-        *[raw[n] for n in ("type", "category", "subcategory", "department", "segment", "subsegment", "group",
-                           "name", "product_name", "display_name", "feed_name", "feed_display_name")],
+    answers = computed_once(answers, _c_original=F.coalesce("_c_given", "_c_shown", "_c_name"))
+    # per field the answers' values that come before the item's own, and those after it
+    pieces = {
+        "description": ([info("descricao"), info("apresentacao"), result("descricao"), result("apresentacao")], []),
+        "normalized_description": ([info("descricao_normalizada"), result("descricao_normalizada")], [normalize_text("_c_original")]),
+        "dose": ([info("dose"), result("dose")], [extract_dose(info("apresentacao")), extract_dose(result("apresentacao"))]),
+        "unit": ([info("unidade")], []),
+        "form": ([info("forma_farmaceutica")], []),
+        "route": ([info("via_adm")], []),
+        "quantity": ([info("qtde_fs"), result("quantidade")], []),
+        "volume": ([], []),
+        "registration": ([info("registro")], []),
+        "control_label": ([info("tarja"), result("tarja")], []),
+        "laboratory": ([info("laboratorio"), result("laboratorio")], []),
+        "manufacturer": ([info("fabricante"), result("fabricante")], [info("laboratorio"), result("laboratorio")]),
+        "department": ([info("departamento"), result("departamento")], []),
+        "category": ([info("classe"), info("categoria")], []),
+        "subcategory": ([info("subcategoria"), result("subcategoria")], []),
+        "segment": ([info("segmento"), result("segmento")], []),
+        "subsegment": ([info("subsegmento"), result("subsegmento")], []),
+        "active_ingredient": (
+            [info("ingrediente_ativo"), result("ingrediente_ativo")], [F.array_join(F.transform("_records", lambda r: r["name"]), ", ")],
+        ),
+    }
+    answer_texts = [
         *[result(n) for n in ("produto", "apresentacao", "laboratorio")],
         *[info(n) for n in ("produto", "apresentacao", "classe", "categoria", "subcategoria", "segmento", "subsegmento",
                             "forma_farmaceutica", "tarja", "tipo_receita", "receita")],
     ]
+    has_drug_id = F.coalesce(info("medicamentoid") != "", F.lit(False))
+    none = F.lit(None).cast("string")
+    answers = computed_once(
+        answers,
+        _before=F.struct(*[first_non_blank(*before).alias(n) for n, (before, _) in pieces.items()]),
+        _after=F.struct(*[first_non_blank(*after).alias(n) for n, (_, after) in pieces.items()]),
+        _c_type=classify_type(answer_texts, none, none, has_drug_id),
+    )
+    joined = items.join(answers.withColumnRenamed("ean", "_ean"), F.col("ean") == F.col("_ean"), "left").drop("_ean")
+
+    found = data_lookup.isNotNull()
+    trusted_raw = F.when(
+        policy.is_trusted(raw["name_source"]),
+        first_non_blank(raw["name"], raw["product_name"], raw["display_name"], "received_name"),
+    )
+    fallback_name = first_non_blank(raw["display_name"], raw["product_name"], raw["name"], "received_name")
+    tagged = F.coalesce(*[F.nullif(c, F.lit("")) for c in (raw["name_source"], raw["data_source"], F.col("source"))])
+    passes = ~found & policy.is_pass_through(tagged) & fallback_name.isNotNull()
+    named = computed_once(joined, _trusted_raw=trusted_raw, _fallback=fallback_name, _passes=passes)
+    fallback_name, passes, records = F.col("_fallback"), F.col("_passes"), F.col("_records")
+    name = F.coalesce("_c_name", "_trusted_raw")
+    shown = F.coalesce("_c_shown", "_trusted_raw", "_c_name")
+    original = F.coalesce("_c_given", first_non_blank(raw["original_description"]), shown)
+    raw_type_names = ("type", "category", "subcategory", "department", "segment", "subsegment", "group",
+                      "name", "product_name", "display_name", "feed_name", "feed_display_name")
     incoming = F.coalesce(*[F.nullif(raw[n], F.lit("")) for n in ("type", "category", "subcategory", "department", "segment", "subsegment")])
     type_fallback = F.coalesce(*[F.nullif(raw[n], F.lit("")) for n in ("type", "category", "department")])
-    drug_id = info("medicamentoid")
+    typed = classify_type([*[raw[n] for n in raw_type_names], *answer_texts], incoming, type_fallback, has_drug_id)
+    own_normal = F.when(original.eqNullSafe(F.col("_c_original")), F.col("_after.normalized_description")).when(
+        original.isNotNull(), first_non_blank(normalize_text(original))
+    )
     merged = {
+        n: F.coalesce(F.col(f"_before.{n}"), first_non_blank(raw[n]), own_normal if n == "normalized_description" else F.col(f"_after.{n}"))
+        for n in pieces
+    }
+    merged |= {
         "name": name,
         "product_name": name,
         "display_name": shown,
-        "description": first_non_blank(info("descricao"), info("apresentacao"), result("descricao"), result("apresentacao"), raw["description"]),
         "original_description": original,
-        "normalized_description": first_non_blank(
-            info("descricao_normalizada"), result("descricao_normalizada"), raw["normalized_description"],
-            F.when(original.isNotNull(), normalize_text(original)),
-        ),
-        "dose": first_non_blank(info("dose"), result("dose"), raw["dose"], extract_dose(info("apresentacao")), extract_dose(result("apresentacao"))),
-        "unit": first_non_blank(info("unidade"), raw["unit"]),
-        "form": first_non_blank(info("forma_farmaceutica"), raw["form"]),
-        "route": first_non_blank(info("via_adm"), raw["route"]),
-        "quantity": first_non_blank(info("qtde_fs"), result("quantidade"), raw["quantity"]),
-        "volume": first_non_blank(raw["volume"]),
-        "registration": first_non_blank(info("registro"), raw["registration"]),
-        "control_label": first_non_blank(info("tarja"), result("tarja"), raw["control_label"]),
-        "laboratory": first_non_blank(info("laboratorio"), result("laboratorio"), raw["laboratory"]),
-        "manufacturer": first_non_blank(
-            info("fabricante"), result("fabricante"), raw["manufacturer"], info("laboratorio"), result("laboratorio")
-        ),
         "brand": raw["brand"],
-        "department": first_non_blank(info("departamento"), result("departamento"), raw["department"]),
-        "category": first_non_blank(info("classe"), info("categoria"), raw["category"]),
-        "subcategory": first_non_blank(info("subcategoria"), result("subcategoria"), raw["subcategory"]),
-        "segment": first_non_blank(info("segmento"), result("segmento"), raw["segment"]),
-        "subsegment": first_non_blank(info("subsegmento"), result("subsegmento"), raw["subsegment"]),
         "group": raw["group"],
-        "active_ingredient": first_non_blank(
-            info("ingrediente_ativo"), result("ingrediente_ativo"), raw["active_ingredient"],
-            F.array_join(F.transform(records, lambda r: r["name"]), ", "),
-        ),
-        "type": classify_type(type_texts, incoming, type_fallback, F.coalesce(drug_id != "", F.lit(False))),
+        "type": F.when(F.concat_ws("", *[raw[n] for n in raw_type_names]) == "", F.col("_c_type")).otherwise(typed),
         "name_source": F.coalesce(name_lookup["key"], data_lookup["key"], F.nullif(raw["name_source"], F.lit(""))),
         "data_source": F.coalesce(data_lookup["key"], name_lookup["key"], raw["data_source"]),
     }
-    fallback_name = first_non_blank(raw["display_name"], raw["product_name"], raw["name"], "received_name")
-    tagged = F.coalesce(*[F.nullif(c, F.lit("")) for c in (raw["name_source"], raw["data_source"], F.col("source"))])
-    passes = ~found & policy.is_pass_through(tagged) & fallback_name.isNotNull()
     as_given = dict(raw)
     as_given |= {
         "name": F.when(passes, first_non_blank(raw["name"], fallback_name)).otherwise(raw["name"]),
@@ -141,15 +159,13 @@ def enrich_items(items: DataFrame, waterfall: DataFrame, sources: Sequence[str],
             F.coalesce(F.nullif(raw["data_source"], F.lit("")), F.nullif(F.col("source"), F.lit("")), F.lit(IMPORT_SOURCE))
         ),
     }
-    product = F.struct(
-        *[
-            F.when(found, merged[n] if n in merged else raw[n]).otherwise(as_given[n]).alias(n)
-            for n in RAW_TEXT_FIELDS
-        ],
-        F.when(found, records).alias("ingredients"),
-    )
-    built = computed_once(named, product=product, _passes=passes)
-    passes, trusted = F.col("_passes"), policy.is_trusted("product.name_source")
+    # few fields at a time: methods of many are too large for the JVM to compile
+    for low in range(0, len(RAW_TEXT_FIELDS), FIELDS_AT_ONCE):
+        some = RAW_TEXT_FIELDS[low : low + FIELDS_AT_ONCE]
+        named = computed_once(named, **{f"_p_{n}": F.when(found, merged[n] if n in merged else raw[n]).otherwise(as_given[n]) for n in some})
+    product = F.struct(*[F.col(f"_p_{n}").alias(n) for n in RAW_TEXT_FIELDS], F.when(found, records).alias("ingredients"))
+    built = named.withColumn("product", product)
+    trusted = policy.is_trusted("product.name_source")
     reason = (
         F.when(found & ~trusted, F.concat(F.lit(UNTRUSTED_NAME), policy.fixed_list_text(policy.trusted), F.lit(".")))
         .when(~found & ~passes, approval_reason("lookups", sources, policy))
@@ -212,12 +228,13 @@ def classify_enriched(
 def product_snapshot(enriched: DataFrame, policy: SourcePolicy) -> DataFrame:
     """Final product record of each item, with ``reject_reason`` where its name is not trusted."""
     p = F.col("product")
-    trusted = policy.is_publishable(p["name_source"])
-    given = lambda column: F.when(trusted, column)
+    enriched = computed_once(enriched, _trusted=policy.is_publishable(p["name_source"]))
+    given = lambda column: F.when(F.col("_trusted"), column)
     social = first_non_blank(given(p["product_name"]), given(p["name"]), given(F.col("received_name")))
-    enriched = computed_once(enriched, _drugs=product_ingredients(p), _social=social)
+    enriched = computed_once(enriched, _social=social)
     enriched = computed_once(enriched, _description=first_non_blank(given(p["display_name"]), given(F.col("received_name")), F.col("_social")))
-    names, social, description = F.col("_drugs"), F.col("_social"), F.col("_description")
+    social, description = F.col("_social"), F.col("_description")
+    names = F.col("_drugs")
     ingredient = F.when(F.size(names) > 0, F.array_join(names, ", "))
     texts = [p[n] for n in ("type", "category", "subcategory", "department", "segment", "subsegment", "group",
                             "name", "product_name", "display_name", "feed_name", "feed_display_name")]
@@ -229,6 +246,8 @@ def product_snapshot(enriched: DataFrame, policy: SourcePolicy) -> DataFrame:
     )
     manufacturer = first_non_blank(p["laboratory"], p["manufacturer"], p["brand"])
     enriched = computed_once(enriched, _class=classification, _maker=manufacturer)
+    # a plain column: it has several uses, so Spark keeps it, and leaves it out where none of them is read
+    enriched = enriched.withColumn("_drugs", product_ingredients(p))
     classification, manufacturer = F.col("_class"), F.col("_maker")
     details = details_json(p, F.col("ean"), F.col("source"), names, manufacturer)
     parts = F.array(
@@ -240,7 +259,7 @@ def product_snapshot(enriched: DataFrame, policy: SourcePolicy) -> DataFrame:
     refused = F.concat(
         F.lit(NAME_REJECTED), policy.fixed_list_text([*policy.trusted, *policy.pass_through]), F.lit(".")
     )
-    hidden = ("product", "lookups", "candidates", "_drugs", "_social", "_description", "_class", "_maker")
+    hidden = ("product", "lookups", "candidates", "_trusted", "_drugs", "_social", "_description", "_class", "_maker")
     keep = [c for c in enriched.columns if c not in hidden]
     return enriched.select(
         *keep,
