@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from catalogkit.llm.sampling import bounded_sample
 from catalogkit.llm.textbytes import chunks
+from catalogkit.llm.tokens import drop_worker_tokens
 
 ORDER = 4
 #: The fit reads at most so many rows and characters of whole texts per language.
@@ -52,6 +53,7 @@ def count_grams(order: int):
     """Task function: rows of language and text to counts of byte strings of up to ``order + 1`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_tokens()
         for batch in batches:
             langs = np.array(batch["lang"].to_pylist(), object)
             for low, end, data, offsets in chunks(batch["text"]):
@@ -218,6 +220,7 @@ def languages(docs: DataFrame, model: Model, text: str = "text") -> tuple[F.Colu
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        drop_worker_tokens()
         scorer = Scorer(held.value)
         for column in columns:
             names, scores, bits = [], [], []

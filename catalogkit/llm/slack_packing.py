@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from catalogkit.llm.textbytes import chunks
-from catalogkit.llm.tokens import worker_tokens
+from catalogkit.llm.textbytes import CHUNK_BYTES, chunks
+from catalogkit.llm.tokens import MAX_PIECES, worker_tokens
 from catalogkit.session import new_work_path
 
 CAPACITY = 4096
@@ -102,14 +102,16 @@ def find_places(places: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tup
     return base[run] + after // copies[run], offset[run] + after % copies[run] * length
 
 
-def _cut(tokenizer: str, end_id: int, capacity: int, with_ids: bool) -> Callable:
+def _cut(
+    tokenizer: str, end_id: int, capacity: int, with_ids: bool, max_pieces: int = MAX_PIECES, slice_bytes: int = CHUNK_BYTES
+) -> Callable:
     """Documents to pieces, each with its rank among the task's pieces of its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, seen = worker_tokens(tokenizer), np.zeros(capacity + 1, np.int64)
+        tokens, seen = worker_tokens(tokenizer, max_pieces=max_pieces), np.zeros(capacity + 1, np.int64)
         part = TaskContext.get().partitionId()
         for batch in batches:
-            for first, end, _, _ in chunks(batch.column(1)):
+            for first, end, _, _ in chunks(batch.column(1), slice_bytes):
                 ids, offsets = tokens.ids(batch.column(1).slice(first, end - first).to_pylist())
                 row, piece, start, length, crc, rank, kept = [], [], [], [], [], [], []
                 for k in range(end - first):
@@ -145,6 +147,8 @@ def pack_documents(
     capacity: int = CAPACITY,
     end_id: int = 1,
     with_ids: bool = False,
+    max_pieces: int = MAX_PIECES,
+    slice_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """One row per piece: ``key, piece, start, length, ids_crc32, sequence_id, offset`` and, if asked, ``ids``.
 
@@ -153,7 +157,8 @@ def pack_documents(
     empty texts are one piece of ``end_id`` alone. Repeated rows and null keys are documents of their own.
     An empty table gives no rows. Columns other than ``key`` and ``text`` are not read.
 
-    Pieces are stored once under the shared folder, so that ranks stay the same when a task is run again.
+    Pieces are stored once under the shared folder, so that ranks stay the same when a task is run again. A worker keeps about
+    ``max_pieces`` words with their ids and encodes ``slice_bytes`` of text at once; neither changes a result.
     """
     spark = docs.sparkSession
     extra = ", ids array<int>" if with_ids else ""
@@ -161,7 +166,7 @@ def pack_documents(
     schema = f"_key {kind}, piece int, start long, length long, ids_crc32 long, _part long, _rank long{extra}"
     path = new_work_path(spark, "pieces")
     docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(
-        _cut(tokenizer, end_id, capacity, with_ids), schema
+        _cut(tokenizer, end_id, capacity, with_ids, max_pieces, slice_bytes), schema
     ).write.parquet(path)
     pieces = spark.read.parquet(path)
 

@@ -167,9 +167,14 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
-def worker_tokens(path: str, special: str = "parse") -> WordTokens:
+def worker_tokens(path: str, special: str = "parse", max_pieces: int = MAX_PIECES) -> WordTokens:
     """One tokenizer per Python worker: task functions travel by value, so it is kept on ``sys``."""
     kept = sys.__dict__.setdefault("_catalogkit_tokens", {})
-    if (path, special) not in kept:
-        kept[path, special] = WordTokens(path, special)
-    return kept[path, special]
+    if (path, special, max_pieces) not in kept:
+        kept[path, special, max_pieces] = WordTokens(path, special, max_pieces)
+    return kept[path, special, max_pieces]
+
+
+def drop_worker_tokens() -> None:
+    """Let go of the tokenizers that former tasks left in this worker, for tasks that hold other large tables."""
+    sys.__dict__.pop("_catalogkit_tokens", None)
